@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontam, quality, toxicity, urlfilter
+from pixelloom.llm import bpe, chat, decontam, langid, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def codec() -> bpe.BytePairCodec:
     return bpe.BytePairCodec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def _remainder(of: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    guessed = langid.predict(docs, langid.train(docs.where(_remainder(4).isin(0, 1, 3))))
+    return guessed.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), codec())
 
@@ -44,18 +54,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("kept"))
 
 
-def _remainder(of: int) -> Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    labels = table(spark, sf_dir, "labels").where(_remainder(5) > 0)
     scored = toxicity.score(docs, toxicity.train(docs, labels))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op7_url_filter": op7_url_filter,
