@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 #: A vocabulary beyond this many bytes of tokens is refused: it travels with every task.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Distinct pre-tokens that a Python worker remembers, over its tasks; the memo is emptied when full.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
 _KEYS_A_BUCKET = 2
 #: For this pattern, texts of only these letters, digits and signs are cut alike by a plainer pattern, which the
 #: standard library matches in half the time.
