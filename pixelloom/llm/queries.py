@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontam, langid, quality, toxicity, urlfilter
+from pixelloom.llm import bpe, chat, decontam, jaccard_join, langid, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def codec() -> bpe.BytePairCodec:
     return bpe.BytePairCodec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def _remainder(of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
 
@@ -62,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
