@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontam, jaccard_join, langid, quality, toxicity, urlfilter
+from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(said.unionByName(planted)))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
@@ -80,6 +85,18 @@ _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb
 
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op6_embedding_dedup": """
+        WITH RECURSIVE good AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: x * x), 'sum') > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id != b.vec_id
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+        part AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN part ON node = vec_id LEFT JOIN counts ON a = vec_id""",
     "op5_chat_format": f"""
         WITH said AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
