@@ -12,9 +12,10 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
    groups are salted into parts of about ``GROUP_TOKENS`` tokens, so no group grows with the data.
 4. The token-group matrix has a row for every probe token and group that hold one another.  Pairs of groups with a
    token in common are the only ones that can hold a link.
-5. For each such pair, the overlap of a query document with a group is bounded by its overlap with the union of the
-   group's tokens.  Only groups whose bound reaches the needed overlap are opened; there, overlaps are counted exactly
-   by a product of incidence matrices.  A pair of groups returns a spanning forest of its links, not all pairs.
+5. For each such pair the overlap of every query document with the other group is bounded, first from short counts of
+   tokens by hash range (no set has to move for that), then by the overlap with the union of the group's tokens.  Only
+   documents and groups whose bound reaches the needed overlap are opened; there, overlaps are counted exactly by a
+   product of incidence matrices.  A pair of groups returns a spanning forest of its links, not all pairs.
 6. Connected components of the forests and the classes.
 
 Document frequencies come from all documents.  They only order the tokens, so the table of frequent ones that travels
@@ -60,6 +61,19 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield row + d, np.unique(h[first[d] : first[d + 1]])
 
 
+def range_counts(u: np.ndarray) -> np.ndarray:
+    """How many tokens lie in each of 64 equal hash ranges; twice as many ranges for each doubling beyond 1024 tokens."""
+    ranges = 6 + max(0, (len(u) - 1).bit_length() - 10)
+    return np.bincount((u >> np.uint64(64 - ranges)).astype(np.int64), minlength=1 << ranges).astype("<u2")
+
+
+def _bounds(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Upper bounds of the overlap of each a with each b, from counts by range (folded to the fewest ranges)."""
+    m = min(len(x) for x in (*a, *b))
+    left, right = (np.array([x.reshape(m, -1).sum(1, dtype=np.int32) for x in side]) for side in (a, b))
+    return np.array([np.minimum(x, right).sum(1) for x in left])
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
@@ -86,14 +100,14 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
 
 
 def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (fingerprint of the set), probes (its first tokens; none if no other set can link)."""
+    """doc_id, n (set size), f1 and f2 (fingerprint of the set), counts (tokens by hash range), probes (its first tokens; none if no other set can link)."""
     tokens, power = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << 20, bool)
         bits[tokens >> np.uint64(44)] = True
         for batch in batches:
-            size, f1, f2, first = [], [], [], []
+            size, f1, f2, counts, first = [], [], [], [], []
             for _, u in _sets(batch.column("text"), k):
                 n = len(u)
                 with np.errstate(over="ignore"):
@@ -101,6 +115,7 @@ def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, per
                 size.append(n)
                 f1.append(int(mixed.sum(dtype=np.uint64)) if n else 0)
                 f2.append(int(np.bitwise_xor.reduce(T.mix64(mixed))) if n else 0)
+                counts.append(range_counts(u).tobytes())
                 least = -(-percent * n // 100)
                 if n == 0 or (least == n and n * 100 // percent == n):
                     first.append(u[:0].view(np.int64))
@@ -114,12 +129,12 @@ def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, per
                     often[maybe[hit]] = power[at[hit]]
                 first.append((u[:m] if not often.any() else u[np.argsort(often, kind="stable")[:m]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "n", "f1", "f2", "probes"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                ["doc_id", "n", "f1", "f2", "counts", "probes"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, probes array<long>")
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, counts binary, probes array<long>")
 
 
 def _members(sets: DataFrame) -> DataFrame:
@@ -136,62 +151,69 @@ def _groups(members: DataFrame) -> DataFrame:
     return best.join(parts, "g").select("doc_id", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
 
 
-def _group_sets(docs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """g, part, ids, sizes, tokens (of all members, one after the other): the sets of every group."""
-    n = groups.count()
-    chosen = F.broadcast(groups) if n <= BROADCAST_IDS else groups
-    own = _texts(docs).join(chosen, "doc_id")
+def _opened(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
+    """g, part, g2, part2, doc_id, is_right: documents of a pair of groups (or of one, against itself) that may link."""
+
+    def of(x: list | None, y: list | None) -> tuple[np.ndarray, np.ndarray]:
+        a, b = ([np.frombuffer(r["counts"], "<u2") for r in side] for side in (x, y or x))
+        na, nb = (np.array([r["n"] for r in side]) for side in (x, y or x))
+        may = _bounds(a, b) >= needed(na[:, None], nb[None, :], percent)
+        if y is None:
+            np.fill_diagonal(may, False)
+        return may.any(1), may.any(0) if y else np.zeros(0, bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("g", "part", "g2", "part2")), strict=True)
+            for key, left, right in zip(keys, batch.column("docs"), batch.column("right_docs"), strict=True):
+                left, right = left.as_py(), right.as_py()
+                for side, rows, opened in zip((False, True), (left, right or []), of(left, right), strict=True):
+                    out += [(*key, rows[i]["doc_id"], side) for i in np.flatnonzero(opened)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), _ARROW[kind], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["g", "part", "g2", "part2", "doc_id", "is_right"])
+
+    return pairs.select("g", "part", "g2", "part2", "docs", "right_docs").mapInArrow(run, f"g long, part int, g2 long, part2 int, doc_id {kind}, is_right boolean")
+
+
+def _tokens(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, tokens (bytes of the sorted set) of the documents of ids."""
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [u.view(np.int64) for _, u in _sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("part"), batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], ["g", "part", "doc_id", "tokens"])
-
-    sets = own.select("g", "part", "doc_id", "text").mapInArrow(run, f"g long, part int, doc_id {kind}, tokens binary")
-    packed = sets.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("sets"))
-    return packed
-
-
-def _links(a: list, b: list | None, percent: int) -> Iterator[tuple]:
-    """A spanning forest of the links between the sets of two groups, or within one."""
-    sets = [np.frombuffer(x["tokens"], np.uint64) for x in a]
-    ids = [x["doc_id"] for x in a]
-    if b is None:
-        rows, columns, own = np.arange(len(sets)), np.arange(len(sets)), sets
-        other = sets
-    else:
-        other = [np.frombuffer(x["tokens"], np.uint64) for x in b]
-        own = sets
-        rows, columns = np.arange(len(own)), np.arange(len(other))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for _, u in _sets(batch.column("text"), k)], pa.binary())], ["doc_id", "tokens"])
+
+    return _texts(docs).join(chosen, "doc_id").mapInArrow(run, f"doc_id {kind}, tokens binary")
+
+
+def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
+    """A spanning forest of the links between the sets of two groups, or within one (b empty)."""
+    within, b = not b, b or a
+    own, other = ([np.frombuffer(x["tokens"], np.uint64) for x in side] for side in (a, b))
+    ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
     size_a, size_b = np.array([len(s) for s in own]), np.array([len(s) for s in other])
     union = np.unique(np.concatenate(other))
-    flat, of = np.concatenate(own), np.repeat(rows, size_a)
+    flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), size_a)
     at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
     common = union[at] == flat
     bound = np.bincount(of[common], minlength=len(own))  # overlap of each query with the group's union
-    partner = np.maximum(size_b.min(), -(-percent * size_a // 100))
-    opened = (bound >= needed(size_a, partner, percent)) & (size_b.max() * 100 >= percent * size_a)
-    if b is None:
-        opened &= len(own) > 1
+    opened = bound >= needed(size_a, np.maximum(size_b.min(), -(-percent * size_a // 100)), percent)
     if not opened.any():
         return
     keep = common & opened[of]
     used, column = np.unique(at[keep], return_inverse=True)
     left = np.zeros((len(own), len(used)), np.float32)
     left[of[keep], column] = 1
-    if b is None:
-        right = left
-    else:
-        flat_b, of_b = np.concatenate(other), np.repeat(columns, size_b)
-        place = np.searchsorted(union[used], flat_b)
-        place = np.minimum(place, len(used) - 1)
-        hit = union[used][place] == flat_b
-        right = np.zeros((len(other), len(used)), np.float32)
-        right[of_b[hit], place[hit]] = 1
+    flat_b, of_b = np.concatenate(other), np.repeat(np.arange(len(other)), size_b)
+    place = np.minimum(np.searchsorted(union[used], flat_b), len(used) - 1)
+    hit = union[used][place] == flat_b
+    right = np.zeros((len(other), len(used)), np.float32)
+    right[of_b[hit], place[hit]] = 1
     overlap = (left @ right.T).round().astype(np.int64)
     linked = overlap >= needed(size_a[:, None], size_b[None, :], percent)
-    ids_b = ids if b is None else [x["doc_id"] for x in b]
     parent: dict = {}
 
     def root(x):
@@ -199,7 +221,7 @@ def _links(a: list, b: list | None, percent: int) -> Iterator[tuple]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for i, j in zip(*np.nonzero(np.triu(linked, 1) if b is None else linked), strict=True):
+    for i, j in zip(*np.nonzero(np.triu(linked, 1) if within else linked), strict=True):
         x, y = root(ids[i]), root(ids_b[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
@@ -207,12 +229,12 @@ def _links(a: list, b: list | None, percent: int) -> Iterator[tuple]:
 
 
 def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """(a, b) links of rows with the sets of one group (right_sets null) or of two."""
+    """(a, b) links of rows with the opened sets of one group (right_sets empty) or of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [link for left, right in zip(batch.column("sets"), batch.column("right_sets"), strict=True) for link in _links(left.as_py(), right.as_py(), percent)]
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pa.schema([("a", _ARROW[kind]), ("b", _ARROW[kind])]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], _ARROW[kind]), pa.array([b for _, b in out], _ARROW[kind])], ["a", "b"])
 
     return pairs.select("sets", "right_sets").mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -225,17 +247,23 @@ def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     members = save(_members(sets), "members")
     groups = save(_groups(members), "groups")
-    matrix = save(members.select("token", "doc_id").join(groups, "doc_id").groupBy("token", "g", "part").agg(F.count("*").alias("docs")), "matrix")
-    packed = save(_group_sets(docs, groups, k), "group_sets")
-    inside = packed.where(F.size("sets") > 1).withColumn("right_sets", F.lit(None).cast(packed.schema["sets"].dataType))
+    matrix = members.select("token", "doc_id").join(groups, "doc_id").select("token", "g", "part").distinct()
+    matrix = save(matrix, "matrix")
+    counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
+    packed = save(counted.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts")).alias("docs")), "packed")
+    inside = packed.where(F.size("docs") > 1).select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"), "docs", F.lit(None).cast(packed.schema["docs"].dataType).alias("right_docs"))
     shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    held = matrix.join(shared, "token").select("token", F.struct("g", "part").alias("x"))
-    across = held.alias("l").join(held.alias("r"), "token").where("l.x < r.x").select(F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
-    left = packed.select(F.struct("g", "part").alias("x"), "sets")
-    right = packed.select(F.struct("g", "part").alias("y"), F.col("sets").alias("right_sets"))
-    both = across.join(left, "x").join(right, "y")
-    links = save(_verify(inside.select("sets", "right_sets").unionByName(both.select("sets", "right_sets")), kind, percent), "links")
-    drop(members, groups, matrix, packed)
+    held = matrix.join(shared, "token").select("token", "g", "part")
+    other = held.select("token", F.col("g").alias("g2"), F.col("part").alias("part2"))
+    across = held.join(other, "token").where("g < g2 or g = g2 and part < part2").select("g", "part", "g2", "part2").distinct()
+    right = packed.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("docs").alias("right_docs"))
+    both = across.join(packed, ["g", "part"]).join(right, ["g2", "part2"]).select(inside.columns)
+    opened = save(_opened(inside.unionByName(both), kind, percent), "opened")
+    tokens = _tokens(docs, opened.select("doc_id").distinct(), k)
+    one = F.struct("doc_id", "tokens")
+    full = opened.join(tokens, "doc_id").groupBy("g", "part", "g2", "part2").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
+    links = save(_verify(full, kind, percent), "links")
+    drop(members, groups, matrix, packed, opened)
     return links
 
 
@@ -244,7 +272,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     sets = save(probes(docs, frequent_tokens(docs, k, percent), k, percent), "sets")
     able = sets.where("doc_id is not null and n > 0")
     classes = able.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    classed = sets.drop("probes").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    classed = sets.drop("probes", "counts").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
     others = classed.where("doc_id != class_id").select(F.col("doc_id").alias("copy"), F.col("class_id").alias("of")).distinct()
     alone = able.where(F.size("probes") > 0).join(others, F.col("doc_id") == F.col("copy"), "left_anti")
     links = find_links(docs, alone, k, percent)
