@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, quality, toxicity, urlfilter
+from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, licenses, quality, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), codec())
 
@@ -72,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_chat_format": op5_chat_format,
     "op6_embedding_dedup": op6_embedding_dedup,
@@ -85,6 +90,7 @@ _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb
 
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle_sql(),
     "op6_embedding_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
