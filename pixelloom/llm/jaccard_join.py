@@ -16,6 +16,8 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
    tokens by hash range (no set has to move for that), then by the overlap with the union of the group's tokens.  Only
    documents and groups whose bound reaches the needed overlap are opened; there, overlaps are counted exactly by a
    product of incidence matrices.  A pair of groups returns a spanning forest of its links, not all pairs.
+   First each group goes against itself and the first part of its kind; the components of these links are left out of
+   all further comparisons, so a large family of copies costs in proportion to its size.
 6. Connected components of the forests and the classes.
 
 Document frequencies come from all documents.  They only order the tokens, so the table of frequent ones that travels
@@ -43,7 +45,7 @@ WORDS, PERCENT = 5, 80
 #: A token in at least so many documents is looked up as frequent.
 FREQUENT = 8
 FREQUENT_TOKENS = 500_000
-GROUP_TOKENS = 16_384
+GROUP_TOKENS = 65_536
 #: Candidate ids beyond this number are joined by a shuffle instead of a broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
 
@@ -157,7 +159,8 @@ def _opened(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     def of(x: list | None, y: list | None) -> tuple[np.ndarray, np.ndarray]:
         a, b = ([np.frombuffer(r["counts"], "<u2") for r in side] for side in (x, y or x))
         na, nb = (np.array([r["n"] for r in side]) for side in (x, y or x))
-        may = _bounds(a, b) >= needed(na[:, None], nb[None, :], percent)
+        ca, cb = (np.array([r["component"] for r in side]) for side in (x, y or x))
+        may = (_bounds(a, b) >= needed(na[:, None], nb[None, :], percent)) & (ca[:, None] != cb[None, :])
         if y is None:
             np.fill_diagonal(may, False)
         return may.any(1), may.any(0) if y else np.zeros(0, bool)
@@ -242,31 +245,43 @@ def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links between different sets, a spanning forest for each pair of groups; written to the shared folder."""
+def _compare(docs: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, percent: int, inside: bool) -> DataFrame:
+    """(a, b) links of the given pairs of groups, and within the groups; written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = save(_members(sets), "members")
-    groups = save(_groups(members), "groups")
-    matrix = members.select("token", "doc_id").join(groups, "doc_id").select("token", "g", "part").distinct()
-    matrix = save(matrix, "matrix")
-    counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
-    packed = save(counted.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts")).alias("docs")), "packed")
-    inside = packed.where(F.size("docs") > 1).select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"), "docs", F.lit(None).cast(packed.schema["docs"].dataType).alias("right_docs"))
-    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    held = matrix.join(shared, "token").select("token", "g", "part")
-    other = held.select("token", F.col("g").alias("g2"), F.col("part").alias("part2"))
-    across = held.join(other, "token").where("g < g2 or g = g2 and part < part2").select("g", "part", "g2", "part2").distinct()
     right = packed.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("docs").alias("right_docs"))
-    both = across.join(packed, ["g", "part"]).join(right, ["g2", "part2"]).select(inside.columns)
-    opened = save(_opened(inside.unionByName(both), kind, percent), "opened")
+    todo = pairs.join(packed, ["g", "part"]).join(right, ["g2", "part2"]).select("g", "part", "g2", "part2", "docs", "right_docs")
+    if inside:
+        nothing = F.lit(None).cast(packed.schema["docs"].dataType)
+        todo = todo.unionByName(packed.where(F.size("docs") > 1).select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"), "docs", nothing.alias("right_docs")))
+    opened = save(_opened(todo, kind, percent), "opened")
     tokens = _tokens(docs, opened.select("doc_id").distinct(), k)
     one = F.struct("doc_id", "tokens")
     full = opened.join(tokens, "doc_id").groupBy("g", "part", "g2", "part2").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
     links = save(_verify(full, kind, percent), "links")
-    drop(members, groups, matrix, packed, opened)
+    drop(opened)
     return links
 
 
+def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """(a, b): links between different sets, enough to connect all that link; written to the shared folder."""
+    members = save(_members(sets), "members")
+    groups = save(_groups(members), "groups")
+    matrix = save(members.select("token", "doc_id").join(groups, "doc_id").select("token", "g", "part").distinct(), "matrix")
+    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
+    held = matrix.join(shared, "token").select("token", "g", "part")
+    other = held.select("token", F.col("g").alias("g2"), F.col("part").alias("part2"))
+    across = save(held.join(other, "token").where("g < g2 or g = g2 and part < part2").select("g", "part", "g2", "part2").distinct(), "across")
+    counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
+    packed = lambda rows: rows.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts", "component")).alias("docs"))
+    to_first = "g = g2 and part = 0"
+    near = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across.where(to_first), k, percent, inside=True)
+    known = components(near)
+    placed = counted.join(known, counted["doc_id"] == known["node"], "left").select(*counted.columns, F.coalesce("component", "doc_id").alias("component"))
+    far = _compare(docs, packed(placed), across.where(f"not ({to_first})"), k, percent, inside=False)
+    drop(members, groups, matrix, across)
+    return [near, far]
+
+
 def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), component_id, of every row of documents."""
     sets = save(probes(docs, frequent_tokens(docs, k, percent), k, percent), "sets")
@@ -276,8 +291,8 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     others = classed.where("doc_id != class_id").select(F.col("doc_id").alias("copy"), F.col("class_id").alias("of")).distinct()
     alone = able.where(F.size("probes") > 0).join(others, F.col("doc_id") == F.col("copy"), "left_anti")
     links = find_links(docs, alone, k, percent)
-    found = components(links)
-    drop(links)
+    found = components(links[0].unionByName(links[1]))
+    drop(*links)
     joined = classed.join(found, classed["class_id"] == found["node"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
