@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pixelloom.plans import queries_pixels
+
+QUERIES = {**queries_pixels.QUERIES}
+ORACLE_SQL = {**queries_pixels.ORACLE_SQL}
