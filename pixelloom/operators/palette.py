@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions.text import clean_name, normalize_hex
 
-BY_PALETTE = Window.partitionBy("palette_name")
 VISIBLE = "kind <> 'transparent' and r is not null"
 
 
+def _by_palette() -> WindowSpec:
+    return Window.partitionBy("palette_name")
+
+
 def truncate(palette: DataFrame) -> DataFrame:
     """The first 256 colours of every palette, and whether any was cut."""
-    cut = palette.withColumn("truncated", F.max("ord").over(BY_PALETTE) >= schemas.MAX_COLORS)
+    cut = palette.withColumn("truncated", F.max("ord").over(_by_palette()) >= schemas.MAX_COLORS)
     return cut.where(F.col("ord") < schemas.MAX_COLORS)
 
 
@@ -35,7 +38,7 @@ def enabled_palette(palette: DataFrame, enabled: DataFrame) -> DataFrame:
 
 
 def renumber(palette: DataFrame) -> DataFrame:
-    place = F.row_number().over(BY_PALETTE.orderBy("ord")) - 1
+    place = F.row_number().over(_by_palette().orderBy("ord")) - 1
     return palette.withColumn("ord", place.cast("int"))
 
 
@@ -110,7 +113,7 @@ def prune_state(palette: DataFrame, enabled: DataFrame) -> DataFrame:
 def set_state(state: DataFrame, action: str, keys: list[str] | None = None) -> DataFrame:
     """``enable``, ``disable``, ``invert`` or ``toggle`` (enable all if any is disabled) of all or the given keys."""
     chosen = F.lit(True) if keys is None else F.col("key").isin(keys)
-    some_off = F.max(F.when(chosen, ~F.col("enabled"))).over(BY_PALETTE)
+    some_off = F.max(F.when(chosen, ~F.col("enabled"))).over(_by_palette())
     new = {"enable": F.lit(True), "disable": F.lit(False), "invert": ~F.col("enabled"), "toggle": some_off}[action]
     return state.withColumn("enabled", F.when(chosen, new).otherwise(F.col("enabled")))
 
@@ -125,7 +128,7 @@ def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     counted = most.join(per_base, "name", "left").select("name", "k", F.coalesce("held", F.array().cast("array<string>")).alias("held"))
     forms = F.transform(F.sequence(F.lit(1), (F.col("k") + F.size("held") + 1).cast("int")), lambda i: F.when(i == 1, F.col("name")).otherwise(F.concat_ws(" ", "name", i.cast("string"))))
     free = counted.select("name", F.posexplode(F.filter(forms, lambda f: ~F.array_contains("held", f))).alias("at", "unique_name"))
-    return numbered.join(free, (numbered["name"] == free["name"]) & (numbered["k"] == free["at"] + 1)).select("seq", numbered["name"], "unique_name")
+    return numbered.join(free.withColumn("k", F.col("at") + 1), ["name", "k"]).select("seq", "name", "unique_name")
 
 
 def edit(palette: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +161,7 @@ def edit(palette: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = palette.groupBy("palette_name").agg(F.max("ord").alias("_last"))
     added = good.where("action = 'add'").join(last, "palette_name").select(
         "palette_name",
-        (F.col("_last") + F.row_number().over(BY_PALETTE.orderBy("new_key"))).cast("int").alias("ord"),
+        (F.col("_last") + F.row_number().over(_by_palette().orderBy("new_key"))).cast("int").alias("ord"),
         F.col("new_key").alias("key"),
         F.coalesce("name", "new_key").alias("name"),
         F.lit("custom").alias("kind"),

@@ -21,6 +21,11 @@ MODES = ("nearest", "bilinear", "area", "lanczos2", "lanczos3", "lanczos2-scale-
 MAX_TAPS = 64
 
 
+def _settled(v: Column) -> Column:
+    """A sum without the last bits, which depend on the order of its terms: halves then round alike on every run."""
+    return F.round(v, 9)
+
+
 def _targets(sizes: DataFrame, side: str, count: int, crop: tuple[float, float] | None) -> DataFrame:
     """image_id, t, pos, scale, side for one axis; crop is (start, length)."""
     start, length = (F.lit(0.0), F.col(side).cast("double")) if crop is None else (F.lit(float(crop[0])), F.lit(float(crop[1])))
@@ -85,8 +90,8 @@ def _two_dimensional(px: DataFrame, taps_x: DataFrame, taps_y: DataFrame, local_
         F.sum("w").alias("sw"),
         F.bool_and(F.col("a") == 255).alias("opaque"),
     )
-    plain = [clamp_byte(F.col(f"o{c}") / F.col("sw")) for c in "rgb"]
-    soft = unpremultiply(tuple(F.col(f"p{c}") / F.col("sw") for c in "rgb"), F.col("sa") / F.col("sw"))
+    plain = [clamp_byte(_settled(F.col(f"o{c}") / F.col("sw"))) for c in "rgb"]
+    soft = unpremultiply(tuple(_settled(F.col(f"p{c}") / F.col("sw")) for c in "rgb"), _settled(F.col("sa") / F.col("sw")))
     opaque = F.col("opaque") if local_opaque else F.lit(False)
     return sums.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(opaque, p).otherwise(s).alias(c) for c, p, s in zip("rgb", plain, soft, strict=False)), F.when(opaque, 255).otherwise(soft[3]).alias("a"))
 
@@ -115,7 +120,7 @@ def _separable(px: DataFrame, taps_x: DataFrame, taps_y: DataFrame) -> DataFrame
     sums = rows.join(ty, ["image_id", "y"]).groupBy("image_id", "ty", "tx").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgba"), F.any_value("opaque").alias("opaque"))
     scaled = sums.join(total(taps_x, "tx"), ["image_id", "tx"]).join(total(taps_y, "ty"), ["image_id", "ty"])
     weight = F.col("wtx") * F.col("wty")
-    mean = {c: F.col(c) / weight for c in "rgba"}
+    mean = {c: _settled(F.col(c) / weight) for c in "rgba"}
     soft = unpremultiply(tuple(mean[c] for c in "rgb"), mean["a"])
     return scaled.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(F.col("opaque"), clamp_byte(mean[c])).otherwise(s).alias(c) for c, s in zip("rgb", soft, strict=False)), F.when(F.col("opaque"), 255).otherwise(soft[3]).alias("a"))
 

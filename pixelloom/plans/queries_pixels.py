@@ -17,11 +17,14 @@ from pixelloom.sources.palettes import default_palette, default_swatches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-RGB = tuple(F.col(c) for c in "rgb")
 KEY = ("image_id", "y", "x")
 PALETTE = default_swatches()
 
 
+def _rgb() -> tuple:
+    return tuple(F.col(c) for c in "rgb")
+
+
 def register(name: str, oracle: str | None = None):
     def add(query):
         QUERIES[name] = query
@@ -41,7 +44,7 @@ def _rid(source: str) -> str:
 
 def _vector_query(space: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = color.vector(RGB, space)
+        v = color.vector(_rgb(), space)
         return fx.px_events(spark, sf_dir).select(*KEY, *(F.round(c, 7).alias(f"v{k}") for k, c in enumerate(v)))
 
     v = sql.vector(sql.RGB, space)
@@ -67,7 +70,7 @@ def f1_clamp_byte(spark, sf_dir):
 def f9_hsv_hsl(spark, sf_dir):
     """To HSV and HSL and back, which gives the bytes again."""
     px = fx.px_events(spark, sf_dir)
-    hsv, hsl = color.rgb_to_hsv(RGB), color.rgb_to_hsl(RGB)
+    hsv, hsl = color.rgb_to_hsv(_rgb()), color.rgb_to_hsl(_rgb())
     named = px.select(*KEY, *(c.alias(n) for n, c in zip(("hue", "hsv_s", "hsv_v"), hsv, strict=True)), *(c.alias(n) for n, c in zip(("hsl_s", "hsl_l"), hsl[1:], strict=True)))
     back1 = color.hsv_to_rgb(tuple(F.col(c) for c in ("hue", "hsv_s", "hsv_v")))
     back2 = color.hsl_to_rgb(tuple(F.col(c) for c in ("hue", "hsl_s", "hsl_l")))
@@ -78,7 +81,7 @@ def f9_hsv_hsl(spark, sf_dir):
 def f9b_oklab_round_trip(spark, sf_dir):
     """Through OKLab, OKLCH in degrees and back."""
     px = fx.px_events(spark, sf_dir)
-    lch = color.oklab_to_oklch(color.rgb_to_oklab(RGB))
+    lch = color.oklab_to_oklch(color.rgb_to_oklab(_rgb()))
     named = px.select(*KEY, *(c.alias(f"l{k}") for k, c in enumerate(lch)))
     lab = named.select(*KEY, *(c.alias(f"m{k}") for k, c in enumerate(color.oklch_to_oklab(tuple(F.col(f"l{k}") for k in range(3))))))
     return lab.select(*KEY, *(c.alias(n) for n, c in zip("rgb", color.oklab_to_rgb(tuple(F.col(f"m{k}") for k in range(3))), strict=True)))
@@ -92,7 +95,7 @@ def f9b_oklab_round_trip(spark, sf_dir):
 def f12_composite(spark, sf_dir):
     """Premultiplied, over white, and unpremultiplied colours."""
     a = F.col("a")
-    pre, over, un = pixel.premultiply(RGB, a), pixel.blend_matte(RGB, a, (F.lit(255.0),) * 3), pixel.unpremultiply(RGB, a)
+    pre, over, un = pixel.premultiply(_rgb(), a), pixel.blend_matte(_rgb(), a, (F.lit(255.0),) * 3), pixel.unpremultiply(_rgb(), a)
     return fx.px_events(spark, sf_dir).select(*KEY, *(v.alias(f"{p}{c}") for p, t in (("p", pre), ("m", over), ("u", un[:3])) for c, v in zip("rgb", t, strict=True)))
 
 
@@ -143,7 +146,7 @@ _SHIFTED = [f"({e} + 0.01::DOUBLE)" for e in sql.vector(sql.RGB, "oklab")]
 
 @register("j3_nearest_vector", f"WITH {fx.PX_EVENTS}, {fx.DEFAULT}, {_rid('px_events')}, {sql.nearest('px_events_r', 'oklab', vectors=_SHIFTED)} SELECT image_id, y, x, idx FROM px_events_r JOIN matched USING (rid)")
 def j3_nearest_vector(spark, sf_dir):
-    moved = fx.px_events(spark, sf_dir).withColumns({f"v{k}": v + 0.01 for k, v in enumerate(color.rgb_to_oklab(RGB))})
+    moved = fx.px_events(spark, sf_dir).withColumns({f"v{k}": v + 0.01 for k, v in enumerate(color.rgb_to_oklab(_rgb()))})
     return match.nearest_vector(moved, PALETTE, "oklab").select(*KEY, "idx")
 
 
@@ -376,7 +379,7 @@ def _resize_sql(source: str, mode: str, width: int, height: int, crop=None, side
     flag = f", flags AS (SELECT image_id, bool_and(a = 255) AS opaque FROM {source} GROUP BY image_id)" if separable else ""
     joined = f"{source} p JOIN tx ON tx.s = p.x JOIN ty ON ty.s = p.y" + (" JOIN flags USING (image_id)" if separable else "")
     return f"""{ctes}{flag}, spread AS (SELECT image_id, ty.t::INT AS y, tx.t::INT AS x, p.r, p.g, p.b, p.a, tx.w * ty.w AS w{", opaque" if separable else ""} FROM {joined}),
-        sums AS (SELECT image_id, y, x, {"any_value(opaque)" if separable else opaque} AS opaque, sum(w) AS sw, sum(w * a) / sum(w) AS sa, {", ".join(f"sum(w * {c}) / sum(w) AS o_{c}, sum(w * {c} * (a / 255.0::DOUBLE)) / sum(w) AS p_{c}" for c in "rgb")} FROM spread GROUP BY image_id, y, x)
+        sums AS (SELECT image_id, y, x, {"any_value(opaque)" if separable else opaque} AS opaque, sum(w) AS sw, round(sum(w * a) / sum(w), 9) AS sa, {", ".join(f"round(sum(w * {c}) / sum(w), 9) AS o_{c}, round(sum(w * {c} * (a / 255.0::DOUBLE)) / sum(w), 9) AS p_{c}" for c in "rgb")} FROM spread GROUP BY image_id, y, x)
         SELECT image_id, y, x, {", ".join(f"CASE WHEN opaque THEN {sql.byte(f'o_{c}')} WHEN sa <= 0 THEN 0 ELSE {sql.byte(f'p_{c} / (sa / 255.0::DOUBLE)')} END AS {c}" for c in "rgb")}, CASE WHEN opaque THEN 255 WHEN sa <= 0 THEN 0 ELSE {sql.byte("sa")} END AS a FROM sums"""
 
 
