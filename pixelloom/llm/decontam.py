@@ -85,27 +85,56 @@ class Block:
         return iter(sorted(pairs))
 
 
-def find_items(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """doc_id, item_id, n_found, n_item, containment: every document that holds the threshold's share of an item."""
+def blocks(items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> Iterator[Block]:
+    """The benchmark as blocks of bounded size; a block takes whole items, by a hash of item_id."""
     sets = item_shingles(items, k)
     total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-total // block_shingles))
+    n = max(1, -(-total // block_shingles))
+    for b in range(n):
+        if rows := sets.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).collect():
+            yield Block(rows, threshold)
+
+
+def find_items(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, item_id, n_found, n_item, containment: every document that holds the threshold's share of an item."""
+    kind = items.schema["item_id"].dataType.simpleString()
     found = None
-    for b in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # a block, of bounded size
-        hits = _pass(docs, Block(rows, threshold) if rows else None, k, items.schema["item_id"].dataType.simpleString())
+    for block in blocks(items, k, threshold, block_shingles):
+        hits = _pass(docs, block, k, kind)
         found = hits if found is None else found.unionByName(hits)
-    return found
+    return _pass(docs.limit(0), None, k, kind) if found is None else found
+
+
+def clean(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The documents that hold no item, with all their columns; map-only, one pass for each block."""
+
+    def dropping(block: Block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, _, _ in _hits(block, batch.column("text"), k):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in blocks(items, k, threshold, block_shingles):
+        docs = docs.mapInArrow(dropping(block), docs.schema)
+    return docs
+
+
+def _hits(block: Block, column: pa.Array, k: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shingles found) of a column of texts."""
+    for row, end, offsets, raw in T.slices(column):
+        w = T.words(offsets, raw, T.ALNUM, fold_latin=True)
+        for width in block.probes:
+            yield from ((row + d, i, n) for d, i, n in _verified(block, w, k, width, end - row))
 
 
 def _pass(docs: DataFrame, block: Block | None, k: int, item_kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, end, offsets, raw in T.slices(batch.column("text")) if block else ():
-                w = T.words(offsets, raw, T.ALNUM, fold_latin=True)
-                for width in block.probes:
-                    out += [(row + d, i, n) for d, i, n in _verified(block, w, k, width, end - row)]
+            out = list(_hits(block, batch.column("text"), k)) if block else []
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array([d for d, _, _ in out], pa.int64())), pa.array([block.ids[i] for _, i, _ in out], _ARROW.get(item_kind, pa.int64())), pa.array([n for _, _, n in out], pa.int64()), pa.array([len(block.sets[i]) for _, i, _ in out], pa.int64())],
                 ["doc_id", "item_id", "n_found", "n_item"],
@@ -134,8 +163,3 @@ def _verified(block: Block, w: T.Words, k: int, width: int, n_docs: int) -> Iter
         if n >= block.need[i]:
             yield d, i, n
 
-
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item; every column stays, and rows with a null doc_id are judged like the others."""
-    hits = find_items(docs, items, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_hit"]), "left_anti")

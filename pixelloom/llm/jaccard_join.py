@@ -298,6 +298,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id; all rows of documents without a link stay."""
-    gone = join(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each component stays, that of the smallest doc_id; all documents without a link stay.
+
+    Every column is returned.  Repeated rows of a document that stays all stay, as do rows with a null doc_id.
+    """
+    gone = save(join(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    chosen = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(chosen, docs["doc_id"] == gone["_gone"], "left_anti")
