@@ -19,7 +19,7 @@ def codec() -> bpe.BytePairCodec:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90).drop("class_id")
 
 
 def _remainder(of: int) -> Column:
@@ -90,6 +90,30 @@ _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb
 
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": """
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM cut),
+        rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        found AS (SELECT a, b FROM shared WHERE 100 * n >= 90 * (na + nb - n)),
+        links AS (SELECT a, b FROM found UNION ALL SELECT b, a FROM found),
+        reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+        parts AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN parts ON node = doc_id""",
+    "op8_decontamination": """
+        WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+        low AS (SELECT side, id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ') AS t FROM texts),
+        cut AS (SELECT side, id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM low),
+        items AS (SELECT id AS item_id, w, least(5, len(w)) AS k FROM cut WHERE side = 'i' AND len(w) > 0),
+        widths AS (SELECT DISTINCT k FROM items),
+        item_rows AS (SELECT item_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))) AS shingle FROM items),
+        doc_rows AS (SELECT id AS doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')))) AS shingle FROM cut, widths WHERE side = 'd' AND len(w) >= k),
+        sizes AS (SELECT item_id, count(*) AS n_item FROM item_rows GROUP BY item_id),
+        found AS (SELECT doc_id, item_id, count(*) AS n_found FROM item_rows JOIN doc_rows USING (k, shingle) GROUP BY ALL)
+        SELECT doc_id, item_id, n_found, n_item, n_found / n_item AS containment FROM found JOIN sizes USING (item_id) WHERE 10 * n_found >= 8 * n_item""",
     "op3_license_scan": licenses.oracle_sql(),
     "op6_embedding_dedup": """
         WITH RECURSIVE good AS (
