@@ -1,24 +1,32 @@
 """Error diffusion: a serial scan within an image, parallel over images.
 
-Pixels are packed by image row in the JVM, dealt by image and sorted by row; a task streams over rows and holds only
-the rows that the kernel reaches, so memory is a few image widths.  Colours are first turned into the dither space by
-Catalyst; the scan keeps its working values in float32.
+Pixels are packed by image row in the JVM.  Images of one size are dealt into bundles of about ``BUNDLE`` and the
+bundles to the tasks; a task scans the images of a bundle in lockstep, one numpy step for the same pixel of all of them.
+It streams over the rows and holds only those that the kernel reaches: a few image widths for each image of the bundle.
+Colours are first turned into the dither space by Catalyst; the scan keeps its working values in float32.
+
+Images are complete rectangles; an image with missing pixels is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.functions.color import SPACES
+from pixelloom.functions import color
 from pixelloom.functions.pixel import composited, is_transparent
 from pixelloom.operators import dither, match
+from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch
 
+#: Images that are scanned together.
+BUNDLE = 64
+
 # Fixed values: (dx, dy, weight) of each kernel, for a scan from left to right.
 KERNELS = {
     "floyd-steinberg": ((1, 0, 7 / 16), (-1, 1, 3 / 16), (0, 1, 5 / 16), (1, 1, 1 / 16)),
@@ -27,136 +35,150 @@ KERNELS = {
 }
 
 
-class Matcher:
-    """Nearest visible colour of one vector, in double precision, by a scan over the palette."""
-
-    def __init__(self, vectors: np.ndarray, ords: Sequence[int], space: str):
-        self.vectors, self.ords, self.space = np.asarray(vectors, float), list(ords), space
-
-    def __call__(self, v: np.ndarray) -> int:
-        """Position among the visible colours, the first of equals."""
-        p = self.vectors
-        d = v - p
-        if self.space == "weighted-rgb":
-            red = (v[0] + p[:, 0]) / 2
-            return int(((2 + red / 256) * d[:, 0] ** 2 + 4 * d[:, 1] ** 2 + (2 + (255 - red) / 256) * d[:, 2] ** 2).argmin())
-        if self.space == "oklch":
-            apart = np.abs(d[:, 2])
-            turn = np.minimum(v[1], p[:, 1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
-            return int((d[:, 0] ** 2 + d[:, 1] ** 2 + turn**2).argmin())
-        return int((d * d).sum(1).argmin())
-
-
-def _scan(frames: Iterator[pd.DataFrame], kernel, nearest: Matcher, as_bytes: bool, serpentine: bool, strength: float, masked: int) -> Iterator[pd.DataFrame]:
-    """Rows arrive in order; a row is scanned once the rows that its errors reach have been read."""
-    depth = max(dy for _, dy, _ in kernel)
-    targets = nearest.vectors
-    memo: dict[tuple, int] = {}
-    image, window, out = None, [], []
-
-    def scan(entry: dict) -> None:
-        y, work, width = entry["y"], entry["work"], len(entry["work"])
-        reverse = serpentine and y % 2 == 1
-        below = {e["y"] - y: e["work"] for e in window}
-        idx = np.full(width, masked, np.int32)
+def nearest_to(vectors: np.ndarray, space: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from vectors (n x 3) to the position of the nearest colour of each, the first of equals."""
+    p = np.asarray(vectors, float)
+
+    def find(v: np.ndarray) -> np.ndarray:
+        d = v[:, None, :] - p[None]
+        if space == "weighted-rgb":
+            red = (v[:, None, 0] + p[None, :, 0]) / 2
+            far = (2 + red / 256) * d[..., 0] ** 2 + 4 * d[..., 1] ** 2 + (2 + (255 - red) / 256) * d[..., 2] ** 2
+        elif space == "oklch":
+            apart = np.abs(d[..., 2])
+            turn = np.minimum(v[:, None, 1], p[None, :, 1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
+            far = d[..., 0] ** 2 + d[..., 1] ** 2 + turn**2
+        else:
+            far = d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
+        return far.argmin(1)
+
+    return find
+
+
+def byte_vectors(v: np.ndarray, space: str) -> np.ndarray:
+    """Vectors of whole byte colours (n x 3), as the column expressions give them."""
+    if space in ("srgb", "weighted-rgb"):
+        return v
+    if space in color.LUMA:
+        return v * np.sqrt(color.LUMA[space])
+    linear = _LINEAR[v.astype(np.intp)]
+    if space == "linear-rgb":
+        return linear
+    if space == "cielab":
+        t = linear @ np.array(color.XYZ).T / color.WHITE
+        f = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
+        return np.column_stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])])
+    lab = np.cbrt(linear @ np.array(color.LMS).T) @ np.array(color.OKLAB).T
+    return lab if space == "oklab" else np.column_stack([lab[:, 0], np.hypot(lab[:, 1], lab[:, 2]), np.arctan2(lab[:, 2], lab[:, 1])])
+
+
+_BYTES = np.arange(256) / 255.0
+_LINEAR = np.where(_BYTES <= 0.04045, _BYTES / 12.92, ((_BYTES + 0.055) / 1.055) ** 2.4)
+
+
+@dataclass
+class Scan:
+    """Scans bundles of images row by row."""
+
+    kernel: Sequence[tuple[int, int, float]]
+    vectors: np.ndarray  # of the visible colours, in the colour space
+    targets: np.ndarray  # what errors are measured against: the vectors, or the byte colours
+    ords: np.ndarray
+    space: str
+    as_bytes: bool
+    serpentine: bool
+    strength: float
+    masked: int
+    window: list = field(default_factory=list)  # rows read and not yet scanned
+
+    def __post_init__(self):
+        self.depth = max(dy for _, dy, _ in self.kernel)
+
+    def add(self, y: int, images: list, work: np.ndarray, clear: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
+        """Take row y of all images of the bundle: work is images x width x 3, clear and mask are images x width."""
+        if y == 0:
+            yield from self.finish()
+        self.window.append((y, images, work, clear, mask * self.strength))
+        if len(self.window) > self.depth:
+            yield self._next()
+
+    def finish(self) -> Iterator[tuple]:
+        while self.window:
+            yield self._next()
+
+    def _next(self) -> tuple:
+        y, images, work, clear, share = self.window[0]
+        nearest, width = nearest_to(self.vectors, self.space), work.shape[1]
+        below = [w[2] for w in self.window]
+        idx = np.full(clear.shape, self.masked, np.int32)
+        reverse = self.serpentine and y % 2 == 1
         for x in range(width - 1, -1, -1) if reverse else range(width):
-            if entry["clear"][x]:
-                continue
-            v = work[x].astype(float)
-            if as_bytes:
-                v = np.minimum(255, np.maximum(0, np.floor(v + 0.5)))
-            key = (v[0], v[1], v[2])
-            k = memo.get(key)
-            if k is None:
-                k = memo[key] = nearest(v)
-                if len(memo) > 500_000:
-                    memo.clear()
-            idx[x] = nearest.ords[k]
-            share = strength * entry["mask"][x]
-            e0, e1, e2 = v[0] - targets[k, 0], v[1] - targets[k, 1], v[2] - targets[k, 2]
-            for dx, dy, w in kernel:
+            seen = ~clear[:, x]
+            v = work[:, x].astype(np.float64)
+            if self.as_bytes:
+                v = np.clip(np.floor(v + 0.5), 0, 255)
+            k = nearest(byte_vectors(v, self.space) if self.as_bytes else v)
+            idx[seen, x] = self.ords[k[seen]]
+            error = np.where(seen[:, None], v - self.targets[k], 0.0)
+            for dx, dy, weight in self.kernel:
                 at = x - dx if reverse else x + dx
-                row = below.get(dy)
-                if row is None or at < 0 or at >= width:
-                    continue
-                amount = w * share
-                row[at, 0] = row[at, 0] + e0 * amount
-                row[at, 1] = row[at, 1] + e1 * amount
-                row[at, 2] = row[at, 2] + e2 * amount
-        out.append((image, y, idx.tolist()))
-
-    def flush(leave: int) -> None:
-        while len(window) > leave:
-            scan(window[0])
-            window.pop(0)
+                if dy < len(below) and 0 <= at < width:
+                    below[dy][:, at] += error * (weight * share[:, x])[:, None]
+        self.window.pop(0)
+        return y, images, idx
+
+
+def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(y, image ids, work, clear, mask) of the same row of all images of a bundle, from rows sorted by bundle and y."""
+    key, held = None, []
+
+    def stacked():
+        parts = [np.stack([np.asarray(getattr(r, c)) for r in held]) for c in ("v0", "v1", "v2", "clear", "mask")]
+        return key[-1], [r.image_id for r in held], np.stack(parts[:3], axis=-1).astype(np.float32), parts[3].astype(bool), parts[4].astype(float)
 
     for frame in frames:
         for r in frame.itertuples(index=False):
-            if r.image_id != image:
-                flush(0)
-                image = r.image_id
-            work = np.column_stack([np.asarray(r.v0), np.asarray(r.v1), np.asarray(r.v2)]).astype(np.float32)
-            window.append({"y": r.y, "work": work, "clear": np.asarray(r.clear), "mask": np.asarray(r.mask)})
-            flush(depth)
-        if out:
-            yield pd.DataFrame(out, columns=["image_id", "y", "idx"])
-            out.clear()
-    flush(0)
-    if out:
-        yield pd.DataFrame(out, columns=["image_id", "y", "idx"])
-
-
-def quantize(px: DataFrame, palette: Sequence[Swatch], s: dither.Settings) -> DataFrame:
+            if (r.width, r.height, r.bundle, r.y) != key:
+                if held:
+                    yield stacked()
+                key, held = (r.width, r.height, r.bundle, r.y), []
+            if len(r.v0) != r.width:
+                raise ValueError(f"row {r.y} of image {r.image_id} has {len(r.v0)} of {r.width} pixels")
+            held.append(r)
+    if held:
+        yield stacked()
+
+
+def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:
     """image_id, y, x, idx by the kernel named in the settings; a strength of 0 is direct quantizing."""
     if s.strength <= 0:
         return dither.quantize(px, palette, s)
-    space = s.color_space
     source = dither.adaptive_mask(px, palette, s) if s.placement == "adaptive" else px.withColumn("mask", F.lit(1.0))
     seen = composited(tuple(F.col(c) for c in "rgb"), F.col("a"), s.alpha_mode, s.matte)
-    dithered = SPACES[space](seen) if s.in_vectors else tuple(c.cast("double") for c in seen)
+    dithered = color.SPACES[s.color_space](seen) if s.in_vectors else tuple(c.cast("double") for c in seen)
     pixel = F.struct("x", *(v.alias(f"v{k}") for k, v in enumerate(dithered)), is_transparent(F.col("a"), s.alpha_mode, s.alpha_threshold).alias("clear"), "mask")
     packed = source.select("image_id", "y", pixel.alias("p")).groupBy("image_id", "y").agg(F.array_sort(F.collect_list("p")).alias("p"))  # an image row
-    rows = packed.select("image_id", "y", *(F.col(f"p.{c}").alias(c) for c in ("v0", "v1", "v2", "clear", "mask")))
-    dealt = rows.repartition("image_id").sortWithinPartitions("image_id", "y")
-    vectors = np.array(match.palette_vectors(px.sparkSession, palette, space))
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    bundles = sizes.groupBy("width", "height").agg(F.ceil(F.count("*") / BUNDLE).alias("bundles"))
+    placed = sizes.join(bundles, ["width", "height"]).select("image_id", "width", "height", F.pmod(F.xxhash64("image_id"), F.col("bundles")).alias("bundle"))
+    rows = packed.join(placed, "image_id").select("image_id", "y", "width", "height", "bundle", *(F.col(f"p.{c}").alias(c) for c in ("v0", "v1", "v2", "clear", "mask")))
+    keys = ["width", "height", "bundle"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "y", "image_id")
+    vectors = np.array(match.palette_vectors(px.sparkSession, palette, s.color_space))
     visible = [p for p in palette if p.visible]
-    if s.in_vectors:
-        nearest: Matcher = Matcher(vectors, [p.ord for p in visible], space)
-    else:
-        nearest = ByteMatcher(vectors, [p.ord for p in visible], space, np.array([p.rgb for p in visible], float))
-    kernel, masked = KERNELS[s.dither], dither.masked_index(palette)
-    serpentine, strength, as_bytes = s.serpentine, s.strength / 100, not s.in_vectors
-    done = dealt.mapInPandas(lambda frames: _scan(frames, kernel, nearest, as_bytes, serpentine, strength, masked), "image_id long, y int, idx array<int>")
-    return done.select("image_id", "y", F.posexplode("idx").alias("x", "idx"))
-
-
-class ByteMatcher(Matcher):
-    """Matches byte colours in a colour space; errors are taken in bytes."""
-
-    def __init__(self, vectors: np.ndarray, ords: Sequence[int], space: str, colors: np.ndarray):
-        super().__init__(vectors, ords, space)
-        self.in_space, self.vectors = self.vectors, colors
-        self.scan = Matcher(self.in_space, ords, space)
+    targets = vectors if s.in_vectors else np.array([p.rgb for p in visible], float)
+    settings = {"kernel": KERNELS[s.dither], "vectors": vectors, "targets": targets, "ords": np.array([p.ord for p in visible], np.int32), "space": s.color_space, "as_bytes": not s.in_vectors, "serpentine": s.serpentine, "strength": s.strength / 100, "masked": dither.masked_index(palette)}
 
-    def __call__(self, v: np.ndarray) -> int:
-        return self.scan(byte_vector(v, self.space))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = Scan(**settings)
+        done = (out for row in _rows(frames) for out in scan.add(*row))
+        for y, images, idx in _then(done, scan.finish):
+            yield pd.DataFrame({"image_id": images, "y": y, "idx": list(idx)})
 
+    out = dealt.mapInPandas(run, "image_id long, y int, idx array<int>")
+    return out.select("image_id", "y", F.posexplode("idx").alias("x", "idx"))
 
-def byte_vector(v: np.ndarray, space: str) -> np.ndarray:
-    """The vector of one byte colour; the same formulas as the column expressions, for the serial scan."""
-    from pixelloom.functions import color as C
 
-    if space in ("srgb", "weighted-rgb"):
-        return v
-    if space in C.LUMA:
-        return v * np.sqrt(C.LUMA[space])
-    c = v / 255.0
-    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
-    if space == "linear-rgb":
-        return linear
-    if space == "cielab":
-        t = np.array(C.XYZ) @ linear / C.WHITE
-        x, y, z = np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16 / 116)
-        return np.array([116 * y - 16, 500 * (x - y), 200 * (y - z)])
-    lab = np.array(C.OKLAB) @ np.cbrt(np.array(C.LMS) @ linear)
-    return lab if space == "oklab" else np.array([lab[0], np.hypot(lab[1], lab[2]), np.arctan2(lab[2], lab[1])])
+def _then(items: Iterator, last: Callable[[], Iterator]) -> Iterator:
+    yield from items
+    yield from last()
