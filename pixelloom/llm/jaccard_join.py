@@ -287,6 +287,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     sets = save(probes(docs, frequent_tokens(docs, k, percent), k, percent), "sets")
     able = sets.where("doc_id is not null and n > 0")
     classes = able.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    classes = save(classes, "classes")  # written, so that the join below is one that AQE can split for a hot class
     classed = sets.drop("probes", "counts").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
     others = classed.where("doc_id != class_id").select(F.col("doc_id").alias("copy"), F.col("class_id").alias("of")).distinct()
     alone = able.where(F.size("probes") > 0).join(others, F.col("doc_id") == F.col("copy"), "left_anti")
