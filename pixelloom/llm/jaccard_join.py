@@ -21,7 +21,8 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
 6. Connected components of the forests and the classes.
 
 Document frequencies come from all documents.  They only order the tokens, so the table of frequent ones that travels
-with the tasks may be cut at ``FREQUENT_TOKENS`` entries (8 MB) without any effect on the result.
+with the tasks may leave out the less frequent powers of two, so that it has at most ``FREQUENT_TOKENS`` entries (5 MB),
+without any effect on the result.
 
 Null or wordless texts have no shingles and link with nothing; a text of fewer than k words is one shingle of all its
 words.  Rows with a null doc_id link with nothing and have a null component.  Repeated rows come back each; a doc_id
@@ -95,10 +96,17 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "n"])
 
     counted = _texts(docs).where("text is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top_rows = counted.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(FREQUENT_TOKENS).toArrow()
-    token = top_rows["token"].to_numpy().view(np.uint64)
+    often = save(counted.where(F.col("n") >= FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("power")), "frequent")
+    least, held = 64, 0
+    for power, n in sorted(often.groupBy("power").count().collect(), reverse=True):  # a row per power of two
+        if (held := held + n) > FREQUENT_TOKENS:
+            break
+        least = power
+    rows = often.where(F.col("power") >= least).toArrow()
+    drop(often)
+    token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.log2(top_rows["n"].to_numpy()[order].astype(float)).astype(np.int8)
+    return token[order], rows["power"].to_numpy()[order].astype(np.int8)
 
 
 def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
