@@ -14,7 +14,6 @@ rows are predicted each; lang, source and doc_id are never inputs of a predictio
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator

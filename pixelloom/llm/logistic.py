@@ -39,6 +39,13 @@ def logit(p: np.ndarray) -> np.ndarray:
 
 
 def sample_ids(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows of a table with doc_id, those of the smallest hash of doc_id: a bounded sample that any partitioning gives alike."""
-    ordered = rows.where("doc_id is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    return ordered.limit(limit)
+    """At most ``limit`` rows of a table with doc_id, those of the smallest hash of doc_id: a bounded sample that any partitioning gives alike.
+
+    Rows far above the expected last hash are dropped first, so that the final sort sees a few times ``limit`` rows.
+    """
+    keyed = rows.where("doc_id is not null").withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string")))
+    n = keyed.count()
+    if n > 4 * limit:
+        near = keyed.where(F.col("_hash") < int(-(2**63) + 2**64 * 2 * limit / n))
+        keyed = near if near.count() >= limit else keyed
+    return keyed.orderBy("_hash", "doc_id").limit(limit).drop("_hash")
