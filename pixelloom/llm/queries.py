@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, licenses, quality, toxicity, urlfilter
+from pixelloom.llm.storage import short_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
