@@ -191,10 +191,22 @@ def decode(encoded: DataFrame, codec: BytePairCodec) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, codec: BytePairCodec, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): every text encoded and its ids decoded again, in one pass of one Python worker."""
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [codec.encode(x or "") for x in batch.column("text").to_pylist()]
+            decoded = [codec.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, codec: BytePairCodec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
-    both = decode(encode(docs, codec), codec)
-    return both.select(
+    return round_trip(docs, codec).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
