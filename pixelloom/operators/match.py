@@ -2,14 +2,14 @@
 
 A palette of at most 256 colours is a literal: the distances to all its visible colours form an array, and the answer
 is the position of the array's first minimum, so ties go to the lowest ordinal and transparent never wins.  The whole
-match is a column expression inside whole-stage code.
+match is a column expression in generated code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import DISTANCES, SPACES, Triple
@@ -45,8 +45,20 @@ def first_minimum(array: Column, ords: Sequence[int]) -> Column:
     return F.element_at(F.array(*map(F.lit, ords)), F.array_position(array, F.array_min(array)).cast("int"))
 
 
+def limit_methods(spark: SparkSession) -> None:
+    """Leave generated methods beyond 8000 bytes of bytecode, which HotSpot would only interpret, to code that Spark splits.
+
+    The distances to a whole palette make such a method; with Spark's default limit of 65535 matching is three times as
+    slow.  A limit that the session has set itself is left alone.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, "8000")
+
+
 def nearest_vector(px: DataFrame, palette: Sequence[Swatch], space: str, columns: Sequence[str] = ("v0", "v1", "v2"), out: str = "idx") -> DataFrame:
     """Adds the palette ordinal that is nearest to vectors already in the space."""
+    limit_methods(px.sparkSession)
     vectors = palette_vectors(px.sparkSession, palette, space)
     ords = [s.ord for s in palette if s.visible]
     with_array = px.withColumn("_d", distances(tuple(F.col(c) for c in columns), vectors, space))
