@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import text as T
 from pixelloom.llm.components import components
-from pixelloom.llm.storage import drop, save
+from pixelloom.llm.storage import drop, release, save
 
 WORDS, PERCENT = 5, 80
 #: A token in at least so many documents is looked up as frequent.
@@ -104,6 +104,8 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
         least = power
     rows = often.where(F.col("power") >= least).toArrow()
     drop(often)
+    del counted, often
+    release(docs.sparkSession)
     token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
     return token[order], rows["power"].to_numpy()[order].astype(np.int8)
@@ -150,8 +152,9 @@ def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, per
 def _members(sets: DataFrame) -> DataFrame:
     """token, doc_id, n, held (documents with that probe token), of tokens that several documents probe."""
     rows = sets.select("doc_id", "n", F.explode("probes").alias("token"))
-    held = rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    return rows.join(held, "token")
+    held = save(rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    release(sets.sparkSession)
+    return save(rows.join(held, "token"), "members")
 
 
 def _groups(members: DataFrame) -> DataFrame:
@@ -267,12 +270,15 @@ def _compare(docs: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, perce
     full = opened.join(tokens, "doc_id").groupBy("g", "part", "g2", "part2").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
     links = save(_verify(full, kind, percent), "links")
     drop(opened)
+    del todo, opened, tokens, full
+    release(docs.sparkSession)
     return links
 
 
 def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> list[DataFrame]:
     """(a, b): links between different sets, enough to connect all that link; written to the shared folder."""
-    members = save(_members(sets), "members")
+    members = _members(sets)
+    release(docs.sparkSession)
     groups = save(_groups(members), "groups")
     matrix = save(members.select("token", "doc_id").join(groups, "doc_id").select("token", "g", "part").distinct(), "matrix")
     shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
@@ -281,6 +287,7 @@ def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> list[D
     across = save(held.join(other, "token").where("g < g2 or g = g2 and part < part2").select("g", "part", "g2", "part2").distinct(), "across")
     counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
     packed = lambda rows: rows.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts", "component")).alias("docs"))
+    release(docs.sparkSession)
     to_first = "g = g2 and part = 0"
     near = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across.where(to_first), k, percent, inside=True)
     known = components(near)
