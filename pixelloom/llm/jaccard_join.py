@@ -159,8 +159,8 @@ def _members(sets: DataFrame) -> DataFrame:
 
 def _groups(members: DataFrame) -> DataFrame:
     """doc_id, g (group token), part: the group of every document that shares a probe token."""
-    best = members.groupBy("doc_id").agg(F.max_by("token", F.struct("held", "token")).alias("g"), F.max("n").alias("n"))
-    parts = best.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
+    best = save(members.groupBy("doc_id").agg(F.max_by("token", F.struct("held", "token")).alias("g"), F.max("n").alias("n")), "best")
+    parts = save(best.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts")), "parts")  # so that AQE can split the join
     return best.join(parts, "g").select("doc_id", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
 
 
