@@ -44,7 +44,7 @@ def export_name(name: Column, suffix: Column, width: Column, height: Column) ->
 
 
 def format_bytes(n: Column) -> Column:
-    """Bytes below 1024, else KiB, MiB, GiB or TiB with a decimal below ten."""
+    """Bytes below 1024, else KiB, MiB, GiB or TiB with a decimal below ten; halves go up."""
     text = F.format_string("%.1f TiB", n / 1024.0**4)
     for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
         size = n / 1024.0**power

@@ -251,6 +251,18 @@ def f20_format_bytes(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").where(k % 64 != 0).select("o_orderkey", text.format_bytes((k * k * 31) % 500000001).alias("size"))
 
 
+def _half_up(unit: str, size: int, decimals: int) -> str:
+    """DuckDB text of v bytes in a unit; halves go up, as in format_bytes, where printf alone takes the even digit."""
+    return f"printf('%.{decimals}f {unit}', floor(v / {size}.0::DOUBLE * {10**decimals} + 0.5) / {10**decimals})"
+
+
+# Over every order; f20_format_bytes and its SQL leave out every 64th.
+@register("f20_format_bytes_all", f"SELECT o_orderkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 10240 THEN {_half_up('KiB', 1024, 1)} WHEN v < 1048576 THEN {_half_up('KiB', 1024, 0)} WHEN v < 10485760 THEN {_half_up('MiB', 1048576, 1)} ELSE {_half_up('MiB', 1048576, 0)} END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 31) % 500000001 AS v FROM orders)")
+def f20_format_bytes_all(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes((k * k * 31) % 500000001).alias("size"))
+
+
 # Jobs
 
 

@@ -85,6 +85,17 @@ def test_job_identity_ignores_column_order(spark):
     assert a == b
 
 
+def test_bytes_are_formatted_for_every_order_and_halves_go_up(spark):
+    from pixelloom.functions import text
+    from pixelloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    assert registry.QUERIES["f20_format_bytes_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    sizes = {1023: "1023 B", 2304: "2.3 KiB", 10752: "11 KiB", 2359296: "2.3 MiB", 13107200: "13 MiB", 10239: "10.0 KiB"}
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", text.format_bytes(F.col("n")).alias("size"))
+    assert {r["n"]: r["size"] for r in got.collect()} == sizes
+
+
 def test_case_matrix(spark):
     assert jobs.case_matrix(spark).count() == 2016
 
