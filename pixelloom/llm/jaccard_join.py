@@ -191,23 +191,23 @@ def _opened(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     return pairs.select("g", "part", "g2", "part2", "docs", "right_docs").mapInArrow(run, f"g long, part int, g2 long, part2 int, doc_id {kind}, is_right boolean")
 
 
-def _tokens(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens (bytes of the sorted set) of the documents of ids."""
+def _tokens(texts: DataFrame, ids: DataFrame, k: int, on: list[str]) -> DataFrame:
+    """The columns of ids but for keys, and tokens (bytes of the sorted set), of the texts of ids."""
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = [f for f in ids.schema.fields if f.name == "doc_id" or f.name not in on]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for _, u in _sets(batch.column("text"), k)], pa.binary())], ["doc_id", "tokens"])
+            tokens = pa.array([u.tobytes() for _, u in _sets(batch.column("text"), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), tokens], [*(f.name for f in kept), "tokens"])
 
-    return _texts(docs).join(chosen, "doc_id").mapInArrow(run, f"doc_id {kind}, tokens binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return texts.join(chosen, on).select(*(f.name for f in kept), "text").mapInArrow(run, f"{schema}, tokens binary")
 
 
-def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
-    """A spanning forest of the links between the sets of two groups, or within one (b empty)."""
-    within, b = not b, b or a
+def _linked(a: list, b: list, percent: int) -> np.ndarray | None:
+    """Which sets of a link with which of b; None if none can."""
     own, other = ([np.frombuffer(x["tokens"], np.uint64) for x in side] for side in (a, b))
-    ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
     size_a, size_b = np.array([len(s) for s in own]), np.array([len(s) for s in other])
     union = np.unique(np.concatenate(other))
     flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), size_a)
@@ -216,7 +216,7 @@ def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
     bound = np.bincount(of[common], minlength=len(own))  # overlap of each query with the group's union
     opened = bound >= needed(size_a, np.maximum(size_b.min(), -(-percent * size_a // 100)), percent)
     if not opened.any():
-        return
+        return None
     keep = common & opened[of]
     used, column = np.unique(at[keep], return_inverse=True)
     left = np.zeros((len(own), len(used)), np.float32)
@@ -227,7 +227,11 @@ def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
     right = np.zeros((len(other), len(used)), np.float32)
     right[of_b[hit], place[hit]] = 1
     overlap = (left @ right.T).round().astype(np.int64)
-    linked = overlap >= needed(size_a[:, None], size_b[None, :], percent)
+    return overlap >= needed(size_a[:, None], size_b[None, :], percent)
+
+
+def _forest(linked: np.ndarray, ids: list, ids_b: list) -> Iterator[tuple]:
+    """A spanning forest of the links."""
     parent: dict = {}
 
     def root(x):
@@ -235,13 +239,51 @@ def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for i, j in zip(*np.nonzero(np.triu(linked, 1) if within else linked), strict=True):
+    for i, j in zip(*np.nonzero(linked), strict=True):
         x, y = root(ids[i]), root(ids_b[j])
         if x != y:
             parent[max(x, y)] = min(x, y)
             yield ids[i], ids_b[j]
 
 
+def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
+    """A spanning forest of the links between the sets of two groups, or within one (b empty)."""
+    within, b = not b, b or a
+    linked = _linked(a, b, percent)
+    if linked is not None:
+        ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
+        yield from _forest(np.triu(linked, 1) if within else linked, ids, ids_b)
+
+
+def _counted_links(a: list, b: list, percent: int) -> Iterator[tuple]:
+    """The forest as (a, b, null), and (a, null, n) with the rows in other classes that a links with, each link of the pair of groups counted."""
+    a, b = (list({x["doc_id"]: x for x in side}.values()) for side in (a, b))  # repeated rows have one set
+    within, b = not b, b or a
+    linked = _linked(a, b, percent)
+    if linked is None:
+        return
+    if within:
+        np.fill_diagonal(linked, False)
+    ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
+    sides = [(ids, linked, b)] if within else [(ids, linked, b), (ids_b, linked.T, a)]
+    for names, matrix, others in sides:
+        n = matrix @ np.array([x["copies"] for x in others], np.int64)
+        yield from ((names[i], None, int(n[i])) for i in np.flatnonzero(n))
+    yield from ((x, y, None) for x, y in _forest(np.triu(linked) if within else linked, ids, ids_b))
+
+
+def _verify_counted(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n) of rows as in _verify, the sets with copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [row for left, right in zip(batch.column("sets"), batch.column("right_sets"), strict=True) for row in _counted_links(left.as_py(), right.as_py(), percent)]
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
+
+    return pairs.select("sets", "right_sets").mapInArrow(run, "a long, b long, n long")
+
+
 def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
     """(a, b) links of rows with the opened sets of one group (right_sets empty) or of two."""
 
@@ -256,27 +298,38 @@ def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def _compare(docs: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, percent: int, inside: bool) -> DataFrame:
-    """(a, b) links of the given pairs of groups, and within the groups; written to the shared folder."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _compare(docs: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, percent: int, inside: bool, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b) links of the given pairs of groups, and within the groups; written to the shared folder.
+
+    With nodes (doc_id, name, h, copies), packed holds their doc_id, texts are found by name and hash, and links are counted.
+    """
+    kind = "bigint" if nodes is not None else docs.schema["doc_id"].dataType.simpleString()
     right = packed.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("docs").alias("right_docs"))
     todo = pairs.join(packed, ["g", "part"]).join(right, ["g2", "part2"]).select("g", "part", "g2", "part2", "docs", "right_docs")
     if inside:
         nothing = F.lit(None).cast(packed.schema["docs"].dataType)
         todo = todo.unionByName(packed.where(F.size("docs") > 1).select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"), "docs", nothing.alias("right_docs")))
     opened = save(_opened(todo, kind, percent), "opened")
-    tokens = _tokens(docs, opened.select("doc_id").distinct(), k)
-    one = F.struct("doc_id", "tokens")
+    ids = opened.select("doc_id").distinct()
+    if nodes is not None:
+        ids = save(ids.join(nodes, "doc_id"), "ids")
+        tokens = _tokens(_named(docs), ids, k, ["name", "h"])
+    else:
+        tokens = _tokens(_texts(docs), ids, k, ["doc_id"])
+    one = F.struct(*tokens.columns)
     full = opened.join(tokens, "doc_id").groupBy("g", "part", "g2", "part2").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
-    links = save(_verify(full, kind, percent), "links")
-    drop(opened)
-    del todo, opened, tokens, full
+    links = save(_verify_counted(full, percent) if nodes is not None else _verify(full, kind, percent), "links")
+    drop(opened, ids)
+    del todo, opened, ids, tokens, full
     release(docs.sparkSession)
     return links
 
 
-def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> list[DataFrame]:
-    """(a, b): links between different sets, enough to connect all that link; written to the shared folder."""
+def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, nodes: DataFrame | None = None) -> list[DataFrame]:
+    """(a, b): links between different sets, enough to connect all that link; written to the shared folder.
+
+    With nodes, one table of (a, b, n): these links, and the sums of all links by pair of groups (see _counted_links).
+    """
     members = _members(sets)
     release(docs.sparkSession)
     groups = save(_groups(members), "groups")
@@ -288,6 +341,10 @@ def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> list[D
     counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
     packed = lambda rows: rows.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts", "component")).alias("docs"))
     release(docs.sparkSession)
+    if nodes is not None:
+        counts = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across, k, percent, inside=True, nodes=nodes)
+        drop(members, groups, matrix, across)
+        return [counts]
     to_first = "g = g2 and part = 0"
     near = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across.where(to_first), k, percent, inside=True)
     known = components(near)
@@ -313,6 +370,42 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """name (the doc_id), h (a hash of the text) and text: a doc_id may have several texts."""
+    return _texts(docs).select(F.col("doc_id").alias("name"), F.xxhash64("text").alias("h"), "text")
+
+
+def join_counted(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id, n_links (other rows that link with the row, equal ones too), component_id, of every row.
+
+    Every link is counted, so no comparison is left out for documents that are connected already: a family of different
+    texts costs the square of its size in products (of 0/1 matrices), its sets move once for every part of the family, and
+    its counts are a row for each document and pair of parts.  Nodes are rows, so all texts of a doc_id are compared.
+    """
+    keys = ["f1", "f2", "n"]
+    named = _named(docs).select(F.struct("name", "h").alias("doc_id"), "text")
+    cut = probes(named, frequent_tokens(named, k, percent), k, percent)
+    sets = save(cut.select(F.monotonically_increasing_id().alias("node"), "doc_id.name", "doc_id.h", *keys, "counts", "probes"), "sets")
+    able = sets.where("name is not null and n > 0")
+    classes = able.groupBy(*keys).agg(F.min(F.struct("name", "node")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    classes = save(classes.select(*keys, F.col("first.name").alias("class_id"), F.col("first.node").alias("first"), "copies"), "classes")
+    own = F.col("name").isNotNull() & (F.col("n") > 0)
+    classed = sets.drop("probes", "counts").join(classes, keys, "left")
+    classed = classed.select("name", "n", "node", F.when(own, F.coalesce("first", "node")).alias("rep"), F.when(own, F.coalesce("class_id", "name")).otherwise(F.col("name")).alias("class_id"), F.when(own, F.coalesce("copies", F.lit(1)) - 1).otherwise(0).alias("equal"))
+    others = classed.where("rep != node").select("node")
+    alone = able.where(F.size("probes") > 0).join(others, "node", "left_anti").withColumnRenamed("node", "doc_id")
+    copies = classes.select(F.col("first").alias("doc_id"), "copies")
+    nodes = save(alone.select("doc_id", "name", "h").join(copies, "doc_id", "left").select("doc_id", "name", "h", F.coalesce("copies", F.lit(1)).alias("copies")), "nodes")
+    found = find_links(docs, alone.select("doc_id", "n", "counts", "probes"), k, percent, nodes)[0]
+    linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
+    parts = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "doc_id")
+    least = parts.join(nodes, "doc_id").groupBy("component").agg(F.min("name").alias("component_id"))
+    per_node = save(linked.join(parts.join(least, "component").select(F.col("doc_id").alias("rep"), "component_id"), "rep"), "per_node")
+    drop(found, nodes)
+    joined = classed.join(per_node, "rep", "left")
+    return joined.select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", (F.col("equal") + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays, that of the smallest doc_id; all documents without a link stay.
 

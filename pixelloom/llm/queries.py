@@ -24,6 +24,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90).drop("class_id")
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_jaccard with the class and the number of links of every document."""
+    return jaccard_join.join_counted(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def _remainder(of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
 
@@ -77,6 +82,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
@@ -105,6 +111,22 @@ ORACLE_SQL: dict[str, str] = {
         reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
         parts AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
         SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN parts ON node = doc_id""",
+    "op1_ngram_jaccard_links": """
+        WITH RECURSIVE cut AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM cut),
+        rows AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n FROM rows a JOIN rows b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        found AS (SELECT a, b FROM shared WHERE 100 * n >= 90 * (na + nb - n)),
+        links AS (SELECT a, b FROM found UNION ALL SELECT b, a FROM found),
+        reach AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+        parts AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node),
+        classes AS (SELECT list_sort(s) AS equal, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY 1),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT doc_id, len(s) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(n, 0) AS n_links, component_id
+        FROM sets JOIN parts ON node = doc_id LEFT JOIN classes ON list_sort(s) = equal LEFT JOIN counts ON a = doc_id""",
     "op8_decontamination": """
         WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
         low AS (SELECT side, id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ') AS t FROM texts),

@@ -76,6 +76,33 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert run(spark, []).count() == 0
 
 
+def check_counts(spark, rows, k, percent):
+    """Rows of (doc_id, text): every row is a node of its own."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    linked = lambda i, j: None not in (rows[i][0], rows[j][0]) and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if linked(i, j)]
+    parts = components(len(rows), links)
+    want = []
+    for i, (d, _) in enumerate(rows):
+        equal = [e for (e, _), s in zip(rows, sets, strict=True) if e is not None and s == sets[i]] if d is not None and sets[i] else [d]
+        family = [e for (e, _), p in zip(rows, parts, strict=True) if p == parts[i]] if d is not None else [d]
+        want.append((d, len(sets[i]), min(equal) if None not in equal else None, sum(i in x for x in links), min(family) if None not in family else None))
+    got = jaccard_join.join_counted(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent)
+    assert got.columns == ["doc_id", "n_shingles", "class_id", "n_links", "component_id"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_every_link_is_counted(spark, monkeypatch, seed):
+    """Families in one part and in many, exact copies, repeated rows, a doc_id with several texts, nulls."""
+    if seed == 3:
+        monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 300)
+        monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    texts = corpus(seed)
+    rows = list(enumerate(texts)) + [(0, texts[0]), (3, texts[9]), (500, texts[9]), (500, texts[20]), (500, None), (None, texts[4]), (2, texts[30] + " more")]
+    check_counts(spark, rows, 3, 80)
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", None), (3, "q w e r t y", "z"), (4, None, None), (None, "a b c d e f", "n")]
     kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n string"))
