@@ -9,6 +9,9 @@ registered domain and to the suffix.  Each level's bad rate is shrunk towards th
 and a host is blocked when the lower bound of its posterior (mean - z * standard deviation) exceeds the limit.
 Explicit rules (host suffix and path prefix, the longest wins) override the verdict.
 
+The registered domain is one label more than the suffix, which has several labels where ``SUFFIXES`` holds it.  The
+strength is a constant, the same at every level; it is not estimated from the spread of the counts.
+
 Only counts by host are shuffled, pre-aggregated in every task, so a host with a third of the pages is one row of the
 shuffle.  Verdicts return to the pages by a join on host that Spark may broadcast or split.
 
@@ -28,6 +31,38 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
+#: Suffixes of several labels under which owners register; all others have one label.
+SUFFIXES = tuple(
+    f"{second}.{country}"
+    for country, seconds in {
+        "uk": "co org me ltd plc net sch ac gov nhs police",
+        "au": "com net org edu gov asn id",
+        "nz": "co net org ac govt geek gen school maori",
+        "jp": "co ne or ac ad ed go gr lg",
+        "kr": "co ne or ac re pe go",
+        "br": "com net org gov edu blog art eco",
+        "in": "co net org gen firm ind ac edu gov nic",
+        "za": "co net org ac gov web",
+        "cn": "com net org edu gov ac",
+        "tw": "com net org edu gov idv",
+        "hk": "com net org edu gov idv",
+        "sg": "com net org edu gov per",
+        "my": "com net org edu gov name",
+        "id": "co or ac go web sch my",
+        "th": "co or ac go in net",
+        "tr": "com net org edu gov gen web bel",
+        "il": "co org net ac gov muni",
+        "mx": "com net org edu gob",
+        "ar": "com net org edu gob gov",
+        "ua": "com net org edu gov in kiev",
+        "pl": "com net org edu gov info",
+        "io": "github gitlab",
+        "com": "blogspot appspot herokuapp",
+        "app": "netlify vercel web",
+        "dev": "pages workers",
+    }.items()
+    for second in seconds.split()
+)
 PRIOR_STRENGTH = 8.0
 LIMIT = 0.5
 Z = 1.645
@@ -59,10 +94,20 @@ def spam_outcome(url: Column, html: Column) -> Column:
     return F.when(F.greatest(*(text.contains(w).cast("int") for w in SPAM_WORDS)) == 1, 1).when(html.isNotNull(), 0).cast("int")
 
 
+def reputation_levels(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its userinfo, port and final dot; an address is both its own domain and suffix."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", ""), r"(?<=[^.])\.$", "")
+    address = bare.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$") | bare.startswith("[")
+    two, three = F.regexp_extract(bare, r"([^.]+\.)?[^.]*$", 0), F.regexp_extract(bare, r"([^.]+\.)?([^.]+\.)?[^.]*$", 0)
+    wide = two.isin(*SUFFIXES)
+    return F.when(address, bare).when(wide, three).otherwise(two), F.when(address, bare).when(wide, two).otherwise(F.regexp_extract(bare, r"[^.]*$", 0))
+
+
 def host_reputation(pages: DataFrame, strength: float = PRIOR_STRENGTH) -> DataFrame:
     """host, n, bad, alpha, beta: the beta posterior of every host of (host, outcome) rows."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": F.regexp_extract("host", r"([^.]+\.)?[^.]*$", 0), "suffix": F.regexp_extract("host", r"[^.]*$", 0)})
+    domain, suffix = reputation_levels(F.col("host"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad"))
     total = suffixes.agg(F.sum("s_n").alias("t_n"), F.sum("s_bad").alias("t_bad"))

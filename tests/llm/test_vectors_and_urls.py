@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import components
+from pyspark.sql import functions as F
 
 from pixelloom.llm import embeddings, queries, urlfilter
 
@@ -76,6 +77,30 @@ def test_reputation_blocks_bad_hosts_only(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_owners_under_a_shared_suffix(spark):
+    """One owner for each registered domain; ports, userinfo and addresses make no suffix of their own."""
+    hosts = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "y.github.io": ("y.github.io", "github.io"),
+        "u:p@www.example.com:8080": ("example.com", "com"),
+        "example.com.": ("example.com", "com"),
+        "10.2.1.1:80": ("10.2.1.1", "10.2.1.1"),
+        "[::1]:80": ("[::1]", "[::1]"),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+    }
+    domain, suffix = urlfilter.reputation_levels(F.col("host"))
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == hosts
+    pages = [(f"s{i % 3}.spam.com:8080", int(i % 10 > 0)) for i in range(300)] + [("new.spam.com", 0), ("www.fine.com", 0)]
+    bound = {r["host"]: r["alpha"] / (r["alpha"] + r["beta"]) for r in urlfilter.host_reputation(spark.createDataFrame(pages, "host string, outcome int")).collect()}
+    assert bound["new.spam.com"] == pytest.approx(bound["s0.spam.com:8080"], abs=0.12)  # the port has the owner's prior
+    pages = [(f"m{i % 3}.spam.co.uk", int(i % 10 > 0)) for i in range(300)] + [(f"w{i % 50}.net", 0) for i in range(600)] + [("fine.co.uk", 0)]
+    post = urlfilter.host_reputation(spark.createDataFrame(pages, "host string, outcome int")).where("host = 'fine.co.uk'")
+    assert post.select(urlfilter.lower_bound(F.col("alpha"), F.col("beta"))).first()[0] < urlfilter.LIMIT
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
