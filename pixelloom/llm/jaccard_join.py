@@ -3,30 +3,33 @@
 A document is its set of distinct k-word shingles (64-bit hashes).  Two documents link when
 ``100 * |A & B| >= percent * |A | B|``.
 
-1. Equal sets form a class; one document, the smallest doc_id, stands for it from here on.
+1. Rows are nodes.  Equal sets form a class; one node, of the smallest doc_id, stands for it from here on.
 2. Tokens are ordered by how many documents hold them (frequent ones last), then by hash.  Two sets that link share a
    token among the first ``n - ceil(percent * n / 100) + 1`` of each, so only those *probe tokens* are compared.  A
    passage that many documents share consists of frequent tokens and stays out of the probes of all documents but
    those made of it.
 3. Similar documents are partitioned into groups, by the commonest probe token that they share with another document;
-   groups are salted into parts of about ``GROUP_TOKENS`` tokens, so no group grows with the data.
-4. The token-group matrix has a row for every probe token and group that hold one another.  Pairs of groups with a
-   token in common are the only ones that can hold a link.
-5. For each such pair the overlap of every query document with the other group is bounded, first from short counts of
-   tokens by hash range (no set has to move for that), then by the overlap with the union of the group's tokens.  Only
-   documents and groups whose bound reaches the needed overlap are opened; there, overlaps are counted exactly by a
-   product of incidence matrices.  A pair of groups returns a spanning forest of its links, not all pairs.
-   First each group goes against itself and the first part of its kind; the components of these links are left out of
-   all further comparisons, so a large family of copies costs in proportion to its size.
-6. Connected components of the forests and the classes.
-
-Document frequencies come from all documents.  They only order the tokens, so the table of frequent ones that travels
-with the tasks may leave out the less frequent powers of two, so that it has at most ``FREQUENT_TOKENS`` entries (5 MB),
-without any effect on the result.
+   groups are salted into parts of about ``GROUP_TOKENS`` tokens and ``GROUP_DOCUMENTS`` documents, so no group grows
+   with the data.
+4. First each part is compared within itself and with the first part of its group.  The components of these links are
+   known from here on; those of ``FAMILY`` documents or more are families, and parts are divided by family.
+5. The token-group matrix has a row for every probe token in the union of a part's probe tokens.  Pairs of parts with a
+   token in common, but not two parts of one family, are the only ones that can hold a link between components.  So a
+   large family of near copies costs in proportion to its size.
+6. For each such pair the overlap of every document with those of the other part is bounded from short counts of tokens
+   by hash range (no set has to move for that).  Only documents and pairs whose bound reaches the needed overlap are
+   opened; there, queries are bounded again by the union of the other part's tokens, and overlaps are counted exactly
+   by a product of incidence matrices.  A pair of parts returns a spanning forest of its links, not all pairs.
+7. Connected components of the forests and the classes.
+
+Document frequencies come from all documents, as sums of the counts of tokens that occur more than once in a block of
+``BLOCK_TOKENS`` tokens (a token of many documents does so in some block, and one that never does is rare).  They only
+order the tokens, so neither that nor the size of the table that travels with the tasks (the less frequent powers of
+two are left out, so that it has at most ``FREQUENT_TOKENS`` entries, 5 MB) has any effect on the result.
 
 Null or wordless texts have no shingles and link with nothing; a text of fewer than k words is one shingle of all its
 words.  Rows with a null doc_id link with nothing and have a null component.  Repeated rows come back each; a doc_id
-with several different texts is one document for each text.  Extra columns are not read.
+with several different texts is one node for each text.  Extra columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,20 +38,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import text as T
 from pixelloom.llm.components import components
-from pixelloom.llm.storage import drop, release, save
+from pixelloom.llm.storage import drop, save
 
 WORDS, PERCENT = 5, 80
-#: A token in at least so many documents is looked up as frequent.
+#: A token with at least so many repeats is looked up as frequent.
 FREQUENT = 8
 FREQUENT_TOKENS = 500_000
-GROUP_TOKENS = 65_536
-#: Candidate ids beyond this number are joined by a shuffle instead of a broadcast (16 MB).
+BLOCK_TOKENS = 2_000_000
+GROUP_TOKENS, GROUP_DOCUMENTS = 65_536, 1024
+FAMILY = 256
+#: Ids beyond this number are joined by a shuffle instead of a broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
+#: Columns of an incidence matrix that are multiplied at once; pairs of documents, and bytes of counts, that are compared at once.
+MATRIX_COLUMNS, PAIRS_AT_ONCE, BOUND_BYTES = 8192, 1_000_000, 1 << 24
+_RANGES, _FULL = 6, 255
 
 
 def needed(a, b, percent: int):
@@ -56,46 +65,99 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every text."""
+def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
     for row, end, offsets, raw in T.slices(column):
         h, first = T.shingles(T.words(offsets, raw), k)
         for d in range(end - row):
-            yield row + d, np.unique(h[first[d] : first[d + 1]])
+            yield np.unique(h[first[d] : first[d + 1]])
 
 
 def range_counts(u: np.ndarray) -> np.ndarray:
-    """How many tokens lie in each of 64 equal hash ranges; twice as many ranges for each doubling beyond 1024 tokens."""
-    ranges = 6 + max(0, (len(u) - 1).bit_length() - 10)
-    return np.bincount((u >> np.uint64(64 - ranges)).astype(np.int64), minlength=1 << ranges).astype("<u2")
+    """How many tokens lie in each of 64 equal hash ranges; twice as many ranges for each doubling beyond 512 tokens."""
+    ranges = max(_RANGES, (len(u) - 1).bit_length() - 3)
+    return np.minimum(np.bincount((u >> np.uint64(64 - ranges)).astype(np.int64), minlength=1 << ranges), _FULL).astype(np.uint8)
+
+
+class _Documents:
+    """Flat columns of a list column of documents (node, n, counts, component); row r holds first[r] to first[r + 1]."""
+
+    def __init__(self, column: pa.ListArray):
+        self.first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+        flat = column.flatten()
+        self.node, self.n, self.component = (flat.field(name).to_numpy() for name in ("node", "n", "component"))
+        at, raw = T.text_buffer(flat.field("counts"))
+        self.ranges = np.diff(at)
+        self.slot, self.counts = np.zeros(len(flat), np.int64), {}  # by number of ranges: a matrix of counts
+        for m in np.unique(self.ranges).tolist():
+            own = np.flatnonzero(self.ranges == m)
+            self.slot[own] = np.arange(len(own))
+            self.counts[m] = raw[at[own][:, None] + np.arange(m)]
+
+
+def _bounds(left: _Documents, right: _Documents, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of left i with right j, from counts by range, at the coarser ranges of the two."""
+    out = np.zeros(len(i), np.int64)
+    p, q = left.ranges[i], right.ranges[j]
+    for wide_left, wide_right in {(int(x), int(y)) for x, y in zip(*np.unique(np.stack([p, q]), axis=1), strict=True)}:
+        own, m = np.flatnonzero((p == wide_left) & (q == wide_right)), min(wide_left, wide_right)
+        for part in np.array_split(own, len(own) * max(wide_left, wide_right) // BOUND_BYTES + 1):
+            x, y = left.counts[wide_left][left.slot[i[part]]], right.counts[wide_right][right.slot[j[part]]]
+            beyond = (x == _FULL).any(1) | (y == _FULL).any(1)  # such a range may hold any number
+            x, y = (z if z.shape[1] == m else z.reshape(len(z), m, -1).sum(2, dtype=np.uint16 if z.shape[1] // m < 256 else np.int64) for z in (x, y))
+            out[part] = np.where(beyond, 1 << 62, np.minimum(x, y).sum(1, dtype=np.int64))
+    return out
+
+
+def _may_link(left: _Documents, right: _Documents, rows: range, within: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents (flat places, left and right) of these rows may link with one of the other side, by sizes, components and counts."""
+    first, many, other = left.first[rows.start : rows.stop], np.diff(left.first)[rows.start : rows.stop], np.diff(right.first)[rows.start : rows.stop]
+    row = np.repeat(np.arange(len(many)), many * other)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(many * other) - many * other, many * other)
+    i, j = first[row] + at // other[row], right.first[rows.start : rows.stop][row] + at % other[row]
+    n, m = left.n[i], right.n[j]
+    fit = (percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (left.component[i] != right.component[j]) & ~(within[rows.start : rows.stop][row] & (left.node[i] >= right.node[j]))
+    i, j, n, m = i[fit], j[fit], n[fit], m[fit]
+    good = _bounds(left, right, i, j) >= needed(n, m, percent)
+    return i[good], j[good]
 
 
-def _bounds(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Upper bounds of the overlap of each a with each b, from counts by range (folded to the fewest ranges)."""
-    m = min(len(x) for x in (*a, *b))
-    left, right = (np.array([x.reshape(m, -1).sum(1, dtype=np.int32) for x in side]) for side in (a, b))
-    return np.array([np.minimum(x, right).sum(1) for x in left])
+def _named(docs: DataFrame) -> DataFrame:
+    """name (the doc_id), h (a hash of the text) and text: a doc_id may have several texts."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").alias("name"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, sorted, and the power of two of their document frequency.
+    """Tokens that many documents hold, sorted, and the power of two of their frequency.
 
     Probes are the first tokens by hash, so frequencies are counted for the lower part of the hash range, three times
     as large as a probe set.
     """
     top = np.uint64(min(2**64 - 1, 3 * (100 - percent) * 2**64 // 100))
 
+    def repeats(block: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(block), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [], 0
         for batch in batches:
-            low = [u[: np.searchsorted(u, top)] for _, u in _sets(batch.column("text"), k)]
-            token, count = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "n"])
-
-    counted = _texts(docs).where("text is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            for u in _sets(batch.column("text"), k):
+                block.append(u[: np.searchsorted(u, top)])
+                held += len(block[-1])
+                if held >= BLOCK_TOKENS:
+                    yield repeats(block)
+                    block, held = [], 0
+        if block:
+            yield repeats(block)
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = save(counted.where(F.col("n") >= FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("power")), "frequent")
     least, held = 64, 0
     for power, n in sorted(often.groupBy("power").count().collect(), reverse=True):  # a row per power of two
@@ -104,15 +166,13 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
         least = power
     rows = often.where(F.col("power") >= least).toArrow()
     drop(often)
-    del counted, often
-    release(docs.sparkSession)
     token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
     return token[order], rows["power"].to_numpy()[order].astype(np.int8)
 
 
-def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (fingerprint of the set), counts (tokens by hash range), probes (its first tokens; none if no other set can link)."""
+def probes(named: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    """name, h, n (set size), f1 and f2 (fingerprint of the set), counts (tokens by hash range), probes (its first tokens; none if no other set can link)."""
     tokens, power = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +180,7 @@ def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, per
         bits[tokens >> np.uint64(44)] = True
         for batch in batches:
             size, f1, f2, counts, first = [], [], [], [], []
-            for _, u in _sets(batch.column("text"), k):
+            for u in _sets(batch.column("text"), k):
                 n = len(u)
                 with np.errstate(over="ignore"):
                     mixed = T.mix64(u + np.uint64(0x9E3779B97F4A7C15))
@@ -141,68 +201,89 @@ def probes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, per
                     often[maybe[hit]] = power[at[hit]]
                 first.append((u[:m] if not often.any() else u[np.argsort(often, kind="stable")[:m]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "n", "f1", "f2", "counts", "probes"],
+                [batch.column("name"), batch.column("h"), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
+                ["name", "h", "n", "f1", "f2", "counts", "probes"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, counts binary, probes array<long>")
+    kind = named.schema["name"].dataType.simpleString()
+    return named.mapInArrow(run, f"name {kind}, h long, n long, f1 long, f2 long, counts binary, probes array<long>")
 
 
 def _members(sets: DataFrame) -> DataFrame:
-    """token, doc_id, n, held (documents with that probe token), of tokens that several documents probe."""
-    rows = sets.select("doc_id", "n", F.explode("probes").alias("token"))
+    """token, node, n, held (nodes with that probe token), of tokens that several nodes probe."""
+    rows = sets.select("node", "n", F.explode("probes").alias("token"))
     held = save(rows.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    release(sets.sparkSession)
-    return save(rows.join(held, "token"), "members")
+    members = save(rows.join(held, "token"), "members")
+    drop(held)
+    return members
 
 
 def _groups(members: DataFrame) -> DataFrame:
-    """doc_id, g (group token), part: the group of every document that shares a probe token."""
-    best = save(members.groupBy("doc_id").agg(F.max_by("token", F.struct("held", "token")).alias("g"), F.max("n").alias("n")), "best")
-    parts = save(best.groupBy("g").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts")), "parts")  # so that AQE can split the join
-    return best.join(parts, "g").select("doc_id", "g", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    """node, g (group token), part: the group of every node that shares a probe token."""
+    best = save(members.groupBy("node").agg(F.max_by("token", F.struct("held", "token")).alias("g"), F.max("n").alias("n")), "best")
+    many = F.ceil(F.greatest(F.sum("n") / GROUP_TOKENS, F.count("*") / GROUP_DOCUMENTS))
+    parts = save(best.groupBy("g").agg(many.alias("parts")), "parts")  # so that AQE can split the join
+    groups = save(best.join(parts, "g").select("node", "g", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")), "groups")
+    drop(best, parts)
+    return groups
+
+
+def _part(family: Column) -> Column:
+    return F.struct("g", "part", family.alias("family"))
+
+
+def _packed(placed: DataFrame) -> DataFrame:
+    """p (a part) and its documents; placed: p, node, n, counts, component."""
+    return placed.groupBy("p").agg(F.collect_list(F.struct("node", "n", "counts", "component")).alias("docs"))
 
 
-def _opened(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """g, part, g2, part2, doc_id, is_right: documents of a pair of groups (or of one, against itself) that may link."""
+def _across(held: DataFrame) -> DataFrame:
+    """(a, b): pairs of parts with a token in common, of (token, p), but for two parts of one family (-1: of none)."""
+    rows = held.select("token", "p", F.col("p.family").alias("family"))
+    family = rows.select("token", "family").distinct()
+    other = family.select("token", F.col("family").alias("family2"))
+    met = family.join(other, "token").where("family < family2 or family = family2 and family = -1")
+    left, right = rows.withColumnRenamed("p", "a"), rows.select("token", F.col("p").alias("b"), F.col("family").alias("family2"))
+    pairs = met.join(left, ["token", "family"]).join(right, ["token", "family2"])
+    return pairs.where("family < family2 or a < b").select("a", "b").distinct()
 
-    def of(x: list | None, y: list | None) -> tuple[np.ndarray, np.ndarray]:
-        a, b = ([np.frombuffer(r["counts"], "<u2") for r in side] for side in (x, y or x))
-        na, nb = (np.array([r["n"] for r in side]) for side in (x, y or x))
-        ca, cb = (np.array([r["component"] for r in side]) for side in (x, y or x))
-        may = (_bounds(a, b) >= needed(na[:, None], nb[None, :], percent)) & (ca[:, None] != cb[None, :])
-        if y is None:
-            np.fill_diagonal(may, False)
-        return may.any(1), may.any(0) if y else np.zeros(0, bool)
+
+def _opened(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b, node, is_right: documents of a pair of parts (or of one, against itself) that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            within = pc.is_null(batch.column("right_docs")).to_numpy(zero_copy_only=False)
+            left = _Documents(batch.column("docs"))
+            right = _Documents(pc.if_else(pc.is_null(batch.column("right_docs")), batch.column("docs"), batch.column("right_docs")))
+            work = np.cumsum(np.diff(left.first) * np.diff(right.first))
+            opened, start = [np.zeros(len(left.node), bool), np.zeros(len(right.node), bool)], 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+                for side, found in zip(opened, _may_link(left, right, range(start, stop), within, percent), strict=True):
+                    side[found] = True
+                start = stop
             out = []
-            keys = zip(*(batch.column(c).to_pylist() for c in ("g", "part", "g2", "part2")), strict=True)
-            for key, left, right in zip(keys, batch.column("docs"), batch.column("right_docs"), strict=True):
-                left, right = left.as_py(), right.as_py()
-                for side, rows, opened in zip((False, True), (left, right or []), of(left, right), strict=True):
-                    out += [(*key, rows[i]["doc_id"], side) for i in np.flatnonzero(opened)]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), _ARROW[kind], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["g", "part", "g2", "part2", "doc_id", "is_right"])
+            for side, docs, is_right in zip(opened, (left, right), (False, True), strict=True):
+                found = np.flatnonzero(side)
+                row = np.searchsorted(docs.first, found, "right") - 1
+                out.append((row, docs.node[found], is_right & ~within[row]))
+            row, node, is_right = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(row)), batch.column("b").take(pa.array(row)), pa.array(node), pa.array(is_right)], ["a", "b", "node", "is_right"])
 
-    return pairs.select("g", "part", "g2", "part2", "docs", "right_docs").mapInArrow(run, f"g long, part int, g2 long, part2 int, doc_id {kind}, is_right boolean")
+    part = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", "docs", "right_docs").mapInArrow(run, f"a {part}, b {part}, node long, is_right boolean").distinct()
 
 
-def _tokens(texts: DataFrame, ids: DataFrame, k: int, on: list[str]) -> DataFrame:
-    """The columns of ids but for keys, and tokens (bytes of the sorted set), of the texts of ids."""
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = [f for f in ids.schema.fields if f.name == "doc_id" or f.name not in on]
+def _tokens(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """node, copies, tokens (bytes of the sorted set) of ids (node, name, h, copies), whose texts are found by name and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = pa.array([u.tobytes() for _, u in _sets(batch.column("text"), k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), tokens], [*(f.name for f in kept), "tokens"])
+            tokens = pa.array([u.tobytes() for u in _sets(batch.column("text"), k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), tokens], ["node", "copies", "tokens"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return texts.join(chosen, on).select(*(f.name for f in kept), "text").mapInArrow(run, f"{schema}, tokens binary")
+    return named.join(_few(ids), ["name", "h"]).select("node", "copies", "text").mapInArrow(run, "node long, copies long, tokens binary")
 
 
 def _linked(a: list, b: list, percent: int) -> np.ndarray | None:
@@ -213,21 +294,28 @@ def _linked(a: list, b: list, percent: int) -> np.ndarray | None:
     flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), size_a)
     at = np.minimum(np.searchsorted(union, flat), len(union) - 1)
     common = union[at] == flat
-    bound = np.bincount(of[common], minlength=len(own))  # overlap of each query with the group's union
+    bound = np.bincount(of[common], minlength=len(own))  # overlap of each query with the part's union
     opened = bound >= needed(size_a, np.maximum(size_b.min(), -(-percent * size_a // 100)), percent)
     if not opened.any():
         return None
     keep = common & opened[of]
     used, column = np.unique(at[keep], return_inverse=True)
-    left = np.zeros((len(own), len(used)), np.float32)
-    left[of[keep], column] = 1
     flat_b, of_b = np.concatenate(other), np.repeat(np.arange(len(other)), size_b)
     place = np.minimum(np.searchsorted(union[used], flat_b), len(used) - 1)
     hit = union[used][place] == flat_b
-    right = np.zeros((len(other), len(used)), np.float32)
-    right[of_b[hit], place[hit]] = 1
-    overlap = (left @ right.T).round().astype(np.int64)
-    return overlap >= needed(size_a[:, None], size_b[None, :], percent)
+    sides = []
+    for row, col in ((of[keep], column), (of_b[hit], place[hit])):
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
+    overlap = np.zeros((len(own), len(other)), np.float32)
+    for low in range(0, len(used), MATRIX_COLUMNS):
+        block = []
+        for (row, col), height in zip(sides, overlap.shape, strict=True):
+            span = slice(*np.searchsorted(col, (low, low + MATRIX_COLUMNS)))
+            block.append(np.zeros((height, min(MATRIX_COLUMNS, len(used) - low)), np.float32))
+            block[-1][row[span], col[span] - low] = 1
+        overlap += block[0] @ block[1].T
+    return overlap.round().astype(np.int64) >= needed(size_a[:, None], size_b[None, :], percent)
 
 
 def _forest(linked: np.ndarray, ids: list, ids_b: list) -> Iterator[tuple]:
@@ -246,164 +334,126 @@ def _forest(linked: np.ndarray, ids: list, ids_b: list) -> Iterator[tuple]:
             yield ids[i], ids_b[j]
 
 
-def _links(a: list, b: list, percent: int) -> Iterator[tuple]:
-    """A spanning forest of the links between the sets of two groups, or within one (b empty)."""
-    within, b = not b, b or a
-    linked = _linked(a, b, percent)
-    if linked is not None:
-        ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
-        yield from _forest(np.triu(linked, 1) if within else linked, ids, ids_b)
-
+def _links(a: list, b: list, percent: int, count: bool) -> Iterator[tuple]:
+    """A spanning forest (a, b, null) of the links between the sets of two parts, or within one (b empty).
 
-def _counted_links(a: list, b: list, percent: int) -> Iterator[tuple]:
-    """The forest as (a, b, null), and (a, null, n) with the rows in other classes that a links with, each link of the pair of groups counted."""
-    a, b = (list({x["doc_id"]: x for x in side}.values()) for side in (a, b))  # repeated rows have one set
+    With ``count`` also (a, null, n): the rows in other classes that a links with, each link of the pair of parts counted.
+    """
+    a, b = (list({x["node"]: x for x in side}.values()) for side in (a, b))  # repeated rows have one set
     within, b = not b, b or a
     linked = _linked(a, b, percent)
     if linked is None:
         return
     if within:
         np.fill_diagonal(linked, False)
-    ids, ids_b = ([x["doc_id"] for x in side] for side in (a, b))
-    sides = [(ids, linked, b)] if within else [(ids, linked, b), (ids_b, linked.T, a)]
-    for names, matrix, others in sides:
-        n = matrix @ np.array([x["copies"] for x in others], np.int64)
-        yield from ((names[i], None, int(n[i])) for i in np.flatnonzero(n))
+    ids, ids_b = ([x["node"] for x in side] for side in (a, b))
+    if count:
+        for names, matrix, others in [(ids, linked, b)] if within else [(ids, linked, b), (ids_b, linked.T, a)]:
+            n = matrix @ np.array([x["copies"] for x in others], np.int64)
+            yield from ((names[i], None, int(n[i])) for i in np.flatnonzero(n))
     yield from ((x, y, None) for x, y in _forest(np.triu(linked) if within else linked, ids, ids_b))
 
 
-def _verify_counted(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n) of rows as in _verify, the sets with copies."""
+def _verify(pairs: DataFrame, percent: int, count: bool) -> DataFrame:
+    """(a, b, n) of rows with the opened sets of one part (right_sets empty) or of two, see _links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [row for left, right in zip(batch.column("sets"), batch.column("right_sets"), strict=True) for row in _counted_links(left.as_py(), right.as_py(), percent)]
+            out = [row for left, right in zip(batch.column("sets"), batch.column("right_sets"), strict=True) for row in _links(left.as_py(), right.as_py(), percent, count)]
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
 
     return pairs.select("sets", "right_sets").mapInArrow(run, "a long, b long, n long")
 
 
-def _verify(pairs: DataFrame, kind: str, percent: int) -> DataFrame:
-    """(a, b) links of rows with the opened sets of one group (right_sets empty) or of two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [link for left, right in zip(batch.column("sets"), batch.column("right_sets"), strict=True) for link in _links(left.as_py(), right.as_py(), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], _ARROW[kind]), pa.array([b for _, b in out], _ARROW[kind])], ["a", "b"])
-
-    return pairs.select("sets", "right_sets").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _compare(docs: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, percent: int, inside: bool, nodes: DataFrame | None = None) -> DataFrame:
-    """(a, b) links of the given pairs of groups, and within the groups; written to the shared folder.
-
-    With nodes (doc_id, name, h, copies), packed holds their doc_id, texts are found by name and hash, and links are counted.
-    """
-    kind = "bigint" if nodes is not None else docs.schema["doc_id"].dataType.simpleString()
-    right = packed.select(F.col("g").alias("g2"), F.col("part").alias("part2"), F.col("docs").alias("right_docs"))
-    todo = pairs.join(packed, ["g", "part"]).join(right, ["g2", "part2"]).select("g", "part", "g2", "part2", "docs", "right_docs")
+def _compare(named: DataFrame, nodes: DataFrame, packed: DataFrame, pairs: DataFrame, k: int, percent: int, inside: bool, count: bool) -> DataFrame:
+    """(a, b, n) links of the given pairs of parts and, if ``inside``, within the parts; written to the shared folder."""
+    left, right = packed.select(F.col("p").alias("a"), "docs"), packed.select(F.col("p").alias("b"), F.col("docs").alias("right_docs"))
+    todo = pairs.join(left, "a").join(right, "b").select("a", "b", "docs", "right_docs")
     if inside:
         nothing = F.lit(None).cast(packed.schema["docs"].dataType)
-        todo = todo.unionByName(packed.where(F.size("docs") > 1).select("g", "part", F.col("g").alias("g2"), F.col("part").alias("part2"), "docs", nothing.alias("right_docs")))
-    opened = save(_opened(todo, kind, percent), "opened")
-    ids = opened.select("doc_id").distinct()
-    if nodes is not None:
-        ids = save(ids.join(nodes, "doc_id"), "ids")
-        tokens = _tokens(_named(docs), ids, k, ["name", "h"])
-    else:
-        tokens = _tokens(_texts(docs), ids, k, ["doc_id"])
+        todo = todo.unionByName(left.where(F.size("docs") > 1).select("a", F.col("a").alias("b"), "docs", nothing.alias("right_docs")))
+    opened = save(_opened(todo, percent), "opened")
+    ids = save(opened.select("node").distinct().join(nodes, "node"), "ids")
+    tokens = _tokens(named, ids, k)
     one = F.struct(*tokens.columns)
-    full = opened.join(tokens, "doc_id").groupBy("g", "part", "g2", "part2").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
-    links = save(_verify_counted(full, percent) if nodes is not None else _verify(full, kind, percent), "links")
+    full = opened.join(tokens, "node").groupBy("a", "b").agg(F.collect_list(F.when(~F.col("is_right"), one)).alias("sets"), F.collect_list(F.when(F.col("is_right"), one)).alias("right_sets"))
+    links = save(_verify(full, percent, count), "links")
     drop(opened, ids)
-    del todo, opened, ids, tokens, full
-    release(docs.sparkSession)
     return links
 
 
-def find_links(docs: DataFrame, sets: DataFrame, k: int, percent: int, nodes: DataFrame | None = None) -> list[DataFrame]:
-    """(a, b): links between different sets, enough to connect all that link; written to the shared folder.
+def find_links(named: DataFrame, sets: DataFrame, nodes: DataFrame, k: int, percent: int, count: bool = False) -> list[DataFrame]:
+    """Tables (a, b, n) of links between different sets, enough to connect all that link (b not null).
 
-    With nodes, one table of (a, b, n): these links, and the sums of all links by pair of groups (see _counted_links).
+    With ``count`` also the sums of all links by pair of parts (see _links); then no comparison is left out.
     """
     members = _members(sets)
-    release(docs.sparkSession)
-    groups = save(_groups(members), "groups")
-    matrix = save(members.select("token", "doc_id").join(groups, "doc_id").select("token", "g", "part").distinct(), "matrix")
-    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1")
-    held = matrix.join(shared, "token").select("token", "g", "part")
-    other = held.select("token", F.col("g").alias("g2"), F.col("part").alias("part2"))
-    across = save(held.join(other, "token").where("g < g2 or g = g2 and part < part2").select("g", "part", "g2", "part2").distinct(), "across")
-    counted = groups.join(sets.select("doc_id", "n", "counts"), "doc_id")
-    packed = lambda rows: rows.groupBy("g", "part").agg(F.collect_list(F.struct("doc_id", "n", "counts", "component")).alias("docs"))
-    release(docs.sparkSession)
-    if nodes is not None:
-        counts = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across, k, percent, inside=True, nodes=nodes)
-        drop(members, groups, matrix, across)
-        return [counts]
-    to_first = "g = g2 and part = 0"
-    near = _compare(docs, packed(counted.withColumn("component", F.col("doc_id"))), across.where(to_first), k, percent, inside=True)
+    groups = _groups(members)
+    counted = groups.join(sets.select("node", "n", "counts"), "node")
+    matrix = lambda placed: members.select("token", "node").join(placed.select("node", "p"), "node").select("token", "p").distinct()
+    several = lambda rows: rows.join(rows.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "token").select("token", "p")
+    none = counted.select(_part(F.lit(-1).cast("long")).alias("p"), "node", "n", "counts", F.col("node").alias("component"))
+    if count:
+        union = save(matrix(none), "matrix")
+        across = save(_across(several(union)), "across")
+        links = [_compare(named, nodes, _packed(none), across, k, percent, True, True)]
+        drop(members, groups, union, across)
+        return links
+    to_first = none.where("p.part > 0").select(F.col("p").alias("a"), F.struct("p.g", F.lit(0).alias("part"), "p.family").alias("b")).distinct()
+    near = _compare(named, nodes, _packed(none), to_first, k, percent, True, False)
     known = components(near)
-    placed = counted.join(known, counted["doc_id"] == known["node"], "left").select(*counted.columns, F.coalesce("component", "doc_id").alias("component"))
-    far = _compare(docs, packed(placed), across.where(f"not ({to_first})"), k, percent, inside=False)
-    drop(members, groups, matrix, across)
+    families = known.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= FAMILY).select(F.col("component").alias("family"))
+    known = save(known.join(families, F.col("component") == F.col("family"), "left").select("node", "component", F.coalesce("family", F.lit(-1)).alias("family")), "known")
+    placed = counted.join(known, "node", "left").select(_part(F.coalesce("family", F.lit(-1))).alias("p"), "node", "n", "counts", F.coalesce("component", "node").alias("component"))
+    union = save(matrix(placed), "matrix")
+    across = save(_across(several(union)).where("not (a.g = b.g and (a.part = 0 or b.part = 0 or a.part = b.part))"), "across")
+    far = _compare(named, nodes, _packed(placed), across, k, percent, False, False)
+    drop(members, groups, union, across, known)
     return [near, far]
 
 
-def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), component_id, of every row of documents."""
-    sets = save(probes(docs, frequent_tokens(docs, k, percent), k, percent), "sets")
-    able = sets.where("doc_id is not null and n > 0")
-    classes = able.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    classes = save(classes, "classes")  # written, so that the join below is one that AQE can split for a hot class
-    classed = sets.drop("probes", "counts").join(classes, ["f1", "f2", "n"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    others = classed.where("doc_id != class_id").select(F.col("doc_id").alias("copy"), F.col("class_id").alias("of")).distinct()
-    alone = able.where(F.size("probes") > 0).join(others, F.col("doc_id") == F.col("copy"), "left_anti")
-    links = find_links(docs, alone, k, percent)
-    found = components(links[0].unionByName(links[1]))
-    drop(*links)
-    joined = classed.join(found, classed["class_id"] == found["node"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """name (the doc_id), h (a hash of the text) and text: a doc_id may have several texts."""
-    return _texts(docs).select(F.col("doc_id").alias("name"), F.xxhash64("text").alias("h"), "text")
+def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id (the smallest doc_id with an equal set), component_id, of every row of documents.
 
+    With ``count`` also n_links: the other rows that link with the row, equal ones too.  Every link is counted then, so
+    no comparison is left out for documents that are connected already: a family of different texts costs the square of
+    its size in products (of 0/1 matrices), its sets move once for every part of the family, and its counts are a row
+    for each document and pair of parts.
+    """
+    return _joined(docs, k, percent, count).drop("h")
 
-def join_counted(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_links (other rows that link with the row, equal ones too), component_id, of every row.
 
-    Every link is counted, so no comparison is left out for documents that are connected already: a family of different
-    texts costs the square of its size in products (of 0/1 matrices), its sets move once for every part of the family, and
-    its counts are a row for each document and pair of parts.  Nodes are rows, so all texts of a doc_id are compared.
-    """
+def _joined(docs: DataFrame, k: int, percent: int, count: bool) -> DataFrame:
+    """The rows of join, with h, the hash of the text."""
     keys = ["f1", "f2", "n"]
-    named = _named(docs).select(F.struct("name", "h").alias("doc_id"), "text")
-    cut = probes(named, frequent_tokens(named, k, percent), k, percent)
-    sets = save(cut.select(F.monotonically_increasing_id().alias("node"), "doc_id.name", "doc_id.h", *keys, "counts", "probes"), "sets")
+    named = _named(docs)
+    sets = save(probes(named, frequent_tokens(docs, k, percent), k, percent).withColumn("node", F.monotonically_increasing_id()), "sets")
     able = sets.where("name is not null and n > 0")
     classes = able.groupBy(*keys).agg(F.min(F.struct("name", "node")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    classes = save(classes.select(*keys, F.col("first.name").alias("class_id"), F.col("first.node").alias("first"), "copies"), "classes")
+    classes = save(classes.select(*keys, F.col("first.name").alias("class_id"), F.col("first.node").alias("first"), "copies"), "classes")  # written, so that AQE can split the join for a hot class
     own = F.col("name").isNotNull() & (F.col("n") > 0)
-    classed = sets.drop("probes", "counts").join(classes, keys, "left")
-    classed = classed.select("name", "n", "node", F.when(own, F.coalesce("first", "node")).alias("rep"), F.when(own, F.coalesce("class_id", "name")).otherwise(F.col("name")).alias("class_id"), F.when(own, F.coalesce("copies", F.lit(1)) - 1).otherwise(0).alias("equal"))
-    others = classed.where("rep != node").select("node")
-    alone = able.where(F.size("probes") > 0).join(others, "node", "left_anti").withColumnRenamed("node", "doc_id")
-    copies = classes.select(F.col("first").alias("doc_id"), "copies")
-    nodes = save(alone.select("doc_id", "name", "h").join(copies, "doc_id", "left").select("doc_id", "name", "h", F.coalesce("copies", F.lit(1)).alias("copies")), "nodes")
-    found = find_links(docs, alone.select("doc_id", "n", "counts", "probes"), k, percent, nodes)[0]
-    linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
-    parts = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "doc_id")
-    least = parts.join(nodes, "doc_id").groupBy("component").agg(F.min("name").alias("component_id"))
-    per_node = save(linked.join(parts.join(least, "component").select(F.col("doc_id").alias("rep"), "component_id"), "rep"), "per_node")
-    drop(found, nodes)
-    joined = classed.join(per_node, "rep", "left")
-    return joined.select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", (F.col("equal") + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+    classed = sets.select("node", "name", "h", *keys).join(classes, keys, "left")
+    classed = save(
+        classed.select("name", "h", "n", "node", F.when(own, F.coalesce("first", "node")).alias("rep"), F.when(own, F.coalesce("class_id", "name")).otherwise(F.col("name")).alias("class_id"), F.when(own, F.coalesce("copies", F.lit(1))).otherwise(1).alias("copies")),
+        "classed",
+    )
+    others = _few(classed.where("rep != node").select("node"))
+    alone = sets.where("name is not null").where(F.size("probes") > 0).join(others, "node", "left_anti")
+    nodes = classed.where("rep = node").select("node", "name", "h", "copies")
+    links = find_links(named, alone, nodes, k, percent, count)
+    drop(sets, classes)
+    every = links[0] if len(links) == 1 else links[0].unionByName(links[1])
+    parts = components(every.where("b is not null").select("a", "b"))
+    least = parts.join(nodes.select("node", "name"), "node").groupBy("component").agg(F.min("name").alias("component_id"))
+    found = parts.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    if count:
+        found = found.join(every.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")), "rep")
+    found = save(found, "found")
+    drop(*links)
+    joined = classed.join(found, "rep", "left")
+    n_links = [(F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")] if count else []
+    return joined.select(F.col("name").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", *n_links, F.coalesce("component_id", "class_id").alias("component_id"), "h")
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -411,6 +461,6 @@ def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFra
 
     Every column is returned.  Repeated rows of a document that stays all stay, as do rows with a null doc_id.
     """
-    gone = save(join(docs, k, percent).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    chosen = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(chosen, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = save(_joined(docs, k, percent, False).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "gone")
+    same = (docs["doc_id"] == F.col("_gone")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_h"))
+    return docs.join(_few(gone), same, "left_anti")

@@ -26,7 +26,7 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1_ngram_jaccard with the class and the number of links of every document."""
-    return jaccard_join.join_counted(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90, count=True)
 
 
 def _remainder(of: int) -> Column:

@@ -7,7 +7,6 @@ and they cut the lineage of iterative jobs.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +46,3 @@ def drop(*tables: DataFrame) -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now: it does so once their plans are garbage on the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import components, shingle_set
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard_join
 from pixelloom.llm import text as T
@@ -87,7 +90,7 @@ def check_counts(spark, rows, k, percent):
         equal = [e for (e, _), s in zip(rows, sets, strict=True) if e is not None and s == sets[i]] if d is not None and sets[i] else [d]
         family = [e for (e, _), p in zip(rows, parts, strict=True) if p == parts[i]] if d is not None else [d]
         want.append((d, len(sets[i]), min(equal) if None not in equal else None, sum(i in x for x in links), min(family) if None not in family else None))
-    got = jaccard_join.join_counted(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent, count=True)
     assert got.columns == ["doc_id", "n_shingles", "class_id", "n_links", "component_id"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
@@ -110,19 +113,80 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, None]
 
 
+def test_a_doc_id_with_several_texts(spark):
+    """The link of one text is not lost because another text of the same doc_id is a copy."""
+    x, y, near_y = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60)), " ".join([*(f"y{i}" for i in range(59)), "z"])
+    docs = spark.createDataFrame([(1, x), (5, x), (5, y), (9, near_y)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"], r["component_id"]) for r in jaccard_join.join(docs, k=3, percent=90).collect()) == [(1, 1, 1), (5, 1, 1), (5, 5, 5), (9, 9, 5)]
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, 3, 90).collect()) == [(1, x), (5, y)]
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "a b c d"), ("a", "a b c d"), ("c", "q r s t")]
+    got = run(spark, rows, "doc_id string, text string", k=3, percent=90)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+    dates = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.ascii("doc_id").cast("decimal(10,0)"))
+    assert sorted(int(r["component_id"]) for r in jaccard_join.join(dates, 3, 90).collect()) == [97, 97, 99]
+
+
+def family(n, words=120):
+    """n different near copies of one text."""
+    rng = random.Random(5)
+    out = []
+    for i in range(n):
+        copy = [f"w{j}" for j in range(words)]
+        copy[rng.randrange(words)] = f"x{i}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_large_family_in_many_parts_costs_in_proportion(spark, monkeypatch):
+    """Pairs of parts that are compared: one for each part, not one for each pair of parts; strays are found all the same."""
+    compared = []
+    whole = jaccard_join._compare
+
+    def counting(named, nodes, packed, pairs, *rest):
+        compared.append((packed.count(), pairs.count()))
+        return whole(named, nodes, packed, pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_compare", counting)
+    monkeypatch.setattr(jaccard_join, "GROUP_TOKENS", 4800)
+    texts = family(2000)
+    got = run(spark, list(enumerate(texts)), k=5, percent=80)
+    assert {r["component_id"] for r in got.collect()} == {0}
+    (parts, near), (_, far) = compared
+    assert 45 <= parts <= 60 and near < parts and far <= 2 * parts
+
+
+def test_incidence_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MATRIX_COLUMNS", 7)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCUMENTS", 5)
+    monkeypatch.setattr(jaccard_join, "FAMILY", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 100)
+    check(spark, corpus(4), 3, 80)
+
+
+@given(st.lists(st.integers(1, 3000), min_size=1, max_size=6), st.lists(st.integers(1, 3000), min_size=1, max_size=6), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None)
+def test_bounds_are_never_below_the_overlap(left, right, seed):
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 2**64, 4000, np.uint64)
+    a, b = ([np.unique(rng.choice(pool, n)) for n in sizes] for sizes in (left, right))
+    a[0] = np.unique(a[0] >> np.uint64(int(rng.integers(0, 2)) * 40))  # one range may hold all
+    docs = [jaccard_join._Documents(pa.array([[{"node": 0, "n": len(u), "counts": jaccard_join.range_counts(u).tobytes(), "component": 0} for u in side]])) for side in (a, b)]
+    i, j = (x.ravel() for x in np.indices((len(a), len(b))))
+    got = jaccard_join._bounds(*docs, i, j).reshape(len(a), len(b))
+    assert (got >= np.array([[len(np.intersect1d(x, y)) for y in b] for x in a])).all()
+
+
 @given(st.lists(st.text(alphabet="ab \t\nABé", max_size=30), max_size=8))
 @settings(max_examples=100, deadline=None)
 def test_hashed_shingles_are_the_sets(texts):
-    import pyarrow as pa
-
-    got = {row: len(u) for row, u in jaccard_join._sets(pa.array(texts, pa.string()), 3)}
-    assert got == {i: len(shingle_set(t, 3)) for i, t in enumerate(texts)}
+    assert [len(u) for u in jaccard_join._sets(pa.array(texts, pa.string()), 3)] == [len(shingle_set(t, 3)) for t in texts]
 
 
 def test_a_text_longer_than_a_slice():
-    import pyarrow as pa
-
     long = " ".join(f"w{i}" for i in range(100_000))
     assert len(long) > 2 * T.SLICE_BYTES
-    sizes = [len(u) for _, u in jaccard_join._sets(pa.array(["a b", long, "c d e f"]), 3)]
+    sizes = [len(u) for u in jaccard_join._sets(pa.array(["a b", long, "c d e f"]), 3)]
     assert sizes == [1, 99_998, 2]
