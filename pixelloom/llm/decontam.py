@@ -112,7 +112,7 @@ def clean(docs: DataFrame, items: DataFrame, k: int = WORDS, threshold: float =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for row, _, _ in _hits(block, batch.column("text"), k):
+                for row, _, _ in _hits(block, batch.column("text").cast(pa.string()), k):
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 

@@ -4,33 +4,41 @@ A known word scores by its log frequency in each language.  A word that was neve
 known character n-grams: it is covered from the left by n-grams of at most ``NGRAM`` characters, each looked up at the
 longest length that is known and else at shorter ones, down to single letters.
 
-The tables are learned from at most ``TRAIN_ROWS`` labelled documents (those of the smallest hash of doc_id).  Word
-counts are aggregated in Spark; the ``VOCABULARY`` commonest words of a language are kept, n-gram counts derive from
-them, and both travel with the tasks.  Prediction is map-only.
-
-A text that is null or has no letter is ``und`` with score 0.  Ties go to the language that sorts first.  Repeated
-rows are predicted each; lang, source and doc_id are never inputs of a prediction; extra columns are not read.
+A word is a run of letters with their combining marks.  The tables are learned from at most ``TRAIN_ROWS`` labelled
+documents, with an equal share for each language (or all it has), so that a rare language is learned too; a repeated
+row counts once.  Word counts are aggregated in Spark; n-gram counts derive from them, without the n-grams of more than
+one character that the sample holds fewer than ``RARE`` times; both travel with the tasks.  Prediction is map-only.
+
+A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned (an empty
+table, no labels).  Ties go to the language that sorts first.  Repeated rows are predicted each, rows with a null
+doc_id too; lang, source and doc_id are never inputs of a prediction; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm import logistic
 
-TRAIN_ROWS, VOCABULARY, NGRAM = 6_000, 20_000, 5
+TRAIN_ROWS, RARE, NGRAM = 6_000, 3, 5
 UNKNOWN = "und"
 #: Share of the probability of words that is left to those never seen.
 UNSEEN = 0.2
 MEMO_ENTRIES = 300_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
+_ASCII_WORDS, _ALL_WORDS = regex.compile("[a-z]+").findall, regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters."""
+    low = (text or "").lower()
+    return (_ASCII_WORDS if low.isascii() else _ALL_WORDS)(low)
 
 
 class Model:
@@ -51,7 +59,7 @@ class Model:
         self.word = self._logs(by_word, 1 - UNSEEN)
         self.gram = {}
         for order in range(1, NGRAM + 1):
-            kept = {g: c for g, c in grams[order].items() if c.sum() >= 3 or order == 1}
+            kept = {g: c for g, c in grams[order].items() if order == 1 or c.sum() >= RARE}
             self.gram.update(self._logs(kept, UNSEEN))
         self.table = np.array(self.rows) if self.rows else np.zeros((0, size))
         del self.rows
@@ -110,7 +118,7 @@ class Predictor:
         return self.used - 1
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        found = _WORDS(text.lower()) if text else []
+        found = words(text)
         if not found or not self.size:
             return UNKNOWN, 0.0
         if self.used > len(self.model.table) + MEMO_ENTRIES:
@@ -131,25 +139,24 @@ class _Rows(dict):
         return made
 
 
-def train(docs: DataFrame, limit: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """Learn from (doc_id, text, lang) rows with a lang; pass only those that may be learned from."""
-    known = docs.where("lang is not null and text is not null")
-    ids = logistic.sample_ids(known.select("doc_id"), limit).distinct()
-    said = known.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    known = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    ids = logistic.stratified_ids(known, "lang", limit)
+    said = known.withColumn("_text_hash", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "_text_hash"]).dropDuplicates(["doc_id", "lang", "_text_hash"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts.update((lang, w) for w in _WORDS(text.lower()))
+                counts.update((lang, w) for w in words(text))
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
     counted = said.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= vocabulary)
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, word, n in top.select("lang", "word", "n").collect():
-        counts[lang][word] = n
+    for row in sorted(counted.toArrow().to_pylist(), key=lambda r: (r["lang"], r["word"])):
+        counts[row["lang"]][row["word"]] = row["n"]
     return Model(counts)
 
 

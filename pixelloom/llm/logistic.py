@@ -49,3 +49,16 @@ def sample_ids(rows: DataFrame, limit: int) -> DataFrame:
         near = keyed.where(F.col("_hash") < int(-(2**63) + 2**64 * 2 * limit / n))
         keyed = near if near.count() >= limit else keyed
     return keyed.orderBy("_hash", "doc_id").limit(limit).drop("_hash")
+
+
+def stratified_ids(rows: DataFrame, by: str, limit: int) -> DataFrame:
+    """(doc_id, by, _text_hash) of at most ``limit`` rows of (doc_id, by, text), of every value of ``by`` as many as there are, or an equal share.
+
+    A row's place among those of its value is known from its hash and the count of the value, so nothing is sorted by
+    value; rows beyond twice the limit cannot be in the sample and are dropped before the final sort.
+    """
+    keyed = rows.where("doc_id is not null").select("doc_id", by, F.xxhash64("text").alias("_text_hash")).withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), "_text_hash"))
+    counts = keyed.groupBy(by).agg(F.count("*").alias("_n"))
+    share = (F.col("_hash").cast("double") + 2.0**63) / 2.0**64
+    placed = keyed.join(counts, by).withColumn("_place", share * F.col("_n")).where(F.col("_place") <= 2 * limit + 100)
+    return placed.select("doc_id", by, "_text_hash", "_place").distinct().orderBy("_place", "doc_id", by).limit(limit).drop("_place")

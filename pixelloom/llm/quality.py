@@ -8,11 +8,14 @@ calibrated on that fold and combined by a logistic model of their log-odds, whic
 
 The models are fitted on the driver from at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled rows (of
 features, not texts); scoring is map-only.  Null or empty texts have zero content features and are scored by them;
-null metadata is a value of its own.  Repeated rows are scored each, other columns pass through unchanged.
+null metadata is a value of its own.  Repeated rows are scored each, rows with a null doc_id too; of a doc_id with
+several rows, the smallest (by text, then metadata) is learned from.  Other columns, whatever their names, pass through
+unchanged.  Without any labels every score is that of the priors; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,8 @@ ROUNDS = 4
 CONFIDENT, PRECISION = 0.97, 0.95
 #: Share of the pool that one view may label in a round.
 ROUND_SHARE = 0.1
+#: A category's value with so many rows in the sample has an indicator of its own; all others share indicators by a hash.
+OFTEN, BUCKETS = 20, 32
 #: Quantiles at which a feature is cut into bins.
 CUTS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
 TEXT_FEATURES = ("capitals", "symbols", "pipes", "exclamations", "digits", "line breaks", "non-ASCII", "word length", "words", "distinct words", "commonest word", "distinct word triples", "words of symbols")
@@ -98,17 +103,16 @@ class View:
         values = []
         for column in categories:
             seen, count = np.unique(np.array([str(x) for x in column], object), return_counts=True)
-            values.append(seen[np.argsort(-count, kind="stable")][:200].tolist())
+            values.append(seen[count >= OFTEN].tolist())
         return cls(cuts, values)
 
     def encode(self, numbers: np.ndarray, categories: list[list]) -> np.ndarray:
         parts = [(np.searchsorted(c, numbers[:, j], "right")[:, None] > np.arange(len(c))) for j, c in enumerate(self.cuts)]
         for column, known in zip(categories, self.values, strict=True):
             at = {v: i for i, v in enumerate(known)}
-            hot = np.zeros((len(column), len(known)), bool)
-            for i, x in enumerate(column):
-                if (k := at.get(str(x))) is not None:
-                    hot[i, k] = True
+            hot = np.zeros((len(column), len(known) + BUCKETS), bool)
+            for i, x in enumerate(map(str, column)):
+                hot[i, at[x] if x in at else len(known) + zlib.crc32(x.encode()) % BUCKETS] = True
             parts.append(hot)
         return np.hstack(parts).astype(float)
 
@@ -160,7 +164,9 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, l
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _columns(docs).join(F.broadcast(ids), "doc_id")
+    fields = ("text", "source", "lang", "n_chars")
+    one = _columns(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*fields)).alias("x"))  # one row for a doc_id
+    joined = one.select("doc_id", *(F.col("x")[c].alias(c) for c in fields), "y")
     got = joined.mapInArrow(run, f"doc_id {kind}, y double, content array<double>, chars double, source string, lang string, unknown string").toPandas().sort_values(["doc_id", "y"], kind="stable")
     numbers = np.array(got["content"].tolist(), float).reshape(-1, len(TEXT_FEATURES))
     return numbers, got[["chars"]].to_numpy(), [got[c].tolist() for c in ("source", "lang", "unknown")], got["y"].to_numpy()
@@ -208,8 +214,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def reject_poor(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
 
+    casts = {"text": pa.string(), "source": pa.string(), "lang": pa.string(), "n_chars": pa.float64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(batch) >= threshold))
+            read = pa.RecordBatch.from_arrays([batch.column(c).cast(kind) for c, kind in casts.items()], list(casts))
+            yield batch.filter(pa.array(model.score(read) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

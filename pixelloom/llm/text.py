@@ -93,9 +93,15 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
-def words(doc_start: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACES, fold_latin: bool = False) -> Words:
-    """Words of a slice by a byte map; ``fold_latin`` also lower-cases the two-byte letters U+00C0 to U+00DE."""
+def words(doc_start: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACES, fold_latin: bool = False, apostrophes: bool = False) -> Words:
+    """Words of a slice by a byte map; ``fold_latin`` also lower-cases the two-byte letters U+00C0 to U+00DE.
+
+    With ``apostrophes`` one between two word characters belongs to the word.
+    """
     data = table[raw]
+    if apostrophes and len(raw) > 2:
+        inner = np.flatnonzero((raw[1:-1] == 0x27) & (data[:-2] != 0) & (data[2:] != 0)) + 1
+        data[inner[~np.isin(inner, doc_start) & ~np.isin(inner + 1, doc_start)]] = 0x27
     if table is SPACES and (nul := raw == 0).any():
         data = np.where(nul, np.uint8(_NUL_AS), data)
     if fold_latin and len(raw) > 1:
@@ -115,10 +121,10 @@ def words(doc_start: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACES, fo
     return Words(data, doc_start, start, end, h, np.searchsorted(start, doc_start))
 
 
-def hash_word(word: str, table: np.ndarray = ALNUM, fold_latin: bool = True) -> int:
+def hash_word(word: str, table: np.ndarray = ALNUM, fold_latin: bool = True, apostrophes: bool = True) -> int:
     """The hash that :func:`words` gives a single word."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(words(np.array([0, len(raw)]), raw, table, fold_latin).hash[0])
+    return int(words(np.array([0, len(raw)]), raw, table, fold_latin, apostrophes).hash[0])
 
 
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

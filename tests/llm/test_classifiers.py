@@ -1,10 +1,16 @@
-"""Language, toxicity, quality: held-out accuracy and odd rows."""
+"""Language, toxicity, quality: held-out accuracy, plain versions and odd rows."""
+
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pixelloom.llm import langid, quality, queries, toxicity
+from pixelloom.llm import langid, logistic, quality, queries, toxicity
 from pixelloom.llm import text as T
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -35,7 +41,67 @@ def test_language_backs_off(spark):
     guess = model.predictor()
     assert guess("garden house")[0] == "en" and guess("und der")[0] == "de"
     assert guess("schnellhaus")[0] == "de" and guess("thinging")[0] == "en"  # never seen
-    assert guess(None) == ("und", 0.0) and guess("12 !") == ("und", 0.0)
+    assert guess(None) == guess("12 !") == guess("½ ² Ⅷ _") == ("und", 0.0)  # numerals are no letters
+    assert langid.words("Cafe\u0301 Über x_1é") == ["cafe\u0301", "über", "x", "é"]
+
+
+def test_language_scores_by_a_plain_scorer(spark):
+    """Every word by hand: its own log frequencies, or those of the longest known n-grams from the left."""
+    said = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of thing", "en"), ("das haus und der garten schnell schön", "de")] * 5)]
+    model = langid.train(spark.createDataFrame(said, "doc_id long, text string, lang string"))
+    counts = {"en": Counter(said[0][1].split() * 5), "de": Counter(said[1][1].split() * 5)}
+    vocabulary = sorted({w for c in counts.values() for w in c})
+    grams = {lang: [Counter(f"^{w}$"[i : i + n] for w in c.elements() for i in range(len(w) + 3 - n)) for n in range(langid.NGRAM + 1)] for lang, c in counts.items()}
+
+    def logs(table, keys, key, share):
+        return {lang: np.log(share * (table[lang][key] + 0.5) / (sum(table[lang].values()) + 0.5 * len(keys))) for lang in counts}
+
+    def plain(text):
+        total = dict.fromkeys(counts, 0.0)
+        for word in langid.words(text):
+            parts = []
+            if word in vocabulary:
+                parts.append(logs(counts, vocabulary, word, 1 - langid.UNSEEN))
+            else:
+                marked, at = f"^{word}$", 0
+                while at < len(marked):
+                    for n in range(min(langid.NGRAM, len(marked) - at), 0, -1):
+                        known = {g for lang in counts for g in grams[lang][n] if n == 1 or sum(grams[o][n][g] for o in counts) >= langid.RARE}
+                        if marked[at : at + n] in known:
+                            held = {lang: Counter({g: grams[lang][n][g] for g in known}) for lang in counts}
+                            parts.append(logs(held, known, marked[at : at + n], langid.UNSEEN))
+                            at += max(1, n - 1)
+                            break
+                    else:
+                        at += 1
+            for part in parts:
+                for lang in counts:
+                    total[lang] += part[lang]
+        best = max(sorted(counts), key=lambda x: total[x])
+        return best, 1 / sum(np.exp(v - total[best]) for v in total.values())
+
+    guess = model.predictor()
+    for text in ("the house", "garden schnell", "thingy housing", "schnelles gartenhaus zzz", "Q", "schönheit and ünd"):
+        assert guess(text)[0] == plain(text)[0] and guess(text)[1] == pytest.approx(plain(text)[1]), text
+
+
+def test_a_rare_language_is_learned(spark):
+    """The bounded sample takes of every language what there is, or an equal share; a repeated row counts once."""
+    rows = [(i, f"word{i} the", "en") for i in range(400)] + [(1000 + i, f"ord{i} och", "sv") for i in range(4)] + [(7, "word7 the", "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, limit=40)
+    assert model.languages == ["en", "sv"] and model.predictor()("och")[0] == "sv"
+    ids = logistic.stratified_ids(docs, "lang", 40).collect()
+    assert len(ids) == 40 and sum(r["lang"] == "sv" for r in ids) == 4
+
+
+def test_clashing_columns_of_classifiers(spark):
+    docs = spark.createDataFrame([(1, "the house", "en", "s", 9, "a", 0.5, 1)], DOC + ", lang_pred string, score double, y int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert langid.predict(docs, langid.train(docs)).columns == ["doc_id", "lang_pred", "score"]
+    assert quality.score(docs, quality.train(docs, labels)).columns == ["doc_id", "score"]
+    assert quality.reject_poor(docs, quality.train(docs, labels), 0.0).collect() == docs.collect()
+    assert toxicity.reject_toxic(docs, toxicity.train(docs, labels)).collect() == docs.collect()
 
 
 def test_language_of_odd_rows(spark, docs, sf):
@@ -54,25 +120,69 @@ def test_toxicity_on_held_out_documents(spark, sf):
     assert sum(r["predicted"] == toxic[r["doc_id"]] for r in rows) >= 0.93 * len(rows)
 
 
-def events(text, learned=()):
-    grammar = toxicity.Grammar(list(learned))
-    import pyarrow as pa
+def slice_of(text):
+    ((_, _, offsets, raw),) = T.slices(pa.array([text]))
+    return T.words(offsets, raw, T.ALNUM, fold_latin=True, apostrophes=True), raw
+
+
+def arcs(text, learned=()):
+    w, raw = slice_of(text)
+    return {n: int(c) for n, c in zip(toxicity.ARCS, toxicity.Grammar(list(learned)).arcs(w, raw, 1)[0], strict=True) if c}
+
 
-    ((row, end, offsets, raw),) = T.slices(pa.array([text]))
-    w = T.words(offsets, raw, T.ALNUM, fold_latin=True)
-    return {n: int(c) for n, c in zip(toxicity.EVENTS, grammar.events(w, raw, 1)[0], strict=True) if c}
+def prior(text):
+    """The score before any label is seen."""
+    return logistic.predict(toxicity.batch_features(toxicity.Grammar(), pa.array([text], pa.string())), toxicity.PRIOR)[0]
 
 
 def test_grammar():
-    assert events("What an idiot.") == {"insult": 1}
-    assert events("You are a stupid clown!") == {"aimed insult": 2}
-    assert events("You are not an idiot.") == {"negated insult": 1}
-    assert events("She said you are an idiot. Idiot!") == {"reported insult": 1, "insult": 1}
-    assert events("I will kill you") == {"threat": 1}
-    assert events("They kill time; I will go") == {"violence": 1}
-    assert events("we will not hurt you") == {"negated threat": 1}
-    assert events("a zork here", ["zork"]) == {"insult": 1}
-    assert events("plain words, nothing else") == {}
+    assert arcs("What an idiot.") == {"insult": 1}
+    assert arcs("You are a stupid clown!") == {"insult": 2, "aimed": 2}
+    assert arcs("What an idiot you are") == {"insult": 1, "aimed": 1}
+    assert arcs("You are not an idiot.") == {"insult": 1, "aimed": 1, "negated": 1}
+    assert arcs("You aren't an idiot.")["negated"] == arcs("you aren\u2019t an idiot")["negated"] == 1
+    assert arcs("She said you are an idiot. Idiot!") == {"insult": 2, "aimed": 1, "reported": 1}
+    assert arcs('"You are an idiot," he said') == {"insult": 1, "aimed": 1, "reported": 1}
+    assert arcs("I will kill you") == arcs("I'll kill you") == {"threat": 1, "to someone": 1}
+    assert arcs("They kill time; I will go") == {"violence": 1}
+    assert arcs("I don't want to hurt you") == {"violence": 1, "negated": 1}
+    assert arcs("a zork here", ["zork"]) == {"insult": 1}
+    assert arcs("plain words, nothing else") == {}
+
+
+def test_weights_of_the_grammar_alone():
+    """Matched clauses decide, not isolated words."""
+    for bad in ("You are an idiot", "you stupid clown", "I'll kill you", "We will hurt them"):
+        assert prior(bad) >= 0.5, bad
+    for fine in ("an idiot", "You aren't an idiot", "She said you are an idiot", '"You are an idiot," he said', "I don't want to hurt you", "kill the process", "", None):
+        assert prior(fine) < 0.5, fine
+
+
+@given(st.lists(st.sampled_from([*(w for words in toxicity.LEXICON.values() for w in words.split()[:3]), "plain", "word", "a", "."]), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_composed_machine_is_the_cascade(words):
+    """A plain scanner that runs the five transducers one after the other over every clause."""
+    code = {w: name for name in reversed(toxicity.LEXICON) for w in toxicity.LEXICON[name].split()}
+    want: dict = {}
+    for clause in " ".join(words).split("."):
+        symbols, before = [], None
+        for p, word in enumerate(clause.split()):
+            if word in code:
+                if before is not None and p - before > toxicity.NEAR:
+                    symbols.append("gap")
+                symbols.append(code[word])
+                before = p
+        if not {"insult", "threat"} & set(symbols):
+            continue
+        for machine in toxicity.cascade():
+            state, written = machine.start, []
+            for x in symbols:
+                state, x, weight = machine.step(state, x)
+                written.append(x)
+                if weight:
+                    want[weight] = want.get(weight, 0) + 1
+            symbols = written
+    assert arcs(" ".join(words)) == want
 
 
 def test_toxicity_of_odd_rows(spark, docs, sf):
