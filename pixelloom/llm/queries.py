@@ -96,6 +96,9 @@ QUERIES = {
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
 
+_SPREAD = "(sum((bad - n * mean) * (bad - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0))"
+_STRENGTH = f"CASE WHEN {_SPREAD} > 1 / 1001.0::DOUBLE THEN greatest(1 / {_SPREAD} - 1, 1.0) ELSE 1000.0 END"
+
 #: DuckDB equivalents, where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": """
@@ -174,11 +177,19 @@ ORACLE_SQL: dict[str, str] = {
                 CASE WHEN {" OR ".join(f"contains(lower(concat_ws(' ', url, html)), '{w}')" for w in urlfilter.SPAM_WORDS)} THEN 1 WHEN html IS NOT NULL THEN 0 END AS outcome
             FROM pages),
         hosts AS (SELECT host, regexp_extract(host, '([^.]+[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(outcome) AS n, coalesce(sum(outcome), 0)::DOUBLE AS bad FROM parsed GROUP BY host),
-        total AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS rate FROM hosts),
-        suffixes AS (SELECT suffix, (sum(bad) + 8 * any_value(rate)) / (sum(n) + 8) AS s_mean FROM hosts, total GROUP BY suffix),
-        domains AS (SELECT domain, (sum(bad) + 8 * any_value(s_mean)) / (sum(n) + 8) AS d_mean FROM hosts JOIN suffixes USING (suffix) GROUP BY domain),
-        posterior AS (SELECT host, bad + 8 * d_mean AS a, n - bad + 8 * (1 - d_mean) AS b FROM hosts JOIN domains USING (domain)),
-        bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM posterior),
+        total AS (SELECT sum(n)::DOUBLE AS t_n, sum(bad) AS t_bad, (sum(bad) + 0.5) / (sum(n) + 1.0) AS rate FROM hosts),
+        s_counts AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad) AS bad FROM hosts GROUP BY suffix),
+        s_level AS (SELECT suffix, n, bad, (t_bad - bad + rate) / (t_n - n + 1) AS mean FROM s_counts, total),
+        s_strength AS (SELECT {_STRENGTH} AS m FROM s_level),
+        suffixes AS (SELECT suffix, n AS s_n, bad AS s_bad, rate, (bad + m * rate) / (n + m) AS s_mean FROM s_counts, total, s_strength),
+        d_counts AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+        d_level AS (SELECT domain, n, bad, s_mean, (s_bad - bad + rate) / (s_n - n + 1) AS mean FROM d_counts JOIN suffixes USING (suffix)),
+        d_strength AS (SELECT {_STRENGTH} AS m FROM d_level),
+        domains AS (SELECT domain, n AS d_n, bad AS d_bad, s_mean, (bad + m * s_mean) / (n + m) AS d_mean FROM d_level, d_strength),
+        h_level AS (SELECT host, n::DOUBLE AS n, bad, d_mean, (d_bad - bad + s_mean) / (d_n - n + 1) AS mean FROM hosts JOIN domains USING (domain)),
+        h_strength AS (SELECT {_STRENGTH} AS m FROM h_level),
+        posterior AS (SELECT host, bad + m * d_mean AS a, n - bad + m * (1 - d_mean) AS b FROM h_level, h_strength),
+        bound AS (SELECT host, 1 / (1 + exp(-(ln(a / b) - 1.645 * sqrt(1 / a + 1 / b)))) AS low FROM posterior),
         ruled AS (
             SELECT page_id, host, path, low, CASE
                 WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'

@@ -3,20 +3,25 @@
 A page has an outcome: 1 bad, 0 good, null unlabelled.  Outcomes are counted by host; the counts roll up to the
 registered domain and to the suffix.  Each level's bad rate is shrunk towards the level above by a beta prior:
 
-    suffix  ~ Beta(strength * rate of all pages), domain ~ Beta(strength * posterior mean of its suffix),
-    host    ~ Beta(strength * posterior mean of its domain)
-
-and a host is blocked when the lower bound of its posterior (mean - z * standard deviation) exceeds the limit.
+    suffix  ~ Beta(M1 * rate of all pages), domain ~ Beta(M2 * posterior mean of its suffix),
+    host    ~ Beta(M3 * posterior mean of its domain)
+
+The strengths M1, M2, M3 are estimated from all counts by moments: with the mean m of the others under the same parent
+(and one page of the level above that), the squares ``(bad - n m)^2`` of a beta-binomial sum to
+``sum(n m (1 - m) (1 + (n - 1) r))``, where ``r = 1 / (M + 1)`` (kept within ``STRENGTHS``; the larger where nothing was
+counted twice).  A host is blocked when the lower bound of its posterior
+exceeds the limit; the bound is that of the log-odds, whose variance is about ``1 / alpha + 1 / beta``.
 Explicit rules (host suffix and path prefix, the longest wins) override the verdict.
 
-The registered domain is one label more than the suffix, which has several labels where ``SUFFIXES`` holds it.  The
-strength is a constant, the same at every level; it is not estimated from the spread of the counts.
+The registered domain is one label more than the suffix, which has several labels where ``SUFFIXES`` holds it.
 
 Only counts by host are shuffled, pre-aggregated in every task, so a host with a third of the pages is one row of the
 shuffle.  Verdicts return to the pages by a join on host that Spark may broadcast or split.
 
 A null url, or one without ``://``, has an empty host and path; it fits no rule and takes the verdict of the empty
-host.  Repeated rows are judged each; extra columns are not read; an empty table gives an empty result.
+host.  Urls and pages of any length are read whole.  Repeated rows are judged each; extra columns are not read,
+whatever their names; hosts and rules of equal length cannot both fit, so there are no ties; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +68,8 @@ SUFFIXES = tuple(
     }.items()
     for second in seconds.split()
 )
-PRIOR_STRENGTH = 8.0
+#: Least and largest prior strength, in pages.
+STRENGTHS = (1.0, 1000.0)
 LIMIT = 0.5
 Z = 1.645
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,7 +109,17 @@ def reputation_levels(host: Column) -> tuple[Column, Column]:
     return F.when(address, bare).when(wide, three).otherwise(two), F.when(address, bare).when(wide, two).otherwise(F.regexp_extract(bare, r"[^.]*$", 0))
 
 
-def host_reputation(pages: DataFrame, strength: float = PRIOR_STRENGTH) -> DataFrame:
+def _strength(counts: DataFrame, n: str, bad: str, parent_n: str, parent_bad: str, above: str) -> Column:
+    """The prior strength of a level, as a scalar subquery, from its counts, those of the parents and the means above them."""
+    n, bad, parent_n, parent_bad = (F.col(c).cast("double") for c in (n, bad, parent_n, parent_bad))
+    mean = (parent_bad - bad + F.col(above)) / (parent_n - n + 1)
+    spread, twice = F.sum((bad - n * mean) * (bad - n * mean) - n * mean * (1 - mean)), F.sum(n * (n - 1) * mean * (1 - mean))
+    r = F.when(twice > 0, spread / twice).otherwise(0.0)
+    least, most = STRENGTHS
+    return counts.agg(F.when(r > 1 / (most + 1), F.greatest(1 / r - 1, F.lit(least))).otherwise(most)).scalar()
+
+
+def host_reputation(pages: DataFrame) -> DataFrame:
     """host, n, bad, alpha, beta: the beta posterior of every host of (host, outcome) rows."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).alias("bad"))
     domain, suffix = reputation_levels(F.col("host"))
@@ -111,24 +127,29 @@ def host_reputation(pages: DataFrame, strength: float = PRIOR_STRENGTH) -> DataF
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("d_n"), F.sum("bad").alias("d_bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("d_n").alias("s_n"), F.sum("d_bad").alias("s_bad"))
     total = suffixes.agg(F.sum("s_n").alias("t_n"), F.sum("s_bad").alias("t_bad"))
-    rate = (F.col("t_bad") + 0.5) / (F.col("t_n") + 1.0)  # one row, of Jeffreys' prior
-    suffixes = suffixes.join(F.broadcast(total)).select("suffix", ((F.col("s_bad") + strength * rate) / (F.col("s_n") + strength)).alias("s_mean"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", ((F.col("d_bad") + strength * F.col("s_mean")) / (F.col("d_n") + strength)).alias("d_mean"))
-    joined = hosts.join(domains, ["domain", "suffix"])
-    return joined.select("host", "n", "bad", (F.col("bad") + strength * F.col("d_mean")).alias("alpha"), (F.col("n") - F.col("bad") + strength * (1 - F.col("d_mean"))).alias("beta"))
+    suffixes = suffixes.withColumns({c: total.select(c).scalar() for c in ("t_n", "t_bad")})
+    suffixes = suffixes.withColumn("rate", (F.col("t_bad") + 0.5) / (F.col("t_n") + 1.0))  # of Jeffreys' prior
+    suffixes = suffixes.withColumn("m", _strength(suffixes, "s_n", "s_bad", "t_n", "t_bad", "rate"))
+    suffixes = suffixes.select("suffix", "s_n", "s_bad", "rate", ((F.col("s_bad") + F.col("m") * F.col("rate")) / (F.col("s_n") + F.col("m"))).alias("s_mean"))
+    domains = domains.join(suffixes, "suffix")
+    domains = domains.withColumn("m", _strength(domains, "d_n", "d_bad", "s_n", "s_bad", "rate"))
+    domains = domains.select("domain", "suffix", "d_n", "d_bad", "s_mean", ((F.col("d_bad") + F.col("m") * F.col("s_mean")) / (F.col("d_n") + F.col("m"))).alias("d_mean"))
+    hosts = hosts.join(domains, ["domain", "suffix"])
+    hosts = hosts.withColumn("m", _strength(hosts, "n", "bad", "d_n", "d_bad", "s_mean"))
+    return hosts.select("host", "n", "bad", (F.col("bad") + F.col("m") * F.col("d_mean")).alias("alpha"), (F.col("n") - F.col("bad") + F.col("m") * (1 - F.col("d_mean"))).alias("beta"))
 
 
 def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
-    """Of a beta posterior, by its mean and standard deviation."""
-    total = alpha + beta
-    return alpha / total - z * F.sqrt(alpha * beta / (total * total * (total + 1)))
+    """Of a beta posterior, by the mean and deviation of its log-odds."""
+    return 1 / (1 + F.exp(-(F.log(alpha / beta) - z * F.sqrt(1 / alpha + 1 / beta))))
 
 
-def judge(pages: DataFrame, outcome: Column | None = None, rules=RULES, limit: float = LIMIT, z: float = Z, strength: float = PRIOR_STRENGTH) -> DataFrame:
+def judge(pages: DataFrame, outcome: Column | None = None, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
     """page_id, host, path, rule, verdict and bad_bound of every page."""
     url = F.col("url").cast("string")
-    parsed = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), (spam_outcome(url, F.col("html").cast("string")) if outcome is None else outcome).alias("outcome"))
-    reputation = host_reputation(parsed.select("host", "outcome"), strength).select("host", lower_bound(F.col("alpha"), F.col("beta"), z).alias("bad_bound"))
+    parsed = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
+    labelled = pages.select(url_host(url).alias("host"), (spam_outcome(url, F.col("html").cast("string")) if outcome is None else outcome).alias("outcome"))
+    reputation = host_reputation(labelled).select("host", lower_bound(F.col("alpha"), F.col("beta"), z).alias("bad_bound"))
     rule, action = matching_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("bad_bound") > limit, "block").otherwise("allow")
     return parsed.join(reputation, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, by_host).alias("verdict"), "bad_bound")

@@ -101,6 +101,25 @@ def test_owners_under_a_shared_suffix(spark):
     assert post.select(urlfilter.lower_bound(F.col("alpha"), F.col("beta"))).first()[0] < urlfilter.LIMIT
 
 
+def test_strengths_are_estimated(spark):
+    """Hosts of one rate share a strong prior, hosts of all or nothing a weak one."""
+    schema = "n long, bad long, all_n long, all_bad long, above double"
+    strength = lambda rows: spark.createDataFrame(rows, schema).transform(lambda d: d.withColumn("m", urlfilter._strength(d, "n", "bad", "all_n", "all_bad", "above"))).first()["m"]
+    under = lambda pairs: [(n, b, sum(x for x, _ in pairs), sum(y for _, y in pairs), 0.5) for n, b in pairs]
+    assert strength(under([(100, 50)] * 20)) == urlfilter.STRENGTHS[1]
+    assert strength(under([(100, 100 * (i % 2)) for i in range(20)])) < 1.2
+    assert strength(under([(1, 1)] * 9)) == urlfilter.STRENGTHS[1]
+    rng = np.random.default_rng(3)
+    assert strength(under([(n, int(rng.binomial(n, rng.beta(12 * 0.3, 12 * 0.7)))) for n in rng.integers(5, 200, 4000).tolist()])) == pytest.approx(12, rel=0.1)
+
+
+def test_repeated_and_long_pages(spark):
+    long = "http://h.org/fr/" + "a" * 200_000
+    rows = [(1, long, "y" * 300_000), (1, long, "y" * 300_000), (None, "http://h.org/", "casino")]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), len(r["path"]), r["rule"], r["verdict"]) for r in got) == [("1", 200_004, "org/fr/", "allow")] * 2 + [("None", 1, None, "allow")]
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
