@@ -57,8 +57,28 @@ def format_ms(ms: Column) -> Column:
     return F.when(ms.isNull() | (ms == 0), "0ms").when(ms < 10, F.format_string("%.2fms", ms)).when(ms < 100, F.format_string("%.1fms", ms)).otherwise(F.format_string("%dms", F.floor(ms + 0.5)))
 
 
+def format_stage_ms(ms: Column) -> Column:
+    """The study's form: one decimal below 100, none from there."""
+    return F.when(ms >= 100, F.format_string("%dms", F.floor(ms + 0.5))).otherwise(F.format_string("%.1fms", ms))
+
+
+def _thousands(n: Column, unit: str, small: Column) -> Column:
+    millions = F.floor(n / 1e6 * 10 + 0.5) / 10
+    return F.when(n >= 1_000_000, F.format_string(f"%.1f{unit}", millions)).when(n >= 1_000, F.format_string("%dK", F.floor(n / 1e3 + 0.5))).otherwise(small)
+
+
+def format_count(n: Column) -> Column:
+    """Whole numbers below a thousand, then thousands, then millions with a decimal."""
+    return _thousands(n, "M", F.floor(n + 0.5).cast("string"))
+
+
+def format_pixels(n: Column) -> Column:
+    return _thousands(n, "MP", n.cast("string"))
+
+
 def format_percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100.0)
+    """``0%`` for nothing, two decimals below a tenth, one from there."""
+    return F.when(share == 0, "0%").when(share >= 0.1, F.format_string("%.1f%%", share * 100.0)).otherwise(F.format_string("%.2f%%", share * 100.0))
 
 
 def identity(fields: dict[str, Column]) -> Column:

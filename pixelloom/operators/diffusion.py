@@ -5,7 +5,7 @@ bundles to the tasks; a task scans the images of a bundle in lockstep, one numpy
 It streams over the rows and holds only those that the kernel reaches: a few image widths for each image of the bundle.
 Colours are first turned into the dither space by Catalyst; the scan keeps its working values in float32.
 
-Images are complete rectangles; an image with missing pixels is an error.
+Images are complete rectangles; an image with missing or repeated pixels is an error, found by its count of pixels.
 """
 
 from __future__ import annotations
@@ -151,14 +151,16 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:
     """image_id, y, x, idx by the kernel named in the settings; a strength of 0 is direct quantizing."""
-    if s.strength <= 0:
+    if s.strength <= 0 or not any(p.visible for p in palette):
         return dither.quantize(px, palette, s)
     source = dither.adaptive_mask(px, palette, s) if s.placement == "adaptive" else px.withColumn("mask", F.lit(1.0))
     seen = composited(tuple(F.col(c) for c in "rgb"), F.col("a"), s.alpha_mode, s.matte)
     dithered = color.SPACES[s.color_space](seen) if s.in_vectors else tuple(c.cast("double") for c in seen)
     pixel = F.struct("x", *(v.alias(f"v{k}") for k, v in enumerate(dithered)), is_transparent(F.col("a"), s.alpha_mode, s.alpha_threshold).alias("clear"), "mask")
     packed = source.select("image_id", "y", pixel.alias("p")).groupBy("image_id", "y").agg(F.array_sort(F.collect_list("p")).alias("p"))  # an image row
-    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    held = px.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("height"), F.count("*").alias("n"))
+    whole = F.when(F.col("n") == F.col("w").cast("long") * F.col("height"), F.col("w")).otherwise(F.raise_error(F.concat(F.lit("image with missing or repeated pixels: "), F.col("image_id").cast("string"))).cast("int"))
+    sizes = held.select("image_id", whole.alias("width"), "height")
     bundles = sizes.groupBy("width", "height").agg(F.ceil(F.count("*") / BUNDLE).alias("bundles"))
     placed = sizes.join(bundles, ["width", "height"]).select("image_id", "width", "height", F.pmod(F.xxhash64("image_id"), F.col("bundles")).alias("bundle"))
     rows = packed.join(placed, "image_id").select("image_id", "y", "width", "height", "bundle", *(F.col(f"p.{c}").alias(c) for c in ("v0", "v1", "v2", "clear", "mask")))

@@ -53,6 +53,16 @@ def masked_index(palette: Sequence[Swatch]) -> int:
     return clear[0] if clear else min((sum(s.rgb), s.ord) for s in palette if s.visible)[1]
 
 
+def only_transparent(px: DataFrame, palette: Sequence[Swatch]) -> DataFrame | None:
+    """All pixels transparent, if the palette has no visible colour; None if it has one.  A palette of nothing is an error."""
+    if any(s.visible for s in palette):
+        return None
+    clear = [s.ord for s in palette if s.kind == "transparent"]
+    if not clear:
+        raise ValueError("the palette has no visible colour and no Transparent")
+    return px.select("image_id", "y", "x", F.lit(clear[0]).cast("int").alias("idx"))
+
+
 def random_steps(px: DataFrame, masked: Column) -> DataFrame:
     """Adds ``step``, the 1-based number of an unmasked pixel in row order of its image; null for masked pixels.
 
@@ -85,6 +95,8 @@ def adaptive_mask(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> Data
 
 def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:
     """image_id, y, x, idx of direct, ordered or random quantizing; error diffusion is in ``diffusion``."""
+    if (clear := only_transparent(px, palette)) is not None:
+        return clear
     masked = is_transparent(F.col("a"), s.alpha_mode, s.alpha_threshold)
     strength = s.strength / 100
     plain = s.dither == "none" or strength <= 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,8 @@ from pixelloom.operators import diffusion, dither, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch
 
-JOB_COLUMNS = ("width", "height", "resize", "alpha_mode", "alpha_threshold", "matte_key", "dither", "strength", "placement", "radius", "threshold", "softness", "serpentine", "seed", "use_color_space", "color_space")
+CROP_COLUMNS = ("crop_x", "crop_y", "crop_width", "crop_height")
+JOB_COLUMNS = ("width", "height", "resize", *CROP_COLUMNS, "alpha_mode", "alpha_threshold", "matte_key", "dither", "strength", "placement", "radius", "threshold", "softness", "serpentine", "seed", "use_color_space", "color_space")
 DIFFUSION = tuple(diffusion.KERNELS)
 #: Aspect shares, resize modes, dithers and colour spaces of the full study.
 SCALES = (0.25, 0.5, 0.75, 1.0)
@@ -28,9 +31,17 @@ def violations(jobs: DataFrame) -> DataFrame:
     def enum(c: str, values) -> Column:
         return F.coalesce(~F.col(c).isin(*values), F.lit(True))
 
-    def number(c: str, low: float, high: float) -> Column:
+    def number(c: str, low: float = float("-inf"), high: float = float("inf")) -> Column:
+        """Finite, and within the limits."""
         v = F.col(c).cast("double")
-        return F.coalesce(F.isnan(v) | (v < low) | (v > high), F.lit(True))
+        return F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")) | (v < low) | (v > high), F.lit(True))
+
+    def crop_side(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return number(c, 1, schemas.MAX_SOURCE_SIDE) | (v != F.floor(v))
+
+    cropped = F.coalesce(*CROP_COLUMNS).isNotNull()
+    bad_crop = number("crop_x") | number("crop_y") | crop_side("crop_width") | crop_side("crop_height")
 
     checks = {
         "width": side("width"),
@@ -40,22 +51,66 @@ def violations(jobs: DataFrame) -> DataFrame:
         "alpha_mode": enum("alpha_mode", schemas.ALPHA_MODES),
         "alpha_threshold": number("alpha_threshold", 0, 255),
         "dither": enum("dither", schemas.DITHERS),
-        "strength": number("strength", 0, 100),
+        "strength": number("strength", 0),
         "placement": enum("placement", ("everywhere", "adaptive")),
+        "radius": number("radius", 0),
+        "threshold": number("threshold", 0),
+        "softness": number("softness", 0),
         "color_space": enum("color_space", schemas.COLOR_SPACES),
-        "seed": number("seed", 0, 4294967295),
+        "seed": number("seed"),
+        "matte_key": F.col("matte_key").isNull(),
+        "crop": cropped & bad_crop,
     }
     return jobs.select("job_id", F.array_compact(F.array(*(F.when(bad, name) for name, bad in checks.items()))).alias("reasons")).where(F.size("reasons") > 0)
 
 
-def with_identity(jobs: DataFrame, columns=JOB_COLUMNS) -> DataFrame:
-    """Adds settings_hash, equal for equal settings of an image and palette."""
-    return jobs.withColumn("settings_hash", identity({c: F.col(c) for c in ("image_id", "palette_name", *columns)}))
+def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS) -> DataFrame:
+    """Adds settings_hash, equal for equal settings of an image and equal colours of the palette.
+
+    palettes (palette_name, ord, key, kind, r, g, b): the colours enter in order by key, kind and rgb, so an edited
+    palette makes other identities.  A job whose palette is missing has null colours.  Numbers must be finite.
+    """
+    rgb = F.when(F.col("r").isNotNull(), F.struct("r", "g", "b"))
+    color = F.struct("ord", F.struct("key", "kind", rgb.alias("rgb")).alias("color"))
+    packed = palettes.groupBy("palette_name").agg(F.transform(F.array_sort(F.collect_list(color)), lambda c: c["color"]).alias("colors"))  # at most 256 colours
+    kinds = dict(jobs.dtypes)
+
+    def value(c: str) -> Column:
+        v = F.col(c)
+        finite = ~F.isnan(v) & (F.abs(v) < float("inf")) | v.isNull() if kinds[c] in ("double", "float") else None
+        return v if finite is None else F.when(finite, v).otherwise(F.raise_error(F.lit(f"{c} is not finite")))
+
+    joined = jobs.join(packed, "palette_name", "left")
+    return joined.withColumn("settings_hash", identity({c: value(c) for c in ("image_id", "palette_name", *columns)} | {"colors": F.col("colors")})).drop("colors")
 
 
 def branch_key(jobs: DataFrame) -> Column:
-    """Key of a resized image: jobs with the same key share one resize."""
-    return F.concat_ws("|", *(F.col(c).cast("string") for c in ("image_id", "width", "height", "resize")))
+    """Key of a resized image: jobs with the same image, size, mode and crop share one resize."""
+    size = F.concat_ws("x", "width", "height")
+    crop = F.when(F.coalesce(*CROP_COLUMNS).isNull(), "0,0,full,full").otherwise(F.concat_ws(",", *CROP_COLUMNS))
+    return F.concat_ws("|", F.col("image_id").cast("string"), size, "resize", crop)
+
+
+def warnings(jobs: DataFrame, palettes: DataFrame) -> DataFrame:
+    """job_id and warnings: what a job's palette cannot give it.
+
+    palettes (palette_name, ord, key, kind); a job without a usable colour has the error as its only entry.
+    """
+    held = palettes.groupBy("palette_name").agg(
+        F.count("*").alias("n"),
+        F.count_if((F.col("ord") < schemas.MAX_COLORS) & (F.col("kind") == "transparent")).alias("clear"),
+        F.count_if((F.col("ord") < schemas.MAX_COLORS) & (F.col("kind") != "transparent")).alias("visible"),
+    )
+    joined = jobs.select("job_id", "palette_name", "alpha_mode").join(held, "palette_name", "left")
+    n, clear, visible = (F.coalesce(c, F.lit(0)) for c in ("n", "clear", "visible"))
+    found = F.array_compact(
+        F.array(
+            F.when(n > schemas.MAX_COLORS, "palette truncated to 256 colors"),
+            F.when((visible == 0) & (clear > 0), "only Transparent: every pixel is transparent"),
+            F.when((visible > 0) & (clear == 0) & (F.col("alpha_mode") == "preserve"), "no Transparent: masked pixels take the darkest color"),
+        )
+    )
+    return joined.select("job_id", F.when((visible == 0) & (clear == 0), F.array(F.lit("error: no color"))).otherwise(found).alias("warnings"))
 
 
 def vector_dither_applies(dither_id: Column, use_color_space: Column, color_space: Column) -> Column:
@@ -107,22 +162,57 @@ def quantize(px: DataFrame, palette: list[Swatch], settings: Settings) -> DataFr
     return (diffusion if settings.dither in DIFFUSION else dither).quantize(px, palette, settings)
 
 
-def process(px: DataFrame, palette: list[Swatch], cases: list[tuple[str, int, int, str, Settings]]) -> DataFrame:
-    """case_id, image_id, y, x, idx of every (case_id, width, height, resize mode, settings) over all images.
+def process(px: DataFrame, palette: list[Swatch], cases: list[tuple]) -> DataFrame:
+    """case_id, image_id, y, x, idx of every (case_id, width, height, resize mode, settings[, crop]) over all images.
 
-    Cases of one size and mode share one resize.  The list of cases is a study's settings and grows with those only.
+    Cases of one size, mode and crop share one resize.  The list of cases is a study's settings and grows with those only.
     """
     resized: dict[tuple, DataFrame] = {}
     out = None
-    for case_id, width, height, mode, settings in cases:
-        key = (width, height, mode)
+    for case_id, width, height, mode, settings, *crop in cases:
+        key = (width, height, mode, *crop)
         if key not in resized:
-            resized[key] = resize.resize(px, width, height, mode)
+            resized[key] = resize.resize(px, width, height, mode, *crop)
         done = quantize(resized[key], palette, settings).select(F.lit(case_id).alias("case_id"), "image_id", "y", "x", "idx")
         out = done if out is None else out.unionByName(done)
     return out
 
 
+def process_jobs(px: DataFrame, palettes: dict[str, list[Swatch]], jobs: DataFrame, limit: int = 512) -> DataFrame:
+    """job_id, image_id, y, x, idx of every job of a table, whose palettes are given by name.
+
+    The distinct settings (not the jobs) are read to the driver, at most ``limit`` of them, as each is a plan of its own;
+    jobs of one size, mode and crop share a resize of the images that they name.  Jobs with a violation, an unknown
+    palette or without an image have no rows.  Equal settings are worked out once for an image, whatever asks for them.
+    """
+    bad = violations(jobs)
+    good = jobs.join(bad, "job_id", "left_anti").where(F.col("palette_name").isin(*palettes))
+    kinds = good.select("palette_name", *JOB_COLUMNS).distinct()
+    rows = kinds.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} distinct settings: split the jobs table")
+    resized: dict[tuple, DataFrame] = {}
+    out = None
+    for r in sorted(rows, key=str):
+        crop = None if r["crop_x"] is None else tuple(r[c] for c in CROP_COLUMNS)
+        key = (r["width"], r["height"], r["resize"], crop)
+        same = lambda names, r=r: reduce(and_, (F.col(c).eqNullSafe(F.lit(r[c])) for c in names))
+        if key not in resized:
+            asked = good.where(same(("width", "height", "resize", *CROP_COLUMNS))).select("image_id").distinct()
+            resized[key] = resize.resize(px.join(asked, "image_id", "left_semi"), *key)
+        matte = tuple(int(r["matte_key"][i : i + 2], 16) for i in (1, 3, 5))
+        settings = Settings(
+            color_space=r["color_space"], dither=r["dither"], strength=r["strength"], use_color_space=r["use_color_space"], placement=r["placement"], radius=r["radius"], threshold=r["threshold"],
+            softness=r["softness"], serpentine=r["serpentine"], seed=int(r["seed"]), alpha_mode=r["alpha_mode"], alpha_threshold=r["alpha_threshold"], matte=matte,
+        )
+        own = good.where(same(("palette_name", *JOB_COLUMNS))).select("job_id", "image_id")
+        done = quantize(resized[key], palettes[r["palette_name"]], settings).join(own, "image_id").select("job_id", "image_id", "y", "x", "idx")
+        out = done if out is None else out.unionByName(done)
+    if out is None:
+        return px.join(good, "image_id").select("job_id", "image_id", "y", "x", F.lit(0).alias("idx")).where("false")
+    return out
+
+
 def compare_spaces(px: DataFrame, palette: list[Swatch], settings: Settings, spaces: list[str]) -> DataFrame:
     """baseline, variant, pixels, same: how often two colour spaces choose alike."""
     columns = {space: quantize(px, palette, replace(settings, color_space=space)).withColumnRenamed("idx", f"i{k}") for k, space in enumerate(spaces)}

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.color import DISTANCES, SPACES, Triple
+from pixelloom.schemas import EPSILON, MAX_COLORS
 from pixelloom.sources.palettes import Swatch
 
 RGB = ("r", "g", "b")
@@ -36,8 +37,6 @@ def palette_vectors(spark, palette: Sequence[Swatch], space: str) -> list[list[f
 
 def axis_ranges(vectors: Sequence[Sequence[float]]) -> list[float]:
     """Largest minus smallest value on each axis, at least the machine epsilon."""
-    from pixelloom.schemas import EPSILON
-
     return [max(max(v[k] for v in vectors) - min(v[k] for v in vectors), EPSILON) for k in range(3)]
 
 
@@ -78,19 +77,25 @@ def nearest_distinct(px: DataFrame, palette: Sequence[Swatch], space: str = "srg
 
 
 def nearest_by_palette(px: DataFrame, palettes: DataFrame, out: str = "idx") -> DataFrame:
-    """Nearest colour (squared sRGB) of each row's own palette ``palette_name``; palettes (palette_name, ord, r, g, b)."""
-    packed = palettes.where("r is not null").groupBy("palette_name").agg(F.array_sort(F.collect_list(F.struct("ord", "r", "g", "b"))).alias("_colors"))
+    """Nearest colour (squared sRGB) of each row's own palette ``palette_name``; palettes (palette_name, ord, r, g, b).
+
+    Of a palette only its first 256 colours count.  A row whose palette is missing or has no visible colour stays, with
+    a null index.
+    """
+    packed = palettes.where((F.col("ord") < MAX_COLORS) & F.col("r").isNotNull()).groupBy("palette_name").agg(F.array_sort(F.collect_list(F.struct("ord", "r", "g", "b"))).alias("_colors"))
     here = tuple(F.col(c).cast("long") for c in RGB)
 
     def far(c: Column) -> Column:
         d = [a - c[n] for a, n in zip(here, RGB, strict=True)]
         return F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d"), c["ord"].alias("ord"))
 
-    return px.join(packed, "palette_name").withColumn(out, F.array_min(F.transform("_colors", far))["ord"]).drop("_colors")
+    return px.join(packed, "palette_name", "left").withColumn(out, F.array_min(F.transform("_colors", far))["ord"]).drop("_colors")
 
 
 def render(indexed: DataFrame, palette: DataFrame) -> DataFrame:
-    """Indices back to RGBA: transparent is (0, 0, 0, 0), every other colour opaque.  The palette has at most 256 rows."""
+    """Indices back to RGBA: transparent is (0, 0, 0, 0), every other colour opaque.  A palette of more than 256 rows is an error."""
+    if palette.limit(MAX_COLORS + 1).count() > MAX_COLORS:
+        raise ValueError(f"a palette has at most {MAX_COLORS} colours")
     colors = palette.select(F.col("ord").alias("idx"), "kind", "r", "g", "b")
     clear = F.col("kind") == "transparent"
     joined = indexed.join(F.broadcast(colors), "idx")

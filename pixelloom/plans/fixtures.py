@@ -89,7 +89,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         k.alias("job_id"),
         (k % 50).alias("image_id"),
-        F.lit("Default").alias("palette_name"),
+        F.when(k % 4 == 1, "Default").otherwise(F.concat(F.lit("Brand#"), (k % 3 + 1).cast("string"), (k % 6).cast("string"))).alias("palette_name"),
         ((k % 17000) + 1).cast("int").alias("width"),
         ((k * 7) % 16000 - 3).cast("int").alias("height"),
         F.element_at(F.array(*map(F.lit, ("nearest", "bilinear", "lanczos3", "cubic"))), ((k % 4) + 1).cast("int")).alias("resize"),
@@ -97,15 +97,16 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 3) % 260).cast("int").alias("alpha_threshold"),
         F.lit("#FFFFFF").alias("matte_key"),
         F.element_at(F.array(*map(F.lit, ("none", "bayer-8", "random", "sierra", "blue"))), ((k % 5) + 1).cast("int")).alias("dither"),
-        ((k * 11) % 103).cast("int").alias("strength"),
+        ((k * 11) % 103 - 2).cast("int").alias("strength"),
         F.lit("everywhere").alias("placement"),
-        F.lit(3).alias("radius"),
+        (k % 40 - 1).cast("int").alias("radius"),
         F.lit(12).alias("threshold"),
         F.lit(8).alias("softness"),
         (k % 2 == 0).alias("serpentine"),
         (k % 9).alias("seed"),
         (k % 2 == 1).alias("use_color_space"),
         F.element_at(F.array(*map(F.lit, ("oklab", "srgb", "weighted-rgb"))), ((k % 3) + 1).cast("int")).alias("color_space"),
+        *(F.when(k % 7 == 3, v.cast("int")).alias(c) for c, v in (("crop_x", k % 11), ("crop_y", k % 5), ("crop_width", k % 23), ("crop_height", k % 19 + 1))),
     )
 
 
@@ -131,7 +132,8 @@ STATED = f"""{PART_STATE}, stated AS (SELECT p.*, coalesce(o.enabled, l.enabled,
     LEFT JOIN part_state o ON o.palette_name = p.palette_name AND o.key = p.key LEFT JOIN part_state l ON l.palette_name IS NULL AND l.key = p.key)"""
 _COLORS = ", ".join(f"({o}, '{key}', '{name}', '{kind}', {', '.join('NULL' if v is None else str(v) for v in rgb)})" for _, o, key, name, kind, *rgb, _ in default_rows())
 DEFAULT = f"pal AS (SELECT * FROM (VALUES {_COLORS}) t(ord, key, name, kind, r, g, b))"
-JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_orderkey % 50 AS image_id, 'Default' AS palette_name, ((o_orderkey % 17000) + 1)::INT AS width, ((o_orderkey * 7) % 16000 - 3)::INT AS height,
+JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_orderkey % 50 AS image_id, CASE WHEN o_orderkey % 4 = 1 THEN 'Default' ELSE 'Brand#' || (o_orderkey % 3 + 1) || (o_orderkey % 6) END AS palette_name, ((o_orderkey % 17000) + 1)::INT AS width, ((o_orderkey * 7) % 16000 - 3)::INT AS height,
     ['nearest', 'bilinear', 'lanczos3', 'cubic'][(o_orderkey % 4) + 1] AS resize, ['preserve', 'matte', 'premultiplied'][(o_orderkey % 3) + 1] AS alpha_mode, ((o_orderkey * 3) % 260)::INT AS alpha_threshold,
-    ['none', 'bayer-8', 'random', 'sierra', 'blue'][(o_orderkey % 5) + 1] AS dither, ((o_orderkey * 11) % 103)::INT AS strength, o_orderkey % 2 = 0 AS serpentine, o_orderkey % 9 AS seed, o_orderkey % 2 = 1 AS use_color_space,
-    ['oklab', 'srgb', 'weighted-rgb'][(o_orderkey % 3) + 1] AS color_space FROM orders)"""
+    ['none', 'bayer-8', 'random', 'sierra', 'blue'][(o_orderkey % 5) + 1] AS dither, ((o_orderkey * 11) % 103 - 2)::INT AS strength, (o_orderkey % 40 - 1)::INT AS radius, o_orderkey % 2 = 0 AS serpentine, o_orderkey % 9 AS seed, o_orderkey % 2 = 1 AS use_color_space,
+    ['oklab', 'srgb', 'weighted-rgb'][(o_orderkey % 3) + 1] AS color_space,
+    CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey % 11 END AS crop_x, CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey % 5 END AS crop_y, CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey % 23 END AS crop_width, CASE WHEN o_orderkey % 7 = 3 THEN o_orderkey % 19 + 1 END AS crop_height FROM orders)"""

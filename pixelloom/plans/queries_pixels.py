@@ -136,7 +136,12 @@ for _space in schemas.COLOR_SPACES:
     _nearest_query(_space)
 
 
-@register("j2_nearest_distinct", f"WITH {fx.PX_EMBED}, {fx.DEFAULT}, {_rid('px_embed')}, {sql.nearest('px_embed_r', 'oklab')} SELECT image_id, y, x, idx FROM px_embed_r JOIN matched USING (rid)")
+def _distinct_sql(source: str, space: str) -> str:
+    """CTE matched(r, g, b, idx): the nearest colour of each distinct colour of a CTE."""
+    return f"{fx.DEFAULT}, colors AS (SELECT row_number() OVER () AS rid, r, g, b FROM (SELECT DISTINCT r, g, b FROM {source})), {sql.nearest('colors', space, name='by_rid')}, matched AS (SELECT r, g, b, idx FROM colors JOIN by_rid USING (rid))"
+
+
+@register("j2_nearest_distinct", f"WITH {fx.PX_EMBED}, {_distinct_sql('px_embed', 'oklab')} SELECT image_id, y, x, idx FROM px_embed JOIN matched USING (r, g, b)")
 def j2_nearest_distinct(spark, sf_dir):
     return match.nearest_distinct(fx.px_embed(spark, sf_dir), PALETTE, "oklab").select(*KEY, "idx")
 
@@ -153,8 +158,8 @@ def j3_nearest_vector(spark, sf_dir):
 @register(
     "j1_nearest_by_palette",
     f"""WITH {fx.PX_EVENTS}, {fx.PART_PALETTES}, {_rid('px_events')}, named AS (SELECT *, 'Brand#' || (image_id % 3 + 1) || (x % 5 + 1) AS palette_name FROM px_events_r),
-    far AS (SELECT rid, p.ord, (n.r - p.r) * (n.r - p.r) + (n.g - p.g) * (n.g - p.g) + (n.b - p.b) * (n.b - p.b) AS d FROM named n JOIN part_palettes p USING (palette_name) WHERE p.r IS NOT NULL)
-    SELECT image_id, y, x, palette_name, idx FROM named JOIN (SELECT rid, arg_min(ord, (d, ord)) AS idx FROM far GROUP BY rid) USING (rid)""",
+    far AS (SELECT rid, p.ord, (n.r - p.r) * (n.r - p.r) + (n.g - p.g) * (n.g - p.g) + (n.b - p.b) * (n.b - p.b) AS d FROM named n JOIN part_palettes p USING (palette_name) WHERE p.r IS NOT NULL AND p.ord < 256)
+    SELECT image_id, y, x, palette_name, idx FROM named LEFT JOIN (SELECT rid, arg_min(ord, (d, ord)) AS idx FROM far GROUP BY rid) USING (rid)""",
 )
 def j1_nearest_by_palette(spark, sf_dir):
     """Every pixel against the palette of its own row."""
@@ -444,7 +449,11 @@ def a6_unique_colors(spark, sf_dir):
     return metrics.unique_colors(fx.px_embed(spark, sf_dir))
 
 
-@register("a7_index_checksum")
+@register(
+    "a7_index_checksum",
+    f"""WITH {fx.PX_EVENTS}, {_direct_sql("px_events", "srgb", "preserve")}, listed AS (SELECT image_id, list(idx::BIGINT + 1 ORDER BY y, x) AS p FROM quantized GROUP BY image_id)
+    SELECT image_id, list_reduce(list_prepend(2166136261::BIGINT, p), lambda h, e: (xor(h, e) * 16777619) & 4294967295) AS checksum FROM listed""",
+)
 def a7_index_checksum(spark, sf_dir):
     return metrics.index_checksum(dither.quantize(fx.px_events(spark, sf_dir), PALETTE, Settings(color_space="srgb")))
 
@@ -470,7 +479,25 @@ def q14_process_images(spark, sf_dir):
     return jobs.process(fx.px_events(spark, sf_dir), PALETTE, cases)
 
 
-@register("q15_dither_ramp", f"WITH {fx.PX_EMBED}, {fx.DEFAULT}, {_rid('px_embed')}, moved AS (SELECT rid, {', '.join(f'{sql.byte(f"{c} + (({_bayer_sql(8)} + 0.5::DOUBLE) / 64 - 0.5::DOUBLE) * 192")} AS {c}' for c in 'rgb')} FROM px_embed_r), {sql.nearest('moved', 'srgb')} SELECT image_id, y, x, idx FROM px_embed_r JOIN matched USING (rid)")
+@register("q14_process_jobs")
+def q14_process_jobs(spark, sf_dir):
+    """Jobs as a table, one for each order: eight settings, with and without a crop, over the images of events."""
+    k = F.col("o_orderkey").cast("long")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    crop = {c: F.when(k % 4 == 1, v) for c, v in zip(jobs.CROP_COLUMNS, (3, 2, 16, 14), strict=True)}
+    asked = fx.table(spark, sf_dir, "orders").where("o_orderkey > 0").select(
+        k.alias("job_id"), (k % 50).alias("image_id"), F.lit("Default").alias("palette_name"), pick(10, 16).alias("width"), F.lit(8).alias("height"), pick("bilinear", "nearest").alias("resize"), *(v.alias(c) for c, v in crop.items()),
+        F.lit("preserve").alias("alpha_mode"), F.lit(0).alias("alpha_threshold"), F.lit("#FFFFFF").alias("matte_key"), pick("none", "bayer-4", "floyd-steinberg", "none").alias("dither"), F.lit(100).alias("strength"), F.lit("everywhere").alias("placement"),
+        F.lit(3).alias("radius"), F.lit(12).alias("threshold"), F.lit(8).alias("softness"), F.lit(True).alias("serpentine"), F.lit(7).alias("seed"), F.lit(False).alias("use_color_space"), F.lit("srgb").alias("color_space"),
+    )
+    done = jobs.process_jobs(fx.px_events(spark, sf_dir), {"Default": PALETTE}, asked)
+    return done.groupBy("job_id", "image_id").agg(F.count("*").alias("pixels"), F.sum((F.col("idx") + 1) * (F.col("y") * 16 + F.col("x") + 1)).alias("mark"))
+
+
+@register(
+    "q15_dither_ramp",
+    f"WITH {fx.PX_EMBED}, moved AS (SELECT image_id, y, x, {', '.join(f'{sql.byte(f"{c} + (({_bayer_sql(8)} + 0.5::DOUBLE) / 64 - 0.5::DOUBLE) * 192")} AS {c}' for c in 'rgb')} FROM px_embed), {_distinct_sql('moved', 'srgb')} SELECT image_id, y, x, idx FROM moved JOIN matched USING (r, g, b)",
+)
 def q15_dither_ramp(spark, sf_dir):
     """The ordered preview: twice the usual offset on grey images."""
     offset = pixel.bayer_threshold(8, F.col("y"), F.col("x")) * 192

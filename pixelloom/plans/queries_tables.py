@@ -240,27 +240,42 @@ def s9_export_name(spark, sf_dir):
     return fx.table(spark, sf_dir, "part").select("p_partkey", text.export_name(F.concat("p_name", F.lit(".tar.png")), F.lit("out"), F.col("p_size"), F.lit(7)).alias("file"))
 
 
-@register("f20_formats", "SELECT l_orderkey, l_linenumber, l_extendedprice, printf('%.1f%%', l_discount::DOUBLE * 100) AS percent FROM lineitem")
-def f20_formats(spark, sf_dir):
-    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", text.format_percent(F.col("l_discount").cast("double")).alias("percent"))
+def _half_up(unit: str, size: int, decimals: int) -> str:
+    """DuckDB text of v bytes in a unit; halves go up, as in format_bytes, where printf alone takes the even digit."""
+    return f"printf('%.{decimals}f {unit}', floor(v / {size}.0::DOUBLE * {10**decimals} + 0.5) / {10**decimals})"
 
 
-@register("f20_format_bytes", "SELECT o_orderkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v / 1024.0 < 10 THEN printf('%.1f KiB', v / 1024.0::DOUBLE) WHEN v / 1024.0 < 1024 THEN printf('%.0f KiB', v / 1024.0::DOUBLE) WHEN v / 1048576.0 < 10 THEN printf('%.1f MiB', v / 1048576.0::DOUBLE) ELSE printf('%.0f MiB', v / 1048576.0::DOUBLE) END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 31) % 500000001 AS v FROM orders WHERE o_orderkey % 64 <> 0)")
+_BYTES_SQL = f"SELECT o_orderkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 10240 THEN {_half_up('KiB', 1024, 1)} WHEN v < 1048576 THEN {_half_up('KiB', 1024, 0)} WHEN v < 10485760 THEN {_half_up('MiB', 1048576, 1)} ELSE {_half_up('MiB', 1048576, 0)} END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 31) % 500000001 AS v FROM orders)"
+
+
+@register("f20_format_bytes", _BYTES_SQL)
+@register("f20_format_bytes_all", _BYTES_SQL)
 def f20_format_bytes(spark, sf_dir):
     k = F.col("o_orderkey")
-    return fx.table(spark, sf_dir, "orders").where(k % 64 != 0).select("o_orderkey", text.format_bytes((k * k * 31) % 500000001).alias("size"))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes((k * k * 31) % 500000001).alias("size"))
 
 
-def _half_up(unit: str, size: int, decimals: int) -> str:
-    """DuckDB text of v bytes in a unit; halves go up, as in format_bytes, where printf alone takes the even digit."""
-    return f"printf('%.{decimals}f {unit}', floor(v / {size}.0::DOUBLE * {10**decimals} + 0.5) / {10**decimals})"
+@register(
+    "f20_formats",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN d = 0 THEN '0%' WHEN d >= 0.1 THEN printf('%.1f%%', d * 100) ELSE printf('%.2f%%', d * 100) END AS percent,
+    CASE WHEN ms = 0 THEN '0ms' WHEN ms < 10 THEN printf('%.2fms', ms) WHEN ms < 100 THEN printf('%.1fms', ms) ELSE floor(ms + 0.5)::BIGINT || 'ms' END AS debug_ms, CASE WHEN ms >= 100 THEN floor(ms + 0.5)::BIGINT || 'ms' ELSE printf('%.1fms', ms) END AS stage_ms
+    FROM (SELECT *, l_discount::DOUBLE AS d, (CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice WHEN 1 THEN l_quantity ELSE l_quantity - 1 END)::DOUBLE AS ms FROM lineitem)""",
+)
+def f20_formats(spark, sf_dir):
+    third = F.col("l_linenumber") % 3
+    ms = F.when(third == 0, F.col("l_extendedprice")).when(third == 1, F.col("l_quantity")).otherwise(F.col("l_quantity") - 1).cast("double")
+    return fx.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", text.format_percent(F.col("l_discount").cast("double")).alias("percent"), text.format_ms(ms).alias("debug_ms"), text.format_stage_ms(ms).alias("stage_ms"))
 
 
-# Over every order; f20_format_bytes and its SQL leave out every 64th.
-@register("f20_format_bytes_all", f"SELECT o_orderkey, CASE WHEN v < 1024 THEN v || ' B' WHEN v < 10240 THEN {_half_up('KiB', 1024, 1)} WHEN v < 1048576 THEN {_half_up('KiB', 1024, 0)} WHEN v < 10485760 THEN {_half_up('MiB', 1048576, 1)} ELSE {_half_up('MiB', 1048576, 0)} END AS size FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 31) % 500000001 AS v FROM orders)")
-def f20_format_bytes_all(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return fx.table(spark, sf_dir, "orders").select("o_orderkey", text.format_bytes((k * k * 31) % 500000001).alias("size"))
+@register(
+    "f20_counts",
+    """SELECT o_orderkey, CASE WHEN v >= 1000000 THEN printf('%.1fM', m) WHEN v >= 1000 THEN k || 'K' ELSE v || '' END AS n, CASE WHEN v >= 1000000 THEN printf('%.1fMP', m) WHEN v >= 1000 THEN k || 'K' ELSE v || '' END AS pixels
+    FROM (SELECT o_orderkey, v, floor(v / 1e6::DOUBLE * 10 + 0.5) / 10 AS m, floor(v / 1e3::DOUBLE + 0.5)::BIGINT AS k FROM (SELECT o_orderkey, (o_orderkey * o_orderkey * 31) % [900, 800001, 90000001][o_orderkey % 3 + 1] AS v FROM orders))""",
+)
+def f20_counts(spark, sf_dir):
+    k = F.col("o_orderkey").cast("long")
+    v = (k * k * 31) % F.element_at(F.array(F.lit(900), F.lit(800001), F.lit(90000001)), (k % 3 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", text.format_count(v).alias("n"), text.format_pixels(v).alias("pixels"))
 
 
 # Jobs
@@ -269,7 +284,7 @@ def f20_format_bytes_all(spark, sf_dir):
 @register(
     "p10_validate_jobs",
     f"""WITH {fx.JOBS}, j AS (SELECT job_id, list_filter([CASE WHEN width NOT BETWEEN 1 AND 16384 THEN 'width' END, CASE WHEN height NOT BETWEEN 1 AND 16384 THEN 'height' END, CASE WHEN width::BIGINT * height > 67108864 THEN 'pixels' END, CASE WHEN resize = 'cubic' THEN 'resize' END,
-    CASE WHEN alpha_threshold > 255 THEN 'alpha_threshold' END, CASE WHEN dither = 'blue' THEN 'dither' END, CASE WHEN strength > 100 THEN 'strength' END], lambda r: r IS NOT NULL) AS reasons FROM jobs) SELECT * FROM j WHERE len(reasons) > 0""",
+    CASE WHEN alpha_threshold > 255 THEN 'alpha_threshold' END, CASE WHEN dither = 'blue' THEN 'dither' END, CASE WHEN strength < 0 THEN 'strength' END, CASE WHEN radius < 0 THEN 'radius' END, CASE WHEN crop_width = 0 THEN 'crop' END], lambda r: r IS NOT NULL) AS reasons FROM jobs) SELECT * FROM j WHERE len(reasons) > 0""",
 )
 def p10_validate_jobs(spark, sf_dir):
     return J.violations(fx.jobs(spark, sf_dir))
@@ -280,23 +295,45 @@ def f19_vector_dither_applies(spark, sf_dir):
     return fx.jobs(spark, sf_dir).select("job_id", J.vector_dither_applies(F.col("dither"), F.col("use_color_space"), F.col("color_space")).alias("applies"))
 
 
-@register("f18_branch_key", f"WITH {fx.JOBS} SELECT concat_ws('|', image_id, width, height, resize) AS branch, count(*) AS n FROM jobs GROUP BY 1")
+_CROP = "CASE WHEN crop_x IS NULL THEN '0,0,full,full' ELSE concat_ws(',', crop_x, crop_y, crop_width, crop_height) END"
+
+
+@register("f18_branch_key", f"WITH {fx.JOBS} SELECT image_id || '|' || width || 'x' || height || '|' || resize || '|' || {_CROP} AS branch, count(*) AS n FROM jobs GROUP BY 1")
 def f18_branch_key(spark, sf_dir):
     return fx.jobs(spark, sf_dir).withColumn("branch", J.branch_key(F.col("job_id"))).groupBy("branch").agg(F.count("*").alias("n"))
 
 
-_IDENTITY = """identified AS (SELECT job_id, sha256('{"alpha_mode":"' || alpha_mode || '","alpha_threshold":' || alpha_threshold || ',"color_space":"' || color_space || '","dither":"' || dither || '","height":' || height || ',"image_id":' || image_id || ',"matte_key":"#FFFFFF","palette_name":"Default","placement":"everywhere","radius":3,"resize":"' || resize
-    || '","seed":' || seed || ',"serpentine":' || serpentine || ',"softness":8,"strength":' || strength || ',"threshold":12,"use_color_space":' || use_color_space || ',"width":' || width || '}') AS settings_hash FROM jobs)"""
+_JSON_CROP = " || ".join(f"""',"{c}":' || coalesce({c}::VARCHAR, 'null')""" for c in ("crop_height", "crop_width", "crop_x", "crop_y"))
+_IDENTITY = f"""{fx.PART_PALETTES}, {fx.DEFAULT}, every AS (SELECT palette_name, ord, key, kind, r, g, b FROM part_palettes UNION ALL SELECT 'Default', ord, key, kind, r, g, b FROM pal),
+    packed AS (SELECT palette_name, '[' || string_agg('{{"key":"' || key || '","kind":"' || kind || '","rgb":' || CASE WHEN r IS NULL THEN 'null' ELSE '{{"r":' || r || ',"g":' || g || ',"b":' || b || '}}' END || '}}', ',' ORDER BY ord) || ']' AS colors FROM every GROUP BY 1),
+    identified AS (SELECT job_id, sha256('{{"alpha_mode":"' || alpha_mode || '","alpha_threshold":' || alpha_threshold || ',"color_space":"' || color_space || '","colors":' || coalesce(colors, 'null') || {_JSON_CROP} || ',"dither":"' || dither || '","height":' || height || ',"image_id":' || image_id || ',"matte_key":"#FFFFFF","palette_name":"' || palette_name || '","placement":"everywhere","radius":' || radius || ',"resize":"' || resize
+    || '","seed":' || seed || ',"serpentine":' || serpentine || ',"softness":8,"strength":' || strength || ',"threshold":12,"use_color_space":' || use_color_space || ',"width":' || width || '}}') AS settings_hash FROM jobs LEFT JOIN packed USING (palette_name))"""
+
+
+def _identified(spark, sf_dir) -> DataFrame:
+    columns = ("palette_name", "ord", "key", "kind", "r", "g", "b")
+    palettes = fx.part_palettes(spark, sf_dir).select(*columns).unionByName(S.default_palette(spark).select(F.lit("Default").alias("palette_name"), *columns[1:]))
+    return J.with_identity(fx.jobs(spark, sf_dir), palettes)
 
 
 @register("f17_settings_identity", f"WITH {fx.JOBS}, {_IDENTITY} SELECT job_id, settings_hash FROM identified")
 def f17_settings_identity(spark, sf_dir):
-    return J.with_identity(fx.jobs(spark, sf_dir)).select("job_id", "settings_hash")
+    return _identified(spark, sf_dir).select("job_id", "settings_hash")
+
+
+@register(
+    "q14_job_warnings",
+    f"""WITH {fx.JOBS}, {fx.PART_PALETTES}, held AS (SELECT palette_name, count(*) AS n, count(*) FILTER (ord < 256 AND kind = 'transparent') AS clear, count(*) FILTER (ord < 256 AND kind <> 'transparent') AS visible FROM part_palettes GROUP BY 1)
+    SELECT job_id, CASE WHEN coalesce(visible, 0) + coalesce(clear, 0) = 0 THEN ['error: no color'] ELSE list_filter([CASE WHEN n > 256 THEN 'palette truncated to 256 colors' END, CASE WHEN visible = 0 THEN 'only Transparent: every pixel is transparent' END,
+        CASE WHEN visible > 0 AND clear = 0 AND alpha_mode = 'preserve' THEN 'no Transparent: masked pixels take the darkest color' END], lambda w: w IS NOT NULL) END AS warnings FROM jobs LEFT JOIN held USING (palette_name)""",
+)
+def q14_job_warnings(spark, sf_dir):
+    return J.warnings(fx.jobs(spark, sf_dir), fx.part_palettes(spark, sf_dir))
 
 
 def _outputs(spark, sf_dir) -> DataFrame:
     """Outputs of every third job, and of settings that nobody asks for now."""
-    known = J.with_identity(fx.jobs(spark, sf_dir))
+    known = _identified(spark, sf_dir)
     old = known.where("job_id % 7 = 0").select((F.col("job_id") + 10**9).alias("job_id"), F.sha2("settings_hash", 256).alias("settings_hash"))
     return known.where("job_id % 3 = 0").select("job_id", "settings_hash").unionByName(old)
 
@@ -306,22 +343,22 @@ _OUTPUTS = f"{fx.JOBS}, {_IDENTITY}, outputs AS (SELECT * FROM identified WHERE
 
 @register("j11_pending_jobs", f"WITH {_OUTPUTS} SELECT job_id FROM identified WHERE settings_hash NOT IN (SELECT settings_hash FROM outputs)")
 def j11_pending_jobs(spark, sf_dir):
-    return J.pending(J.with_identity(fx.jobs(spark, sf_dir)), _outputs(spark, sf_dir)).select("job_id")
+    return J.pending(_identified(spark, sf_dir), _outputs(spark, sf_dir)).select("job_id")
 
 
 @register("j12_stale_outputs", f"WITH {_OUTPUTS} SELECT job_id FROM outputs WHERE settings_hash NOT IN (SELECT settings_hash FROM identified)")
 def j12_stale_outputs(spark, sf_dir):
-    return J.stale(_outputs(spark, sf_dir), J.with_identity(fx.jobs(spark, sf_dir))).select("job_id")
+    return J.stale(_outputs(spark, sf_dir), _identified(spark, sf_dir)).select("job_id")
 
 
 @register("j12_exportable_outputs", f"WITH {_OUTPUTS} SELECT job_id FROM outputs WHERE settings_hash IN (SELECT settings_hash FROM identified)")
 def j12_exportable_outputs(spark, sf_dir):
-    return J.exportable(_outputs(spark, sf_dir), J.with_identity(fx.jobs(spark, sf_dir))).select("job_id")
+    return J.exportable(_outputs(spark, sf_dir), _identified(spark, sf_dir)).select("job_id")
 
 
 @register("t6_exactly_once", f"WITH {_OUTPUTS} SELECT DISTINCT settings_hash FROM identified WHERE settings_hash NOT IN (SELECT settings_hash FROM outputs)")
 def t6_exactly_once(spark, sf_dir):
-    return streams.exactly_once(J.with_identity(fx.jobs(spark, sf_dir)), _outputs(spark, sf_dir)).select("settings_hash")
+    return streams.exactly_once(_identified(spark, sf_dir), _outputs(spark, sf_dir)).select("settings_hash")
 
 
 @register("a15_memory_estimate", f"WITH {fx.JOBS} SELECT job_id, 2000 AS source_bytes, width::BIGINT * height * 4 AS resized_bytes, width::BIGINT * height AS index_bytes, CASE WHEN use_color_space THEN width::BIGINT * height * 12 ELSE 0 END AS vector_bytes, CASE WHEN dither = 'sierra' THEN width::BIGINT * height * 12 ELSE 0 END AS work_bytes FROM jobs")

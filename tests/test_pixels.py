@@ -207,3 +207,49 @@ def test_empty_image_table(spark):
     assert diffusion.quantize(none, SMALL, Settings(dither="sierra")).count() == 0
     assert resize.resize(none, 3, 3, "area").count() == 0
     assert color.vector(tuple(F.col(c) for c in "rgb"), "oklab") is not None
+
+
+def test_a_palette_of_only_transparent(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1, 2, 3, 255)], "image_id long, y int, x int, r int, g int, b int, a int")
+    clear = [s for s in default_swatches() if s.kind == "transparent"]
+    for kind in ("none", "bayer-4", "sierra"):
+        assert [r["idx"] for r in jobs.quantize(px, clear, Settings(dither=kind)).collect()] == [clear[0].ord]
+        with pytest.raises(ValueError, match="no visible colour"):
+            jobs.quantize(px, [], Settings(dither=kind))
+
+
+def test_diffusion_rejects_incomplete_images(spark):
+    whole = [(i, y, x, 10 * x, 20 * y, 30, 255) for i in (1, 2) for y in range(3) for x in range(4)]
+    schema = "image_id long, y int, x int, r int, g int, b int, a int"
+    for missing in (0, 1):
+        px = spark.createDataFrame([p for p in whole if p[:2] != (1, missing)] if missing else [p for p in whole if p[:2] not in ((1, 0), (2, 1))], schema)
+        with pytest.raises(Exception, match="missing or repeated pixels"):
+            jobs.quantize(px, default_swatches(), Settings(dither="floyd-steinberg")).collect()
+
+
+def test_missing_palettes_keep_their_pixels(spark):
+    px = spark.createDataFrame([(1, "a"), (2, "none"), (3, "long")], "r int, palette_name string").selectExpr("*", "0 as g", "0 as b")
+    palettes = spark.createDataFrame([("a", 0, 9, 0, 0)] + [("long", i, 255 if i < 256 else 3, 0, 0) for i in range(300)], "palette_name string, ord int, r int, g int, b int")
+    assert {r["r"]: r["idx"] for r in match.nearest_by_palette(px, palettes).collect()} == {1: 0, 2: None, 3: 0}
+
+
+def test_jobs_of_a_table_are_those_one_by_one(spark):
+    from pixelloom.plans import fixtures
+
+    px = fixtures.px_events(spark, "/root/testdata/sf0.001")
+    base = fixtures.jobs(spark, "/root/testdata/sf0.001").where("job_id = 4").drop("job_id", "image_id").withColumns({"palette_name": F.lit("p"), "radius": F.lit(3), "strength": F.lit(100), "alpha_threshold": F.lit(0)})
+    rows = [(1, 0, 10, 8, "bilinear", None, "none"), (2, 1, 10, 8, "bilinear", None, "bayer-4"), (3, 1, 10, 8, "bilinear", (3, 2, 16, 14), "none"), (4, 1, 10, 8, "cubic", None, "none"), (5, 0, 10, 8, "bilinear", None, "none")]
+    table = None
+    for job, image, w, h, mode, crop, kind in rows:
+        set_ = {"job_id": job, "image_id": image, "width": w, "height": h, "resize": mode, "dither": kind, "alpha_mode": "preserve", **dict(zip(jobs.CROP_COLUMNS, crop or [None] * 4, strict=True))}
+        one = base.withColumns({c: F.lit(v).cast("int") if c.startswith("crop") else F.lit(v) for c, v in set_.items()})
+        table = one if table is None else table.unionByName(one)
+    got: dict = {}
+    for r in jobs.process_jobs(px, {"p": default_swatches()}, table).collect():
+        got.setdefault(r["job_id"], {})[r["image_id"], r["y"], r["x"]] = r["idx"]
+    assert sorted(got) == [1, 2, 3, 5] and got[1] == got[5]  # job 4 has no such mode
+    first = base.first()
+    for job, image, w, h, mode, crop, kind in rows[:3]:
+        settings = Settings(color_space=first["color_space"], dither=kind, use_color_space=first["use_color_space"], serpentine=first["serpentine"], seed=int(first["seed"]))
+        want = jobs.process(px, default_swatches(), [("c", w, h, mode, settings, crop)]).where(F.col("image_id") == image)
+        assert got[job] == {(r["image_id"], r["y"], r["x"]): r["idx"] for r in want.collect()}

@@ -76,13 +76,65 @@ def test_run_stats_of_equal_values(spark):
     assert (r["cv"], r["outliers"]) == (0, 0)
 
 
-def test_job_identity_ignores_column_order(spark):
+PALETTES = "palette_name string, ord int, key string, kind string, r int, g int, b int"
+
+
+def test_job_identity_ignores_column_order_and_follows_palette_and_crop(spark):
+    from pixelloom.plans import fixtures
+
+    rows = [("Default", 0, "#000000", "free", 0, 0, 0), ("Default", 1, "transparent", "transparent", None, None, None)]
+    palettes = spark.createDataFrame(rows, PALETTES)
+    edited = spark.createDataFrame([(*rows[0][:2], "#000001", "free", 0, 0, 1), rows[1]], PALETTES)
+    j = fixtures.jobs(spark, "/root/testdata/sf0.001").where("job_id % 4 = 1").limit(5)
+    ids = lambda jobs_, colors, *columns: {r["job_id"]: r["settings_hash"] for r in jobs.with_identity(jobs_, colors, *columns).collect()}
+    first = ids(j, palettes)
+    assert first == ids(j, palettes, jobs.JOB_COLUMNS[::-1]) and len(set(first.values())) == 5
+    for changed in (ids(j, edited), ids(j.withColumn("crop_x", F.lit(9)), palettes)):
+        assert not set(changed.values()) & set(first.values())
+    outputs = jobs.with_identity(j, palettes).select("job_id", "settings_hash")
+    assert jobs.stale(outputs, jobs.with_identity(j, edited)).count() == 5 and jobs.pending(jobs.with_identity(j, edited), outputs).count() == 5
+    with pytest.raises(Exception, match="strength is not finite"):
+        jobs.with_identity(j.withColumn("strength", F.lit(float("nan"))), palettes).collect()
+
+
+def test_job_violations_and_branches(spark):
     from pixelloom.plans import fixtures
 
-    j = fixtures.jobs(spark, "/root/testdata/sf0.001").limit(5)
-    a = {r["job_id"]: r["settings_hash"] for r in jobs.with_identity(j).collect()}
-    b = {r["job_id"]: r["settings_hash"] for r in jobs.with_identity(j, jobs.JOB_COLUMNS[::-1]).collect()}
-    assert a == b
+    base = fixtures.jobs(spark, "/root/testdata/sf0.001").where("job_id = 4").drop("job_id")
+    good = base.withColumns({"height": F.lit(5), "width": F.lit(5), "resize": F.lit("area"), "dither": F.lit("none"), "strength": F.lit(250.0), "radius": F.lit(0.5)})
+    cases = {
+        1: {},
+        2: {"crop_x": F.lit(1.5), "crop_y": F.lit(0.0), "crop_width": F.lit(5), "crop_height": F.lit(5)},
+        3: {"crop_x": F.lit(1.5), "crop_y": F.lit(0.0), "crop_width": F.lit(5.5), "crop_height": F.lit(5)},
+        4: {"crop_x": F.lit(1.5)},
+        5: {"softness": F.lit(float("inf")), "matte_key": F.lit(None).cast("string")},
+        6: {"threshold": F.lit(-1)},
+    }
+    found = {}
+    for n, changes in cases.items():
+        one = good.withColumns(changes).withColumn("job_id", F.lit(n))
+        found[n] = [r["reasons"] for r in jobs.violations(one).collect()]
+    assert found == {1: [], 2: [], 3: [["crop"]], 4: [["crop"]], 5: [["softness", "matte_key"]], 6: [["threshold"]]}
+    keys = [good.withColumns(cases[n]).select(jobs.branch_key(F.lit(0))).first()[0] for n in (1, 2)]
+    assert keys == ["4|5x5|area|0,0,full,full", "4|5x5|area|1.5,0.0,5,5"]
+
+
+def test_job_warnings(spark):
+    rows = [("long", i, "#000000", "free", 0, 0, 0) for i in range(300)] + [("clear", 0, "transparent", "transparent", None, None, None)]
+    j = spark.createDataFrame([(1, "long", "preserve"), (2, "long", "matte"), (3, "clear", "preserve"), (4, "none", "preserve")], "job_id int, palette_name string, alpha_mode string")
+    got = {r["job_id"]: r["warnings"] for r in jobs.warnings(j, spark.createDataFrame(rows, PALETTES)).collect()}
+    assert got == {1: ["palette truncated to 256 colors", "no Transparent: masked pixels take the darkest color"], 2: ["palette truncated to 256 colors"], 3: ["only Transparent: every pixel is transparent"], 4: ["error: no color"]}
+
+
+def test_formats(spark):
+    from pixelloom.functions import text
+
+    values = [(0.0,), (0.05,), (0.1,), (0.456,), (1.0,)]
+    assert [r[0] for r in spark.createDataFrame(values, "v double").coalesce(1).select(text.format_percent(F.col("v"))).collect()] == ["0%", "5.00%", "10.0%", "45.6%", "100.0%"]
+    values = [(0,), (999,), (1500,), (999_600,), (1_250_000,)]
+    got = spark.createDataFrame(values, "v long").coalesce(1).select(text.format_count(F.col("v")), text.format_pixels(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [("0", "0"), ("999", "999"), ("2K", "2K"), ("1000K", "1000K"), ("1.3M", "1.3MP")]
+    assert [r[0] for r in spark.createDataFrame([(3.14,), (250.6,)], "v double").coalesce(1).select(text.format_stage_ms(F.col("v"))).collect()] == ["3.1ms", "251ms"]
 
 
 def test_bytes_are_formatted_for_every_order_and_halves_go_up(spark):
