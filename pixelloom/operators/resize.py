@@ -1,9 +1,9 @@
-"""Resizing as joins of pixels with tap tables.
+"""Resizing one axis after the other, in place.
 
-Every mode but nearest is two one-dimensional steps or one two-dimensional sum over taps.  Tap tables are tiny (output
-side times taps) and made from ``sequence``; pixels are joined to them by coordinate and summed by target, with partial
-aggregation before the shuffle.  The coordinate of target t is ``start + (t + 0.5) * scale - 0.5``; taps outside the
-source take its edge pixel.
+A source pixel knows which targets have it among their taps: these are exploded from its coordinate with their weights,
+as column expressions, and summed by target with partial aggregation.  So the pixels are shuffled once by image row and
+once by target, and the only join is that with the images' sizes (a row an image).  The coordinate of target t is
+``start + (t + 0.5) * scale - 0.5``; taps outside the source take its edge pixel.  :func:`taps` is the same as a table.
 """
 
 from __future__ import annotations
@@ -58,71 +58,84 @@ def taps(sizes: DataFrame, side: str, count: int, mode: str, crop: tuple[float,
     return each.select("image_id", "t", _edge(F.col("i")).alias("s"), lanczos((F.col("pos") - F.col("i")) / F.col("stretch"), radius).alias("w"))
 
 
+def _spread(px: DataFrame, c: str, side: str, count: int, mode: str, crop: tuple[float, float] | None) -> DataFrame:
+    """A row for each pixel and target of one axis that taps it: adds ``t`` and the weight ``w``; edge pixels sum their taps.
+
+    px has the coordinate ``c`` and the side length ``side``; crop is (start, length).
+    """
+    at, n = F.col(c), F.col(side)
+    start, length = (F.lit(0.0), n.cast("double")) if crop is None else (F.lit(float(crop[0])), F.lit(float(crop[1])))
+    scale = length / count
+    radius = int(mode[7]) if mode.startswith("lanczos") else 0
+    stretch = F.greatest(F.lit(1.0), scale) if mode.endswith("aware") else F.lit(1.0)
+    n_taps = F.least(F.lit(MAX_TAPS), (F.ceil(radius * stretch) * 2).cast("int"))
+    reach = {"nearest": F.lit(1.0), "bilinear": F.lit(2.0), "area": scale / 2 + 2}.get(mode, n_taps / 2 + 1)
+    target = lambda i: (i - start + 0.5) / scale - 0.5
+    first = F.when(at == 0, 0).otherwise(F.greatest(F.lit(0), F.floor(target(at - reach)))).cast("int")
+    last = F.when(at == n - 1, count - 1).otherwise(F.least(F.lit(count - 1), F.ceil(target(at + reach)))).cast("int")
+    every = px.select("*", F.explode(F.when(first <= last, F.sequence(first, last))).alias("t"))
+    every = every.withColumn("_pos", start + (F.col("t") + 0.5) * scale - 0.5)
+    pos = F.col("_pos")
+    low, high = {
+        "nearest": (F.floor(pos + 0.5), F.floor(pos + 0.5)),
+        "bilinear": (F.floor(pos), F.floor(pos) + 1),
+        "area": (F.floor(pos - scale / 2), F.ceil(pos + scale / 2)),
+    }.get(mode, (F.floor(pos) - (n_taps / 2).cast("long") + 1, F.floor(pos) + (n_taps / 2).cast("long")))
+    if mode == "bilinear":
+        weight = lambda i: F.when(i == F.floor(pos), F.lit(1.0) - (pos - F.floor(pos))).otherwise(pos - F.floor(pos))
+    elif radius:
+        weight = lambda i: lanczos((pos - i) / stretch, radius)
+    else:
+        weight = lambda i: F.lit(1.0)
+    taps_here = F.col("_to") - F.col("_from")
+    summed = F.aggregate(F.sequence("_from", "_to"), F.lit(0.0), lambda total, i: total + weight(i))
+    every = every.withColumns({"_from": F.when(at == 0, low).otherwise(F.greatest(low, at.cast("long"))), "_to": F.when(at == n - 1, high).otherwise(F.least(high, at.cast("long")))}).where(taps_here >= 0)
+    return every.withColumn("w", F.when(taps_here == 0, weight(F.col("_from"))).otherwise(summed)).drop("_pos", "_from", "_to")
+
+
+def _sized(px: DataFrame) -> DataFrame:
+    """Pixels with the width and height of their image and whether it is opaque throughout."""
+    sizes = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.bool_and(F.col("a") == 255).alias("opaque"))
+    return px.join(sizes, "image_id")
+
+
 def resize(px: DataFrame, width: int, height: int, mode: str = "bilinear", crop: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Pixels of width x height; crop is (x, y, width, height) within the source, which stays readable around it."""
-    sizes = image_sizes(px)
+    sized = _sized(px)
     cx, cy = (None, None) if crop is None else ((crop[0], crop[2]), (crop[1], crop[3]))
     if mode == "nearest":
-        return _nearest(px, sizes, width, height, cx, cy)
-    if mode == "bilinear":
-        return _two_dimensional(px, taps(sizes, "width", width, mode, cx), taps(sizes, "height", height, mode, cy), local_opaque=True)
-    if mode == "area":
-        return _area(px, sizes, width, height, cx, cy)
-    return _separable(px, taps(sizes, "width", width, mode, cx), taps(sizes, "height", height, mode, cy))
-
-
-def _nearest(px: DataFrame, sizes: DataFrame, width: int, height: int, cx, cy) -> DataFrame:
-    tx = taps(sizes, "width", width, "nearest", cx).select("image_id", F.col("t").alias("tx"), F.col("s").alias("x"))
-    ty = taps(sizes, "height", height, "nearest", cy).select("image_id", F.col("t").alias("ty"), F.col("s").alias("y"))
-    joined = px.join(tx, ["image_id", "x"]).join(ty, ["image_id", "y"])
-    return joined.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "r", "g", "b", "a")
-
-
-def _two_dimensional(px: DataFrame, taps_x: DataFrame, taps_y: DataFrame, local_opaque: bool) -> DataFrame:
-    tx = taps_x.select("image_id", F.col("t").alias("tx"), F.col("s").alias("x"), F.col("w").alias("wx"))
-    ty = taps_y.select("image_id", F.col("t").alias("ty"), F.col("s").alias("y"), F.col("w").alias("wy"))
-    w = F.col("wx") * F.col("wy")
-    spread = px.join(tx, ["image_id", "x"]).join(ty, ["image_id", "y"]).withColumn("w", w)
-    sums = spread.groupBy("image_id", "ty", "tx").agg(
-        *(F.sum(F.col("w") * F.col(c)).alias(f"o{c}") for c in "rgb"),
-        *(F.sum(F.col("w") * F.col(c) * (F.col("a") / 255.0)).alias(f"p{c}") for c in "rgb"),
-        F.sum(F.col("w") * F.col("a")).alias("sa"),
-        F.sum("w").alias("sw"),
-        F.bool_and(F.col("a") == 255).alias("opaque"),
-    )
-    plain = [clamp_byte(_settled(F.col(f"o{c}") / F.col("sw"))) for c in "rgb"]
-    soft = unpremultiply(tuple(_settled(F.col(f"p{c}") / F.col("sw")) for c in "rgb"), _settled(F.col("sa") / F.col("sw")))
-    opaque = F.col("opaque") if local_opaque else F.lit(False)
-    return sums.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(opaque, p).otherwise(s).alias(c) for c, p, s in zip("rgb", plain, soft, strict=False)), F.when(opaque, 255).otherwise(soft[3]).alias("a"))
-
-
-def _area(px: DataFrame, sizes: DataFrame, width: int, height: int, cx, cy) -> DataFrame:
-    """Alpha-weighted mean of the window; images that grow on both axes are bilinear."""
+        columns = _spread(sized, "x", "width", width, mode, cx).withColumnRenamed("t", "tx").drop("w")
+        return _spread(columns, "y", "height", height, mode, cy).select("image_id", F.col("t").alias("y"), F.col("tx").alias("x"), "r", "g", "b", "a")
+    if mode != "area":
+        return _separable(sized, width, height, mode, cx, cy)
     span = lambda side, c: F.col(side) if c is None else F.lit(float(c[1]))
-    grows = (span("width", cx) / width < 1) & (span("height", cy) / height < 1)
-    out = None
-    for mode, chosen in (("area", ~grows), ("bilinear", grows)):
-        own = sizes.where(chosen)
-        part = _two_dimensional(px, taps(own, "width", width, mode, cx), taps(own, "height", height, mode, cy), local_opaque=mode == "bilinear")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _separable(px: DataFrame, taps_x: DataFrame, taps_y: DataFrame) -> DataFrame:
-    """Rows first, then columns; an image that is opaque throughout is not weighted by alpha."""
-    opaque = px.groupBy("image_id").agg(F.bool_and(F.col("a") == 255).alias("opaque"))
-    alpha = F.when(F.col("opaque"), 1.0).otherwise(F.col("a") / 255.0)
-    tx = taps_x.select("image_id", F.col("t").alias("tx"), F.col("s").alias("x"), "w")
-    weighted = px.join(opaque, "image_id").select("image_id", "y", "x", "opaque", F.col("a").cast("double").alias("a"), *((F.col(c) * alpha).alias(c) for c in "rgb"))
-    rows = weighted.join(tx, ["image_id", "x"]).groupBy("image_id", "y", "tx").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgba"), F.any_value("opaque").alias("opaque"))
-    ty = taps_y.select("image_id", F.col("t").alias("ty"), F.col("s").alias("y"), "w")
-    total = lambda table, name: table.groupBy("image_id", F.col("t").alias(name)).agg(F.sum("w").alias(f"w{name}"))
-    sums = rows.join(ty, ["image_id", "y"]).groupBy("image_id", "ty", "tx").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgba"), F.any_value("opaque").alias("opaque"))
-    scaled = sums.join(total(taps_x, "tx"), ["image_id", "tx"]).join(total(taps_y, "ty"), ["image_id", "ty"])
-    weight = F.col("wtx") * F.col("wty")
-    mean = {c: _settled(F.col(c) / weight) for c in "rgba"}
-    soft = unpremultiply(tuple(mean[c] for c in "rgb"), mean["a"])
-    return scaled.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *(F.when(F.col("opaque"), clamp_byte(mean[c])).otherwise(s).alias(c) for c, s in zip("rgb", soft, strict=False)), F.when(F.col("opaque"), 255).otherwise(soft[3]).alias("a"))
+    grows = (span("width", cx) / width < 1) & (span("height", cy) / height < 1)  # such images are bilinear
+    return _separable(sized.where(~grows), width, height, "area", cx, cy).unionByName(_separable(sized.where(grows), width, height, "bilinear", cx, cy))
+
+
+def _separable(sized: DataFrame, width: int, height: int, mode: str, cx, cy) -> DataFrame:
+    """Rows first, then columns.  Colours are weighted by alpha, and plainly too where all taps are opaque.
+
+    For lanczos the whole image counts as opaque or not, for bilinear the taps of a pixel; area always weights by alpha.
+    """
+    opaque = {"bilinear": F.col("a") == 255, "area": F.lit(False)}.get(mode, F.col("opaque"))
+    alpha = F.col("a") / 255.0
+    plain, soft = [f"o{c}" for c in "rgb"], [f"p{c}" for c in "rgb"]
+    values = (*plain, *soft, "a", "n")
+    source = sized.select(
+        "image_id", "y", "x", "width", "height", opaque.alias("opaque"), *(F.col(c).cast("double").alias(o) for c, o in zip("rgb", plain, strict=True)),
+        *((F.col(c) * alpha).alias(p) for c, p in zip("rgb", soft, strict=True)), F.col("a").cast("double").alias("a"), F.lit(1.0).alias("n"),
+    )
+
+    def summed(rows: DataFrame, *keys) -> DataFrame:
+        return rows.groupBy("image_id", *keys).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values), F.bool_and("opaque").alias("opaque"), F.any_value("height").alias("height"))
+
+    rows = summed(_spread(source, "x", "width", width, mode, cx).withColumnRenamed("t", "tx"), "y", "tx")
+    sums = summed(_spread(rows, "y", "height", height, mode, cy), F.col("t"), "tx")
+    mean = {v: _settled(F.col(v) / F.col("n")) for v in values[:-1]}
+    mixed = unpremultiply(tuple(mean[p] for p in soft), mean["a"])
+    rgb = [F.when(F.col("opaque"), clamp_byte(mean[o])).otherwise(m).alias(c) for c, o, m in zip("rgb", plain, mixed, strict=False)]
+    return sums.select("image_id", F.col("t").alias("y"), F.col("tx").alias("x"), *rgb, F.when(F.col("opaque"), 255).otherwise(mixed[3]).alias("a"))
 
 
 def tap_count(scale: float, radius: int) -> int:
