@@ -50,13 +50,13 @@ WORDS, PERCENT = 5, 80
 #: A token with at least so many repeats is looked up as frequent.
 FREQUENT = 8
 FREQUENT_TOKENS = 500_000
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 GROUP_TOKENS, GROUP_DOCUMENTS = 65_536, 1024
 FAMILY = 256
 #: Ids beyond this number are joined by a shuffle instead of a broadcast (16 MB).
 BROADCAST_IDS = 2_000_000
 #: Columns of an incidence matrix that are multiplied at once; pairs of documents, and bytes of counts, that are compared at once.
-MATRIX_COLUMNS, PAIRS_AT_ONCE, BOUND_BYTES = 8192, 1_000_000, 1 << 24
+MATRIX_COLUMNS, PAIRS_AT_ONCE, BOUND_BYTES = 8192, 250_000, 1 << 22
 _RANGES, _FULL = 6, 255
 
 

@@ -12,12 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows of an Arrow batch: texts may be long, and a Python worker holds a batch and what it makes of it.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch: texts may be long, and a Python worker holds a batch and what it makes of it.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to BATCH_ROWS, for operators whose rows are whole texts."""
+    """Lower the session's Arrow batch size to BATCH_ROWS and BATCH_BYTES, for operators whose rows are whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
