@@ -22,10 +22,9 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
    by a product of incidence matrices.  A pair of parts returns a spanning forest of its links, not all pairs.
 7. Connected components of the forests and the classes.
 
-Document frequencies come from all documents, as sums of the counts of tokens that occur more than once in a block of
-``BLOCK_TOKENS`` tokens (a token of many documents does so in some block, and one that never does is rare).  They only
-order the tokens, so neither that nor the size of the table that travels with the tasks (the less frequent powers of
-two are left out, so that it has at most ``FREQUENT_TOKENS`` entries, 5 MB) has any effect on the result.
+Document frequencies are counted over all documents.  They only order the tokens, so the table of frequent ones that
+travels with the tasks may leave out the less frequent powers of two, so that it has at most ``FREQUENT_TOKENS`` entries
+(5 MB), without any effect on the result.
 
 Null or wordless texts have no shingles and link with nothing; a text of fewer than k words is one shingle of all its
 words.  Rows with a null doc_id link with nothing and have a null component.  Repeated rows come back each; a doc_id
@@ -47,7 +46,7 @@ from pixelloom.llm.components import components
 from pixelloom.llm.storage import drop, save
 
 WORDS, PERCENT = 5, 80
-#: A token with at least so many repeats is looked up as frequent.
+#: A token in at least so many documents is looked up as frequent.
 FREQUENT = 8
 FREQUENT_TOKENS = 500_000
 BLOCK_TOKENS = 1_000_000
@@ -134,16 +133,16 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, sorted, and the power of two of their frequency.
+    """Tokens that many documents hold, sorted, and the power of two of their document frequency.
 
     Probes are the first tokens by hash, so frequencies are counted for the lower part of the hash range, three times
-    as large as a probe set.
+    as large as a probe set.  Counts are summed in blocks of tokens before they are shuffled.
     """
     top = np.uint64(min(2**64 - 1, 3 * (100 - percent) * 2**64 // 100))
 
-    def repeats(block: list[np.ndarray]) -> pa.RecordBatch:
+    def summed(block: list[np.ndarray]) -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(block), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
@@ -152,10 +151,10 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
                 block.append(u[: np.searchsorted(u, top)])
                 held += len(block[-1])
                 if held >= BLOCK_TOKENS:
-                    yield repeats(block)
+                    yield summed(block)
                     block, held = [], 0
         if block:
-            yield repeats(block)
+            yield summed(block)
 
     counted = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     often = save(counted.where(F.col("n") >= FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("power")), "frequent")
