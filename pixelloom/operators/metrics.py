@@ -7,22 +7,46 @@ from pyspark.sql import functions as F
 
 
 def nearest_rank(column: str, share: float) -> Column:
-    """The smallest value with at least the share of all values at or below it."""
+    """The smallest value with at least the share of all values at or below it.
+
+    Keeps the distinct values of a group in one buffer, so it is for small groups; for others see :func:`nearest_ranks`.
+    """
     return F.expr(f"percentile_disc({share}) within group (order by {column})")
 
 
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """_k (a struct of the keys, so that null keys join) and the nearest rank of each share by its name; nulls do not count.
+
+    Equal values are counted before they are shuffled, then summed by range of values (64 for a doubling).  Only ranges
+    that hold a wanted rank are sorted, each by itself, so that a group of most rows is not the work of one task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("_k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    place = F.when(F.isnan("v"), F.lit(2**63 - 1)).otherwise(F.signum("v").cast("long") * F.floor(F.log2(F.abs("v") + 1) * 64))
+    counted = counted.withColumn("place", place)
+    group = Window.partitionBy("_k")
+    sums = counted.groupBy("_k", "place").agg(F.sum("n").alias("n"))
+    sums = sums.select("_k", "place", (F.sum("n").over(group.orderBy("place")) - F.col("n")).alias("before"), "n", F.sum("n").over(group).alias("total"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), (F.col("total") * share).alias("rank")) for name, share in shares.items()))
+    wanted = sums.select("_k", "place", "before", "n", F.explode(wanted).alias("w")).where("before < w.rank and w.rank <= before + n").select("_k", "place", "w.name", (F.col("w.rank") - F.col("before")).alias("rank"))
+    asked = counted.join(wanted.select("_k", "place").distinct(), ["_k", "place"])
+    summed = asked.select("_k", "place", "v", F.sum("n").over(Window.partitionBy("_k", "place").orderBy("v")).alias("upto"))
+    return summed.join(wanted, ["_k", "place"]).where("upto >= rank").groupBy("_k").agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+
+
 def run_stats(runs: DataFrame, keys: list[str], value: str = "ms") -> DataFrame:
     """Count, min, mean, median, p95, max, population deviation, CV (0 for a mean of 0) and outliers of each group.
 
     Outliers lie beyond 1.5 interquartile ranges of the nearest-rank quartiles; there are none if that range is 0.
     """
-    q = {name: nearest_rank(value, share) for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("p95", 0.95))}
-    base = runs.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("stddev"), *(c.alias(n) for n, c in q.items()))
+    rows = runs.withColumn("_k", F.struct(*keys))
+    ranks = nearest_ranks(runs, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95})
+    base = rows.groupBy("_k").agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("stddev"))
     fence = (F.col("q3") - F.col("q1")) * 1.5
     beyond = (F.col("q3") > F.col("q1")) & ((F.col(value) < F.col("q1") - fence) | (F.col(value) > F.col("q3") + fence))
-    outliers = runs.join(base.select(*keys, "q1", "q3"), keys).groupBy(*keys).agg(F.count_if(beyond).alias("outliers"))
+    outliers = rows.select("_k", value).join(ranks.select("_k", "q1", "q3"), "_k").groupBy("_k").agg(F.count_if(beyond).alias("outliers"))
     cv = F.when(F.col("mean") == 0, 0.0).otherwise(F.col("stddev") / F.col("mean"))
-    return base.join(outliers, keys).select(*keys, "n", "min", "mean", "median", "p95", "max", "stddev", cv.alias("cv"), "outliers")
+    every = base.join(ranks, "_k", "left").join(outliers, "_k", "left")
+    return every.select("_k.*", "n", "min", "mean", "median", "p95", "max", "stddev", cv.alias("cv"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
 def timing_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +57,10 @@ def timing_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
     parts = samples.select(*keys, "seq", F.explode("timings").alias("t")).select(*keys, "seq", "t.name", "t.ms")
     every = parts.unionByName(samples.select(*keys, "seq", F.lit("total").alias("name"), F.col("total_ms").alias("ms")))
     finite = every.where(~F.isnan("ms") & (F.abs("ms") < float("inf"))).withColumn("ms", F.greatest(F.lit(0.0), "ms"))
-    return finite.groupBy(*keys, "name").agg(F.count("*").alias("n"), F.max_by("ms", "seq").alias("latest"), F.avg("ms").alias("average"), *(nearest_rank("ms", p / 100).alias(f"p{p}") for p in (95, 98, 99)))
+    by = [*keys, "name"]
+    base = finite.groupBy(F.struct(*by).alias("_k")).agg(F.count("*").alias("n"), F.max_by("ms", "seq").alias("latest"), F.avg("ms").alias("average"))
+    ranks = nearest_ranks(finite, by, "ms", {f"p{p}": p / 100 for p in (95, 98, 99)})
+    return base.join(ranks, "_k").select("_k.*", "n", "latest", "average", "p95", "p98", "p99")
 
 
 def summary_order(summary: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions.text import clean_name, normalize_hex
+from pixelloom.sources.palettes import DEFAULT_NAME
 
 VISIBLE = "kind <> 'transparent' and r is not null"
 
@@ -131,23 +132,50 @@ def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return numbered.join(free.withColumn("k", F.col("at") + 1), ["name", "k"]).select("seq", "name", "unique_name")
 
 
-def edit(palette: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def create(palette: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The palettes and a new one of only Transparent for each wanted (seq, name), under the first free form of its name."""
+    taken = palette.select(F.col("palette_name").alias("name")).distinct()
+    empty = {"ord": F.lit(0), "key": F.lit("transparent"), "name": F.lit("Transparent"), "kind": F.lit("transparent"), "tags": F.lit(None).cast("array<string>")}
+    new = unique_names(wanted, taken).select(F.col("unique_name").alias("palette_name"), *(empty.get(c, F.lit(None).cast("int")).alias(c) for c in ("ord", "key", "name", "kind", "r", "g", "b", "tags")))
+    return palette.select(*new.columns).unionByName(new)
+
+
+def delete(palette: DataFrame, names: DataFrame, builtin: tuple[str, ...] = (DEFAULT_NAME,)) -> tuple[DataFrame, DataFrame]:
+    """The palettes without those named (palette_name), and the names that are rejected: built-in or unknown ones."""
+    custom = palette.where(~F.col("palette_name").isin(*builtin)).select("palette_name").distinct()
+    rejected = names.distinct().join(custom, "palette_name", "left_anti").select("palette_name", F.lit("not a custom palette").alias("reason"))
+    return palette.join(names.join(custom, "palette_name", "left_semi"), "palette_name", "left_anti"), rejected
+
+
+def edit(palette: DataFrame, edits: DataFrame, builtin: tuple[str, ...] = (DEFAULT_NAME,)) -> tuple[DataFrame, DataFrame]:
     """Apply edits (palette_name, action, key, new_key, name) to custom palettes.
 
-    ``delete`` drops a colour, ``recolor`` gives it a new hex key (and name, if given), ``add`` appends one.  Returns the
-    edited palettes and the rejected edits with a reason; new visible colours are of kind custom.
+    ``delete`` drops a colour, ``recolor`` gives it a new hex key (and name, if given), ``add`` appends one; Transparent
+    goes behind what is added.  Returns the edited palettes and the rejected edits with a reason; new visible colours are
+    of kind custom.  All edits are judged against the palette as it was.  Built-in palettes and Transparent stay; of
+    several edits of one colour, or to one new key, the first by action and key is taken; additions stop at 256 colours.
     """
-    known = palette.select("palette_name", "key", F.lit(True).alias("_known"))
-    hexed = normalize_hex(F.col("new_key"))
-    checked = edits.withColumn("new_key", hexed).join(known, ["palette_name", "key"], "left")
-    clash = checked.join(palette.select("palette_name", F.col("key").alias("new_key"), F.lit(True).alias("_clash")), ["palette_name", "new_key"], "left")
-    reason = (
-        F.when(~F.col("action").isin("add", "recolor", "delete"), "unknown action")
-        .when((F.col("action") != "add") & F.col("_known").isNull(), "no such color")
-        .when((F.col("action") != "delete") & F.col("new_key").isNull(), "invalid color")
-        .when((F.col("action") != "delete") & F.col("_clash").isNotNull() & ~F.col("key").eqNullSafe(F.col("new_key")), "duplicate color")
+    known = palette.groupBy("palette_name", "key").agg(F.max("kind").alias("_known"))
+    taken = known.select("palette_name", F.col("key").alias("new_key"), F.lit(True).alias("_clash"))
+    sizes = palette.groupBy("palette_name").agg(F.count("*").alias("_size"))
+    checked = edits.withColumn("new_key", normalize_hex(F.col("new_key"))).join(known, ["palette_name", "key"], "left").join(taken, ["palette_name", "new_key"], "left").join(sizes, "palette_name", "left")
+    adds, deletes = F.col("action") == "add", F.col("action") == "delete"
+    alone = (
+        F.when(F.col("palette_name").isin(*builtin), "built-in palette")
+        .when(F.col("_size").isNull(), "no such palette")
+        .when(~F.col("action").isin("add", "recolor", "delete"), "unknown action")
+        .when(~adds & F.col("_known").isNull(), "no such color")
+        .when(~adds & (F.col("_known") == "transparent"), "transparent color")
+        .when(~deletes & F.col("new_key").isNull(), "invalid color")
+        .when(~deletes & F.col("_clash").isNotNull() & ~F.col("key").eqNullSafe(F.col("new_key")), "duplicate color")
     )
-    judged = clash.select("palette_name", "action", "key", "new_key", "name", reason.alias("reason"))
+    turn = lambda what: F.row_number().over(Window.partitionBy("palette_name", what, F.col("_alone").isNull()).orderBy("action", "key", "name"))
+    turns = checked.withColumn("_alone", alone).withColumns({"_of": turn(F.when(~adds, F.col("key"))), "_to": turn(F.when(~deletes, F.col("new_key")))})
+    among = F.coalesce("_alone", F.when(~adds & (F.col("_of") > 1), "edited twice").when(~deletes & (F.col("_to") > 1), "duplicate color"))
+    fit = turns.withColumn("_among", among)
+    place = F.row_number().over(Window.partitionBy("palette_name", adds & F.col("_among").isNull()).orderBy("new_key"))
+    reason = F.coalesce("_among", F.when(adds & (F.col("_size") + F.col("_place") > schemas.MAX_COLORS), "too many colors"))
+    judged = fit.withColumn("_place", place).select("palette_name", "action", "key", "new_key", "name", reason.alias("reason"))
     good = judged.where("reason is null")
     gone = good.where("action = 'delete'").select("palette_name", "key")
     changed = good.where("action = 'recolor'").select("palette_name", "key", F.col("new_key").alias("_key"), F.col("name").alias("_name"))
@@ -168,7 +196,10 @@ def edit(palette: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
         *(F.conv(F.substring("new_key", at, 2), 16, 10).cast("int").alias(c) for c, at in zip("rgb", (2, 4, 6), strict=True)),
         F.lit(None).cast("array<string>").alias("tags"),
     )
-    return renumber(edited.unionByName(added)), judged.where("reason is not null")
+    grown = added.groupBy("palette_name").agg(F.max("ord").alias("_end"))
+    behind = F.when((F.col("kind") == "transparent") & F.col("_end").isNotNull(), F.col("_end") + 1 + F.col("ord")).otherwise(F.col("ord"))
+    every = edited.unionByName(added).join(grown, "palette_name", "left").withColumn("ord", behind).drop("_end")
+    return renumber(every), judged.where("reason is not null")
 
 
 def duplicate(palette: DataFrame, name: str, new_name: str) -> DataFrame:

@@ -171,6 +171,22 @@ def u4_edit_colors(spark, sf_dir):
     return P.edit(p, edits)[0].select("palette_name", "ord", "key", "kind")
 
 
+@register("u4_create_palettes", f"WITH {fx.PART_PALETTES} SELECT palette_name, ord, key, kind FROM part_palettes UNION ALL SELECT DISTINCT palette_name || ' 2', 0, 'transparent', 'transparent' FROM part_palettes")
+def u4_create_palettes(spark, sf_dir):
+    """A new palette is wanted under the name of every palette."""
+    p = fx.part_palettes(spark, sf_dir)
+    wanted = p.groupBy("palette_name").agg(F.min(F.xxhash64("palette_name")).alias("seq")).select("seq", F.col("palette_name").alias("name"))
+    return P.create(p, wanted).select("palette_name", "ord", "key", "kind")
+
+
+@register("u4_delete_palettes", f"WITH {fx.PART_PALETTES} SELECT palette_name, ord, key FROM part_palettes WHERE palette_name NOT IN (SELECT palette_name FROM part_palettes GROUP BY palette_name HAVING count(*) % 2 = 0)")
+def u4_delete_palettes(spark, sf_dir):
+    """Palettes of an even number of colours, and the built-in one, are to go."""
+    p = fx.part_palettes(spark, sf_dir)
+    even = p.groupBy("palette_name").agg(F.count("*").alias("n")).where("n % 2 = 0").select("palette_name")
+    return P.delete(p, even.unionByName(spark.range(1).select(F.lit("Default").alias("palette_name"))))[0].select("palette_name", "ord", "key")
+
+
 @register("u5_set_enabled", f"WITH {fx.STATED} SELECT palette_name, ord, NOT enabled AS inverted, CASE WHEN r IS NOT NULL AND r < 128 THEN bool_or(NOT enabled) FILTER (r < 128) OVER (PARTITION BY palette_name) ELSE enabled END AS toggled FROM stated")
 def u5_set_enabled(spark, sf_dir):
     """All inverted; and the darker half toggled together."""

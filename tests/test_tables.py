@@ -37,12 +37,47 @@ def test_palette_files_round_trip(spark, tmp_path):
     assert back.where("error is not null").count() == 0
 
 
+EDITS = "palette_name string, action string, key string, new_key string, name string"
+
+
 def test_edits_are_rejected_with_a_reason(spark):
+    p = palette.duplicate(palettes.default_palette(spark), "Default", "Copy").unionByName(palettes.default_palette(spark))
+    edits = [("Copy", "add", None, "#010203", "New"), ("Copy", "add", None, "#000000", None), ("Copy", "delete", "#123456", None, None), ("Copy", "recolor", "#787878", "nope", None), ("Copy", "paint", "#787878", "#111111", None)]
+    edits += [("Copy", "add", None, "#010203", "Twin"), ("Copy", "delete", "transparent", None, None), ("Default", "add", None, "#010203", None), ("None", "delete", "#000000", None, None)]
+    edited, rejected = palette.edit(p, spark.createDataFrame(edits, EDITS))
+    rows = edited.where("palette_name = 'Copy'").orderBy("ord").collect()
+    assert [r["ord"] for r in rows] == list(range(65)) and rows[-1]["key"] == "transparent" and (rows[-2]["key"], rows[-2]["name"]) == ("#010203", "New")
+    assert edited.where("palette_name = 'Default'").count() == 64
+    assert sorted(r["reason"] for r in rejected.collect()) == ["built-in palette", "duplicate color", "duplicate color", "invalid color", "no such color", "no such palette", "transparent color", "unknown action"]
+
+
+def test_one_edit_of_a_color_and_at_most_256(spark):
+    p = palette.duplicate(palettes.default_palette(spark), "Default", "Copy")
+    edits = [("Copy", "recolor", "#787878", "#010101", None), ("Copy", "recolor", "#787878", "#010102", None), ("Copy", "delete", "#000000", None, None), ("Copy", "recolor", "#000000", "#010103", None)]
+    edited, rejected = palette.edit(p, spark.createDataFrame(edits, EDITS))
+    assert edited.count() == 63 and sorted(r["reason"] for r in rejected.collect()) == ["edited twice", "edited twice"]
+    many = spark.createDataFrame([("Copy", "add", None, f"#0102{i:02x}", None) for i in range(200)], EDITS)
+    edited, rejected = palette.edit(p, many)
+    assert edited.count() == 256 and {(r["reason"], r["new_key"] >= "#0102C0") for r in rejected.collect()} == {("too many colors", True)}
+
+
+def test_create_and_delete_palettes(spark):
     p = palettes.default_palette(spark)
-    edits = spark.createDataFrame([("Default", "add", None, "#010203", "New"), ("Default", "add", None, "#000000", None), ("Default", "delete", "#123456", None, None), ("Default", "recolor", "#787878", "nope", None), ("Default", "paint", "#787878", "#111111", None)], "palette_name string, action string, key string, new_key string, name string")
-    edited, rejected = palette.edit(p, edits)
-    assert edited.count() == 65
-    assert sorted(r["reason"] for r in rejected.collect()) == ["duplicate color", "invalid color", "no such color", "unknown action"]
+    both = palette.create(p, spark.createDataFrame([(1, "Default"), (2, "Mine")], "seq long, name string"))
+    new = both.where("palette_name != 'Default'").collect()
+    assert sorted((r["palette_name"], r["ord"], r["key"]) for r in new) == [("Default 2", 0, "transparent"), ("Mine", 0, "transparent")]
+    kept, rejected = palette.delete(both, spark.createDataFrame([("Default",), ("Mine",), ("Nothing",)], "palette_name string"))
+    assert {r["palette_name"] for r in kept.collect()} == {"Default", "Default 2"}
+    assert {r["palette_name"] for r in rejected.collect()} == {"Default", "Nothing"}
+
+
+def test_nearest_ranks_are_the_percentiles(spark):
+    values = [(k, float(v)) for k in ("a", None) for v in (-1e9, -3, -0.5, 0, 0, 0.5, 3, 3, 3, 1e9, "nan", "inf")] + [("b", None), ("c", 7.0)]
+    rows = spark.createDataFrame(values, "k string, ms double")
+    shares = {f"q{int(s * 100)}": s for s in (0.01, 0.25, 0.5, 0.75, 0.95, 1.0)}
+    got = metrics.nearest_ranks(rows, ["k"], "ms", shares).select("_k.k", *shares)
+    want = rows.where("ms is not null").groupBy("k").agg(*(metrics.nearest_rank("ms", s).alias(n) for n, s in shares.items()))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_duplicate_and_violations(spark):
