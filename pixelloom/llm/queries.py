@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, licenses, quality, toxicity, urlfilter
+from pixelloom.llm import bpe, chat, decontam, embeddings, jaccard_join, langid, licenses, mixing, periodic, quality, spelling, toxicity, urlfilter
 from pixelloom.llm.storage import short_batches
 
 
@@ -80,6 +80,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return spelling.variants(spelling.vocabulary(docs, delete_every=199))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which a tenth of the documents repeat a stretch of words to their end."""
+    text = F.col("text").cast("string")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", text.alias("text"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    rows = rows.withColumn("n", F.greatest(F.coalesce(F.size("words"), F.lit(0)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0L, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(_with_periods(table(spark, sf_dir, "documents")))
+    longest = F.expr("try_element_at(array_sort(runs, (a, b) -> case when a.length != b.length then if(a.length > b.length, -1, 1) when a.start != b.start then if(a.start < b.start, -1, 1) when a.period != b.period then if(a.period < b.period, -1, 1) else 0 end), 1)")
+    rows = found.select("doc_id", "runs", "collapsed", longest.alias("best"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op1_ngram_jaccard_links": op1_ngram_jaccard_links,
@@ -92,8 +129,26 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_mixing": op13_source_mixing,
 }
 
+
+
+def _crc32_table() -> list[int]:
+    """The remainders of all bytes by the polynomial of CRC-32."""
+    rows = list(range(256))
+    for _ in range(8):
+        rows = [r >> 1 ^ (0xEDB88320 if r & 1 else 0) for r in rows]
+    return rows
+
+
+#: CRC-32 of a list of bytes.
+_CRC = f"xor(list_reduce({{}}, lambda h, b: xor(list_extract({_crc32_table()}::BIGINT[], (xor(h, b) & 255) + 1), h >> 8), 4294967295::BIGINT), 4294967295)"
+#: UTF-8 bytes of a string of code points below 0x800.
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + ord(c) % 64]::BIGINT[] END))"
+
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')"
 
 _SPREAD = "(sum((bad - n * mean) * (bad - n * mean) - n * mean * (1 - mean)) / nullif(sum(n * (n - 1) * mean * (1 - mean)), 0))"
@@ -142,6 +197,43 @@ ORACLE_SQL: dict[str, str] = {
         found AS (SELECT doc_id, item_id, count(*) AS n_found FROM item_rows JOIN doc_rows USING (k, shingle) GROUP BY ALL)
         SELECT doc_id, item_id, n_found, n_item, n_found / n_item AS containment FROM found JOIN sizes USING (item_id) WHERE 10 * n_found >= 8 * n_item""",
     "op3_license_scan": licenses.oracle_sql(),
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE found AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+        counted AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY ALL),
+        hashed AS (SELECT run, n, {_CRC.format(_BYTES.format("doc_id || ':' || run"))} AS h FROM counted),
+        words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+        without AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place, left(word, place - 1) || substr(word, place + 1) AS rest FROM words),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.place = b.place AND a.word != b.word
+            UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+        best AS (SELECT word, count(*) AS n_near, max(other_n) AS best_n, arg_min(other, (-other_n, other)) AS best FROM near GROUP BY word),
+        formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM words LEFT JOIN best USING (word)),
+        chain AS (SELECT word, word AS root, 0 AS step FROM formed UNION ALL SELECT chain.word, form, step + 1 FROM chain JOIN formed ON formed.word = root WHERE form IS NOT NULL),
+        last AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)""",
+    "op13_source_mixing": """
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                (('0x' || left(md5(coalesce(doc_id::VARCHAR, 'null')), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+        named AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
+        rates AS (
+            SELECT (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (full_first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (full_first ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS rate
+            FROM named WINDOW full_first AS (ORDER BY source_size / weight, source)),
+        aimed AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * (SELECT max(rate) FROM rates)) AS target FROM named),
+        wanted AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::BIGINT ELSE 0 END AS whole FROM aimed),
+        ranked AS (
+            SELECT doc_id, source, size, coalesce(sum(size) OVER (
+                PARTITION BY source ORDER BY CASE WHEN size > 0 THEN u / (1 - u) / (size / (size + 32)) END NULLS FIRST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM sized)
+        SELECT doc_id, ranked.source, size, source_size, target,
+            (whole * size + greatest(0, least(size, round(target)::BIGINT - whole * source_size - before)))::BIGINT AS taken,
+            CASE WHEN size > 0 THEN taken // size ELSE 0 END AS copies
+        FROM ranked JOIN wanted ON ranked.source IS NOT DISTINCT FROM wanted.source""",
     "op6_embedding_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
