@@ -1,12 +1,15 @@
 """Vectorised tokenising and shingle hashing over Arrow string buffers.
 
 Words are hashed straight from the UTF-8 bytes of a record batch: a prefix sum of ``value[byte] * BASE**i`` gives
-the polynomial hash of every word in a few numpy passes, without a Python object per word.  Hashes are 64-bit.
+the polynomial hash of every word in a few numpy passes, without a Python object per word.  Polynomials modulo 2**64
+agree on long words of a certain build (such as a Thue-Morse word and its complement) for every base, so words of more
+than ``SHORT`` bytes are hashed by BLAKE2 instead.  Hashes are 64-bit.
 Batches are cut into slices of whole documents of about ``SLICE_BYTES`` so that the temporaries stay small.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
+SHORT = 24
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C17  # odd, 3 mod 4
 _WORD_SALT = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
@@ -118,6 +122,8 @@ def words(doc_start: np.ndarray, raw: np.ndarray, table: np.ndarray = SPACES, fo
     total = np.zeros(n + 1, _U)
     np.cumsum(_BYTE_VALUE[data] * up[:n], out=total[1:])
     h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(_U))
+    for i in np.flatnonzero(end - start > SHORT):
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return Words(data, doc_start, start, end, h, np.searchsorted(start, doc_start))
 
 

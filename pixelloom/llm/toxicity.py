@@ -16,6 +16,9 @@ a logistic model, whose prior weights are those of the grammar, is fitted on a b
 Besides the written word list, words that occur in labelled toxic documents and hardly elsewhere, by a lower bound of
 that share, join the insults; there is no cap on them.
 
+Learning and scoring read the same plain form of a text: lower case, typographic quotation marks, apostrophes, dashes
+and sentence marks as their ASCII forms, other signs as spaces.  Words are the runs of what is left, of any length.
+
 Scoring is map-only.  Null, empty and wordless texts take no arcs and have the base score.  Repeated rows are scored
 each, rows with a null doc_id too; of a doc_id with several texts, the smallest is learned from.  Other columns,
 whatever their names, are never read for the score and pass through :func:`reject_toxic` unchanged.  Texts of any
@@ -29,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ NEAR = 3
 LEXICON = {
     "insult": "idiot idiots moron morons stupid dumb loser losers scum trash garbage clown clowns worthless pathetic disgusting imbecile imbeciles cretin dimwit halfwit nitwit fool fools scumbag scumbags dirtbag lowlife vermin filth filthy pig pigs parasite parasites subhuman degenerate degenerates freak freaks creep creeps jerk jerks bastard bastards bitch bitches whore whores slut sluts asshole assholes dickhead shithead moronic idiotic retard retarded brainless spineless gutless repulsive vile despicable contemptible hypocrite liar liars coward cowards blockhead dunce dullard simpleton numbskull bonehead knucklehead airhead nobody's-fool wretch wretches rat rats snake snakes leech leeches maggot maggots cockroach cockroaches swine weasel weasels sleazebag scoundrel crook crooks traitor traitors thug thugs monster monsters pervert perverts psycho lunatic nutjob crackpot quack fraud frauds phony charlatan sissy wimp pussy cunt cunts twat prick pricks dick wanker tosser arsehole shit shitty crap crappy bollocks idiota estúpido estúpida imbécil pendejo cabrón gilipollas idiote imbécile connard connasse salaud abruti crétin débile dummkopf idioten arschloch abschaum dreckskerl miststück trottel vollidiot",
     "threat": "kill murder hurt beat stab shoot strangle punch destroy crush slaughter hang burn rape torture smash hunt drown poison behead cripple maim choke gut skin bash bury",
-    "you": "you your you're youre u ya yourself yourselves du ihr dich euch tu vous toi tú vosotros usted",
+    "you": "you you're youre u ya yourself yourselves du ihr dich euch tu vous toi tú vosotros usted",
     "target": "he she they them him her his their he's she's they're people guys ones everyone",
     "copula": "are is was were be being am re sind ist est son es bist sei seid êtes eres",
     "first": "i we someone somebody ich wir je nous yo",
@@ -219,10 +223,22 @@ _ENDS_CLAUSE[list(b".!?;:,()\"\n\r|")] = True
 _QUOTES[ord('"')] = True
 
 
+#: Signs and their ASCII forms, by regular expression; the last takes all that is neither letter, mark nor digit.
+_PLAIN = (("[“”„‟«»〝〞「」『』]", '"'), ("[‘’‚‛‹›]", "'"), ("[‐‑‒–—―]", "-"), ("…", "..."), ("[。！？；：؟]", "."), (r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " "))
+_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+(?:'[0-9a-z\x{80}-\x{10FFFF}]+)*"
+
+
+def plain(column: pa.Array) -> pa.Array:
+    column = pc.utf8_lower(column)
+    for signs, ascii_form in _PLAIN:
+        column = pc.replace_substring_regex(column, signs, ascii_form)
+    return column
+
+
 def batch_features(grammar: Grammar, column: pa.Array) -> np.ndarray:
     """log2(1 + count) by row and weighted arc."""
     out = np.zeros((len(column), len(ARCS)))
-    for row, end, offsets, raw in T.slices(column):
+    for row, end, offsets, raw in T.slices(plain(column)):
         w = T.words(offsets, raw, T.ALNUM, fold_latin=True, apostrophes=True)
         out[row:end] = np.log2(1 + grammar.arcs(w, raw, end - row))
     return out
@@ -242,11 +258,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     """Fit on labelled (doc_id, toxic) rows; pass only those that may be learned from."""
     ids = logistic.sample_ids(labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), limit)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    bag = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"))).alias("word"))
-    counted = bag.where("word != ''").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+
+    def as_plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([plain(batch.column("text")), batch.column("toxic")], ["text", "toxic"])
+
+    plain_rows = rows.select("text", "toxic").mapInArrow(as_plain, "text string, toxic int")
+    bag = plain_rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).alias("word"))
+    counted = bag.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     mean = (F.col("t") + 0.5) / (F.col("n") + 1)
     low = mean - LEARN_Z * F.sqrt(mean * (1 - mean) / (F.col("n") + 2))
-    learned = sorted(r["word"] for r in counted.where((low >= LEARN_PRECISION) & (F.length("word") > 2)).select("word").collect())  # at most the words of the sample's toxic texts
+    learned = sorted(r["word"] for r in counted.where(low >= LEARN_PRECISION).select("word").collect())  # at most the words of the sample's toxic texts
     grammar = Grammar(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

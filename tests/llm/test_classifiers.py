@@ -212,3 +212,21 @@ def test_quality_of_odd_rows(spark, docs, sf):
     scores = [r["score"] for r in quality.score(docs, model).collect()]
     assert len(scores) == len(ODD) and all(0 <= s <= 1 for s in scores)
     assert quality.score(docs.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("text", ["You are an “idiot”.", "You are an idiot…", "You—idiot", "ты «дурак»", "дурак。", "ДУРАК", "笨蛋", "YOU ARE AN ÍDIOT, an idiot"])
+def test_signs_and_letters_of_other_scripts(text):
+    grammar = toxicity.Grammar(["дурак", "笨蛋"])
+    assert toxicity.batch_features(grammar, pa.array([text]))[0, 0] > 0
+
+
+def test_typographic_quotations_are_reported_speech():
+    plain, curly = (toxicity.batch_features(toxicity.Grammar(), pa.array([t])).tolist() for t in ('"You are an idiot", he said', "“You are an idiot”, he said"))
+    assert plain == curly and plain[0][toxicity.ARCS.index("reported")] > 0
+
+
+def test_short_words_are_learned(spark):
+    docs = [(i, "笨蛋 傻瓜 day" if i % 2 else "a fine day") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert model.learned == ["傻瓜", "笨蛋"]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pixelloom.llm import jaccard_join
+from pixelloom.llm import decontam, jaccard_join
 from pixelloom.llm import text as T
 
 
@@ -190,3 +190,23 @@ def test_a_text_longer_than_a_slice():
     assert len(long) > 2 * T.SLICE_BYTES
     sizes = [len(u) for u in jaccard_join._sets(pa.array(["a b", long, "c d e f"]), 3)]
     assert sizes == [1, 99_998, 2]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [16, 24, 32, 512, 1024, 4096])
+def test_long_words_of_one_build_differ(spark, n):
+    """Such words have one hash under every polynomial modulo 2**64."""
+    a, b = thue_morse(n), thue_morse(n, "ba")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(docs, 3, 90).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"] for r in jaccard_join.keep_one(docs).collect()} == {1, 2}
+    found = decontam.find_items(docs, docs.where("doc_id = 1").withColumnRenamed("doc_id", "item_id"))
+    assert {r["doc_id"] for r in found.collect()} == {1, 3}
+
+
+@given(st.lists(st.text("ab", min_size=20, max_size=200), min_size=2, max_size=20, unique=True))
+def test_words_of_two_letters_have_hashes_of_their_own(words):
+    assert len({T.hash_word(w) for w in words}) == len(words)
