@@ -1,15 +1,23 @@
-"""Error diffusion: a serial scan within an image, parallel over images.
+"""Error diffusion: dependent pixels within an image, parallel over images.
 
 Pixels are packed by image row in the JVM.  Images of one size are dealt into bundles of about ``BUNDLE`` and the
-bundles to the tasks; a task scans the images of a bundle in lockstep, one numpy step for the same pixel of all of them.
-It streams over the rows and holds only those that the kernel reaches: a few image widths for each image of the bundle.
-Colours are first turned into the dither space by Catalyst; the scan keeps its working values in float32.
+bundles to the tasks; a task streams over the rows of its bundle and holds at most ``BLOCK`` of them and those that the
+kernel reaches.  Colours are first turned into the dither space by Catalyst; the scan keeps its working values in float32.
+
+Without serpentine rows a block of rows is scanned as a wavefront: row y runs so many columns behind row y - 1 that all
+errors which it gets have been added before its own, and one numpy step takes a pixel of every row and image.  In
+memory such a front is a strided slice.  With serpentine rows each row waits for the end of the one before, so there a
+step takes the same pixel of all images of the bundle; few images are scanned by plain numbers instead, with the
+answers for byte colours remembered.  Errors to the rows below are added a row at a time.  Every pixel gets its errors
+in the order of a serial scan, so the results are the same bit for bit.
 
 Images are complete rectangles; an image with missing or repeated pixels is an error, found by its count of pixels.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -24,8 +32,12 @@ from pixelloom.operators import dither, match
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch
 
-#: Images that are scanned together.
+#: Images that are scanned together; rows of a wavefront; fewer images are scanned by plain numbers.
 BUNDLE = 64
+BLOCK = 64
+FEW = 6
+#: The 64 byte colours that share their upper six bits.
+_CELL = np.array([(r, g, b) for r in range(4) for g in range(4) for b in range(4)], float)
 
 # Fixed values: (dx, dy, weight) of each kernel, for a scan from left to right.
 KERNELS = {
@@ -35,24 +47,23 @@ KERNELS = {
 }
 
 
-def nearest_to(vectors: np.ndarray, space: str) -> Callable[[np.ndarray], np.ndarray]:
-    """A function from vectors (n x 3) to the position of the nearest colour of each, the first of equals."""
-    p = np.asarray(vectors, float)
+def squared_distance(a: Sequence[np.ndarray], b: Sequence[np.ndarray], space: str) -> np.ndarray:
+    """Squared distance of colours given by their three coordinates, which broadcast."""
+    d = [x - y for x, y in zip(a, b, strict=True)]
+    if space == "weighted-rgb":
+        red = (a[0] + b[0]) / 2
+        return (2 + red / 256) * d[0] ** 2 + 4 * d[1] ** 2 + (2 + (255 - red) / 256) * d[2] ** 2
+    if space == "oklch":
+        apart = np.abs(d[2])
+        turn = np.minimum(a[1], b[1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
+        return d[0] ** 2 + d[1] ** 2 + turn**2
+    return d[0] ** 2 + d[1] ** 2 + d[2] ** 2
 
-    def find(v: np.ndarray) -> np.ndarray:
-        d = v[:, None, :] - p[None]
-        if space == "weighted-rgb":
-            red = (v[:, None, 0] + p[None, :, 0]) / 2
-            far = (2 + red / 256) * d[..., 0] ** 2 + 4 * d[..., 1] ** 2 + (2 + (255 - red) / 256) * d[..., 2] ** 2
-        elif space == "oklch":
-            apart = np.abs(d[..., 2])
-            turn = np.minimum(v[:, None, 1], p[None, :, 1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
-            far = d[..., 0] ** 2 + d[..., 1] ** 2 + turn**2
-        else:
-            far = d[..., 0] ** 2 + d[..., 1] ** 2 + d[..., 2] ** 2
-        return far.argmin(1)
 
-    return find
+def nearest_to(vectors: np.ndarray, space: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from vectors (n x 3) to the position of the nearest colour of each, the first of equals."""
+    p = tuple(np.asarray(vectors, float).T)
+    return lambda v: squared_distance(tuple(v[:, k, None] for k in range(3)), p, space).argmin(1)
 
 
 def byte_vectors(v: np.ndarray, space: str) -> np.ndarray:
@@ -93,39 +104,130 @@ class Scan:
 
     def __post_init__(self):
         self.depth = max(dy for _, dy, _ in self.kernel)
+        self.ahead = [(dx, weight) for dx, dy, weight in sorted(self.kernel, reverse=True) if dy == 0]
+        self.below = [tap for tap in sorted(self.kernel, reverse=True) if tap[1] > 0]  # a pixel gets the error of the farthest dx first
+        self.reach = max(abs(dx) for dx, _, _ in self.kernel)
+        #: Columns that a row is behind the row above: its last error comes no later than the first of the row's own.
+        self.lag = max(-dx for dx, _, _ in self.below) + max(dx for dx, _ in self.ahead)
+        self.nearest = nearest_to(self.vectors, self.space)
+        self.points = tuple(self.vectors.T)
+        self.remembered: dict[int, bytes] = {}  # the nearest of 64 byte colours by their upper bits
 
     def add(self, y: int, images: list, work: np.ndarray, clear: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
         """Take row y of all images of the bundle: work is images x width x 3, clear and mask are images x width."""
         if y == 0:
             yield from self.finish()
         self.window.append((y, images, work, clear, mask * self.strength))
-        if len(self.window) > self.depth:
-            yield self._next()
+        if len(self.window) >= self.depth + (1 if self.serpentine else BLOCK):
+            yield from self._scan(len(self.window) - self.depth)
 
     def finish(self) -> Iterator[tuple]:
-        while self.window:
-            yield self._next()
-
-    def _next(self) -> tuple:
-        y, images, work, clear, share = self.window[0]
-        nearest, width = nearest_to(self.vectors, self.space), work.shape[1]
-        below = [w[2] for w in self.window]
-        idx = np.full(clear.shape, self.masked, np.int32)
-        reverse = self.serpentine and y % 2 == 1
-        for x in range(width - 1, -1, -1) if reverse else range(width):
+        if self.window:
+            yield from self._scan(len(self.window))
+
+    def _scan(self, n: int) -> Iterator[tuple]:
+        """The first n rows of the window."""
+        todo = self.window[:n]
+        if not self.serpentine:
+            yield from zip((y for y, *_ in todo), (images for _, images, *_ in todo), self._front(n), strict=True)
+            self.window = self.window[n:]
+            return
+        for y, images, *_ in todo:
+            yield y, images, self._row(y % 2 == 1)
+            self.window.pop(0)
+
+    def _chosen(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Working values (n x 3) as they are matched, and the places of their nearest colours."""
+        v = v.astype(np.float64)
+        if self.as_bytes:
+            v = np.clip(np.floor(v + 0.5), 0, 255)
+        return v, self.nearest(byte_vectors(v, self.space) if self.as_bytes else v)
+
+    def _front(self, n: int) -> list[np.ndarray]:
+        """Indices of the first n rows by a wavefront; leaves the errors in the rows below."""
+        _, images, first, *_ = self.window[0]
+        m, width, pad = len(images), first.shape[1], self.reach
+        stride, rows = width + 2 * pad, len(self.window) + self.depth
+        work = np.zeros((m, rows * stride, 3), np.float32)
+        clear, share, idx = np.ones((m, rows * stride), bool), np.zeros((m, rows * stride)), np.full((m, rows * stride), self.masked, np.int32)
+        for j, (_, _, w, c, s) in enumerate(self.window):
+            own = slice(j * stride + pad, j * stride + pad + width)
+            work[:, own], clear[:, own], share[:, own] = w, c, s
+        step = stride - self.lag
+        taps = [(dy * stride + dx, weight) for dx, dy, weight in sorted(self.kernel, key=lambda tap: -tap[1])]  # rows above come first
+        for t in range(width + self.lag * (n - 1)):
+            top, bottom = max(0, -(-(t - width + 1) // self.lag)), min(n - 1, t // self.lag)
+            start, count = pad + t + top * step, bottom - top + 1
+            at = lambda shift, start=start, count=count: slice(start + shift, start + shift + (count - 1) * step + 1, step)
+            seen = ~clear[:, at(0)]
+            v, k = self._chosen(work[:, at(0)].reshape(-1, 3))
+            idx[:, at(0)] = np.where(seen, self.ords[k].reshape(m, count), self.masked)
+            error = np.where(seen[..., None], (v - self.targets[k]).reshape(m, count, 3), 0.0)
+            here = share[:, at(0)]
+            for shift, weight in taps:
+                work[:, at(shift)] += error * (weight * here)[..., None]
+        for j in range(n, len(self.window)):
+            self.window[j][2][:] = work[:, j * stride + pad : j * stride + pad + width]
+        return [idx[:, j * stride + pad : j * stride + pad + width] for j in range(n)]
+
+    def _row(self, reverse: bool) -> np.ndarray:
+        """Indices of the first row of the window; adds its errors to the rows below."""
+        _, images, work, clear, share = self.window[0]
+        if reverse:
+            work, clear, share = work[:, ::-1], clear[:, ::-1], share[:, ::-1]
+        idx, error = (self._by_numbers if len(images) < FEW else self._in_lockstep)(work, clear, share)
+        width = work.shape[1]
+        for dx, dy, weight in self.below:
+            if dy < len(self.window):
+                row = self.window[dy][2][:, ::-1] if reverse else self.window[dy][2]
+                source, to = slice(max(0, -dx), width - max(0, dx)), slice(max(0, dx), width + min(0, dx))
+                row[:, to] += error[:, source] * (weight * share[:, source])[..., None]
+        return idx[:, ::-1] if reverse else idx
+
+    def _in_lockstep(self, work: np.ndarray, clear: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices and errors of a row from left to right, the same pixel of all images at once."""
+        m, width, _ = work.shape
+        work, idx, error = work.copy(), np.full((m, width), self.masked, np.int32), np.zeros((m, width, 3))
+        for x in range(width):
             seen = ~clear[:, x]
-            v = work[:, x].astype(np.float64)
-            if self.as_bytes:
-                v = np.clip(np.floor(v + 0.5), 0, 255)
-            k = nearest(byte_vectors(v, self.space) if self.as_bytes else v)
+            v, k = self._chosen(work[:, x])
             idx[seen, x] = self.ords[k[seen]]
-            error = np.where(seen[:, None], v - self.targets[k], 0.0)
-            for dx, dy, weight in self.kernel:
-                at = x - dx if reverse else x + dx
-                if dy < len(below) and 0 <= at < width:
-                    below[dy][:, at] += error * (weight * share[:, x])[:, None]
-        self.window.pop(0)
-        return y, images, idx
+            error[:, x] = np.where(seen[:, None], v - self.targets[k], 0.0)
+            for dx, weight in self.ahead:
+                if x + dx < width:
+                    work[:, x + dx] += error[:, x] * (weight * share[:, x])[:, None]
+        return idx, error
+
+    def _by_numbers(self, work: np.ndarray, clear: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, image by image, without arrays of one element."""
+        m, width, _ = work.shape
+        idx, error = np.full((m, width), self.masked, np.int32), np.zeros((m, width, 3))
+        targets, ords, known = self.targets.tolist(), self.ords.tolist(), self.remembered
+        for i in range(m):
+            a, b, c = (array("f", [*work[i, :, k].tolist(), *[0.0] * self.reach]) for k in range(3))  # rounds what is stored to float32
+            found, out = [self.masked] * width, [(0.0, 0.0, 0.0)] * width
+            for x, (hidden, part) in enumerate(zip(clear[i].tolist(), share[i].tolist(), strict=True)):
+                if hidden:
+                    continue
+                u, v, w = a[x], b[x], c[x]
+                if self.as_bytes:
+                    u, v, w = (min(255, max(0, math.floor(z + 0.5))) for z in (u, v, w))
+                    cell = (u >> 2) << 12 | (v >> 2) << 6 | w >> 2
+                    if cell not in known:
+                        known[cell] = self._chosen(_CELL + (u & 252, v & 252, w & 252))[1].astype(np.uint8).tobytes()
+                    k = known[cell][(u & 3) << 4 | (v & 3) << 2 | w & 3]
+                else:
+                    k = int(squared_distance((u, v, w), self.points, self.space).argmin())
+                p, q, r = targets[k]
+                found[x] = ords[k]
+                out[x] = u, v, w = u - p, v - q, w - r
+                for dx, weight in self.ahead:
+                    weight *= part
+                    a[x + dx] += u * weight
+                    b[x + dx] += v * weight
+                    c[x + dx] += w * weight
+            idx[i], error[i] = found, out
+        return idx, error
 
 
 def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
