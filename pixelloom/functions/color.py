@@ -7,8 +7,9 @@ map names to functions of Columns, so a caller may add a space without touching
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,3 +179,16 @@ DISTANCES: dict[str, Callable[[Triple, Triple], Column]] = {space: euclidean for
 
 def vector(rgb: Triple, space: str) -> Triple:
     return SPACES[space](rgb)
+
+
+def squared_distance(a: Sequence[np.ndarray], b: Sequence[np.ndarray], space: str) -> np.ndarray:
+    """Squared distance of colours given by their three coordinates as arrays, which broadcast."""
+    d = [x - y for x, y in zip(a, b, strict=True)]
+    if space == "weighted-rgb":
+        red = (a[0] + b[0]) / 2
+        return (2 + red / 256) * d[0] ** 2 + 4 * d[1] ** 2 + (2 + (255 - red) / 256) * d[2] ** 2
+    if space == "oklch":
+        apart = np.abs(d[2])
+        turn = np.minimum(a[1], b[1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
+        return d[0] ** 2 + d[1] ** 2 + turn**2
+    return d[0] ** 2 + d[1] ** 2 + d[2] ** 2

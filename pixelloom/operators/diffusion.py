@@ -47,23 +47,10 @@ KERNELS = {
 }
 
 
-def squared_distance(a: Sequence[np.ndarray], b: Sequence[np.ndarray], space: str) -> np.ndarray:
-    """Squared distance of colours given by their three coordinates, which broadcast."""
-    d = [x - y for x, y in zip(a, b, strict=True)]
-    if space == "weighted-rgb":
-        red = (a[0] + b[0]) / 2
-        return (2 + red / 256) * d[0] ** 2 + 4 * d[1] ** 2 + (2 + (255 - red) / 256) * d[2] ** 2
-    if space == "oklch":
-        apart = np.abs(d[2])
-        turn = np.minimum(a[1], b[1]) * np.where(apart > np.pi, 2 * np.pi - apart, apart)
-        return d[0] ** 2 + d[1] ** 2 + turn**2
-    return d[0] ** 2 + d[1] ** 2 + d[2] ** 2
-
-
 def nearest_to(vectors: np.ndarray, space: str) -> Callable[[np.ndarray], np.ndarray]:
     """A function from vectors (n x 3) to the position of the nearest colour of each, the first of equals."""
     p = tuple(np.asarray(vectors, float).T)
-    return lambda v: squared_distance(tuple(v[:, k, None] for k in range(3)), p, space).argmin(1)
+    return lambda v: color.squared_distance(tuple(v[:, k, None] for k in range(3)), p, space).argmin(1)
 
 
 def byte_vectors(v: np.ndarray, space: str) -> np.ndarray:
@@ -217,7 +204,7 @@ class Scan:
                         known[cell] = self._chosen(_CELL + (u & 252, v & 252, w & 252))[1].astype(np.uint8).tobytes()
                     k = known[cell][(u & 3) << 4 | (v & 3) << 2 | w & 3]
                 else:
-                    k = int(squared_distance((u, v, w), self.points, self.space).argmin())
+                    k = int(color.squared_distance((u, v, w), self.points, self.space).argmin())
                 p, q, r = targets[k]
                 found[x] = ords[k]
                 out[x] = u, v, w = u - p, v - q, w - r

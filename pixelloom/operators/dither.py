@@ -1,22 +1,23 @@
 """Quantizing without error diffusion: direct, ordered and random, in bytes or in a colour space.
 
 Everything is a column expression over the pixel, except the noise counter (two-level prefix count) and the adaptive
-mask (an equi-join with the eight neighbours).
+mask (packed image rows in bands with a halo, compared as arrays).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.functions.color import DISTANCES, SPACES, clamp_byte
-from pixelloom.functions.pixel import bayer_threshold, composited, is_transparent, noise, smoothstep
-from pixelloom.operators import match
-from pixelloom.operators.geometry import image_sizes
+from pixelloom.functions.color import SPACES, clamp_byte, squared_distance
+from pixelloom.functions.pixel import bayer_threshold, composited, is_transparent, noise
+from pixelloom.operators import bands, match
 from pixelloom.schemas import EPSILON
 from pixelloom.sources.palettes import Swatch
 
@@ -76,21 +77,68 @@ def random_steps(px: DataFrame, masked: Column) -> DataFrame:
     return flagged.withColumn("_within", within).join(starts, ["image_id", "y"]).withColumn("step", F.when(F.col("_on"), F.col("_before") + F.col("_within"))).drop("_on", "_within", "_before")
 
 
+def smoothed(low: float, high: float, v: np.ndarray) -> np.ndarray:
+    if low == high:
+        return np.where(v >= high, 1.0, 0.0)
+    t = np.clip((v - low) / (high - low), 0.0, 1.0)
+    return t * t * (3.0 - t * 2)
+
+
+def differences(vectors: np.ndarray, radius: int, space: str) -> np.ndarray:
+    """Mean distance of every pixel (rows x width x 3) from its eight neighbours at the radius; places beyond an edge are the edge."""
+    height, width, _ = vectors.shape
+    total = np.zeros((height, width))
+    for dx in (-radius, 0, radius):  # the order of the sums is by column, then by row
+        for dy in (-radius, 0, radius):
+            if dx or dy:
+                y, x = np.clip(np.arange(height) + dy, 0, height - 1), np.clip(np.arange(width) + dx, 0, width - 1)
+                around = vectors[y[:, None], x]
+                total += np.nan_to_num(np.sqrt(squared_distance(np.moveaxis(vectors, -1, 0), np.moveaxis(around, -1, 0), space)))
+    return total / 8
+
+
+def band_vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors (rows x width x 3) of a band from its columns y, x, v0, v1 and v2 (lists), and the row and x of each pixel; what is missing is NaN."""
+    y = table["y"].to_numpy()
+    n, x = bands.flat(table["x"])
+    row = np.repeat(y - y.min(), n)
+    out = np.full((int(y.max() - y.min()) + 1, int(x.max()) + 1, 3), np.nan)
+    for k in range(3):
+        out[row, x, k] = bands.flat(table[f"v{k}"])[1]
+    return out, row, x
+
+
+def mask_radius(s: Settings) -> int:
+    return max(1, math.floor(s.radius + 0.5))
+
+
 def adaptive_mask(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:
-    """Adds ``mask`` (0 to 1): how much the colour differs from its eight neighbours at the radius."""
-    radius = max(1, math.floor(s.radius + 0.5))
-    ranges = match.axis_ranges(match.palette_vectors(px.sparkSession, palette, s.color_space))
-    diagonal = max(math.hypot(*ranges), EPSILON)
-    own = px.select("image_id", "y", "x", *(v.alias(f"v{k}") for k, v in enumerate(SPACES[s.color_space](tuple(F.col(c) for c in "rgb")))))
-    offsets = [(dx, dy) for dx in (-radius, 0, radius) for dy in (-radius, 0, radius) if dx or dy]
-    around = own.join(image_sizes(px), "image_id").select(
-        "image_id", "y", "x", *(F.col(f"v{k}").alias(f"c{k}") for k in range(3)), "width", "height", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))).alias("o")
-    )
-    placed = around.select("image_id", "c0", "c1", "c2", F.col("y").alias("cy"), F.col("x").alias("cx"), F.greatest(F.lit(0), F.least(F.col("height") - 1, F.col("y") + F.col("o.dy"))).alias("y"), F.greatest(F.lit(0), F.least(F.col("width") - 1, F.col("x") + F.col("o.dx"))).alias("x"))
-    far = DISTANCES[s.color_space](tuple(F.col(f"c{k}") for k in range(3)), tuple(F.col(f"v{k}") for k in range(3)))
-    mean = placed.join(own, ["image_id", "y", "x"]).groupBy("image_id", F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.sum(F.sqrt(far)).alias("total"))
-    variance = F.col("total") / 8 / diagonal * 100
-    return px.join(mean.select("image_id", "y", "x", smoothstep(s.threshold - s.softness, s.threshold + s.softness, variance).alias("mask")), ["image_id", "y", "x"])
+    """Adds ``mask`` (0 to 1): how much the colour differs from its eight neighbours at the radius.
+
+    Images are complete rectangles; a missing neighbour adds nothing.
+    """
+    radius = mask_radius(s)
+    diagonal = max(math.hypot(*match.axis_ranges(match.palette_vectors(px.sparkSession, palette, s.color_space))), EPSILON)
+    others = [c for c in px.columns if c not in ("image_id", "y", "x")]
+    vector = [v.alias(f"_v{k}") for k, v in enumerate(SPACES[s.color_space](tuple(F.col(c) for c in "rgb")))]
+    rows = bands.packed(px, [*others, *vector]).select("image_id", "y", F.transform("p", lambda e: F.struct(e["x"].alias("x"), *(e[c].alias(c) for c in others))).alias("p"), F.col("p.x").alias("x"), *(F.col(f"p._v{k}").alias(f"v{k}") for k in range(3)))
+    dealt = bands.with_halo(rows, F.lit(radius), only_own=("p",))
+    low, high, space = s.threshold - s.softness, s.threshold + s.softness, s.color_space
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in bands.groups(batches, ("image_id", "band")):
+            own = table["own"].to_numpy()
+            if own.any():
+                vectors, row, x = band_vectors(table)
+                mask = smoothed(low, high, differences(vectors, radius, space) / diagonal * 100)[row, x]
+                length, _ = bands.flat(table["x"])
+                mine = table.filter(pa.array(own))
+                masks = bands.lists(length[own], mask[np.repeat(own, length)])
+                yield from mine.select(["image_id", "y", "p"]).append_column("mask", masks).combine_chunks().to_batches()
+
+    image, pixel = dealt.schema["image_id"].dataType.simpleString(), dealt.schema["p"].dataType.simpleString()
+    masked = dealt.mapInArrow(run, f"image_id {image}, y int, p {pixel}, mask array<double>")
+    return masked.select("image_id", "y", F.explode(F.arrays_zip("p", "mask")).alias("e")).select("image_id", "y", "e.p.*", "e.mask").select(*px.columns, "mask")
 
 
 def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:

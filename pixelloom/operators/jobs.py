@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ from pixelloom.sources.palettes import Swatch
 
 CROP_COLUMNS = ("crop_x", "crop_y", "crop_width", "crop_height")
 JOB_COLUMNS = ("width", "height", "resize", *CROP_COLUMNS, "alpha_mode", "alpha_threshold", "matte_key", "dither", "strength", "placement", "radius", "threshold", "softness", "serpentine", "seed", "use_color_space", "color_space")
+#: What tells a source file from another at the same place.
+SOURCE_COLUMNS = ("name", "mime", "width", "height", "updated_at")
 DIFFUSION = tuple(diffusion.KERNELS)
 #: Aspect shares, resize modes, dithers and colour spaces of the full study.
 SCALES = (0.25, 0.5, 0.75, 1.0)
@@ -64,9 +64,12 @@ def violations(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.array_compact(F.array(*(F.when(bad, name) for name, bad in checks.items()))).alias("reasons")).where(F.size("reasons") > 0)
 
 
-def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS) -> DataFrame:
+def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sources: DataFrame | None = None) -> DataFrame:
     """Adds settings_hash, equal for equal settings of an image and equal colours of the palette.
 
+    sources (image_id and SOURCE_COLUMNS): a file's name, type, size and time of change enter too, so an image that is
+    replaced at its place makes other identities, and its outputs are stale.  A job without a source has nulls there.
+
     palettes (palette_name, ord, key, kind, r, g, b): the colours enter in order by key, kind and rgb, so an edited
     palette makes other identities.  A job whose palette is missing has null colours.  Numbers must be finite.
     """
@@ -81,7 +84,12 @@ def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS) ->
         return v if finite is None else F.when(finite, v).otherwise(F.raise_error(F.lit(f"{c} is not finite")))
 
     joined = jobs.join(packed, "palette_name", "left")
-    return joined.withColumn("settings_hash", identity({c: value(c) for c in ("image_id", "palette_name", *columns)} | {"colors": F.col("colors")})).drop("colors")
+    parts = {c: value(c) for c in ("image_id", "palette_name", *columns)} | {"colors": F.col("colors")}
+    if sources is not None:
+        source = F.struct(*(F.unix_micros(c).alias(c) if kind == "timestamp" else F.col(c) for c, kind in sources.select(*SOURCE_COLUMNS).dtypes))
+        joined = joined.join(sources.select("image_id", source.alias("_source")), "image_id", "left")
+        parts["source"] = F.col("_source")
+    return joined.withColumn("settings_hash", identity(parts)).drop("colors", "_source")
 
 
 def branch_key(jobs: DataFrame) -> Column:
@@ -149,12 +157,16 @@ def validate_indexed(indexed: DataFrame, outputs: DataFrame, palettes: DataFrame
     return joined.select("image_id", reason.alias("reason")).where("reason is not null")
 
 
-def case_matrix(spark: SparkSession, scales=SCALES, resizes=schemas.RESIZES, dithers=schemas.DITHERS, spaces=schemas.COLOR_SPACES) -> DataFrame:
-    """Every combination of a few short lists: case_id, scale, resize, dither, color_space.  The lists are settings, not data."""
-    one = spark.range(1)
+def case_matrix(spark: SparkSession, scales=SCALES, resizes=schemas.RESIZES, dithers=schemas.DITHERS, spaces=schemas.COLOR_SPACES, images: DataFrame | None = None) -> DataFrame:
+    """Every combination of a few short lists: case_id, scale, resize, dither, color_space; with images, for each of their rows.
+
+    The lists are settings, not data.
+    """
+    one = spark.range(1) if images is None else images
+    held = [] if images is None else images.columns
     for name, values in (("scale", scales), ("resize", resizes), ("dither", dithers), ("color_space", spaces)):
         one = one.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return one.select(F.concat_ws("/", "scale", "resize", "dither", "color_space").alias("case_id"), "scale", "resize", "dither", "color_space")
+    return one.select(*held, F.concat_ws("/", "scale", "resize", "dither", "color_space").alias("case_id"), "scale", "resize", "dither", "color_space")
 
 
 def quantize(px: DataFrame, palette: list[Swatch], settings: Settings) -> DataFrame:
@@ -165,7 +177,8 @@ def quantize(px: DataFrame, palette: list[Swatch], settings: Settings) -> DataFr
 def process(px: DataFrame, palette: list[Swatch], cases: list[tuple]) -> DataFrame:
     """case_id, image_id, y, x, idx of every (case_id, width, height, resize mode, settings[, crop]) over all images.
 
-    Cases of one size, mode and crop share one resize.  The list of cases is a study's settings and grows with those only.
+    Cases of one size, mode and crop share one resize.  A plan of its own for each case: for a handful of them; many
+    are rows of a table for :func:`pixelloom.operators.job_table.process`.
     """
     resized: dict[tuple, DataFrame] = {}
     out = None
@@ -178,41 +191,6 @@ def process(px: DataFrame, palette: list[Swatch], cases: list[tuple]) -> DataFra
     return out
 
 
-def process_jobs(px: DataFrame, palettes: dict[str, list[Swatch]], jobs: DataFrame, limit: int = 512) -> DataFrame:
-    """job_id, image_id, y, x, idx of every job of a table, whose palettes are given by name.
-
-    The distinct settings (not the jobs) are read to the driver, at most ``limit`` of them, as each is a plan of its own;
-    jobs of one size, mode and crop share a resize of the images that they name.  Jobs with a violation, an unknown
-    palette or without an image have no rows.  Equal settings are worked out once for an image, whatever asks for them.
-    """
-    bad = violations(jobs)
-    good = jobs.join(bad, "job_id", "left_anti").where(F.col("palette_name").isin(*palettes))
-    kinds = good.select("palette_name", *JOB_COLUMNS).distinct()
-    rows = kinds.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} distinct settings: split the jobs table")
-    resized: dict[tuple, DataFrame] = {}
-    out = None
-    for r in sorted(rows, key=str):
-        crop = None if r["crop_x"] is None else tuple(r[c] for c in CROP_COLUMNS)
-        key = (r["width"], r["height"], r["resize"], crop)
-        same = lambda names, r=r: reduce(and_, (F.col(c).eqNullSafe(F.lit(r[c])) for c in names))
-        if key not in resized:
-            asked = good.where(same(("width", "height", "resize", *CROP_COLUMNS))).select("image_id").distinct()
-            resized[key] = resize.resize(px.join(asked, "image_id", "left_semi"), *key)
-        matte = tuple(int(r["matte_key"][i : i + 2], 16) for i in (1, 3, 5))
-        settings = Settings(
-            color_space=r["color_space"], dither=r["dither"], strength=r["strength"], use_color_space=r["use_color_space"], placement=r["placement"], radius=r["radius"], threshold=r["threshold"],
-            softness=r["softness"], serpentine=r["serpentine"], seed=int(r["seed"]), alpha_mode=r["alpha_mode"], alpha_threshold=r["alpha_threshold"], matte=matte,
-        )
-        own = good.where(same(("palette_name", *JOB_COLUMNS))).select("job_id", "image_id")
-        done = quantize(resized[key], palettes[r["palette_name"]], settings).join(own, "image_id").select("job_id", "image_id", "y", "x", "idx")
-        out = done if out is None else out.unionByName(done)
-    if out is None:
-        return px.join(good, "image_id").select("job_id", "image_id", "y", "x", F.lit(0).alias("idx")).where("false")
-    return out
-
-
 def compare_spaces(px: DataFrame, palette: list[Swatch], settings: Settings, spaces: list[str]) -> DataFrame:
     """baseline, variant, pixels, same: how often two colour spaces choose alike."""
     columns = {space: quantize(px, palette, replace(settings, color_space=space)).withColumnRenamed("idx", f"i{k}") for k, space in enumerate(spaces)}

@@ -58,13 +58,13 @@ def taps(sizes: DataFrame, side: str, count: int, mode: str, crop: tuple[float,
     return each.select("image_id", "t", _edge(F.col("i")).alias("s"), lanczos((F.col("pos") - F.col("i")) / F.col("stretch"), radius).alias("w"))
 
 
-def _spread(px: DataFrame, c: str, side: str, count: int, mode: str, crop: tuple[float, float] | None) -> DataFrame:
+def _spread(px: DataFrame, c: str, side: str, count: int | Column, mode: str, crop: tuple | None) -> DataFrame:
     """A row for each pixel and target of one axis that taps it: adds ``t`` and the weight ``w``; edge pixels sum their taps.
 
-    px has the coordinate ``c`` and the side length ``side``; crop is (start, length).
+    px has the coordinate ``c`` and the side length ``side``; crop is (start, length), numbers or columns, as is count.
     """
     at, n = F.col(c), F.col(side)
-    start, length = (F.lit(0.0), n.cast("double")) if crop is None else (F.lit(float(crop[0])), F.lit(float(crop[1])))
+    start, length = (F.lit(0.0), n.cast("double")) if crop is None else (F.lit(v).cast("double") for v in crop)
     scale = length / count
     radius = int(mode[7]) if mode.startswith("lanczos") else 0
     stretch = F.greatest(F.lit(1.0), scale) if mode.endswith("aware") else F.lit(1.0)
@@ -101,41 +101,67 @@ def _sized(px: DataFrame) -> DataFrame:
 
 def resize(px: DataFrame, width: int, height: int, mode: str = "bilinear", crop: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Pixels of width x height; crop is (x, y, width, height) within the source, which stays readable around it."""
-    sized = _sized(px)
     cx, cy = (None, None) if crop is None else ((crop[0], crop[2]), (crop[1], crop[3]))
+    return _resized(_sized(px), "image_id", width, height, mode, cx, cy, ())
+
+
+def resize_branches(px: DataFrame, branches: DataFrame) -> DataFrame:
+    """branch, y, x, r, g, b, a of every branch (branch, image_id, width, height, resize, crop_x, crop_y, crop_width, crop_height).
+
+    Sizes and crops are columns; the plan has a part for each mode that occurs.  A null crop is the whole image.
+    """
+    whole = {"x": ("width", "crop_x", "crop_width"), "y": ("height", "crop_y", "crop_height")}
+    asked = branches.select("branch", "image_id", F.col("width").alias("_width"), F.col("height").alias("_height"), "resize", *(c for _, start, length in whole.values() for c in (start, length)))
+    sized = _sized(px).join(asked, "image_id")
+    for c, (side, start, length) in whole.items():
+        sized = sized.withColumns({f"_{c}0": F.coalesce(F.col(start).cast("double"), F.lit(0.0)), f"_{c}n": F.coalesce(F.col(length).cast("double"), F.col(side).cast("double"))})
+    modes = [r["resize"] for r in branches.select("resize").distinct().collect()]  # at most len(MODES)
+    carried = ("_height", "_y0", "_yn")
+    cx, cy = ((F.col(f"_{c}0"), F.col(f"_{c}n")) for c in "xy")
+    out = None
+    for mode in [m for m in MODES if m in modes] or MODES[:1]:
+        done = _resized(sized.where(F.col("resize") == mode), "branch", F.col("_width"), F.col("_height"), mode, cx, cy, carried)
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def _resized(sized: DataFrame, key: str, width, height, mode: str, cx, cy, carried: tuple[str, ...]) -> DataFrame:
     if mode == "nearest":
         columns = _spread(sized, "x", "width", width, mode, cx).withColumnRenamed("t", "tx").drop("w")
-        return _spread(columns, "y", "height", height, mode, cy).select("image_id", F.col("t").alias("y"), F.col("tx").alias("x"), "r", "g", "b", "a")
+        return _spread(columns, "y", "height", height, mode, cy).select(key, F.col("t").alias("y"), F.col("tx").alias("x"), "r", "g", "b", "a")
     if mode != "area":
-        return _separable(sized, width, height, mode, cx, cy)
-    span = lambda side, c: F.col(side) if c is None else F.lit(float(c[1]))
+        return _separable(sized, key, width, height, mode, cx, cy, carried)
+    span = lambda side, c: F.col(side) if c is None else F.lit(c[1]).cast("double")
     grows = (span("width", cx) / width < 1) & (span("height", cy) / height < 1)  # such images are bilinear
-    return _separable(sized.where(~grows), width, height, "area", cx, cy).unionByName(_separable(sized.where(grows), width, height, "bilinear", cx, cy))
+    return _separable(sized.where(~grows), key, width, height, "area", cx, cy, carried).unionByName(_separable(sized.where(grows), key, width, height, "bilinear", cx, cy, carried))
 
 
-def _separable(sized: DataFrame, width: int, height: int, mode: str, cx, cy) -> DataFrame:
+def _separable(sized: DataFrame, key: str, width, height, mode: str, cx, cy, carried: tuple[str, ...]) -> DataFrame:
     """Rows first, then columns.  Colours are weighted by alpha, and plainly too where all taps are opaque.
 
     For lanczos the whole image counts as opaque or not, for bilinear the taps of a pixel; area always weights by alpha.
+    ``carried`` are columns of the key that the second axis needs.
     """
     opaque = {"bilinear": F.col("a") == 255, "area": F.lit(False)}.get(mode, F.col("opaque"))
     alpha = F.col("a") / 255.0
     plain, soft = [f"o{c}" for c in "rgb"], [f"p{c}" for c in "rgb"]
     values = (*plain, *soft, "a", "n")
+    first = [width] if isinstance(width, Column) else []
+    first += list(cx) if cx is not None and isinstance(cx[0], Column) else []
     source = sized.select(
-        "image_id", "y", "x", "width", "height", opaque.alias("opaque"), *(F.col(c).cast("double").alias(o) for c, o in zip("rgb", plain, strict=True)),
+        key, "y", "x", "width", "height", *carried, *first, opaque.alias("opaque"), *(F.col(c).cast("double").alias(o) for c, o in zip("rgb", plain, strict=True)),
         *((F.col(c) * alpha).alias(p) for c, p in zip("rgb", soft, strict=True)), F.col("a").cast("double").alias("a"), F.lit(1.0).alias("n"),
     )
 
-    def summed(rows: DataFrame, *keys) -> DataFrame:
-        return rows.groupBy("image_id", *keys).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values), F.bool_and("opaque").alias("opaque"), F.any_value("height").alias("height"))
+    def summed(rows: DataFrame, *keys, keep: tuple[str, ...] = ()) -> DataFrame:
+        return rows.groupBy(key, *keys).agg(*(F.sum(F.col(v) * F.col("w")).alias(v) for v in values), F.bool_and("opaque").alias("opaque"), *(F.any_value(c).alias(c) for c in keep))
 
-    rows = summed(_spread(source, "x", "width", width, mode, cx).withColumnRenamed("t", "tx"), "y", "tx")
+    rows = summed(_spread(source, "x", "width", width, mode, cx).withColumnRenamed("t", "tx"), "y", "tx", keep=("height", *carried))
     sums = summed(_spread(rows, "y", "height", height, mode, cy), F.col("t"), "tx")
     mean = {v: _settled(F.col(v) / F.col("n")) for v in values[:-1]}
     mixed = unpremultiply(tuple(mean[p] for p in soft), mean["a"])
     rgb = [F.when(F.col("opaque"), clamp_byte(mean[o])).otherwise(m).alias(c) for c, o, m in zip("rgb", plain, mixed, strict=False)]
-    return sums.select("image_id", F.col("t").alias("y"), F.col("tx").alias("x"), *rgb, F.when(F.col("opaque"), 255).otherwise(mixed[3]).alias("a"))
+    return sums.select(key, F.col("t").alias("y"), F.col("tx").alias("x"), *rgb, F.when(F.col("opaque"), 255).otherwise(mixed[3]).alias("a"))
 
 
 def tap_count(scale: float, radius: int) -> int:

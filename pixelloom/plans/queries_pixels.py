@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions import color, pixel
-from pixelloom.operators import diffusion, dither, geometry, jobs, match, metrics, resize
+from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.plans import fixtures as fx
 from pixelloom.plans import sql
@@ -481,17 +481,37 @@ def q14_process_images(spark, sf_dir):
 
 @register("q14_process_jobs")
 def q14_process_jobs(spark, sf_dir):
-    """Jobs as a table, one for each order: eight settings, with and without a crop, over the images of events."""
-    k = F.col("o_orderkey").cast("long")
+    """Jobs as a table, one for each order, over all images of events: many settings, some invalid, with reasons for jobs without output."""
+    k, px = F.col("o_orderkey").cast("long"), fx.px_events(spark, sf_dir)
+    images = px.agg(F.max("image_id")).first()[0] + 1
     pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    every = lambda n, odd, usual: F.when(k % n == 0, F.lit(odd)).otherwise(F.lit(usual))
     crop = {c: F.when(k % 4 == 1, v) for c, v in zip(jobs.CROP_COLUMNS, (3, 2, 16, 14), strict=True)}
-    asked = fx.table(spark, sf_dir, "orders").where("o_orderkey > 0").select(
-        k.alias("job_id"), (k % 50).alias("image_id"), F.lit("Default").alias("palette_name"), pick(10, 16).alias("width"), F.lit(8).alias("height"), pick("bilinear", "nearest").alias("resize"), *(v.alias(c) for c, v in crop.items()),
-        F.lit("preserve").alias("alpha_mode"), F.lit(0).alias("alpha_threshold"), F.lit("#FFFFFF").alias("matte_key"), pick("none", "bayer-4", "floyd-steinberg", "none").alias("dither"), F.lit(100).alias("strength"), F.lit("everywhere").alias("placement"),
-        F.lit(3).alias("radius"), F.lit(12).alias("threshold"), F.lit(8).alias("softness"), F.lit(True).alias("serpentine"), F.lit(7).alias("seed"), F.lit(False).alias("use_color_space"), F.lit("srgb").alias("color_space"),
+    asked = fx.table(spark, sf_dir, "orders").select(
+        k.alias("job_id"), F.when(k % 103 == 0, images + 5).otherwise(k % images).alias("image_id"), every(101, "Lost", "Default").alias("palette_name"), pick(10, 16, 25).alias("width"), pick(8, 20).alias("height"), pick("bilinear", "nearest", "area").alias("resize"),
+        *(v.alias(c) for c, v in crop.items()), pick("preserve", "matte").alias("alpha_mode"), F.lit(0).alias("alpha_threshold"), F.lit("#FFFFFF").alias("matte_key"), pick("none", "bayer-4", "floyd-steinberg", "random", "sierra").alias("dither"),
+        every(97, -1, 100).alias("strength"), pick("everywhere", "adaptive", "everywhere").alias("placement"), F.lit(3).alias("radius"), F.lit(12).alias("threshold"), F.lit(8).alias("softness"), (k % 2 == 0).alias("serpentine"), F.lit(7).alias("seed"),
+        (k % 3 == 0).alias("use_color_space"), pick("srgb", "oklab", "linear-rgb").alias("color_space"),
     )
-    done = jobs.process_jobs(fx.px_events(spark, sf_dir), {"Default": PALETTE}, asked)
-    return done.groupBy("job_id", "image_id").agg(F.count("*").alias("pixels"), F.sum((F.col("idx") + 1) * (F.col("y") * 16 + F.col("x") + 1)).alias("mark"))
+    done = job_table.process(px, default_palette(spark), asked)
+    marks = done.pixels().groupBy("job_id").agg(F.count("*").alias("pixels"), F.sum((F.col("idx") + 1) * (F.col("y") * 32 + F.col("x") + 1)).alias("mark"))
+    return done.outcomes.join(marks, "job_id", "left").select("job_id", "image_id", "status", F.concat_ws(", ", "reasons").alias("reasons"), F.concat_ws(", ", "warnings").alias("warnings"), "pixels", "mark")
+
+
+@register("q14_case_matrix")
+def q14_case_matrix(spark, sf_dir):
+    """All 2016 cases of the study over every image, in one plan."""
+    px = fx.px_events(spark, sf_dir)
+    cases = jobs.case_matrix(spark, images=geometry.image_sizes(px))
+    side = lambda c: F.greatest(F.lit(1), F.round(F.col(c) * F.col("scale"))).cast("int")
+    asked = cases.select(
+        F.concat_ws("/", "image_id", "case_id").alias("job_id"), "image_id", "case_id", F.lit("Default").alias("palette_name"), side("width").alias("width"), side("height").alias("height"), "resize", *(F.lit(None).cast("int").alias(c) for c in jobs.CROP_COLUMNS),
+        F.lit("preserve").alias("alpha_mode"), F.lit(0).alias("alpha_threshold"), F.lit("#FFFFFF").alias("matte_key"), "dither", F.lit(100).alias("strength"), F.lit("everywhere").alias("placement"), F.lit(3).alias("radius"), F.lit(12).alias("threshold"), F.lit(8).alias("softness"),
+        F.lit(True).alias("serpentine"), F.lit(7).alias("seed"), F.lit(True).alias("use_color_space"), "color_space",
+    )
+    done = job_table.process(px, default_palette(spark), asked)
+    case = F.regexp_replace("job_id", "^[^/]*/", "").alias("case_id")
+    return done.rows.groupBy(case).agg(F.count_distinct("image_id").alias("images"), F.sum(F.size("idx")).alias("pixels"), F.sum(F.aggregate("idx", F.lit(0).cast("long"), lambda total, i: total + i)).alias("total"))
 
 
 @register(

@@ -95,6 +95,17 @@ def admit(files: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason)
 
 
+def sources(files: DataFrame) -> DataFrame:
+    """image_id, name, mime, width, height, updated_at of a ``binaryFile`` table: what a job's identity takes from its file.
+
+    image_id is that of :func:`read_images` for the same path.
+    """
+    origin = F.regexp_replace("path", "^file:/+", "file:///")
+    changed = files.select("path", F.col("modificationTime").alias("updated_at"))
+    named = admit(files).join(changed, "path")
+    return named.select(F.xxhash64(origin).alias("image_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "mime", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "updated_at")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """image_id (hash of the path), path, width, height, channels, data (BGR or BGRA rows) of readable images."""
     found = spark.read.format("image").option("dropInvalid", True).load(path)

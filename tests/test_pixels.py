@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions import color, pixel
-from pixelloom.operators import diffusion, dither, geometry, jobs, match, resize
+from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch, default_swatches
 
@@ -233,23 +233,68 @@ def test_missing_palettes_keep_their_pixels(spark):
     assert {r["r"]: r["idx"] for r in match.nearest_by_palette(px, palettes).collect()} == {1: 0, 2: None, 3: 0}
 
 
-def test_jobs_of_a_table_are_those_one_by_one(spark):
+JOBS = "job_id long, image_id long, palette_name string, width int, height int, resize string, crop_x int, crop_y int, crop_width int, crop_height int, alpha_mode string, alpha_threshold int, matte_key string, dither string, strength double, placement string, radius double, threshold double, softness double, serpentine boolean, seed long, use_color_space boolean, color_space string"
+
+
+def job(job_id, image_id, s, size=(10, 8), mode="bilinear", crop=None, palette="Default"):
+    return (job_id, image_id, palette, *size, mode, *(crop or (None,) * 4), s.alpha_mode, 0, "#FFFFFF", s.dither, float(s.strength), s.placement, float(s.radius), 12.0, 8.0, s.serpentine, s.seed, s.use_color_space, s.color_space)
+
+
+def test_a_table_of_jobs_is_its_cases_one_by_one(spark):
+    """Settings as data against a plan for each: every mode, dither family, alpha mode and placement."""
     from pixelloom.plans import fixtures
+    from pixelloom.sources.palettes import default_palette
+
+    px = fixtures.px_events(spark, "/root/testdata/sf0.001").where("image_id < 2").cache()
+    cases = [
+        (0, 10, 8, "bilinear", Settings(color_space="srgb", dither="random", seed=7)),
+        (1, 30, 24, "lanczos3-scale-aware", Settings(dither="bayer-4", use_color_space=True, placement="adaptive", alpha_mode="matte")),
+        (2, 16, 9, "area", Settings(color_space="oklch", dither="sierra", use_color_space=True, seed=7, placement="adaptive", radius=70)),
+        (3, 10, 8, "nearest", Settings(color_space="weighted-rgb", dither="floyd-steinberg", strength=60, alpha_mode="premultiplied", serpentine=False), (3, 2, 16, 14)),
+        (4, 10, 8, "bilinear", Settings(color_space="cielab", strength=0, dither="sierra-lite")),
+    ]
+    table = spark.createDataFrame([job(2 * c[0] + i, i, c[4], c[1:3], c[3], *c[5:]) for c in cases for i in (0, 1)], JOBS)
+    done = job_table.process(px, default_palette(spark), table)
+    got = {(r["job_id"], r["y"], r["x"]): r["idx"] for r in done.pixels().collect()}
+    want = {(2 * c[0] + r["image_id"], r["y"], r["x"]): r["idx"] for c in cases for r in jobs.process(px, default_swatches(), [c]).collect()}
+    assert got == want
+    counts = done.stage_counts()
+    assert counts["pixels"] == len(got) and counts["resized_pixels"] == sum(2 * w * h for w, h in [(10, 8), (30, 24), (16, 9), (10, 8)])  # cases 0 and 4 share a branch
+
+
+def test_jobs_without_output_have_reasons(spark):
+    from pixelloom.sources.palettes import default_palette
+
+    px = patterned(spark, 6, 4)
+    clear = spark.createDataFrame([("Clear", 0, "transparent", "n", "transparent", None, None, None, None)], schemas.PALETTE)
+    rows = [job(1, 0, Settings(color_space="srgb")), job(2, 0, Settings(strength=-1)), job(3, 9, Settings()), job(4, 0, Settings(), palette="Lost"), job(5, 0, Settings(), mode="cubic"), job(6, 0, Settings(dither="sierra"), palette="Clear"), job(7, 9, Settings(strength=-1), palette="Lost")]
+    done = job_table.process(px, default_palette(spark).unionByName(clear), spark.createDataFrame(rows, JOBS))
+    reasons = {r["job_id"]: (r["status"], r["reasons"], r["warnings"]) for r in done.outcomes.collect()}
+    assert reasons[1] == ("done", [], []) and reasons[6] == ("done", [], ["only Transparent: every pixel is transparent"])
+    assert {j: r[1] for j, r in reasons.items() if r[0] == "rejected"} == {2: ["strength"], 3: ["unknown image"], 4: ["unknown palette"], 5: ["resize"], 7: ["strength", "unknown palette", "unknown image"]}
+    got = done.pixels().groupBy("job_id").agg(F.count("*").alias("n"), F.max("idx").alias("top")).collect()
+    assert {r["job_id"]: r["n"] for r in got} == {1: 80, 6: 80} and {r["top"] for r in got if r["job_id"] == 6} == {0}
+    none = job_table.process(px, default_palette(spark), spark.createDataFrame([], JOBS))
+    assert none.pixels().count() == none.outcomes.count() == 0
+
+
+def test_a_replaced_file_makes_its_outputs_stale(spark, tmp_path):
+    from pixelloom.sources import images
+    from pixelloom.sources.palettes import default_palette
 
-    px = fixtures.px_events(spark, "/root/testdata/sf0.001")
-    base = fixtures.jobs(spark, "/root/testdata/sf0.001").where("job_id = 4").drop("job_id", "image_id").withColumns({"palette_name": F.lit("p"), "radius": F.lit(3), "strength": F.lit(100), "alpha_threshold": F.lit(0)})
-    rows = [(1, 0, 10, 8, "bilinear", None, "none"), (2, 1, 10, 8, "bilinear", None, "bayer-4"), (3, 1, 10, 8, "bilinear", (3, 2, 16, 14), "none"), (4, 1, 10, 8, "cubic", None, "none"), (5, 0, 10, 8, "bilinear", None, "none")]
-    table = None
-    for job, image, w, h, mode, crop, kind in rows:
-        set_ = {"job_id": job, "image_id": image, "width": w, "height": h, "resize": mode, "dither": kind, "alpha_mode": "preserve", **dict(zip(jobs.CROP_COLUMNS, crop or [None] * 4, strict=True))}
-        one = base.withColumns({c: F.lit(v).cast("int") if c.startswith("crop") else F.lit(v) for c, v in set_.items()})
-        table = one if table is None else table.unionByName(one)
-    got: dict = {}
-    for r in jobs.process_jobs(px, {"p": default_swatches()}, table).collect():
-        got.setdefault(r["job_id"], {})[r["image_id"], r["y"], r["x"]] = r["idx"]
-    assert sorted(got) == [1, 2, 3, 5] and got[1] == got[5]  # job 4 has no such mode
-    first = base.first()
-    for job, image, w, h, mode, crop, kind in rows[:3]:
-        settings = Settings(color_space=first["color_space"], dither=kind, use_color_space=first["use_color_space"], serpentine=first["serpentine"], seed=int(first["seed"]))
-        want = jobs.process(px, default_swatches(), [("c", w, h, mode, settings, crop)]).where(F.col("image_id") == image)
-        assert got[job] == {(r["image_id"], r["y"], r["x"]): r["idx"] for r in want.collect()}
+    def write(width):
+        (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + width.to_bytes(4, "big") + b"\0\0\0\2" + bytes(20))
+
+    palettes = default_palette(spark)
+    write(4)
+    files = lambda: images.sources(spark.read.format("binaryFile").load(str(tmp_path)))
+    first = files().first()
+    assert (first["name"], first["mime"], first["width"], first["height"]) == ("a.png", "image/png", 4, 2)
+    table = spark.createDataFrame([job(1, first["image_id"], Settings())], JOBS)
+    outputs = jobs.with_identity(table, palettes, sources=files()).select("job_id", "settings_hash").collect()
+    outputs = spark.createDataFrame(outputs, "job_id long, settings_hash string")
+    assert jobs.pending(jobs.with_identity(table, palettes, sources=files()), outputs).count() == 0
+    write(5)
+    again = jobs.with_identity(table, palettes, sources=files())
+    assert files().first()["image_id"] == first["image_id"]
+    assert jobs.pending(again, outputs).count() == 1 and jobs.stale(outputs, again).count() == 1
