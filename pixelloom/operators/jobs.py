@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom import schemas
+from pixelloom.functions.pixel import composited, is_transparent
 from pixelloom.functions.text import identity
-from pixelloom.operators import diffusion, dither, resize
+from pixelloom.operators import diffusion, dither, match, metrics, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch
 
@@ -192,12 +193,25 @@ def process(px: DataFrame, palette: list[Swatch], cases: list[tuple]) -> DataFra
 
 
 def compare_spaces(px: DataFrame, palette: list[Swatch], settings: Settings, spaces: list[str]) -> DataFrame:
-    """baseline, variant, pixels, same: how often two colour spaces choose alike."""
-    columns = {space: quantize(px, palette, replace(settings, color_space=space)).withColumnRenamed("idx", f"i{k}") for k, space in enumerate(spaces)}
-    joined = None
-    for frame in columns.values():
-        joined = frame if joined is None else joined.join(frame, ["image_id", "y", "x"])
+    """baseline, variant, pixels, same: how often two colour spaces choose alike.
+
+    Direct settings choose in one projection of the pixels; others are compared by the digests of their rows.
+    """
     pairs = [(a, b) for a in range(len(spaces)) for b in range(a + 1, len(spaces))]
-    one = joined.agg(F.count("*").alias("pixels"), *(F.count_if(F.col(f"i{a}") == F.col(f"i{b}")).alias(f"s{a}_{b}") for a, b in pairs))
+    direct = (settings.dither == "none" or settings.strength <= 0) and any(s.visible for s in palette)
+    if not direct:
+        done = [quantize(px, palette, replace(settings, color_space=space)) for space in spaces]
+        out = None
+        for a, b in pairs:
+            total = metrics.agreement(done[a], done[b]).agg(F.coalesce(F.sum("pixels"), F.lit(0)).alias("pixels"), F.coalesce(F.sum("same"), F.lit(0)).alias("same"))
+            row = total.select(F.lit(spaces[a]).alias("baseline"), F.lit(spaces[b]).alias("variant"), "pixels", "same")
+            out = row if out is None else out.unionByName(row)
+        return out
+    masked = is_transparent(F.col("a"), settings.alpha_mode, settings.alpha_threshold)
+    seen = composited(tuple(F.col(c) for c in "rgb"), F.col("a"), settings.alpha_mode, settings.matte)
+    chosen = px.withColumns({f"_{c}": v for c, v in zip("rgb", seen, strict=True)})
+    for k, space in enumerate(spaces):
+        chosen = match.nearest(chosen, palette, space, ("_r", "_g", "_b"), f"i{k}")
+    one = chosen.agg(F.count("*").alias("pixels"), *(F.count_if(masked | (F.col(f"i{a}") == F.col(f"i{b}"))).alias(f"s{a}_{b}") for a, b in pairs))
     rows = F.array(*(F.struct(F.lit(spaces[a]).alias("baseline"), F.lit(spaces[b]).alias("variant"), F.col(f"s{a}_{b}").alias("same")) for a, b in pairs))
     return one.select("pixels", F.explode(rows).alias("p")).select("p.baseline", "p.variant", "pixels", "p.same")

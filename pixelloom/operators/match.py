@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +73,22 @@ def nearest(px: DataFrame, palette: Sequence[Swatch], space: str = "srgb", colum
 
 
 def nearest_distinct(px: DataFrame, palette: Sequence[Swatch], space: str = "srgb", columns: Sequence[str] = RGB, out: str = "idx") -> DataFrame:
-    """The same, worked out once for each distinct colour: for many repeated colours and costly spaces."""
-    colors = nearest(px.select(*columns).distinct(), palette, space, columns, out)
-    return px.join(colors, list(columns))
+    """The same, worked out once for each distinct colour: for many repeated colours and costly spaces.
+
+    The answers are a table of 256 pages (by red) of 65 536 bytes, 16 MB whatever the images, which tasks carry: pixels
+    are not shuffled, and a frequent colour is no hot key.
+    """
+    r, g, b = columns
+    found = nearest(px.select(*columns).where(F.col(r).isNotNull()).distinct(), palette, space, columns, "_idx").select(F.col(r).alias("_r"), (F.col(g) * 256 + F.col(b)).alias("_at"), "_idx")
+
+    def page(colors: pa.Table) -> pa.Table:
+        values = np.zeros(65_536, np.int8)
+        values[colors["_at"].to_numpy()] = colors["_idx"].to_numpy() - 128
+        return pa.table({"_r": colors["_r"][:1], "_page": pa.array([values], pa.list_(pa.int8()))})
+
+    pages = found.groupBy("_r").applyInArrow(page, "_r int, _page array<tinyint>")
+    joined = px.join(F.broadcast(pages), px[r] == pages["_r"])
+    return joined.withColumn(out, (F.element_at("_page", F.col(g) * 256 + F.col(b) + 1) + 128).cast("int")).drop("_r", "_page")
 
 
 def nearest_by_palette(px: DataFrame, palettes: DataFrame, out: str = "idx") -> DataFrame:

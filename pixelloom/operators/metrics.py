@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.operators import bands, ranges
+from pixelloom.saved import save
+
 
 def nearest_rank(column: str, share: float) -> Column:
     """The smallest value with at least the share of all values at or below it.
@@ -81,8 +88,9 @@ def hit_rate(hits: Column, misses: Column) -> Column:
 
 def counter_delta(counters: DataFrame, keys: list[str], order: str, counts: list[str], gauges: list[str]) -> DataFrame:
     """Each row's counts less those of the row before (the first row's are kept); gauges stay as they are."""
-    before = Window.partitionBy(*keys).orderBy(order)
-    return counters.select(*keys, order, *((F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0))).alias(c) for c in counts), *gauges)
+    parts = ranges.ranged(counters.select(*dict.fromkeys([*keys, order, *counts, *gauges])), keys, order)
+    before = ranges.with_last(parts, order, {f"_before_{c}": c for c in counts})
+    return before.select(*keys, order, *((F.col(c) - F.coalesce(f"_before_{c}", F.lit(0))).alias(c) for c in counts), *gauges)
 
 
 def merge_counts(parts: DataFrame, keys: list[str], counts: str = "counts") -> DataFrame:
@@ -93,46 +101,126 @@ def merge_counts(parts: DataFrame, keys: list[str], counts: str = "counts") -> D
 
 def scoped_history(samples: DataFrame, keys: list[str], limit: int = 100) -> DataFrame:
     """The latest run of rows with one scope_key (a change of scope starts anew), its last ``limit`` rows, by seq."""
-    order = Window.partitionBy(*keys).orderBy("seq") if keys else Window.partitionBy(F.lit(0)).orderBy("seq")
-    changed = (~F.col("scope_key").eqNullSafe(F.lag("scope_key").over(order))).cast("int")
-    island = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = samples.withColumn("_c", changed).withColumn("_island", island)
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    newest = F.row_number().over(group.orderBy(F.desc("seq")))
-    return marked.withColumn("_last", F.max("_island").over(group)).withColumn("_n", newest).where((F.col("_island") == F.col("_last")) & (F.col("_n") <= limit)).drop("_c", "_island", "_last", "_n")
+    parts = ranges.ranged(samples, keys, "seq")
+    before = ranges.with_last(parts, "seq", {"_scope": "scope_key"})
+    changes = before.where(F.col("_first") | ~F.col("scope_key").eqNullSafe(F.col("_scope")))
+    since = changes.groupBy("_key").agg(F.max("seq").alias("_since"))
+    run = parts.join(since, "_key").where(F.col("seq") >= F.col("_since"))
+    return last_n(run, ["_key"], "seq", limit).select(*samples.columns)
 
 
 def last_n(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The last n rows of every key; Spark limits the groups of a task to n rows before it shuffles them."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return rows.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
 
 
 def monotonic(events: DataFrame, keys: list[str], order: str, ts: str) -> DataFrame:
     """Times raised to at least one more than the time before: max over earlier rows of (time - place) + place."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = events.withColumn("_n", F.row_number().over(w))
-    return numbered.withColumn("monotonic_ts", F.max(F.col(ts) - F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n")).drop("_n")
+    raised = ranges.with_running_maximum(ranges.ranged(events, keys, order), order, F.col(ts), "monotonic_ts")
+    return raised.select(*events.columns, "monotonic_ts")
+
+
+def unique_colors(px: DataFrame, bayer: int | None = None) -> DataFrame:
+    """image_id and its number of distinct colours, exact; with ``bayer`` also threshold_colors, of distinct (threshold, colour).
+
+    Colours are bits of bitmaps of 4 kB (by threshold, and 512 for all colours), which are joined by or: no list of
+    distinct colours is shuffled, and an image moves at most 2 MB for each threshold.
+    """
+    rgb = F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")
+    place = F.lit(0) if bayer is None else (F.pmod("y", F.lit(bayer)) * bayer + F.pmod("x", F.lit(bayer)))
+    value = place.cast("long") * (1 << 24) + rgb
+    colors = px.groupBy("image_id", place.alias("_t"), F.bitmap_bucket_number(rgb).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rgb)).alias("_bits"))
+    if bayer is None:
+        return colors.groupBy("image_id").agg(F.sum(F.bitmap_count("_bits")).alias("colors"))
+    merged = colors.groupBy("image_id", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_any"), F.sum(F.bitmap_count("_bits")).alias("_pairs"))
+    return merged.groupBy("image_id").agg(F.sum(F.bitmap_count("_any")).alias("colors"), F.sum("_pairs").alias("threshold_colors"))
+
+
+_FNV, _START, _LOW = 16777619, 2166136261, 512
+
 
+def _steps(tables: np.ndarray, power: np.ndarray, then: np.ndarray, then_power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folds of one run after another: state h becomes h * power + table[low bits of h], in 32 bits."""
+    low = (np.arange(_LOW, dtype=np.uint64) * power[:, None] + tables) % np.uint64(_LOW)
+    out = tables * then_power[:, None] + np.take_along_axis(then, low.astype(np.intp), 1)
+    return out & np.uint64(0xFFFFFFFF), power * then_power & np.uint64(0xFFFFFFFF)
 
-def unique_colors(px: DataFrame, exact: bool = True) -> DataFrame:
-    """image_id and its number of distinct colours, exact or by a sketch."""
-    packed = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
-    return px.groupBy("image_id").agg((F.count_distinct(packed) if exact else F.approx_count_distinct(packed)).alias("colors"))
+
+def _row_folds(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and powers of rows of indices (rows x width).  Only the low bits of a state meet the xor with an index."""
+    state = np.tile(np.arange(_LOW, dtype=np.uint64), (len(idx), 1))
+    for column in (idx + 1).astype(np.uint64).T:
+        state = ((state ^ column[:, None]) * np.uint64(_FNV)) & np.uint64(0xFFFFFFFF)
+    power = np.full(len(idx), pow(_FNV, idx.shape[1], 1 << 32), np.uint64)
+    return (state - np.arange(_LOW, dtype=np.uint64) * power[:, None]) & np.uint64(0xFFFFFFFF), power
+
+
+def _in_order(table: pa.Table, by: str) -> tuple[np.ndarray, np.ndarray]:
+    """The fold of the rows (by, power, fold) of a group, one after the other."""
+    table = table.sort_by(by)
+    folds = np.stack([np.frombuffer(x, np.uint32).astype(np.uint64) for x in table["fold"].to_pylist()])
+    powers = table["power"].to_numpy().astype(np.uint64)
+    done, power = folds[:1], powers[:1]
+    for k in range(1, len(folds)):
+        done, power = _steps(done, power, folds[k : k + 1], powers[k : k + 1])
+    return done[0], power[0]
 
 
 def index_checksum(indexed: DataFrame) -> DataFrame:
-    """image_id, checksum: a 32-bit fold of idx + 1 in row order.  An image's indices are gathered, one byte each in spirit;
-    for images beyond a few million pixels compare with :func:`agreement` instead."""
-    rows = indexed.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "idx"))).alias("p"))
-    folded = F.aggregate("p", F.lit(2166136261).cast("long"), lambda h, e: ((h.bitwiseXOR((e["idx"] + 1).cast("long"))) * 16777619).bitwiseAND(F.lit(4294967295)))
-    return rows.select("image_id", folded.alias("checksum"))
+    """image_id, checksum: a 32-bit fold of idx + 1 in row order, of indices up to 255.
+
+    An image row becomes a function of the state before it: a table by the state's nine low bits and a multiplier.  These
+    are put together by bands of rows and then by image, so no array is longer than an image row.
+    """
+    rows = bands.packed(indexed, ["idx"]).select("image_id", "y", F.col("p.idx").alias("idx"))
+    image = rows.schema["image_id"].dataType.simpleString()
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, flat = bands.flat(pa.chunked_array([batch.column("idx")]))
+            first = np.cumsum(n) - n
+            out, power = [b""] * len(n), np.zeros(len(n), np.int64)
+            for width in np.unique(n):
+                own = np.flatnonzero(n == width)
+                for part in np.array_split(own, len(own) // 256 + 1):
+                    tables, powers = _row_folds(flat[first[part][:, None] + np.arange(width)].astype(np.int64))
+                    power[part] = powers.astype(np.int64)
+                    for k, table in zip(part.tolist(), tables.astype(np.uint32), strict=True):
+                        out[k] = table.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("y"), pa.array(power), pa.array(out, pa.binary())], ["image_id", "y", "power", "fold"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        fold, power = _in_order(table, "y")
+        return pa.table({"image_id": table["image_id"][:1], "band": table["band"][:1], "power": [int(power)], "fold": pa.array([fold.astype(np.uint32).tobytes()], pa.binary())})
+
+    def closed(table: pa.Table) -> pa.Table:
+        fold, power = _in_order(table, "band")
+        return pa.table({"image_id": table["image_id"][:1], "checksum": [int((_START * int(power) + int(fold[_START % _LOW])) & 0xFFFFFFFF)]})
+
+    folded = rows.mapInArrow(folds, f"image_id {image}, y int, power long, fold binary").withColumn("band", F.floor(F.col("y") / bands.BAND))
+    by_band = folded.groupBy("image_id", "band").applyInArrow(joined, f"image_id {image}, band long, power long, fold binary")
+    return by_band.groupBy("image_id").applyInArrow(closed, f"image_id {image}, checksum long")
 
 
 def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
-    """image_id, pixels, same of two indexed results; a pixel that only one has does not agree."""
-    a, b = left.withColumnRenamed("idx", "i"), right.withColumnRenamed("idx", "j")
-    both = a.join(b, ["image_id", "y", "x"], "full")
-    return both.groupBy("image_id").agg(F.count("*").alias("pixels"), F.count_if(F.col("i").eqNullSafe(F.col("j"))).alias("same"))
+    """image_id, pixels, same of two indexed results; a pixel that only one has does not agree.
+
+    Image rows are compared by digests (counts, sums and exclusive ors of hashes), which are aggregated where the pixels
+    are; only rows whose digests differ are joined by pixel.
+    """
+
+    def digests(indexed: DataFrame, name: str) -> DataFrame:
+        h = F.xxhash64("x", "idx")
+        return indexed.groupBy("image_id", "y").agg(F.count("*").alias(f"{name}n"), F.struct(F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).alias(name))
+
+    rows = save(digests(left, "l").join(digests(right, "r"), ["image_id", "y"], "full"), "digests")
+    alike = (F.col("ln") == F.col("rn")) & (F.col("l") == F.col("r"))
+    equal = rows.where(alike).groupBy("image_id").agg(F.sum("ln").alias("pixels"), F.sum("ln").alias("same"))
+    opened = rows.where(~F.coalesce(alike, F.lit(False))).select("image_id", "y")
+    a, b = (side.join(opened, ["image_id", "y"], "left_semi").withColumnRenamed("idx", name) for side, name in ((left, "i"), (right, "j")))
+    both = a.join(b, ["image_id", "y", "x"], "full").groupBy("image_id").agg(F.count("*").alias("pixels"), F.count_if(F.col("i").eqNullSafe(F.col("j"))).alias("same"))
+    return equal.unionByName(both).groupBy("image_id").agg(F.sum("pixels").alias("pixels"), F.sum("same").alias("same"))
 
 
 def palette_usage(indexed: DataFrame, palette: DataFrame) -> DataFrame:

@@ -449,6 +449,12 @@ def a6_unique_colors(spark, sf_dir):
     return metrics.unique_colors(fx.px_embed(spark, sf_dir))
 
 
+@register("a6_threshold_colors", f"WITH {fx.PX_EVENTS} SELECT image_id, count(DISTINCT (r, g, b)) AS colors, count(DISTINCT ({_bayer_sql(8)}, r, g, b)) AS threshold_colors FROM px_events GROUP BY image_id")
+def a6_threshold_colors(spark, sf_dir):
+    """Distinct colours, and distinct pairs of a colour and the threshold of its place."""
+    return metrics.unique_colors(fx.px_events(spark, sf_dir), 8)
+
+
 @register(
     "a7_index_checksum",
     f"""WITH {fx.PX_EVENTS}, {_direct_sql("px_events", "srgb", "preserve")}, listed AS (SELECT image_id, list(idx::BIGINT + 1 ORDER BY y, x) AS p FROM quantized GROUP BY image_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions import color, pixel
-from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, resize
+from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch, default_swatches
 
@@ -298,3 +298,43 @@ def test_a_replaced_file_makes_its_outputs_stale(spark, tmp_path):
     again = jobs.with_identity(table, palettes, sources=files())
     assert files().first()["image_id"] == first["image_id"]
     assert jobs.pending(again, outputs).count() == 1 and jobs.stale(outputs, again).count() == 1
+
+
+def test_checksums_of_wide_and_tall_images(spark):
+    """Folds of rows and bands against the fold of all indices one by one."""
+    rng = np.random.default_rng(5)
+    want, rows = {}, []
+    for image, (height, width) in enumerate([(1, 1), (130, 3), (3, 300), (64, 2), (65, 1)]):
+        idx = rng.integers(0, 256, (height, width))
+        h = 2166136261
+        for v in idx.ravel().tolist():
+            h = (h ^ v + 1) * 16777619 & 0xFFFFFFFF
+        want[image] = h
+        rows += [(image, y, x, int(idx[y, x])) for y in range(height) for x in range(width)]
+    indexed = spark.createDataFrame(rows, schemas.INDEXED).repartition(5)
+    assert {r["image_id"]: r["checksum"] for r in metrics.index_checksum(indexed).collect()} == want
+
+
+def test_agreement_opens_rows_that_differ(spark):
+    rows = [(i, y, x, (i + y * x) % 5) for i in range(3) for y in range(6) for x in range(7)]
+    left = spark.createDataFrame(rows, schemas.INDEXED)
+    right = spark.createDataFrame([(i, y, x, v + (i == 1 and y == 2 and x < 3)) for i, y, x, v in rows if (i, y, x) != (2, 5, 6)], schemas.INDEXED)
+    got = {r["image_id"]: (r["pixels"], r["same"]) for r in metrics.agreement(left, right).collect()}
+    assert got == {0: (42, 42), 1: (42, 39), 2: (42, 41)}
+
+
+def test_pages_of_distinct_colours(spark):
+    px = patterned(spark, 20, 15).withColumn("extra", F.col("x") + 1)
+    palette = default_swatches()
+    plain = match.nearest(px, palette, "oklab").orderBy("y", "x").collect()
+    assert match.nearest_distinct(px, palette, "oklab").orderBy("y", "x").collect() == plain
+    joins = match.nearest_distinct(px, palette, "oklab")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins
+
+
+def test_comparison_of_dithered_spaces(spark):
+    px = patterned(spark, 9, 7)
+    settings = Settings(dither="bayer-4")
+    a, b = (indices(jobs.quantize(px, SMALL, Settings(dither="bayer-4", color_space=c))) for c in ("srgb", "oklab"))
+    row = jobs.compare_spaces(px, SMALL, settings, ["srgb", "oklab"]).first()
+    assert (row["pixels"], row["same"]) == (63, sum(x == y for x, y in zip(a, b, strict=True)))

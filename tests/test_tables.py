@@ -294,3 +294,25 @@ def test_rolling_timings_on_a_stream(spark, tmp_path):
     r = spark.table("rolling").first()
     want = streams.rolling_timings_batch(rows).first()
     assert (r["scope_key"], r["n"], r["average"], r["p95"]) == (want["scope_key"], want["n"], want["average"], want["p95"])
+
+
+def test_long_keys_are_scanned_by_ranges(spark):
+    """One key with all rows is spread over ranges; values cross them as in a window."""
+    from pyspark.sql import Window
+
+    from pixelloom.operators import ranges
+
+    n = 3000
+    rows = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("seq"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("t"), (F.col("id") < 1700).cast("string").alias("scope_key"), F.col("id").cast("double").alias("ms"))
+    other = spark.createDataFrame([(None, 5, 3, None, 1.0), (None, 6, 1, None, 2.0), ("z", 1, 9, "a", 0.0)], "key string, seq long, t long, scope_key string, ms double")
+    rows = rows.unionByName(other).repartition(3)
+    assert ranges.ranged(rows, ["key"], "seq").where("key = 'k'").select("_part").distinct().count() > 1
+    w = Window.partitionBy("key").orderBy("seq")
+    place = rows.withColumn("p", F.row_number().over(w))
+    want = {(r["key"], r["seq"]): r["m"] for r in place.select("key", "seq", (F.max(F.col("t") - F.col("p")).over(w) + F.col("p")).alias("m")).collect()}
+    assert {(r["key"], r["seq"]): r["monotonic_ts"] for r in metrics.monotonic(rows, ["key"], "seq", "t").collect()} == want
+    lag = {(r["key"], r["seq"]): r["d"] for r in rows.select("key", "seq", (F.col("t") - F.coalesce(F.lag("t").over(w), F.lit(0))).alias("d")).collect()}
+    assert {(r["key"], r["seq"]): r["t"] for r in metrics.counter_delta(rows, ["key"], "seq", ["t"], ["ms"]).collect()} == lag
+    kept = metrics.scoped_history(rows, ["key"], 100).collect()
+    assert sorted((r["key"] or "", r["seq"]) for r in kept) == sorted([("", 5), ("", 6), ("z", 1), *(("k", i) for i in range(n - 100, n))])
+    assert [r["seq"] for r in metrics.scoped_history(rows.where("key = 'k' and seq < 1703"), [], 100).orderBy("seq").collect()] == [1700, 1701, 1702]
