@@ -296,7 +296,15 @@ def test_rolling_timings_on_a_stream(spark, tmp_path):
     assert (r["scope_key"], r["n"], r["average"], r["p95"]) == (want["scope_key"], want["n"], want["average"], want["p95"])
 
 
-def test_long_keys_are_scanned_by_ranges(spark):
+@pytest.fixture()
+def small_partitions(spark):
+    """Without it, Spark would put the few rows of a test in one partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_keys_are_scanned_by_ranges(spark, small_partitions):
     """One key with all rows is spread over ranges; values cross them as in a window."""
     from pyspark.sql import Window
 
