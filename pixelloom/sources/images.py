@@ -83,7 +83,11 @@ def admit(files: DataFrame) -> DataFrame:
             yield out
 
     walked = known.where(F.col("mime").isin("image/jpeg", "image/webp")).mapInPandas(walk, "path string, mime string, bytes long, width long, height long")
-    both = sized.unionByName(walked)
+    return judged(sized.unionByName(walked))
+
+
+def judged(files: DataFrame) -> DataFrame:
+    """Adds reason, null if a file (mime, bytes, width, height) is admitted."""
     reason = (
         F.when(F.col("mime").isNull(), "unsupported type")
         .when(F.col("bytes") > schemas.MAX_FILE_BYTES, "file too large")
@@ -92,7 +96,7 @@ def admit(files: DataFrame) -> DataFrame:
         .when(F.col("width") * F.col("height") > schemas.MAX_PIXELS, "too many pixels")
         .when(F.col("mime") == "image/webp", "no decoder")
     )
-    return both.withColumn("reason", reason)
+    return files.withColumn("reason", reason)
 
 
 def sources(files: DataFrame) -> DataFrame:

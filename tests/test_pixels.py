@@ -338,3 +338,32 @@ def test_comparison_of_dithered_spaces(spark):
     a, b = (indices(jobs.quantize(px, SMALL, Settings(dither="bayer-4", color_space=c))) for c in ("srgb", "oklab"))
     row = jobs.compare_spaces(px, SMALL, settings, ["srgb", "oklab"]).first()
     assert (row["pixels"], row["same"]) == (63, sum(x == y for x, y in zip(a, b, strict=True)))
+
+
+def test_headers_are_read_and_files_written_once(spark, tmp_path):
+    from pixelloom.sources import image_files, images
+
+    png = images.encode_png(3, [bytes([0, 1, 1])] * 2, [(1, 2, 3, False), (0, 0, 0, True)])
+    files = spark.createDataFrame([(f"{i}-out-3x2.png", bytearray(png)) for i in range(20)], "file string, content binary").repartition(4)
+    for _ in range(2):  # a rerun changes nothing
+        image_files.write_files(files, str(tmp_path / "out"))
+        assert sorted(f.name for f in (tmp_path / "out").iterdir()) == sorted(f"{i}-out-3x2.png" for i in range(20))
+    assert all(f.read_bytes() == png for f in (tmp_path / "out").iterdir())
+    back = images.read_images(spark, str(tmp_path / "out"))
+    assert {(r["width"], r["height"]) for r in back.collect()} == {(3, 2)}
+    failing = F.when(F.col("file").startswith("7-"), F.raise_error(F.lit("no content")).cast("binary")).otherwise(F.col("content"))
+    for bad, why in ((files.withColumn("file", F.lit("same.png")), "names repeat"), (files.withColumn("content", failing), "no content"), (files.withColumn("file", F.lit("../up.png")), "not a file name")):
+        with pytest.raises(Exception, match=why):
+            image_files.write_files(bad, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or list((tmp_path / "none").iterdir()) == []
+
+    sources = tmp_path / "in"
+    sources.mkdir()
+    jpeg = b"\xff\xd8" + b"\xff\xe1\xff\xfe" + bytes(0xFFFC) + b"\xff\xc0\0\x11\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + bytes(10)
+    for name, data in {"a.png": png + bytes(300_000), "b.jpg": jpeg + bytes(300_000), "c.gif": b"GIF89a" + (7).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes(9), "d.txt": b"text", "e.webp": b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + b"\x09\0\0\x04\0\0" + bytes(10), "f.png": b"\x89PNG\r\n\x1a\n"}.items():
+        (sources / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["mime"], r["bytes"], r["width"], r["height"], r["reason"]) for r in image_files.admit_files(spark, str(sources)).collect()}
+    want = {r["path"].rsplit("/", 1)[-1]: (r["mime"], r["bytes"], r["width"], r["height"], r["reason"]) for r in images.admit(spark.read.format("binaryFile").load(str(sources))).collect() if not r["path"].endswith("f.png")}
+    assert {k: v for k, v in got.items() if k != "f.png"} == want and got["f.png"] == ("image/png", 8, None, None, "unreadable size")
+    read = {r["path"].rsplit("/", 1)[-1]: r["read"] for r in spark.read.format("image-files").load(str(sources)).collect()}
+    assert read["a.png"] == image_files.STEP and read["b.jpg"] < 150_000 < images.HEADER_BYTES
