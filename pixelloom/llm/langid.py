@@ -31,7 +31,7 @@ TRAIN_ROWS, RARE, NGRAM = 6_000, 3, 5
 UNKNOWN = "und"
 #: Share of the probability of words that is left to those never seen.
 UNSEEN = 0.2
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES, MEMO_BYTES = 300_000, 32 << 20
 _ASCII_WORDS, _ALL_WORDS = regex.compile("[a-z]+").findall, regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
@@ -101,18 +101,19 @@ class Predictor:
 
     def __init__(self, model: Model):
         self.model, self.size = model, len(model.languages)
+        self.entries = max(1, min(MEMO_ENTRIES, MEMO_BYTES // (8 * max(1, self.size))))
         self._reset()
 
     def _reset(self) -> None:
         self.row = _Rows(self._add)
         self.row.update(self.model.word)
         self.used = len(self.model.table)
-        self.table = np.vstack([self.model.table, np.zeros((MEMO_ENTRIES, self.size))])
+        self.table = np.vstack([self.model.table, np.zeros((self.entries, self.size))])
 
     def _add(self, word: str) -> int:
         rows = self.model.backoff(word)
         if self.used == len(self.table):
-            self.table = np.vstack([self.table, np.zeros((MEMO_ENTRIES, self.size))])
+            self.table = np.vstack([self.table, np.zeros((self.entries, self.size))])
         self.table[self.used] = self.model.table[rows].sum(0) if rows else 0
         self.used += 1
         return self.used - 1
@@ -121,10 +122,11 @@ class Predictor:
         found = words(text)
         if not found or not self.size:
             return UNKNOWN, 0.0
-        if self.used > len(self.model.table) + MEMO_ENTRIES:
-            self._reset()
-        rows = list(map(self.row.__getitem__, found))
-        total = self.table[rows].sum(0)
+        total = np.zeros(self.size)
+        for i in range(0, len(found), self.entries):
+            if self.used > len(self.model.table) + self.entries:
+                self._reset()
+            total += self.table[list(map(self.row.__getitem__, found[i : i + self.entries]))].sum(0)
         best = int(total.argmax())
         return self.model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
 

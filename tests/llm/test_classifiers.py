@@ -230,3 +230,13 @@ def test_short_words_are_learned(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
     assert model.learned == ["傻瓜", "笨蛋"]
+
+
+def test_many_languages_do_not_make_a_large_memo():
+    """500 languages: a predictor stays within some megabytes, and texts longer than its memo are scored whole."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    many = langid.Model({f"l{i:03}": {f"word{name(i)}": 5, "all": 1} for i in range(500)}).predictor()
+    assert many.entries * 8 * 500 <= langid.MEMO_BYTES
+    text = " ".join(f"zz{name(i)}" for i in range(3 * many.entries)) + f" word{name(123)}" * 40_000
+    got = many(text)
+    assert got[0] == "l123" and many.table.nbytes <= 4 * langid.MEMO_BYTES
