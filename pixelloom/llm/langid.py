@@ -126,7 +126,8 @@ class Predictor:
         for i in range(0, len(found), self.entries):
             if self.used > len(self.model.table) + self.entries:
                 self._reset()
-            total += self.table[list(map(self.row.__getitem__, found[i : i + self.entries]))].sum(0)
+            rows = list(map(self.row.__getitem__, found[i : i + self.entries]))  # may make a larger table
+            total += self.table[rows].sum(0)
         best = int(total.argmax())
         return self.model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
 
