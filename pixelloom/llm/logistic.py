@@ -12,17 +12,24 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray | None = None, l2: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights, the last being the intercept, by Newton's method with a Gaussian prior (none on the intercept)."""
+    """Weights, the last being the intercept, by Newton's method with a Gaussian prior (none on the intercept).
+
+    A step that would make the fit worse, as from a prior far off, is halved until it does not.
+    """
     x = np.column_stack([x, np.ones(len(x))])
     start = np.zeros(x.shape[1]) if prior is None else prior.astype(float)
     w, penalty = start.copy(), np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
     if not len(y):
         return w
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + (penalty * (w - start) ** 2).sum() / 2
     for _ in range(steps):
         p = sigmoid(x @ w)
         gradient = x.T @ (p - y) + penalty * (w - start)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), gradient)
+        worst = loss(w) + 1e-9
+        while loss(w - step) > worst and np.abs(step).max() >= 1e-8:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-8:
             break

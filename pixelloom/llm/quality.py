@@ -2,15 +2,18 @@
 
 The content view sees the text only: shares of capitals, symbols, digits, repeated words and the like.  The metadata
 view sees source, lang, n_chars.  Each view is a logistic model on quantile bins of its features.  In every round the
-views label rows of an unlabelled pool for each other, but only where their calibrated probability is extreme and
-where, on the held-back labelled fold, labels of that confidence are right often enough.  At the end both views are
-calibrated on that fold and combined by a logistic model of their log-odds, which scores all documents.
-
-The models are fitted on the driver from at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled rows (of
-features, not texts); scoring is map-only.  Null or empty texts have zero content features and are scored by them;
-null metadata is a value of its own.  Repeated rows are scored each, rows with a null doc_id too; of a doc_id with
-several rows, the smallest (by text, then metadata) is learned from.  Other columns, whatever their names, pass through
-unchanged.  Without any labels every score is that of the priors; an empty table gives no rows.
+views label all unlabelled documents for each other, but only where their calibrated probability is extreme and
+where, on the held-back labelled fold, labels of that confidence are right often enough; rounds admit ever less extreme
+ones.  What a view is told is counted by feature, bin and label; the evidence of these counts is the centre of the
+prior of its next fit on the labelled rows.  At the end both views are calibrated on the held-back fold and combined by
+a logistic model of their log-odds, which scores all documents.
+
+The models are fitted on the driver from at most ``TRAIN_ROWS`` labelled rows (of features, not texts) and from the
+counts, whose number depends on the bins alone.  The bins of all unlabelled documents are a saved table, read once a
+round; scoring is map-only.  Null or empty texts have zero content features and are scored by them; null metadata is a
+value of its own.  Repeated rows are scored each and, unlabelled, counted each, rows with a null doc_id too; of a
+labelled doc_id with several rows, the smallest (by text, then metadata) is learned from.  Other columns, whatever their
+names, pass through unchanged.  Without any labels every score is that of the priors; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import logistic
 from pixelloom.llm import text as T
-
-TRAIN_ROWS, POOL_ROWS = 20_000, 20_000
-ROUNDS = 4
-CONFIDENT, PRECISION = 0.97, 0.95
-#: Share of the pool that one view may label in a round.
-ROUND_SHARE = 0.1
+from pixelloom.llm.storage import drop, save
+
+TRAIN_ROWS = 20_000
+#: Probability, by round, from which a view labels documents for the other, and how often it must be right on the fold.
+CONFIDENT, PRECISION = (0.995, 0.99, 0.98, 0.97), 0.95
+#: Documents of either label, in their overall proportion, that are added to the counts of every bin.
+SMOOTH = 4.0
+#: Log-odds beyond this are taken for it.
+LIMIT = 13.8
 #: A category's value with so many rows in the sample has an indicator of its own; all others share indicators by a hash.
 OFTEN, BUCKETS = 20, 32
 #: Quantiles at which a feature is cut into bins.
@@ -90,10 +96,10 @@ def _repeats(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class View:
-    """One-hot bins of a view's numbers, then indicators of its categories."""
+    """A logistic model on bins: those of a view's numbers are ordered and have a weight for each step, those of its categories have one each."""
 
     cuts: list[np.ndarray]
-    values: list[list[str | None]]
+    values: list[list[str]]
     weights: np.ndarray | None = None
     scale: np.ndarray | None = None  # Platt: slope and intercept on the log-odds
 
@@ -106,24 +112,66 @@ class View:
             values.append(seen[count >= OFTEN].tolist())
         return cls(cuts, values)
 
-    def encode(self, numbers: np.ndarray, categories: list[list]) -> np.ndarray:
-        parts = [(np.searchsorted(c, numbers[:, j], "right")[:, None] > np.arange(len(c))) for j, c in enumerate(self.cuts)]
+    @property
+    def widths(self) -> list[int]:
+        """The number of bins of every feature."""
+        return [len(c) + 1 for c in self.cuts] + [len(v) + BUCKETS for v in self.values]
+
+    def bins(self, numbers: np.ndarray, categories: list[list]) -> np.ndarray:
+        """A row of bins for each document, one for every feature."""
+        columns = [np.searchsorted(c, numbers[:, j], "right") for j, c in enumerate(self.cuts)]
         for column, known in zip(categories, self.values, strict=True):
             at = {v: i for i, v in enumerate(known)}
-            hot = np.zeros((len(column), len(known) + BUCKETS), bool)
-            for i, x in enumerate(map(str, column)):
-                hot[i, at[x] if x in at else len(known) + zlib.crc32(x.encode()) % BUCKETS] = True
-            parts.append(hot)
-        return np.hstack(parts).astype(float)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> None:
-        self.weights = logistic.fit(x, y, l2=l2)
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.scale = logistic.fit(logistic.logit(logistic.predict(x, self.weights))[:, None], y, np.array([1.0, 0.0]), l2=10.0)
-
-    def log_odds(self, x: np.ndarray) -> np.ndarray:
-        return self.scale[0] * logistic.logit(logistic.predict(x, self.weights)) + self.scale[1]
+            columns.append([at[x] if x in at else len(known) + zlib.crc32(x.encode()) % BUCKETS for x in map(str, column)])
+        return np.column_stack(columns).astype(np.int32)
+
+    def encode(self, bins: np.ndarray) -> np.ndarray:
+        """Indicators of the steps reached by every number, then of the bin of every category."""
+        steps = [bins[:, j, None] > np.arange(len(c)) for j, c in enumerate(self.cuts)]
+        hot = [bins[:, j, None] == np.arange(w) for j, w in enumerate(self.widths) if j >= len(self.cuts)]
+        return np.hstack(steps + hot).astype(float)
+
+    def counts(self, bins: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rows by cell (the bins of all features, one feature after the other) and label."""
+        cells = bins + np.concatenate([[0], np.cumsum(self.widths)[:-1]]).astype(np.int64)
+        return np.column_stack([np.bincount(cells[y == label].ravel(), minlength=sum(self.widths)) for label in (0, 1)])
+
+    def fit(self, bins: np.ndarray, y: np.ndarray, told: np.ndarray, l2: float = 1.0) -> None:
+        """Fit on labelled rows; the prior is centred on the evidence of the counts that the view was told.
+
+        The told documents of a label weigh at most as much as its labelled rows together, so a large and one-sided pool does
+        not outweigh them.  Evidence of features that go together is counted more than once, so a slope fitted on the rows
+        scales it.
+        """
+        own, first = self.counts(bins, y), slice(0, self.widths[0])
+        count = told * np.minimum(1.0, own[first].sum(0) / np.maximum(told[first].sum(0), 1))
+        total = count[first].sum(0) + 1.0
+        expected = SMOOTH * total / total.sum()
+        evidence = np.log(count[:, 1] + expected[1]) - np.log(count[:, 0] + expected[0]) - np.log(total[1] / total[0])
+        by_feature = np.split(evidence, np.cumsum(self.widths)[:-1])
+        numbers, categories = by_feature[: len(self.cuts)], by_feature[len(self.cuts) :]
+        x = self.encode(bins)
+        steps = np.concatenate([*(np.diff(e) for e in numbers), *categories, [sum(e[0] for e in numbers)]])
+        slope, start = logistic.fit((x @ steps[:-1] + steps[-1])[:, None], y)
+        prior = max(slope, 0.0) * steps
+        prior[-1] += start
+        self.weights = logistic.fit(x, y, prior, l2=l2)
+
+    def raw(self, bins: np.ndarray) -> np.ndarray:
+        """Log-odds before calibration, a lookup for every feature."""
+        out, at = np.full(len(bins), self.weights[-1]), 0
+        for j, width in enumerate(self.widths):
+            own = width - 1 if j < len(self.cuts) else width
+            w = self.weights[at : at + own]
+            out += (np.concatenate([[0.0], np.cumsum(w)]) if j < len(self.cuts) else w)[bins[:, j]]
+            at += own
+        return np.clip(out, -LIMIT, LIMIT)
+
+    def calibrate(self, bins: np.ndarray, y: np.ndarray) -> None:
+        self.scale = logistic.fit(self.raw(bins)[:, None], y, np.array([1.0, 0.0]), l2=10.0)
+
+    def log_odds(self, bins: np.ndarray) -> np.ndarray:
+        return self.scale[0] * self.raw(bins) + self.scale[1]
 
 
 @dataclass
@@ -135,8 +183,8 @@ class Model:
     def score(self, batch: pa.RecordBatch) -> np.ndarray:
         """The probability of good quality."""
         numbers, words, facts = features(batch)
-        a = self.content.log_odds(self.content.encode(numbers, []))
-        b = self.metadata.log_odds(self.metadata.encode(words, facts))
+        a = self.content.log_odds(self.content.bins(numbers, []))
+        b = self.metadata.log_odds(self.metadata.bins(words, facts))
         return logistic.predict(np.column_stack([a, b]), self.mix)
 
 
@@ -172,32 +220,71 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, l
     return numbers, got[["chars"]].to_numpy(), [got[c].tolist() for c in ("source", "lang", "unknown")], got["y"].to_numpy()
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model:
+def _binned(docs: DataFrame, known: DataFrame, views: list[View]) -> DataFrame:
+    """The bins of both views (columns content, metadata) of all documents without a label, repeated rows and null doc_ids included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, chars, facts = features(batch)
+            parts = [views[0].bins(numbers, []), views[1].bins(chars, facts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(p), pa.list_(pa.int32())) for p in parts)], ["doc_id", "content", "metadata"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    binned = _columns(docs).mapInArrow(run, f"doc_id {kind}, content array<int>, metadata array<int>")
+    return binned.join(known.select("doc_id"), "doc_id", "left_anti").select("content", "metadata")
+
+
+def exchange(pool: DataFrame, views: list[View], bounds: list[tuple[float, float]]) -> list[np.ndarray]:
+    """What each view is told by the other: counts of the pool's rows by cell and label.
+
+    ``bounds`` has, for every view, the log-odds up to which it says 0 and those from which it says 1.
+    """
+    sizes = [sum(v.widths) for v in views]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = [np.zeros((n, 2), np.int64) for n in sizes]
+        for batch in batches:
+            bins = [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("content", "metadata")]
+            for v, view in enumerate(views):
+                odds, (low, high) = view.log_odds(bins[v]), bounds[v]
+                said = np.where(odds >= high, 1, np.where(odds <= low, 0, -1))
+                told[1 - v] += views[1 - v].counts(bins[1 - v], said)
+        flat = np.concatenate([t.ravel() for t in told])
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["cell", "n"])
+
+    total = np.zeros(2 * sum(sizes))
+    for cell, n in pool.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        total[cell] = n
+    return [t.reshape(-1, 2) for t in np.split(total, [2 * sizes[0]])]
+
+
+def _bounds(view: View, bins: np.ndarray, y: np.ndarray, confident: float) -> tuple[float, float]:
+    """Log-odds from which the view's labels count; infinite where they are not right often enough on the fold, or never so sure."""
+    odds, edge = view.log_odds(bins), float(logistic.logit(np.float64(confident)))
+    trusted = lambda sure, label: sure.any() and (y[sure] == label).mean() >= PRECISION
+    return (-edge if trusted(odds <= -edge, 0) else -np.inf), (edge if trusted(odds >= edge, 1) else np.inf)
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, confident: tuple[float, ...] = CONFIDENT) -> Model:
     known = labels.where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("y"))
     numbers, chars, facts, y = _sampled(docs, logistic.sample_ids(known, train_rows))
-    rest = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti")
-    pool_numbers, pool_chars, pool_facts, _ = _sampled(docs, logistic.sample_ids(rest, pool_rows).withColumn("y", F.lit(-1.0)))
     views = [View.of(numbers, []), View.of(chars, facts)]
-    x = [views[0].encode(numbers, []), views[1].encode(chars, facts)]
-    pool = [views[0].encode(pool_numbers, []), views[1].encode(pool_chars, pool_facts)]
+    bins = [views[0].bins(numbers, []), views[1].bins(chars, facts)]
+    pool = save(_binned(docs, known, views), "quality-pool") if len(y) else None
     held = np.arange(len(y)) % 3 == 0  # the fold for calibration
-    given = [np.full(len(pool[0]), -1.0) for _ in views]  # what each view was told about the pool
-    for r in range(rounds + 1):
-        for v, view in enumerate(views):
-            told = given[v] >= 0
-            view.fit(np.vstack([x[v][~held], pool[v][told]]), np.concatenate([y[~held], given[v][told]]))
-            view.calibrate(x[v][held], y[held])
-        if r == rounds:
-            break
+    told = [np.zeros((sum(v.widths), 2)) for v in views]
+    for sure in (*confident, None):
         for v, view in enumerate(views):
-            other = given[1 - v]
-            p, on_fold = logistic.sigmoid(view.log_odds(pool[v])), logistic.sigmoid(view.log_odds(x[v][held]))
-            for label, sure, fold_sure in ((1.0, p >= CONFIDENT, on_fold >= CONFIDENT), (0.0, p <= 1 - CONFIDENT, on_fold <= 1 - CONFIDENT)):
-                if not fold_sure.any() or (y[held][fold_sure] == label).mean() < PRECISION:
-                    continue
-                free = np.flatnonzero(sure & (other < 0))
-                other[free[np.argsort(-np.abs(p[free] - 0.5), kind="stable")][: max(1, int(ROUND_SHARE * len(p)))]] = label
-    logits = np.column_stack([v.log_odds(z[held]) for v, z in zip(views, x, strict=True)])
+            view.fit(bins[v][~held], y[~held], told[v])
+            view.calibrate(bins[v][held], y[held])
+        if sure is not None and pool is not None:
+            bounds = [_bounds(view, b[held], y[held], sure) for view, b in zip(views, bins, strict=True)]
+            if np.isfinite(bounds).any():
+                told = exchange(pool, views, bounds)
+    if pool is not None:
+        drop(pool)
+    logits = np.column_stack([v.log_odds(b[held]) for v, b in zip(views, bins, strict=True)])
     return Model(*views, logistic.fit(logits, y[held], np.array([1.0, 0.0, 0.0]), l2=10.0))
 
 

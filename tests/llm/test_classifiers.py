@@ -214,6 +214,61 @@ def test_quality_of_odd_rows(spark, docs, sf):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def test_quality_exchange_by_a_plain_count(spark, sf):
+    """All unlabelled documents are told to the other view: counted here one document, feature and bin after the other."""
+    table, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels").where("quality is not null")
+    model = quality.train(table, labels)
+    views, bounds = [model.content, model.metadata], [(-1.0, 2.0), (-np.inf, 1.0)]
+    pool = quality._binned(table, labels, views)
+    rows = pool.collect()
+    assert len(rows) == table.join(labels, "doc_id", "left_anti").count()
+    plain = [Counter(), Counter()]
+    for row in rows:
+        for v, view in enumerate(views):
+            odds = view.log_odds(np.array([row[v]]))[0]
+            if odds >= bounds[v][1] or odds <= bounds[v][0]:
+                plain[1 - v].update((j, b, int(odds >= bounds[v][1])) for j, b in enumerate(row[1 - v]))
+    for view, told, counted in zip(views, quality.exchange(pool.repartition(5), views, bounds), plain, strict=True):
+        starts = np.concatenate([[0], np.cumsum(view.widths)])
+        got = {(j, b, label): told[starts[j] + b, label] for j, width in enumerate(view.widths) for b in range(width) for label in (0, 1)}
+        assert {k: n for k, n in got.items() if n} == dict(counted) and counted
+
+
+def test_quality_view_by_indicators(spark, sf):
+    """The lookup of log-odds equals the product with the indicators that the weights were fitted on."""
+    model = quality.train(queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels"))
+    rng = np.random.default_rng(3)
+    for view in (model.content, model.metadata):
+        bins = np.column_stack([rng.integers(0, w, 200) for w in view.widths])
+        slow = view.encode(bins) @ view.weights[:-1] + view.weights[-1]
+        assert np.allclose(view.raw(bins), np.clip(slow, -quality.LIMIT, quality.LIMIT))
+
+
+def test_quality_learns_from_the_unlabelled(spark):
+    """Digits say nothing about the labelled documents but all about the others; there the source tells which are poor."""
+
+    def row(i):
+        poor, shown = i % 2 == 1, i < 120
+        text = ("BUY !!! NOW | " if poor else "A calm report of the day. ") * 5 if shown else "and so they went home again "
+        return i, text + "7 8 9 10 " * (5 * (i // 2 % 2 if shown else poor)), "en", "farm" if poor else "press", 90
+
+    docs = spark.createDataFrame([row(i) for i in range(4000)], DOC)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    alone, taught = (quality.train(docs, labels, confident=c) for c in ((), (0.9, 0.8)))
+    unseen = docs.where("doc_id >= 120").withColumn("source", F.lit("other"))
+    right = [sum((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in quality.score(unseen, m).collect()) for m in (alone, taught)]
+    assert right[1] > right[0] and right[1] >= 0.95 * unseen.count()
+    again = quality.train(docs.repartition(13), labels, confident=(0.9, 0.8))
+    assert np.array_equal(again.content.weights, taught.content.weights) and np.array_equal(again.mix, taught.mix)
+
+
+def test_fit_from_a_prior_far_off():
+    x = np.repeat([[0.0], [1.0]], 50, axis=0)
+    y = np.concatenate([np.arange(50) % 5 == 0, np.arange(50) % 5 > 0]).astype(float)
+    near, far = logistic.fit(x, y, l2=1e-3), logistic.fit(x, y, np.array([60.0, -40.0]), l2=1e-3)
+    assert np.allclose(near, far, atol=0.2) and abs(logistic.predict(np.array([[1.0]]), far)[0] - 0.8) < 0.02
+
+
 @pytest.mark.parametrize("text", ["You are an “idiot”.", "You are an idiot…", "You—idiot", "ты «дурак»", "дурак。", "ДУРАК", "笨蛋", "YOU ARE AN ÍDIOT, an idiot"])
 def test_signs_and_letters_of_other_scripts(text):
     grammar = toxicity.Grammar(["дурак", "笨蛋"])
