@@ -288,11 +288,21 @@ for _i, _kernel in enumerate(diffusion.KERNELS):
 # Geometry and resizing
 
 
-@register("a1_content_bounds", f"WITH {fx.PX_INSET} SELECT image_id, 3 AS x, 2 AS y, 19 AS width, 18 AS height FROM px_inset GROUP BY image_id UNION ALL SELECT image_id + 1000000, NULL, NULL, NULL, NULL FROM px_events GROUP BY image_id")
+_BOUNDS = f"""WITH {fx.PX_INSET}, shown AS (SELECT image_id, x, y, a FROM px_inset UNION ALL SELECT image_id + 1000000, x, y, 255 FROM px_events
+        UNION ALL SELECT image_id + 2000000, x, y, CASE WHEN x < image_id % 7 OR y > 19 - image_id % 3 THEN 0 ELSE a END FROM px_events),
+    box AS (SELECT image_id, min(x) FILTER (a > 0) AS x0, max(x) FILTER (a > 0) AS x1, min(y) FILTER (a > 0) AS y0, max(y) FILTER (a > 0) AS y1, max(x) AS mx, max(y) AS my, min(a) = 0 AS clear FROM shown GROUP BY image_id),
+    kept AS (SELECT *, clear AND x0 IS NOT NULL AND (x0 > 0 OR y0 > 0 OR x1 < mx OR y1 < my) AS boxed FROM box)
+    SELECT image_id, CASE WHEN boxed THEN x0 END AS x, CASE WHEN boxed THEN y0 END AS y, CASE WHEN boxed THEN x1 - x0 + 1 END AS width, CASE WHEN boxed THEN y1 - y0 + 1 END AS height FROM kept"""
+
+
+@register("a1_content_bounds", _BOUNDS)
 def a1_content_bounds(spark, sf_dir):
-    """Inset images have a box; opaque ones have none."""
-    both = fx.px_inset(spark, sf_dir).unionByName(fx.px_opaque(spark, sf_dir).withColumn("image_id", F.col("image_id") + 1000000))
-    return geometry.content_bounds(both)
+    """Inset images have a box; opaque ones have none; others by what their events leave."""
+    px = fx.px_events(spark, sf_dir)
+    hidden = (F.col("x") < F.col("image_id") % 7) | (F.col("y") > 19 - F.col("image_id") % 3)
+    cut = px.withColumn("a", F.when(hidden, 0).otherwise(F.col("a"))).withColumn("image_id", F.col("image_id") + 2000000)
+    opaque = fx.px_opaque(spark, sf_dir).withColumn("image_id", F.col("image_id") + 1000000)
+    return geometry.content_bounds(fx.px_inset(spark, sf_dir).unionByName(opaque).unionByName(cut))
 
 
 _CROPPED = "SELECT o_orderkey AS job_id, ((o_orderkey % 37) - 5) + 0.5::DOUBLE AS cx, ((o_orderkey % 29) - 4) + 0.25::DOUBLE AS cy, (o_orderkey % 40)::INT AS cw, (o_orderkey % 23)::INT AS ch FROM orders"
