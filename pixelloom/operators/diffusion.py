@@ -87,6 +87,7 @@ class Scan:
     serpentine: bool
     strength: float
     masked: int
+    unclamped: bool = False  # errors of byte values are those of the values before they became bytes
     window: list = field(default_factory=list)  # rows read and not yet scanned
 
     def __post_init__(self):
@@ -126,9 +127,10 @@ class Scan:
     def _chosen(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Working values (n x 3) as they are matched, and the places of their nearest colours."""
         v = v.astype(np.float64)
-        if self.as_bytes:
-            v = np.clip(np.floor(v + 0.5), 0, 255)
-        return v, self.nearest(byte_vectors(v, self.space) if self.as_bytes else v)
+        if not self.as_bytes:
+            return v, self.nearest(v)
+        whole = np.clip(np.floor(v + 0.5), 0, 255)
+        return v if self.unclamped else whole, self.nearest(byte_vectors(whole, self.space))
 
     def _front(self, n: int) -> list[np.ndarray]:
         """Indices of the first n rows by a wavefront; leaves the errors in the rows below."""
@@ -205,6 +207,8 @@ class Scan:
                     k = known[cell][(u & 3) << 4 | (v & 3) << 2 | w & 3]
                 else:
                     k = int(color.squared_distance((u, v, w), self.points, self.space).argmin())
+                if self.unclamped:
+                    u, v, w = a[x], b[x], c[x]
                 p, q, r = targets[k]
                 found[x] = ords[k]
                 out[x] = u, v, w = u - p, v - q, w - r
@@ -238,8 +242,11 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         yield stacked()
 
 
-def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame:
-    """image_id, y, x, idx by the kernel named in the settings; a strength of 0 is direct quantizing."""
+def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings, unclamped: bool = False) -> DataFrame:
+    """image_id, y, x, idx by the kernel named in the settings; a strength of 0 is direct quantizing.
+
+    unclamped: errors in bytes are measured from the working values as they are, as previews do.
+    """
     if s.strength <= 0 or not any(p.visible for p in palette):
         return dither.quantize(px, palette, s)
     source = dither.adaptive_mask(px, palette, s) if s.placement == "adaptive" else px.withColumn("mask", F.lit(1.0))
@@ -258,7 +265,7 @@ def quantize(px: DataFrame, palette: Sequence[Swatch], s: Settings) -> DataFrame
     vectors = np.array(match.palette_vectors(px.sparkSession, palette, s.color_space))
     visible = [p for p in palette if p.visible]
     targets = vectors if s.in_vectors else np.array([p.rgb for p in visible], float)
-    settings = {"kernel": KERNELS[s.dither], "vectors": vectors, "targets": targets, "ords": np.array([p.ord for p in visible], np.int32), "space": s.color_space, "as_bytes": not s.in_vectors, "serpentine": s.serpentine, "strength": s.strength / 100, "masked": dither.masked_index(palette)}
+    settings = {"kernel": KERNELS[s.dither], "vectors": vectors, "targets": targets, "ords": np.array([p.ord for p in visible], np.int32), "space": s.color_space, "as_bytes": not s.in_vectors, "serpentine": s.serpentine, "strength": s.strength / 100, "masked": dither.masked_index(palette), "unclamped": unclamped}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scan(**settings)

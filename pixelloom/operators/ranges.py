@@ -41,6 +41,17 @@ def with_last(parts: DataFrame, order: str, values: dict[str, str]) -> DataFrame
     return joined.withColumns(found | {"_first": top & F.col("_carry").isNull()}).drop("_n", "_carry", *(f"_lag_{name}" for name in values))
 
 
+def with_next(parts: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+    """Adds columns with the value of the row after, by name; null for the last row of a key."""
+    here = _chunk(order)
+    starts = parts.groupBy("_part", "_key").agg(F.min_by(F.struct(*set(values.values())), order).alias("_start"))
+    after = Window.partitionBy("_key").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    carried = starts.withColumn("_carry", F.first("_start", ignorenulls=True).over(after)).select("_part", "_key", "_carry")
+    joined = parts.withColumn("_end", F.lead(F.lit(True)).over(here).isNull()).withColumns({f"_lead_{name}": F.lead(c).over(here) for name, c in values.items()}).join(carried, ["_part", "_key"])
+    found = {name: F.when(F.col("_end"), F.col("_carry")[c]).otherwise(F.col(f"_lead_{name}")) for name, c in values.items()}
+    return joined.withColumns(found).drop("_end", "_carry", *(f"_lead_{name}" for name in values))
+
+
 def with_running_maximum(parts: DataFrame, order: str, value: Column, out: str) -> DataFrame:
     """Adds max of (value - place) over the rows so far, plus place: places count a key's rows from 1."""
     here = _chunk(order)

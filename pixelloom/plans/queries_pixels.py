@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions import color, pixel
-from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, resize
+from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, preview, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.plans import fixtures as fx
 from pixelloom.plans import sql
@@ -535,7 +535,35 @@ def q14_case_matrix(spark, sf_dir):
     f"WITH {fx.PX_EMBED}, moved AS (SELECT image_id, y, x, {', '.join(f'{sql.byte(f"{c} + (({_bayer_sql(8)} + 0.5::DOUBLE) / 64 - 0.5::DOUBLE) * 192")} AS {c}' for c in 'rgb')} FROM px_embed), {_distinct_sql('moved', 'srgb')} SELECT image_id, y, x, idx FROM moved JOIN matched USING (r, g, b)",
 )
 def q15_dither_ramp(spark, sf_dir):
-    """The ordered preview: twice the usual offset on grey images."""
-    offset = pixel.bayer_threshold(8, F.col("y"), F.col("x")) * 192
-    moved = fx.px_embed(spark, sf_dir).withColumns({c: color.clamp_byte(F.col(c) + offset) for c in "rgb"})
-    return match.nearest(moved, PALETTE, "srgb").select(*KEY, "idx")
+    """The ordered preview on grey images."""
+    return preview.sample(fx.px_embed(spark, sf_dir), PALETTE, Settings(color_space="srgb", dither="bayer-8"))
+
+
+def _preview_query(name: str, settings: Settings, steps: str, t: str):
+    """A preview on grey images; t is the threshold, less a half, in SQL."""
+    if settings.in_vectors:
+        q = sql.vector(sql.RGB, settings.color_space)
+        moved = [f"({e} + {t} * {settings.strength / 100!r}::DOUBLE * 0.25::DOUBLE * (SELECT g{k} FROM ranges))" for k, e in enumerate(q)]
+        cte = f"ranges AS (SELECT {', '.join(f'max({e}) - min({e}) AS g{k}' for k, e in enumerate(q))} FROM pal WHERE kind <> 'transparent'), {sql.nearest('noisy', settings.color_space, vectors=moved)}"
+    else:
+        bytes_ = ", ".join(f"{sql.byte(f'{c} + {t} * {192 * settings.strength / 100!r}::DOUBLE')} AS {c}" for c in "rgb")
+        cte = f"moved AS (SELECT rid, {bytes_} FROM noisy), {sql.nearest('moved', settings.color_space)}"
+
+    def query(spark, sf_dir):
+        return preview.sample(fx.px_embed(spark, sf_dir), PALETTE, settings)
+
+    register(name, f"WITH {fx.PX_EMBED}, {fx.DEFAULT}, {steps}, {cte} SELECT image_id, y, x, idx FROM px_embed_r JOIN matched USING (rid)")(query)
+
+
+_preview_query("q15_preview_random", Settings(color_space="srgb", dither="random", strength=50), f"{_STEPS}, {_NOISE}".replace("px_events", "px_embed"), "t")
+_preview_query("q15_preview_vector", Settings(color_space="oklab", dither="bayer-4", strength=80, use_color_space=True), f"{_rid('px_embed')}, noisy AS (SELECT * FROM px_embed_r)", f"(({_bayer_sql(4)} + 0.5::DOUBLE) / 16 - 0.5::DOUBLE)")
+
+
+@register("q15_preview_diffusion")
+def q15_preview_diffusion(spark, sf_dir):
+    """The preview of every kernel on grey images: errors of unclamped values."""
+    grey, out = fx.px_embed(spark, sf_dir), None
+    for kernel in diffusion.KERNELS:
+        part = preview.sample(grey, PALETTE, Settings(color_space="srgb", dither=kernel)).select(F.lit(kernel).alias("dither"), *KEY, "idx")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -566,6 +566,30 @@ def t3_debounce(spark, sf_dir):
     return streams.debounce(changes, "6 hours", sliders=F.col("field").isin("view", "click")).select("key", "value", "field")
 
 
+@register(
+    "t3_scheduled_runs",
+    f"""WITH {fx.SETTINGS_CHANGES}, w AS (SELECT *, CASE WHEN field IN ('view', 'click') THEN INTERVAL 6 HOUR ELSE INTERVAL 0 HOUR END AS wait, lead(ts) OVER (PARTITION BY key ORDER BY ts, value) AS next FROM settings_changes)
+    SELECT key, value, field, epoch_us(ts + wait) AS run_us FROM w WHERE next IS NULL OR next > ts + wait""",
+)
+def t3_scheduled_runs(spark, sf_dir):
+    """Changes that are worked on: a slider's waits, another's does not, and the key's next change replaces what waits."""
+    changes = fx.settings_changes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    runs = streams.undisturbed(changes, streams.slider_wait("6 hours", F.col("field").isin("view", "click")))
+    return runs.select("key", "value", "field", F.unix_micros("run_at").alias("run_us"))
+
+
+@register(
+    "t2_current_results",
+    f"""WITH {fx.METRICS}, w AS (SELECT *, round(ms * 6000000)::BIGINT AS took, lead(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts, seq) AS next FROM metrics)
+    SELECT key, seq, epoch_us(ts) + took AS done_us FROM w WHERE next IS NULL OR next > epoch_us(ts) + took""",
+)
+def t2_current_results(spark, sf_dir):
+    """Results that came before the key's next request; later ones are dropped.  A request takes six seconds a ms."""
+    requests = fx.metrics(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    done = streams.undisturbed(requests, F.round(F.col("ms") * 6_000_000).cast("long"), tie="seq")
+    return done.select("key", "seq", F.unix_micros("run_at").alias("done_us"))
+
+
 @register("t5_windowed_timings", f"WITH {fx.METRICS} SELECT name, epoch_us(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS n, round(avg(ms), 6) AS average, max(ms) AS max FROM metrics GROUP BY ALL")
 def t5_windowed_timings(spark, sf_dir):
     m = fx.metrics(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom import schemas
 from pixelloom.functions import color, pixel
-from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, resize
+from pixelloom.operators import diffusion, dither, geometry, job_table, jobs, match, metrics, preview, resize
 from pixelloom.operators.dither import Settings
 from pixelloom.sources.palettes import Swatch, default_swatches
 
@@ -123,7 +123,7 @@ def test_pyramid_ends_at_one_pixel(spark):
     assert [levels[k].count() for k in (0, 1, 2)] == [15, 2, 1]
 
 
-def serial(values, clear, palette_vectors, ords, kernel, serpentine, strength, masked, as_bytes):
+def serial(values, clear, palette_vectors, ords, kernel, serpentine, strength, masked, as_bytes, unclamped=False):
     """Error diffusion over a whole image in one array."""
     work = values.astype(np.float32)
     height, width, _ = work.shape
@@ -133,12 +133,12 @@ def serial(values, clear, palette_vectors, ords, kernel, serpentine, strength, m
         for x in range(width - 1, -1, -1) if back else range(width):
             if clear[y, x]:
                 continue
-            v = work[y, x].astype(float)
+            v = raw = work[y, x].astype(float)
             if as_bytes:
                 v = np.clip(np.floor(v + 0.5), 0, 255)
             k = int(((v - palette_vectors) ** 2).sum(1).argmin())
             out[y, x] = ords[k]
-            error = v - palette_vectors[k]
+            error = (raw if unclamped else v) - palette_vectors[k]
             for dx, dy, w in kernel:
                 tx, ty = x - dx if back else x + dx, y + dy
                 if 0 <= tx < width and ty < height:
@@ -367,3 +367,36 @@ def test_headers_are_read_and_files_written_once(spark, tmp_path):
     assert {k: v for k, v in got.items() if k != "f.png"} == want and got["f.png"] == ("image/png", 8, None, None, "unreadable size")
     read = {r["path"].rsplit("/", 1)[-1]: r["read"] for r in spark.read.format("image-files").load(str(sources)).collect()}
     assert read["a.png"] == image_files.STEP and read["b.jpg"] < 150_000 < images.HEADER_BYTES
+
+
+@pytest.mark.parametrize("kernel", list(diffusion.KERNELS))
+@pytest.mark.parametrize("serpentine", [False, True])
+@pytest.mark.parametrize("copies", [1, 7])
+def test_preview_of_diffusion_against_a_serial_scan(spark, kernel, serpentine, copies):
+    """Errors of unclamped values; alpha is not looked at.  One image goes by numbers, seven in lockstep."""
+    one = patterned(spark, 13, 9).withColumn("a", F.lit(0))
+    rgb = np.array([[r["r"], r["g"], r["b"]] for r in one.orderBy("y", "x").collect()], float).reshape(9, 13, 3)
+    vectors = np.array([s.rgb for s in SMALL if s.visible], float)
+    want = serial(rgb, np.zeros((9, 13), bool), vectors, [s.ord for s in SMALL if s.visible], diffusion.KERNELS[kernel], serpentine, 1.5, 0, True, unclamped=True)
+    px = one.withColumn("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    got = preview.sample(px, SMALL, Settings(color_space="srgb", dither=kernel, strength=150, serpentine=serpentine))
+    assert [r["idx"] for r in got.orderBy("image_id", "y", "x").collect()] == want * copies
+    if not serpentine and kernel == "sierra":
+        assert indices(diffusion.quantize(one.withColumn("a", F.lit(255)), SMALL, Settings(color_space="srgb", dither=kernel, strength=150, serpentine=False))) != want
+
+
+def test_previews_on_the_ramp(spark):
+    from pixelloom.sources.images import synth_ramp
+
+    ramp = synth_ramp(spark, 0, 12)
+    direct = indices(match.nearest(ramp, default_swatches(), "srgb"))
+    for way in ("none", "bayer-4", "random", "sierra"):
+        shown = indices(preview.sample(ramp, default_swatches(), Settings(color_space="srgb", dither=way, strength=0)))
+        assert shown == direct
+    # twice the strength of the quantizer is the preview's, where nothing is transparent
+    for way in ("bayer-8", "random"):
+        shown = indices(preview.sample(ramp, default_swatches(), Settings(color_space="srgb", dither=way, strength=40)))
+        assert shown == indices(dither.quantize(ramp, default_swatches(), Settings(color_space="srgb", dither=way, strength=80)))
+    assert preview.sample(ramp.limit(0), default_swatches(), Settings(dither="random")).count() == 0
+    with pytest.raises(ValueError):
+        preview.sample(ramp, [s for s in default_swatches() if not s.visible], Settings())

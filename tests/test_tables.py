@@ -285,6 +285,55 @@ def test_debounce_on_a_table(spark):
     assert sorted(r["value"] for r in streams.debounce(df, "180 milliseconds").collect()) == [2, 3, 4]
 
 
+CHANGES = "key string, s double, field string, value long"
+
+
+def _changes(spark, rows):
+    return spark.createDataFrame(rows, CHANGES).select("key", F.timestamp_micros(F.round(F.col("s") * 1e6).cast("long")).alias("ts"), "field", "value")
+
+
+def test_changes_replace_what_waits(spark, small_partitions):
+    rows = [
+        ("k", 0.0, "strength", 1), ("k", 0.1, "width", 2), ("k", 5.0, "strength", 3), ("k", 5.05, "resize", 4),  # 1 by 2, 3 by 4
+        ("k", 9.0, "radius", 5), ("k", 9.18, "radius", 6), ("k", 20.0, "resize", 7), ("k", 20.0, "dither", 8), (None, 1.0, "strength", 9), ("k", None, "resize", 10), ("z", 9.1, "resize", None),
+    ]
+    got = streams.undisturbed(_changes(spark, [*rows, rows[6], rows[6]]), streams.slider_wait())
+    assert sorted((r["value"] or 0, round(r["run_at"].timestamp() * 1000)) for r in got.collect()) == [(0, 9100), (2, 280), (4, 5050), (6, 9360), (8, 20000), (9, 1180)]
+    assert streams.undisturbed(_changes(spark, rows).limit(0), streams.slider_wait()).count() == 0
+
+
+def test_one_key_is_scheduled_over_ranges(spark, small_partitions):
+    rows = spark.range(4000).select(F.lit("k").alias("key"), F.timestamp_millis(F.col("id") * 90 + F.pmod(F.xxhash64("id"), F.lit(400))).alias("ts"), F.when(F.col("id") % 3 == 0, "resize").otherwise("strength").alias("field"), F.col("id").alias("value"))
+    plain = sorted((r["ts"], r["value"], r["field"]) for r in rows.collect())
+    wait = lambda field: 0.18 if field == "strength" else 0.0
+    want = [v for (t, v, f), after in zip(plain, [*plain[1:], None], strict=True) if after is None or (after[0] - t).total_seconds() > wait(f)]
+    assert sorted(r["value"] for r in streams.undisturbed(rows, streams.slider_wait()).collect()) == sorted(want)
+
+
+def test_scheduled_changes_on_a_stream(spark, tmp_path):
+    """Batches out of order: replaced rows never come out, late rows are dropped, keys without waiting rows leave no state."""
+    pytest.importorskip("google.protobuf")
+    batches = [
+        [("k", 10.0, "strength", 1), ("k", 10.1, "strength", 2), ("m", 10.0, "resize", 3), ("k", 12.0, "strength", 4)],
+        [("k", 12.1, "resize", 5), ("k", 11.0, "radius", 6), ("k", 11.05, "width", 7), (None, 13.0, "strength", None)],  # 6 and 7 are earlier than 4, and not late
+        [("k", 30.0, "strength", 8), ("z", 30.0, "resize", 9)],
+        [("k", 10.55, "resize", 11), ("m", 30.0, "resize", 14)],  # 11 comes before its watermark is in force
+        [("q", 90.0, "resize", 12), ("k", 10.05, "resize", 10)],  # 10 is late
+        [("q", 200.0, "strength", 13)],
+    ]
+    for rows in batches:
+        _changes(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(_changes(spark, []).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    query = streams.undisturbed_stream(stream, streams.slider_wait(), "5 seconds").writeStream.format("memory").queryName("scheduled").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    kept = [r for rows in batches for r in rows if r[3] != 10]
+    want = {(r["key"], r["value"], r["ts"], r["run_at"]) for r in streams.undisturbed(_changes(spark, kept), streams.slider_wait()).collect() if r["value"] != 13}
+    got = [(r["key"], r["value"], r["ts"], r["run_at"]) for r in spark.table("scheduled").collect()]
+    assert set(got) == want and len(got) == len(want)
+    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress)
+    assert dropped == 1
+
+
 def test_rolling_timings_on_a_stream(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     rows = spark.range(130).select(F.lit("k").alias("key"), F.col("id").alias("seq"), F.when(F.col("id") < 10, "a").otherwise("b").alias("scope_key"), F.col("id").cast("double").alias("ms"))
