@@ -12,7 +12,8 @@ block is one map-only pass over the documents, with no shuffle of the corpus and
 Words are runs of letters, digits and non-ASCII characters, A-Z and the accented Latin-1 letters lower-cased, so that
 case and punctuation do not hide an item.  An item or document with fewer than k words is one shingle of its whole
 sequence; such an item is also found inside longer documents, by shingles of its own width.  Null or wordless texts
-match nothing.  Repeated rows match each; extra columns are not read; empty tables give an empty result.
+match nothing.  Repeated rows match each; a document without an id is searched and dropped like others, an item without
+an id is left out; extra columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -35,6 +35,12 @@ def mix64(h: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
+def _salts(k: int) -> tuple[int, ...]:
+    """An odd multiplier for each place of a shingle of k words; those beyond the listed ones are worked out."""
+    more = mix64(np.arange(len(_WORD_SALT) + 1, max(k, len(_WORD_SALT)) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+    return (*_WORD_SALT, *map(int, more))[:k]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, _U), np.full(n, pow(_BASE, -1, 1 << 64), _U)
     up[0] = down[0] = 1
@@ -140,8 +146,9 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum(n_out)])
     full = len(w.hash) - k + 1
     rolled = np.zeros(max(full, 0), _U)
+    salts = _salts(k)
     for j in range(k):
-        rolled += w.hash[j : j + len(rolled)] * _U(_WORD_SALT[j])
+        rolled += w.hash[j : j + len(rolled)] * _U(salts[j])
     rolled = mix64(rolled + _U(k))
     out = np.zeros(first[-1], _U)
     long_docs = counts >= k
@@ -151,5 +158,5 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         out[np.repeat(long_docs, n_out)] = rolled[source]
     for d in np.flatnonzero((counts > 0) & ~long_docs):
         part = w.hash[w.first[d] : w.first[d + 1]]
-        out[first[d]] = mix64(np.array([sum(int(x) * s for x, s in zip(part, _WORD_SALT, strict=False)) + len(part) & (2**64 - 1)], _U))[0]
+        out[first[d]] = mix64(np.array([sum(int(x) * s for x, s in zip(part, salts, strict=False)) + len(part) & (2**64 - 1)], _U))[0]
     return out, first

@@ -14,6 +14,7 @@ import tiktoken
 from conftest import lower_ascii
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pixelloom.llm import bpe, chat, decontam, licenses, queries
 
@@ -216,6 +217,20 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Shingles of more words than the usual, documents without an id, repeated rows, a very long text, clashing columns."""
+    item = "one two three four five six seven eight nine ten eleven"
+    long = " ".join(f"w{i % 9973}" for i in range(200_000))
+    rows = [(1, f"so {item} end"), (None, f"{item} again"), (2, item.replace("six", "sixth")), (1, f"so {item} end"), (3, f"{long} {item} {long}"), (4, long), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0)).withColumn("n_found", F.lit("x"))
+    items = spark.createDataFrame([(7, item), (7, item), (None, long), (8, None)], "item_id long, text string")
+    for k in (5, 8, 11):
+        found = sorted((r["doc_id"] or 0, r["item_id"], r["containment"]) for r in decontam.find_items(docs, items, k=k).collect())
+        assert found == [(0, 7, 1.0), (0, 7, 1.0), (1, 7, 1.0), (1, 7, 1.0), (1, 7, 1.0), (1, 7, 1.0), (3, 7, 1.0), (3, 7, 1.0)]
+        kept = decontam.clean(docs, items, k=k)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6]
+
+
 def test_decontamination_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c", "x"), (None, "d", "y")], "doc_id long, text string, item_id string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_items(docs, items).count() == 0
