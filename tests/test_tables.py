@@ -132,6 +132,25 @@ def test_job_identity_ignores_column_order_and_follows_palette_and_crop(spark):
         jobs.with_identity(j.withColumn("strength", F.lit(float("nan"))), palettes).collect()
 
 
+def test_identities_of_long_palettes_do_not_carry_the_colours_by_job(spark):
+    """The plain hash of one JSON text, of a palette of several pieces, a missing one and no name; no job is joined with a palette."""
+    import hashlib
+    import json
+
+    from pixelloom.plans import fixtures
+
+    colors = [("Long", 3 * i, f"#{i:06X}", "free", 0, i // 256, i % 256) for i in range(700)] + [("Long", 9000, "transparent", "transparent", None, None, None)]
+    j = fixtures.jobs(spark, "/root/testdata/sf0.001").limit(40).withColumn("palette_name", F.when(F.col("job_id") % 3 == 0, "Long").when(F.col("job_id") % 3 == 1, "Lost"))
+    found = jobs.with_identity(j, spark.createDataFrame(colors[::-1], PALETTES))
+    assert "Join LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    own = [{"key": key, "kind": kind, "rgb": None if r is None else {"r": r, "g": g, "b": b}} for _, _, key, kind, r, g, b in colors]
+    rows = found.collect()
+    assert len(rows) == 40 and {r["palette_name"] for r in rows} == {"Long", "Lost", None}
+    for r in rows:
+        fields = {c: r[c] for c in ("image_id", "palette_name", *jobs.JOB_COLUMNS)} | {"colors": own if r["palette_name"] == "Long" else None}
+        assert r["settings_hash"] == hashlib.sha256(json.dumps(dict(sorted(fields.items())), separators=(",", ":")).encode()).hexdigest()
+
+
 def test_job_violations_and_branches(spark):
     from pixelloom.plans import fixtures
 
