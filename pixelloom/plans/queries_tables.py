@@ -326,10 +326,10 @@ _IDENTITY = f"""{fx.PART_PALETTES}, {fx.DEFAULT}, every AS (SELECT palette_name,
     || '","seed":' || seed || ',"serpentine":' || serpentine || ',"softness":8,"strength":' || strength || ',"threshold":12,"use_color_space":' || use_color_space || ',"width":' || width || '}}') AS settings_hash FROM jobs LEFT JOIN packed USING (palette_name))"""
 
 
-def _identified(spark, sf_dir) -> DataFrame:
+def _identified(spark, sf_dir, which: str = "true") -> DataFrame:
     columns = ("palette_name", "ord", "key", "kind", "r", "g", "b")
     palettes = fx.part_palettes(spark, sf_dir).select(*columns).unionByName(S.default_palette(spark).select(F.lit("Default").alias("palette_name"), *columns[1:]))
-    return J.with_identity(fx.jobs(spark, sf_dir), palettes)
+    return J.with_identity(fx.jobs(spark, sf_dir).where(which), palettes)
 
 
 @register("f17_settings_identity", f"WITH {fx.JOBS}, {_IDENTITY} SELECT job_id, settings_hash FROM identified")
@@ -349,9 +349,10 @@ def q14_job_warnings(spark, sf_dir):
 
 def _outputs(spark, sf_dir) -> DataFrame:
     """Outputs of every third job, and of settings that nobody asks for now."""
-    known = _identified(spark, sf_dir)
-    old = known.where("job_id % 7 = 0").select((F.col("job_id") + 10**9).alias("job_id"), F.sha2("settings_hash", 256).alias("settings_hash"))
-    return known.where("job_id % 3 = 0").select("job_id", "settings_hash").unionByName(old)
+    job, asked = F.col("job_id"), F.col("settings_hash")
+    made = F.when(job % 3 == 0, F.struct("job_id", "settings_hash"))
+    old = F.when(job % 7 == 0, F.struct((job + 10**9).alias("job_id"), F.sha2(asked, 256).alias("settings_hash")))
+    return _identified(spark, sf_dir, "job_id % 3 = 0 or job_id % 7 = 0").select(F.inline(F.array_compact(F.array(made, old))))
 
 
 _OUTPUTS = f"{fx.JOBS}, {_IDENTITY}, outputs AS (SELECT * FROM identified WHERE job_id % 3 = 0 UNION ALL SELECT job_id + 1000000000, sha256(settings_hash) FROM identified WHERE job_id % 7 = 0)"

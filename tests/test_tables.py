@@ -151,6 +151,14 @@ def test_identities_of_long_palettes_do_not_carry_the_colours_by_job(spark):
         assert r["settings_hash"] == hashlib.sha256(json.dumps(dict(sorted(fields.items())), separators=(",", ":")).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("query", ["j11_pending_jobs"])
+def test_outputs_and_jobs_are_identified_once_each(spark, query):
+    from pixelloom.plans import queries_tables
+
+    plan = queries_tables.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join LeftOuter" not in plan
+
+
 def test_job_violations_and_branches(spark):
     from pixelloom.plans import fixtures
 
