@@ -151,7 +151,7 @@ def test_identities_of_long_palettes_do_not_carry_the_colours_by_job(spark):
         assert r["settings_hash"] == hashlib.sha256(json.dumps(dict(sorted(fields.items())), separators=(",", ":")).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("query", ["j11_pending_jobs", "j12_exportable_outputs", "j12_stale_outputs"])
+@pytest.mark.parametrize("query", ["j11_pending_jobs", "j12_exportable_outputs", "j12_stale_outputs", "t6_exactly_once"])
 def test_outputs_and_jobs_are_identified_once_each(spark, query):
     from pixelloom.plans import queries_tables
 
