@@ -124,17 +124,17 @@ def monotonic(events: DataFrame, keys: list[str], order: str, ts: str) -> DataFr
 def unique_colors(px: DataFrame, bayer: int | None = None) -> DataFrame:
     """image_id and its number of distinct colours, exact; with ``bayer`` also threshold_colors, of distinct (threshold, colour).
 
-    Colours are bits of bitmaps of 4 kB (by threshold, and 512 for all colours), which are joined by or: no list of
-    distinct colours is shuffled, and an image moves at most 2 MB for each threshold.
+    Colours are bits of words of 64 (by threshold), joined by or in hash aggregates of longs: an image has at most as many
+    words as pixels, and at most 262 144 for each threshold.
     """
     rgb = F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")
     place = F.lit(0) if bayer is None else (F.pmod("y", F.lit(bayer)) * bayer + F.pmod("x", F.lit(bayer)))
-    value = place.cast("long") * (1 << 24) + rgb
-    colors = px.groupBy("image_id", place.alias("_t"), F.bitmap_bucket_number(rgb).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rgb)).alias("_bits"))
+    bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(rgb, F.lit(64)).cast("int")), F.lit(0).cast("long"))
+    words = px.groupBy("image_id", F.shiftright(rgb, 6).alias("_word"), place.alias("_t")).agg(F.bit_or(bit).alias("_bits"))
     if bayer is None:
-        return colors.groupBy("image_id").agg(F.sum(F.bitmap_count("_bits")).alias("colors"))
-    merged = colors.groupBy("image_id", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_any"), F.sum(F.bitmap_count("_bits")).alias("_pairs"))
-    return merged.groupBy("image_id").agg(F.sum(F.bitmap_count("_any")).alias("colors"), F.sum("_pairs").alias("threshold_colors"))
+        return words.groupBy("image_id").agg(F.sum(F.bit_count("_bits").cast("long")).alias("colors"))
+    merged = words.groupBy("image_id", "_word").agg(F.bit_or("_bits").alias("_any"), F.sum(F.bit_count("_bits").cast("long")).alias("_pairs"))
+    return merged.groupBy("image_id").agg(F.sum(F.bit_count("_any").cast("long")).alias("colors"), F.sum("_pairs").alias("threshold_colors"))
 
 
 _FNV, _START, _LOW = 16777619, 2166136261, 512

@@ -315,6 +315,18 @@ def test_checksums_of_wide_and_tall_images(spark):
     assert {r["image_id"]: r["checksum"] for r in metrics.index_checksum(indexed).collect()} == want
 
 
+def test_distinct_colours_are_counted_in_words_by_hash_aggregates(spark):
+    px = patterned(spark, 20, 15).unionByName(patterned(spark, 9, 9).withColumn("image_id", F.lit(7).cast("long")))
+    rows = px.collect()
+    for bayer in (None, 8):
+        found = metrics.unique_colors(px, bayer)
+        assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+        for r in found.collect():
+            own = [p for p in rows if p["image_id"] == r["image_id"]]
+            assert r["colors"] == len({(p["r"], p["g"], p["b"]) for p in own})
+            assert bayer is None or r["threshold_colors"] == len({(p["y"] % 8, p["x"] % 8, p["r"], p["g"], p["b"]) for p in own})
+
+
 def test_agreement_opens_rows_that_differ(spark):
     rows = [(i, y, x, (i + y * x) % 5) for i in range(3) for y in range(6) for x in range(7)]
     left = spark.createDataFrame(rows, schemas.INDEXED)
