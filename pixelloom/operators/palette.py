@@ -83,15 +83,46 @@ def matte(palette: DataFrame, wanted: DataFrame) -> DataFrame:
     return best.select("palette_name", "matte_key", "m.r", "m.g", "m.b", warning.alias("warning"))
 
 
+_CELLS = (16, 32, 64, 128, 256)
+
+
+def _nearest_first(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """palette_name, r, g, b and _best: squared distance * 2^33 + _first, the least over held (palette_name, p_r, p_g, p_b, _first).
+
+    Colours are held in cubes of several widths.  A colour takes the least cube with a held colour in it, which is no
+    farther than some distance, and looks only into the cubes of that width within it.  Channels are 0 to 255.
+    """
+    key = ["palette_name", "_w", "_cr", "_cg", "_cb"]
+
+    def cubed(rows: DataFrame, prefix: str) -> DataFrame:
+        every = rows.withColumn("_w", F.explode(F.array(*map(F.lit, _CELLS))))
+        return every.withColumns({f"_c{c}": F.floor(F.col(f"{prefix}{c}") / F.col("_w")).cast("int") for c in "rgb"})
+
+    def square(values) -> Column:
+        return sum((v.cast("long") * v for v in values), F.lit(0).cast("long"))
+
+    far = square([F.col(c) - F.col(f"p_{c}") for c in "rgb"])
+    some = cubed(held, "p_").groupBy(*key).agg(F.min(F.col("p_r") * 65536 + F.col("p_g") * 256 + F.col("p_b")).alias("_some"))
+    some = some.select(*key, *(F.shiftright("_some", at).bitwiseAND(F.lit(255)).alias(f"p_{c}") for c, at in zip("rgb", (16, 8, 0), strict=True)))
+    reach = cubed(wanted, "").join(some, key).groupBy("palette_name", *"rgb").agg(F.min(F.col("_w").cast("long") * (1 << 20) + far).alias("_reach"))
+    near = reach.select("palette_name", *"rgb", F.shiftright("_reach", 20).cast("int").alias("_w"), F.col("_reach").bitwiseAND(F.lit((1 << 20) - 1)).alias("_far"))
+    span = F.ceil(F.sqrt("_far")).cast("int")
+    for c in "rgb":
+        near = near.withColumn(f"_c{c}", F.explode(F.sequence(*(F.floor((F.col(c) + s) / F.col("_w")).cast("int") for s in (-span, span)))))
+    low = {c: F.col(f"_c{c}") * F.col("_w") for c in "rgb"}
+    near = near.where(square([F.greatest(F.lit(0), low[c] - F.col(c), F.col(c) - low[c] - F.col("_w") + 1) for c in "rgb"]) <= F.col("_far"))
+    return near.join(cubed(held, "p_"), key).groupBy("palette_name", *"rgb").agg(F.min(far * (1 << 33) + F.col("_first")).alias("_best"))
+
+
 def inherit_state(imported: DataFrame, previous: DataFrame, enabled: DataFrame) -> DataFrame:
     """palette_name, key, enabled of imported colours that overwrite a stored palette.
 
     The state of the same key, else that of the previous colour nearest in squared sRGB (the first of equals), else true.
     """
-    before = visible(with_state(previous, enabled)).select("palette_name", F.col("ord").alias("p_ord"), *(F.col(c).alias(f"p_{c}") for c in "rgb"), F.col("enabled").alias("p_enabled"))
+    before = visible(with_state(previous, enabled)).groupBy("palette_name", *(F.col(c).alias(f"p_{c}") for c in "rgb")).agg(F.min(F.col("ord").cast("long") * 2 + F.col("enabled").cast("long")).alias("_first"))
     exact = enabled.select("palette_name", "key", F.col("enabled").alias("exact"))
-    far = sum(((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in "rgb"), F.lit(0))
-    near = visible(imported).join(before, "palette_name").groupBy("palette_name", "key").agg(F.min(F.struct(far.alias("far"), "p_ord", "p_enabled"))["p_enabled"].alias("near"))
+    best = _nearest_first(visible(imported).select("palette_name", *"rgb").distinct(), before)
+    near = visible(imported).select("palette_name", "key", *"rgb").distinct().join(best, ["palette_name", *"rgb"]).groupBy("palette_name", "key").agg((F.min("_best") % 2 == 1).alias("near"))
     return imported.join(exact, ["palette_name", "key"], "left").join(near, ["palette_name", "key"], "left").select("palette_name", "key", F.coalesce("exact", "near", F.lit(True)).alias("enabled"))
 
 

@@ -159,6 +159,26 @@ def test_outputs_and_jobs_are_identified_once_each(spark, query):
     assert plan.count("MapInArrow") == 2 and "Join LeftOuter" not in plan
 
 
+def test_inherited_states_are_those_of_the_nearest_colours(spark):
+    """Dense and sparse palettes, ties and empty cubes against all pairs; pairs are not sorted."""
+    import random
+
+    rng, schema = random.Random(3), "palette_name string, ord int, key string, name string, kind string, r int, g int, b int, tags array<string>"
+
+    def colors(name, n, low, high):
+        found = [[rng.randint(low, high) for _ in "rgb"] for _ in range(n)]
+        return [(name, i, f"{name}{'#%02X%02X%02X' % tuple(c)}", "x", "free", *c, None) for i, c in enumerate(found)]
+
+    held = colors("dense", 300, 0, 40) + colors("few", 3, 200, 255) + colors("far", 40, 0, 20)
+    wanted = [(*r[:2], "new" + r[2], *r[3:]) for r in colors("dense", 150, 0, 50) + colors("few", 60, 0, 255) + colors("far", 60, 150, 255) + colors("none", 2, 0, 255)]
+    state = [(r[0], r[2], False) for r in {r[2]: r for r in held}.values() if rng.random() < 0.5]
+    found = palette.inherit_state(spark.createDataFrame(wanted, schema), spark.createDataFrame(held, schema), spark.createDataFrame(state, "palette_name string, key string, enabled boolean"))
+    assert "SortAggregate" not in found._jdf.queryExecution().sparkPlan().toString()
+    off = {k for _, k, _ in state}
+    near = lambda w: min(((sum((w[5 + c] - h[5 + c]) ** 2 for c in range(3)), h[1], h[2] not in off) for h in held if h[0] == w[0]), default=(0, 0, True))[2]
+    assert {(r["palette_name"], r["key"]): r["enabled"] for r in found.collect()} == {(w[0], w[2]): near(w) for w in wanted}
+
+
 def test_job_violations_and_branches(spark):
     from pixelloom.plans import fixtures
 
