@@ -262,6 +262,18 @@ def test_a_table_of_jobs_is_its_cases_one_by_one(spark):
     assert counts["pixels"] == len(got) and counts["resized_pixels"] == sum(2 * w * h for w, h in [(10, 8), (30, 24), (16, 9), (10, 8)])  # cases 0 and 4 share a branch
 
 
+def test_jobs_of_equal_settings_are_worked_once(spark):
+    from pixelloom.sources.palettes import default_palette
+
+    table = spark.createDataFrame([job(k, 0, Settings(color_space="srgb", seed=k % 2)) for k in range(6)], JOBS)
+    done = job_table.process(patterned(spark, 6, 4), default_palette(spark), table)
+    assert {(r["job_id"], r["work"]) for r in done.members.collect()} == {(k, k % 2) for k in range(6)}
+    rows = {}
+    for r in done.rows.collect():
+        rows.setdefault(r["job_id"], {})[r["y"]] = tuple(r["idx"])
+    assert sorted(rows) == list(range(6)) and len(rows[0]) == 8 and all(v == rows[0] for v in rows.values())
+
+
 def test_jobs_without_output_have_reasons(spark):
     from pixelloom.sources.palettes import default_palette
 
