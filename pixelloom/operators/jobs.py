@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,9 +81,11 @@ def _members(fields: dict[str, Column], names: list[str]) -> Column:
     return _bare(F.to_json(F.struct(*(fields[c].alias(c) for c in names)), {"ignoreNullFields": "false"}))
 
 
-def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sources: DataFrame | None = None) -> DataFrame:
+def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sources: DataFrame | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Adds settings_hash, equal for equal settings of an image and equal colours of the palette.
 
+    keep: the columns of jobs that are returned beside it, if not all of them.
+
     sources (image_id and SOURCE_COLUMNS): a file's name, type, size and time of change enter too, so an image that is
     replaced at its place makes other identities, and its outputs are stale.  A job without a source has nulls there.
 
@@ -101,6 +104,7 @@ def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sou
 
     parts = {c: value(c) for c in ("image_id", "palette_name", *columns)}
     held = ["palette_name", *(c for c in jobs.columns if c != "palette_name")]
+    kept = held if keep is None else list(keep)
     joined, carried = jobs, held
     if sources is not None:
         source = F.struct(*(F.unix_micros(c).alias(c) if kind == "timestamp" else F.col(c) for c, kind in sources.select(*SOURCE_COLUMNS).dtypes))
@@ -122,36 +126,44 @@ def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sou
     every = rows.withColumn("_kind", F.lit(2)).unionByName(heads.withColumn("_kind", F.lit(0)), True).unionByName(pieces.withColumn("_kind", F.lit(1)), True)
     dealt = every.repartition("palette_name", "_group").sortWithinPartitions(*order)
     job = F.col("_kind") == 2
-    texts = dealt.select("palette_name", "_group", "_kind", F.when(job, head).alias("_head"), F.when(job, tail).otherwise(F.col("_text")).alias("_text"), "_job")
+    texts = dealt.select("palette_name", "_group", "_kind", F.when(job, head).alias("_head"), F.when(job, tail).otherwise(F.col("_text")).alias("_text"), F.col("_job") if keep is None else F.struct(*(F.col(f"_job.{c}").alias(c) for c in kept)).alias("_job"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, states, colors, closed = None, {}, 0, False
         for batch in batches:
             found = []
-            names, groups, what, first, rest = (batch.column(k).to_pylist() for k in range(5))
-            for name, number, kind, start, text in zip(names, groups, what, first, rest, strict=True):
-                if (name, number) != group:
-                    group, states, colors, closed = (name, number), {}, 0, False
+            name = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            change = np.diff(name) != 0
+            for c in (1, 2):
+                change |= np.diff(batch.column(c).to_numpy()) != 0
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False) if batch.num_rows else ():
+                key, kind = tuple(batch.column(c)[start].as_py() for c in (0, 1)), batch.column(2)[start].as_py()
+                heads, rest = (batch.column(c).slice(start, end - start).to_pylist() for c in (3, 4))
+                if key != group:
+                    group, states, colors, closed = key, {}, 0, False
                 if kind == 0:
-                    states[text] = hashlib.sha256(text)
+                    states |= {text: hashlib.sha256(text) for text in rest}
                 elif kind == 1:
-                    for state in states.values():
-                        state.update((b"," if colors else b"[") + text)
-                    colors += 1
+                    for text in rest:
+                        for state in states.values():
+                            state.update((b"," if colors else b"[") + text)
+                        colors += 1
                 else:
                     if not closed:
                         closed = True
                         for state in states.values():
                             state.update(b"]" if colors else b"null")
-                    state = states[start].copy()
-                    state.update(text)
-                    found.append(state.hexdigest())
+                    for first, text in zip(heads, rest, strict=True):
+                        state = states[first].copy()
+                        state.update(text)
+                        found.append(state.hexdigest())
             if found:
                 own = batch.column(5).filter(pc.equal(batch.column(2), 2))
                 fields = dict(zip((f.name for f in own.type), own.flatten(), strict=True))
-                yield pa.RecordBatch.from_arrays([*(fields[c] for c in held), pa.array(found, pa.string())], [*held, "settings_hash"])
+                yield pa.RecordBatch.from_arrays([*(fields[c] for c in kept), pa.array(found, pa.string())], [*kept, "settings_hash"])
 
-    return texts.mapInArrow(hashed, StructType([StructField(f.name, f.dataType) for f in jobs.select(*held).schema] + [StructField("settings_hash", StringType())]))
+    return texts.mapInArrow(hashed, StructType([StructField(f.name, f.dataType) for f in jobs.select(*kept).schema] + [StructField("settings_hash", StringType())]))
 
 
 def branch_key(jobs: DataFrame) -> Column:

@@ -329,7 +329,7 @@ _IDENTITY = f"""{fx.PART_PALETTES}, {fx.DEFAULT}, every AS (SELECT palette_name,
 def _identified(spark, sf_dir, which: str = "true") -> DataFrame:
     columns = ("palette_name", "ord", "key", "kind", "r", "g", "b")
     palettes = fx.part_palettes(spark, sf_dir).select(*columns).unionByName(S.default_palette(spark).select(F.lit("Default").alias("palette_name"), *columns[1:]))
-    return J.with_identity(fx.jobs(spark, sf_dir).where(which), palettes)
+    return J.with_identity(fx.jobs(spark, sf_dir).where(which), palettes, keep=["job_id"])
 
 
 @register("f17_settings_identity", f"WITH {fx.JOBS}, {_IDENTITY} SELECT job_id, settings_hash FROM identified")

@@ -159,6 +159,32 @@ def test_outputs_and_jobs_are_identified_once_each(spark, query):
     assert plan.count("MapInArrow") == 2 and "Join LeftOuter" not in plan
 
 
+@pytest.mark.parametrize("query", ["j12_exportable_outputs"])
+def test_identities_carry_no_settings_through_python(spark, query):
+    import re
+
+    from pixelloom.plans import queries_tables
+
+    plan = queries_tables.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"MapInArrow .*\[job_id#\d+L?, settings_hash#\d+\]", plan)) == 2
+
+
+@pytest.mark.parametrize("rows", [97, 10_000])
+def test_identities_of_batches_that_end_within_a_palette(spark, rows):
+    """Groups, heads and pieces that batches of Arrow divide, and palettes without a name."""
+    from pixelloom.plans import fixtures
+
+    colors = spark.createDataFrame([(n, i, f"#{i:06X}", "free", 0, i // 256, i % 256) for n in ("A", "B") for i in range(400)], PALETTES)
+    j = fixtures.jobs(spark, "/root/testdata/sf0.001").where("job_id < 500").withColumn("palette_name", F.when(F.col("job_id") % 3 == 0, "A").when(F.col("job_id") % 3 == 1, "B"))
+    want = {(r["job_id"], r["settings_hash"]) for r in jobs.with_identity(j, colors).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = jobs.with_identity(j, colors, keep=["job_id"])
+        assert got.columns == ["job_id", "settings_hash"] and {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_inherited_states_are_those_of_the_nearest_colours(spark):
     """Dense and sparse palettes, ties and empty cubes against all pairs; pairs are not sorted."""
     import random
