@@ -159,7 +159,7 @@ def test_outputs_and_jobs_are_identified_once_each(spark, query):
     assert plan.count("MapInArrow") == 2 and "Join LeftOuter" not in plan
 
 
-@pytest.mark.parametrize("query", ["j12_exportable_outputs", "j12_stale_outputs"])
+@pytest.mark.parametrize("query", ["j12_exportable_outputs", "j12_stale_outputs", "t6_exactly_once"])
 def test_identities_carry_no_settings_through_python(spark, query):
     import re
 
