@@ -125,12 +125,15 @@ def unique_colors(px: DataFrame, bayer: int | None = None) -> DataFrame:
     """image_id and its number of distinct colours, exact; with ``bayer`` also threshold_colors, of distinct (threshold, colour).
 
     Colours are bits of words of 64 (by threshold), joined by or in hash aggregates of longs: an image has at most as many
-    words as pixels, and at most 262 144 for each threshold.
+    words as pixels, and at most 262 144 for each threshold.  Pixels are dealt by image and word before words are joined, as
+    a task of the source would hold the words of all its images.
     """
     rgb = F.col("r").cast("long") * 65536 + F.col("g") * 256 + F.col("b")
     place = F.lit(0) if bayer is None else (F.pmod("y", F.lit(bayer)) * bayer + F.pmod("x", F.lit(bayer)))
     bit = F.coalesce(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(rgb, F.lit(64)).cast("int")), F.lit(0).cast("long"))
-    words = px.groupBy("image_id", F.shiftright(rgb, 6).alias("_word"), place.alias("_t")).agg(F.bit_or(bit).alias("_bits"))
+    parts = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = px.select("image_id", F.shiftright(rgb, 6).alias("_word"), place.alias("_t"), bit.alias("_bit")).repartition(parts, "image_id", "_word")
+    words = dealt.groupBy("image_id", "_word", "_t").agg(F.bit_or("_bit").alias("_bits"))
     if bayer is None:
         return words.groupBy("image_id").agg(F.sum(F.bit_count("_bits").cast("long")).alias("colors"))
     merged = words.groupBy("image_id", "_word").agg(F.bit_or("_bits").alias("_any"), F.sum(F.bit_count("_bits").cast("long")).alias("_pairs"))

@@ -364,6 +364,19 @@ def test_comparison_of_dithered_spaces(spark):
     assert (row["pixels"], row["same"]) == (63, sum(x == y for x, y in zip(a, b, strict=True)))
 
 
+def test_colours_are_dealt_before_words_are_joined(spark):
+    """No task of the source holds the words of all its images; colours repeat, some are null."""
+    px = spark.createDataFrame([(i % 3, 0, i, None if i % 50 == 7 else i * 7 % 256, i // 40, i % 5 * 40, 255) for i in range(900)], "image_id long, y int, x int, r int, g int, b int, a int")
+    found = metrics.unique_colors(px)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first = plan.index("partial_bit_or") if "partial_bit_or" in plan else plan.index("bit_or")
+    assert "REPARTITION_BY_NUM" in plan[first:]
+    want = {}
+    for r in px.where("r is not null").collect():
+        want.setdefault(r["image_id"], set()).add((r["r"], r["g"], r["b"]))
+    assert {r["image_id"]: r["colors"] for r in found.collect()} == {k: len(v) for k, v in want.items()}
+
+
 def test_headers_are_read_and_files_written_once(spark, tmp_path):
     from pixelloom.sources import image_files, images
 
