@@ -163,7 +163,7 @@ def with_identity(jobs: DataFrame, palettes: DataFrame, columns=JOB_COLUMNS, sou
                 fields = dict(zip((f.name for f in own.type), own.flatten(), strict=True))
                 yield pa.RecordBatch.from_arrays([*(fields[c] for c in kept), pa.array(found, pa.string())], [*kept, "settings_hash"])
 
-    return texts.mapInArrow(hashed, StructType([StructField(f.name, f.dataType) for f in jobs.select(*kept).schema] + [StructField("settings_hash", StringType())]))
+    return texts.mapInArrow(hashed, StructType([StructField(f.name, f.dataType) for f in jobs.select(*kept).schema] + [StructField("settings_hash", StringType(), False)]))
 
 
 def branch_key(jobs: DataFrame) -> Column:

@@ -326,10 +326,10 @@ _IDENTITY = f"""{fx.PART_PALETTES}, {fx.DEFAULT}, every AS (SELECT palette_name,
     || '","seed":' || seed || ',"serpentine":' || serpentine || ',"softness":8,"strength":' || strength || ',"threshold":12,"use_color_space":' || use_color_space || ',"width":' || width || '}}') AS settings_hash FROM jobs LEFT JOIN packed USING (palette_name))"""
 
 
-def _identified(spark, sf_dir, which: str = "true") -> DataFrame:
+def _identified(spark, sf_dir) -> DataFrame:
     columns = ("palette_name", "ord", "key", "kind", "r", "g", "b")
     palettes = fx.part_palettes(spark, sf_dir).select(*columns).unionByName(S.default_palette(spark).select(F.lit("Default").alias("palette_name"), *columns[1:]))
-    return J.with_identity(fx.jobs(spark, sf_dir).where(which), palettes, keep=["job_id"])
+    return J.with_identity(fx.jobs(spark, sf_dir), palettes, keep=["job_id"])
 
 
 @register("f17_settings_identity", f"WITH {fx.JOBS}, {_IDENTITY} SELECT job_id, settings_hash FROM identified")
@@ -347,12 +347,18 @@ def q14_job_warnings(spark, sf_dir):
     return J.warnings(fx.jobs(spark, sf_dir), fx.part_palettes(spark, sf_dir))
 
 
-def _outputs(spark, sf_dir) -> DataFrame:
-    """Outputs of every third job, and of settings that nobody asks for now."""
+def _identified_and_outputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Jobs with their identities, and outputs of every third job and of settings that nobody asks for now.
+
+    Both sides read one exchange above Python, so Spark identifies the jobs once.  Their rows are told apart by a column
+    that is made above it: then no filter, choice of columns or join of one side alone moves below the exchange.
+    """
+    identified = _identified(spark, sf_dir).repartition("job_id", "settings_hash")
     job, asked = F.col("job_id"), F.col("settings_hash")
-    made = F.when(job % 3 == 0, F.struct("job_id", "settings_hash"))
-    old = F.when(job % 7 == 0, F.struct((job + 10**9).alias("job_id"), F.sha2(asked, 256).alias("settings_hash")))
-    return _identified(spark, sf_dir, "job_id % 3 = 0 or job_id % 7 = 0").select(F.inline(F.array_compact(F.array(made, old))))
+    row = lambda job, identity, made: F.struct(job.alias("job_id"), identity.alias("settings_hash"), F.lit(made).alias("made"))
+    rows = [row(job, asked, False), F.when(job % 3 == 0, row(job, asked, True)), F.when(job % 7 == 0, row(job + 10**9, F.sha2(asked, 256), True))]
+    both = identified.select(F.inline(F.array_compact(F.array(*rows))))
+    return both.where("not made").drop("made"), both.where("made").drop("made")
 
 
 _OUTPUTS = f"{fx.JOBS}, {_IDENTITY}, outputs AS (SELECT * FROM identified WHERE job_id % 3 = 0 UNION ALL SELECT job_id + 1000000000, sha256(settings_hash) FROM identified WHERE job_id % 7 = 0)"
@@ -360,22 +366,25 @@ _OUTPUTS = f"{fx.JOBS}, {_IDENTITY}, outputs AS (SELECT * FROM identified WHERE
 
 @register("j11_pending_jobs", f"WITH {_OUTPUTS} SELECT job_id FROM identified WHERE settings_hash NOT IN (SELECT settings_hash FROM outputs)")
 def j11_pending_jobs(spark, sf_dir):
-    return J.pending(_identified(spark, sf_dir), _outputs(spark, sf_dir)).select("job_id")
+    identified, outputs = _identified_and_outputs(spark, sf_dir)
+    return J.pending(identified, outputs).select("job_id")
 
 
 @register("j12_stale_outputs", f"WITH {_OUTPUTS} SELECT job_id FROM outputs WHERE settings_hash NOT IN (SELECT settings_hash FROM identified)")
 def j12_stale_outputs(spark, sf_dir):
-    return J.stale(_outputs(spark, sf_dir), _identified(spark, sf_dir)).select("job_id")
+    identified, outputs = _identified_and_outputs(spark, sf_dir)
+    return J.stale(outputs, identified).select("job_id")
 
 
 @register("j12_exportable_outputs", f"WITH {_OUTPUTS} SELECT job_id FROM outputs WHERE settings_hash IN (SELECT settings_hash FROM identified)")
 def j12_exportable_outputs(spark, sf_dir):
-    return J.exportable(_outputs(spark, sf_dir), _identified(spark, sf_dir)).select("job_id")
+    identified, outputs = _identified_and_outputs(spark, sf_dir)
+    return J.exportable(outputs, identified).select("job_id")
 
 
 @register("t6_exactly_once", f"WITH {_OUTPUTS} SELECT DISTINCT settings_hash FROM identified WHERE settings_hash NOT IN (SELECT settings_hash FROM outputs)")
 def t6_exactly_once(spark, sf_dir):
-    return streams.exactly_once(_identified(spark, sf_dir), _outputs(spark, sf_dir)).select("settings_hash")
+    return streams.exactly_once(*_identified_and_outputs(spark, sf_dir)).select("settings_hash")
 
 
 @register("a15_memory_estimate", f"WITH {fx.JOBS} SELECT job_id, 2000 AS source_bytes, width::BIGINT * height * 4 AS resized_bytes, width::BIGINT * height AS index_bytes, CASE WHEN use_color_space THEN width::BIGINT * height * 12 ELSE 0 END AS vector_bytes, CASE WHEN dither = 'sierra' THEN width::BIGINT * height * 12 ELSE 0 END AS work_bytes FROM jobs")

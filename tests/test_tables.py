@@ -169,6 +169,19 @@ def test_identities_carry_no_settings_through_python(spark, query):
     assert len(re.findall(r"MapInArrow .*\[job_id#\d+L?, settings_hash#\d+\]", plan)) == 2
 
 
+@pytest.mark.parametrize("query", ["j11_pending_jobs", "j12_exportable_outputs", "j12_stale_outputs", "t6_exactly_once"])
+def test_jobs_are_identified_once_for_both_sides(spark, query):
+    """The other side of the join reads the exchange of the first, under Spark's reuse of equal exchanges."""
+    from pixelloom.plans import queries_tables
+
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        plan = queries_tables.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("rows", [97, 10_000])
 def test_identities_of_batches_that_end_within_a_palette(spark, rows):
     """Groups, heads and pieces that batches of Arrow divide, and palettes without a name."""
