@@ -437,3 +437,19 @@ def test_previews_on_the_ramp(spark):
     assert preview.sample(ramp.limit(0), default_swatches(), Settings(dither="random")).count() == 0
     with pytest.raises(ValueError):
         preview.sample(ramp, [s for s in default_swatches() if not s.visible], Settings())
+
+
+def test_jobs_of_one_palette_are_judged_without_a_broadcast_of_jobs(spark):
+    """A constant palette name leaves no key to join by; jobs are joined with palettes and images only, never with jobs."""
+    from pixelloom.plans import fixtures
+    from pixelloom.sources.palettes import default_palette
+
+    asked = fixtures.jobs(spark, "/root/testdata/sf0.001").withColumn("palette_name", F.lit("Default"))
+    judged = job_table.outcomes(asked, spark.range(20).withColumnRenamed("id", "image_id"), default_palette(spark))
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 2 and "BuildLeft" not in plan
+    bad = {r["job_id"]: r["reasons"] for r in jobs.violations(asked).collect()}
+    rows = judged.collect()
+    assert len(rows) == asked.count() and {r["status"] for r in rows} == {"done", "rejected"}
+    for r in rows:
+        assert r["reasons"] == bad.get(r["job_id"], []) + ["unknown image"] * (r["image_id"] >= 20)
