@@ -124,8 +124,14 @@ def windowed_timings(samples: DataFrame, window: str, slide: str | None = None,
 
 
 def exactly_once(arriving: DataFrame, done: DataFrame, key: str = "settings_hash") -> DataFrame:
-    """Rows whose identity has no output yet, each identity once; for the batches of ``foreachBatch``."""
-    return arriving.join(done.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    """Rows whose identity has no output yet, each identity once; for the batches of ``foreachBatch``.
+
+    One aggregation by identity over both sides, so that each is moved once and nothing is sorted for a join.  A null is
+    no identity of an output.
+    """
+    both = arriving.withColumn("_done", F.lit(False)).unionByName(done.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("_done")), True)
+    held = both.groupBy(key).agg(F.max("_done").alias("_done"), *(F.first(c).alias(c) for c in arriving.columns if c != key))
+    return held.where(~F.col("_done")).drop("_done")
 
 
 def exactly_once_stream(arriving: DataFrame, ts: str, watermark: str, key: str = "settings_hash") -> DataFrame:

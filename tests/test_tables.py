@@ -182,6 +182,40 @@ def test_jobs_are_identified_once_for_both_sides(spark, query):
     assert plan.count("MapInArrow") == 1
 
 
+def test_jobs_pass_no_json_writer_and_no_join_to_be_done_once(spark):
+    """The texts of jobs are put together from columns, and both sides of t6_exactly_once meet in one aggregation."""
+    from pixelloom.plans import queries_tables
+
+    plan = queries_tables.QUERIES["t6_exactly_once"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" not in plan and "alpha_mode" in plan
+    assert not [line for line in plan.splitlines() if "StructsToJson" in line and "alpha_mode" in line]
+
+
+def test_identities_are_the_hash_of_what_the_json_writer_writes(spark):
+    """Quotes, control characters, other scripts, nulls and numbers of every kind, before and after the colours."""
+    from pixelloom.functions import text
+
+    words = ['a"b', "back\\slash", "\\u001f", "\x00\x01\x1f\x7f", "\b\t\n\f\r", "é 漢 😀 \u2028", "", " ", "null", None, "/", "\ud7ff\ue000"]
+    rows = [(n, n % 3, "Lost", w, n if n % 4 else None, [None, True, False][n % 3], [0.0, -0.0, 1e20, 1.5, None][n % 5], [-(1 << 63), (1 << 63) - 1, None][n % 3], w) for n, w in enumerate(words * 2)]
+    columns = ("alpha_mode", "alpha_threshold", "serpentine", "strength", "seed", "resize")
+    j = spark.createDataFrame(rows, "job_id long, image_id long, palette_name string, alpha_mode string, alpha_threshold int, serpentine boolean, strength double, seed long, resize string")
+    j = j.withColumn("blur", F.col("strength").cast("float"))
+    columns = (*columns, "blur")
+    want = j.select("job_id", text.identity({c: F.col(c) for c in ("image_id", "palette_name", *columns)} | {"colors": F.lit(None).cast("string")}).alias("settings_hash"))
+    got = jobs.with_identity(j, spark.createDataFrame([], PALETTES), columns, keep=["job_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_each_identity_is_worked_once(spark):
+    """Against the plain join, with repeated identities and nulls on both sides."""
+    arriving = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "c"), (6, None), (7, None)], "job_id long, settings_hash string")
+    done = spark.createDataFrame([("b", 1), ("b", 2), ("x", 3), (None, 4)], "settings_hash string, job_id long")
+    found = streams.exactly_once(arriving, done)
+    rows = {r["settings_hash"]: r["job_id"] for r in found.collect()}
+    assert found.columns == ["settings_hash", "job_id"] and found.count() == 3
+    assert set(rows) == {"a", "c", None} and rows["a"] in (1, 2) and rows["c"] in (4, 5) and rows[None] in (6, 7)
+
+
 @pytest.mark.parametrize("rows", [97, 10_000])
 def test_identities_of_batches_that_end_within_a_palette(spark, rows):
     """Groups, heads and pieces that batches of Arrow divide, and palettes without a name."""
