@@ -191,6 +191,14 @@ def test_jobs_pass_no_json_writer_and_no_join_to_be_done_once(spark):
     assert not [line for line in plan.splitlines() if "StructsToJson" in line and "alpha_mode" in line]
 
 
+def test_identities_go_to_python_as_flat_columns(spark):
+    from pixelloom.plans import fixtures
+
+    j = fixtures.jobs(spark, "/root/testdata/sf0.001")
+    plan = jobs.with_identity(j, spark.createDataFrame([], PALETTES))._jdf.queryExecution().analyzed()
+    assert plan.nodeName() == "MapInArrow" and "STRUCT" not in plan.children().head().schema().toDDL().upper()
+
+
 def test_identities_are_the_hash_of_what_the_json_writer_writes(spark):
     """Quotes, control characters, other scripts, nulls and numbers of every kind, before and after the colours."""
     from pixelloom.functions import text
