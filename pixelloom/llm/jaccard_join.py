@@ -4,10 +4,11 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
 ``100 * |A & B| >= percent * |A | B|``.
 
 1. Rows are nodes.  Equal sets form a class; one node, of the smallest doc_id, stands for it from here on.
-2. Tokens are ordered by how many documents hold them (frequent ones last), then by hash.  Two sets that link share a
-   token among the first ``n - ceil(percent * n / 100) + 1`` of each, so only those *probe tokens* are compared.  A
-   passage that many documents share consists of frequent tokens and stays out of the probes of all documents but
-   those made of it.
+2. Tokens are ordered by how many documents hold them (lone ones first, frequent ones last), then by hash.  Two sets
+   that link share a token among the first ``n - ceil(percent * n / 100) + 1`` of each, so only those *probe tokens* are
+   compared.  Tokens that no other document holds are counted among them, but are in no other set, so they go no
+   further: a document with enough of its own has nothing to compare, however large the corpus.  A passage that many
+   documents share consists of frequent tokens and stays out of the probes of all documents but those made of it.
 3. Similar documents are partitioned into groups, by the commonest probe token that they share with another document;
    groups are salted into parts of about ``GROUP_TOKENS`` tokens and ``GROUP_DOCUMENTS`` documents, so no group grows
    with the data.
@@ -24,7 +25,8 @@ A document is its set of distinct k-word shingles (64-bit hashes).  Two document
 
 Document frequencies are counted over all documents.  They only order the tokens, so the table of frequent ones that
 travels with the tasks may leave out the less frequent powers of two, so that it has at most ``FREQUENT_TOKENS`` entries
-(5 MB), without any effect on the result.
+(5 MB), without any effect on the result.  Tokens of several documents are bits by hash, at most ``SHARED_BITS`` (16 MB);
+a lone token with the bit of another is taken for a shared one, which costs comparisons and no link.
 
 Null or wordless texts have no shingles and link with nothing; a text of fewer than k words is one shingle of all its
 words.  Rows with a null doc_id link with nothing and have a null component.  Repeated rows come back each; a doc_id
@@ -34,6 +36,7 @@ with several different texts is one node for each text.  Extra columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ WORDS, PERCENT = 5, 80
 #: A token in at least so many documents is looked up as frequent.
 FREQUENT = 8
 FREQUENT_TOKENS = 500_000
+#: Bits of the table of tokens that several documents hold, and how many there are for each such token below that.
+SHARED_BITS, BITS_A_TOKEN = 1 << 27, 4
 BLOCK_TOKENS = 1_000_000
 GROUP_TOKENS, GROUP_DOCUMENTS = 65_536, 1024
 FAMILY = 256
@@ -132,8 +137,35 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that many documents hold, sorted, and the power of two of their document frequency.
+@dataclass
+class Frequencies:
+    """What is known of the tokens of hash below ``top``: of how many documents they are.
+
+    shared: bits by the last bits of a token; an unset one says that a single document holds it.  frequent and
+    power: tokens of many documents, sorted, and the power of two of their document frequency.
+    """
+
+    top: np.uint64
+    shared: np.ndarray
+    frequent: np.ndarray
+    power: np.ndarray
+
+    def classes(self, u: np.ndarray) -> np.ndarray:
+        """The first key of the order of sorted tokens: 0 for lone ones, 1 for the rest, more for frequent ones."""
+        out = np.ones(len(u), np.int8)
+        known = u[: np.searchsorted(u, self.top)]
+        at = known & np.uint64(len(self.shared) * 64 - 1)
+        out[: len(known)] = (self.shared[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+        if len(self.frequent):
+            maybe = np.flatnonzero(out[: len(known)])
+            at = np.minimum(np.searchsorted(self.frequent, u[maybe]), len(self.frequent) - 1)
+            hit = self.frequent[at] == u[maybe]
+            out[maybe[hit]] = self.power[at[hit]] + 1
+        return out
+
+
+def frequencies(docs: DataFrame, k: int, percent: int) -> Frequencies:
+    """Which tokens several documents hold, and which many.
 
     Probes are the first tokens by hash, so frequencies are counted for the lower part of the hash range, three times
     as large as a probe set.  Counts are summed in blocks of tokens before they are shuffled.
@@ -157,26 +189,28 @@ def frequent_tokens(docs: DataFrame, k: int, percent: int) -> tuple[np.ndarray,
             yield summed(block)
 
     counted = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    often = save(counted.where(F.col("n") >= FREQUENT).select("token", F.floor(F.log2("n")).cast("int").alias("power")), "frequent")
-    least, held = 64, 0
+    often = save(counted.where("n > 1").select("token", F.floor(F.log2(F.when(F.col("n") >= FREQUENT, F.col("n")).otherwise(1))).cast("int").alias("power")), "frequent")
+    least, held, tokens = 64, 0, 0
     for power, n in sorted(often.groupBy("power").count().collect(), reverse=True):  # a row per power of two
-        if (held := held + n) > FREQUENT_TOKENS:
-            break
-        least = power
+        tokens += n
+        if power and (held := held + n) <= FREQUENT_TOKENS:
+            least = power
+    bits = min(SHARED_BITS, max(64, 1 << (BITS_A_TOKEN * tokens).bit_length()))
+    place = F.col("token").bitwiseAND(F.lit(bits - 1))
+    words = often.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    shared = np.zeros(bits >> 6, np.uint64)
+    shared[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     rows = often.where(F.col("power") >= least).toArrow()
     drop(often)
     token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    return token[order], rows["power"].to_numpy()[order].astype(np.int8)
+    return Frequencies(top, shared, token[order], rows["power"].to_numpy()[order].astype(np.int8))
 
 
-def probes(named: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """name, h, n (set size), f1 and f2 (fingerprint of the set), counts (tokens by hash range), probes (its first tokens; none if no other set can link)."""
-    tokens, power = frequent
+def probes(named: DataFrame, known: Frequencies, k: int, percent: int) -> DataFrame:
+    """name, h, n (set size), f1 and f2 (fingerprint of the set), counts (tokens by hash range), probes (those of its first tokens that another document may hold; none if no other set can link)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << 20, bool)
-        bits[tokens >> np.uint64(44)] = True
         for batch in batches:
             size, f1, f2, counts, first = [], [], [], [], []
             for u in _sets(batch.column("text"), k):
@@ -191,14 +225,10 @@ def probes(named: DataFrame, frequent: tuple[np.ndarray, np.ndarray], k: int, pe
                 if n == 0 or (least == n and n * 100 // percent == n):
                     first.append(u[:0].view(np.int64))
                     continue
-                m = n - least + 1
-                often = np.zeros(n, np.int8)
-                if len(tokens):
-                    maybe = np.flatnonzero(bits[u >> np.uint64(44)])
-                    at = np.minimum(np.searchsorted(tokens, u[maybe]), len(tokens) - 1)
-                    hit = tokens[at] == u[maybe]
-                    often[maybe[hit]] = power[at[hit]]
-                first.append((u[:m] if not often.any() else u[np.argsort(often, kind="stable")[:m]]).view(np.int64))
+                m, of = n - least + 1, known.classes(u)
+                m -= np.count_nonzero(of == 0)
+                rest = np.flatnonzero(of)
+                first.append(u[rest[np.argsort(of[rest], kind="stable")[: max(m, 0)]]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("name"), batch.column("h"), pa.array(size, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.array(counts, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
                 ["name", "h", "n", "f1", "f2", "counts", "probes"],
@@ -427,7 +457,7 @@ def _joined(docs: DataFrame, k: int, percent: int, count: bool) -> DataFrame:
     """The rows of join, with h, the hash of the text."""
     keys = ["f1", "f2", "n"]
     named = _named(docs)
-    sets = save(probes(named, frequent_tokens(docs, k, percent), k, percent).withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = save(probes(named, frequencies(docs, k, percent), k, percent).withColumn("node", F.monotonically_increasing_id()), "sets")
     able = sets.where("name is not null and n > 0")
     classes = able.groupBy(*keys).agg(F.min(F.struct("name", "node")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     classes = save(classes.select(*keys, F.col("first.name").alias("class_id"), F.col("first.node").alias("first"), "copies"), "classes")  # written, so that AQE can split the join for a hot class

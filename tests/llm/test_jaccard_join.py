@@ -158,6 +158,33 @@ def test_a_large_family_in_many_parts_costs_in_proportion(spark, monkeypatch):
     assert 45 <= parts <= 60 and near < parts and far <= 2 * parts
 
 
+def test_documents_with_enough_tokens_of_their_own_are_not_compared(spark, monkeypatch):
+    """Passages that two documents share by chance make no pairs of parts; a near copy among them is found all the same."""
+    compared = []
+    whole = jaccard_join._compare
+
+    def counting(named, nodes, packed, pairs, *rest):
+        compared.append((packed.count(), pairs.count()))
+        return whole(named, nodes, packed, pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_compare", counting)
+    rng = random.Random(7)
+    texts = []
+    for i in range(200):
+        passages = [f"p{rng.randrange(300)}" for _ in range(20)]
+        texts.append(" ".join([*(f"{p}a {p}b {p}c" for p in passages), *(f"d{i}w{j}" for j in range(80))]))
+    texts.append(texts[0].replace("d0w40", "other"))
+    got = run(spark, list(enumerate(texts)), k=3, percent=90)
+    assert {r["doc_id"] for r in got.collect() if r["doc_id"] != r["component_id"]} == {200}
+    assert all(parts <= 2 and pairs <= 1 for parts, pairs in compared)
+
+
+@pytest.mark.parametrize("bits", [64, 1024])
+def test_tokens_that_share_a_bit_lose_no_link(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard_join, "SHARED_BITS", bits)
+    check(spark, corpus(6), 3, 90)
+
+
 def test_incidence_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MATRIX_COLUMNS", 7)
     monkeypatch.setattr(jaccard_join, "GROUP_DOCUMENTS", 5)
