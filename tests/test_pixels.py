@@ -262,6 +262,48 @@ def test_a_table_of_jobs_is_its_cases_one_by_one(spark):
     assert counts["pixels"] == len(got) and counts["resized_pixels"] == sum(2 * w * h for w, h in [(10, 8), (30, 24), (16, 9), (10, 8)])  # cases 0 and 4 share a branch
 
 
+@pytest.mark.parametrize("works", [3, 4096])
+def test_cells_of_jobs_lose_nothing(spark, monkeypatch, works):
+    """Many small cells, settings of many jobs and of one, images of several bands, against a plan for each case."""
+    from pixelloom.sources.palettes import default_palette
+
+    monkeypatch.setattr(job_table, "CELL_WORKS", works)
+    monkeypatch.setattr(job_table, "CELL_PIXELS", 1 << 24 if works > 3 else 500)
+    monkeypatch.setattr(job_table, "PIECE", 100)
+    monkeypatch.setattr(diffusion, "BUNDLE", 2)
+    px = patterned(spark, 6, 4).withColumn("image_id", F.explode(F.array(*(F.lit(i) for i in range(7))).cast("array<long>"))).withColumn("r", ((F.col("r") + F.col("image_id") * 31) % 256).cast("int"))
+    cases = [
+        (0, 5, 130, "bilinear", Settings(dither="bayer-2", use_color_space=True, placement="adaptive", radius=3)),
+        (1, 5, 130, "bilinear", Settings(color_space="srgb", dither="random", placement="adaptive", radius=9, alpha_mode="premultiplied")),
+        (2, 5, 130, "bilinear", Settings(color_space="srgb", dither="random", seed=7)),
+        (3, 10, 8, "nearest", Settings(color_space="srgb", dither="floyd-steinberg", placement="adaptive", radius=2)),
+        (4, 10, 8, "area", Settings(dither="sierra-lite", use_color_space=True, serpentine=False)),
+    ]
+    own = lambda c: (0,) if c[0] == 2 else range(7)
+    table = spark.createDataFrame([job(10 * c[0] + i, i, c[4], c[1:3], c[3]) for c in cases for i in own(c)], JOBS)
+    got = {(r["job_id"], r["y"], r["x"]): r["idx"] for r in job_table.process(px, default_palette(spark), table).pixels().collect()}
+    want = {(10 * c[0] + r["image_id"], r["y"], r["x"]): r["idx"] for c in cases for r in jobs.process(px, default_swatches(), [c]).collect() if r["image_id"] in own(c)}
+    assert got == want
+
+
+def test_rows_of_pixels_are_not_shuffled_for_each_job(spark):
+    """The rows of an image go to a cell once, however many jobs with diffusion or noise it has."""
+    from pixelloom.sources.palettes import default_palette
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    table = spark.createDataFrame([job(k, 0, Settings(color_space="srgb", dither=("random", "sierra")[k % 2], seed=k), (10, 40)) for k in range(60)], JOBS)
+    done = job_table.process(patterned(spark, 6, 4), default_palette(spark), table)
+    before = {s.stageId() for s in stages()}
+    rows = done.results.count()
+    written = sum(s.shuffleWriteRecords() for s in stages() if s.stageId() not in before)
+    assert rows == 60 * 40 and written < rows
+
+
 def test_jobs_of_equal_settings_are_worked_once(spark):
     from pixelloom.sources.palettes import default_palette
 
